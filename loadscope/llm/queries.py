@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadscope.llm import bpe, decontam, embed, pii, quality, simhash, suffix
+from loadscope.llm import bpe, decontam, embed, html_extract, license, pii, quality, simhash, suffix, toxicity
 from loadscope.llm.common import held_out, table
 
 #: Score from which a document counts as good.
 QUALITY_CUT = 0.7
+#: Score from which a document counts as toxic.
+TOXIC_CUT = 0.5
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -48,10 +50,33 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0).alias("predicted"))
 
 
+def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files source/lang/<hundreds of the id>/<id>; one that opens with a licence line is a licence file."""
+    docs = table(spark, sf_dir, "documents")
+    opens = F.coalesce(F.regexp_extract("text", r"\A[^\n]*", 0).rlike(license.SPEAKS), F.lit(False))
+    name = F.concat(F.when(opens, "LICENSE.").otherwise("text."), F.col("doc_id").cast("string"))
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 100).cast("string"))
+    found = license.scan(docs.select(F.concat_ws("/", folder, name).alias("path"), "text").where("path is not null"))
+    return found.select(F.regexp_extract("path", r"([0-9]+)$", 1).cast("long").alias("doc_id"), "path", "licence", F.round("cosine", 6).alias("cosine"), "origin", "inherited_from")
+
+
 def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)))
+    found = toxicity.score(docs, index)
+    score = F.col("toxicity.score")
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), score.alias("score"), F.when(score >= TOXIC_CUT, 1).otherwise(0).alias("predicted"), F.col("toxicity.examples").alias("examples"))
+
+
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -63,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_simhash, op3_bpe, op4_decontamination, op5_quality, op7_embedding, op10_suffix, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_simhash, op3_bpe, op4_decontamination, op5_quality, op6_license, op7_embedding, op8_html, op9_toxicity, op10_suffix, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
