@@ -46,19 +46,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each step points a node's larger (then
     smaller) neighbours at its smallest one, so hubs are only ever aggregated with a
-    partial minimum and joined, never gathered. Nodes without an edge between two
+    partial minimum and joined, never gathered. Each round is written to the shared folder. Nodes without an edge between two
     different nodes get no row; nulls are dropped; repeated edges count once.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
     kind = edges.schema[0].dataType
     u, v = edges.columns[:2]
-    now = (
-        edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b"))
-        .where("a <> b and a is not null and b is not null")
-        .distinct()
-        .checkpoint()
-    )
+    now = stored(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a <> b and a is not null and b is not null").distinct())
     sign = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
     before = sign(now)
     while before[0]:
@@ -68,7 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = small.distinct().checkpoint()
+        now = stored(small.distinct())
         if (after := sign(now)) == before:
             break
         before = after
