@@ -359,7 +359,8 @@ def _page(rnd: random.Random) -> tuple[str, set[int]]:
     before = [f() for f, p in ((header, 0.5), (menu, 0.6), (odd, 0.5), (form, 0.2), (aside, 0.2)) if some(p)]
     after = [f() for f, p in ((aside, 0.3), (comments, 0.35), (odd, 0.3), (form, 0.2), (menu, 0.15)) if some(p)]
     rnd.shuffle(before)
-    body = "".join([*before, article(), *after, footer() if some(0.85) else ""])
+    # some pages have no article at all
+    body = "".join([*before, article() if some(0.9) else menu(), *after, footer() if some(0.85) else ""])
     if some(0.15):
         body = f"<div{attr('wrapper', 'page', 'container')}>{body}</div>"
     return f"<html><head><title>{word()}</title></head><body>{body}</body></html>", main
