@@ -33,30 +33,43 @@ EDGES = ".,;:!?()[]{}<>\"'`*#|~_=-"
 STOPS = ".!?:"
 
 
-def _tokens(raw: Column) -> Column:
-    """An array of words as an array of (token, slot): a placeholder and its value, or the word and null."""
+PLACEHOLDERS = ("<number>", "<unit>", "<name>")
 
-    def token(word: Column, i: Column) -> Column:
-        bare = F.btrim(word, F.lit(EDGES))
-        low, first = F.lower(bare), F.substring(bare, 1, 1)
-        before = F.get(raw, i - 1)
-        number = first.between("0", "9")
-        name = (i > 0) & (first != F.lower(first)) & (bare != F.upper(bare)) & ~F.contains(F.lit(STOPS), F.substring(before, -1, 1))
-        kind = F.when(number, "<number>").when(low.isin(UNITS), "<unit>").when(name, "<name>")
-        return F.struct(F.coalesce(kind, low).alias("token"), F.when(kind.isNotNull(), low).alias("slot"))
 
-    return F.transform(raw, token)
+def _held(df: DataFrame, *columns: str, **new: Column) -> DataFrame:
+    """df with new columns worked out once a row, behind a generator of one row.
 
+    Without it the optimizer puts a column's expression into the lambda functions that read
+    the column, and it is worked out again for each element.
+    """
+    made = df.select(*columns, F.explode(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))).alias("held"))
+    return made.select(*columns, "held.*")
+
+
+def _canonical(df: DataFrame, key: str) -> DataFrame:
+    """(key, names, low) of rows (key, text): each word's canonical token, and the word itself in lower case without edges.
+
+    The text is put in lower case as a whole; per word there is one trim and a few comparisons.
+    """
+    rows = _held(df, key, raw=F.filter(F.split("text", SPACE), lambda w: w != ""))
+    rows = _held(rows, key, "raw", bare=F.transform("raw", lambda w: F.btrim(w, F.lit(EDGES))))
+    low = F.when(F.size("raw") > 0, F.split(F.lower(F.array_join("bare", " ")), " ")).otherwise(F.array().cast("array<string>"))
+    rows = _held(rows, key, "raw", "bare", low=low)
+
+    def token(low: Column, i: Column) -> Column:
+        bare, before = F.get("bare", i), F.get("raw", i - 1)
+        first = F.substring(low, 1, 1)
+        name = (i > 0) & (F.substring(bare, 1, 1) != first) & (bare != F.upper(bare)) & ~F.contains(F.lit(STOPS), F.substring(before, -1, 1))
+        return F.when(first.between("0", "9"), PLACEHOLDERS[0]).when(low.isin(UNITS), PLACEHOLDERS[1]).when(name, PLACEHOLDERS[2]).otherwise(low)
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return _held(rows, key, "low", names=F.transform("low", token))
 
 
 def _windows(df: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, at, hash, tokens): each window of a row's canonical tokens; tokens is the whole array."""
-    count = F.size("tokens") - size + 1
+    """(key, at, hash, names, low): each window of a row's canonical tokens; names and low are the whole arrays."""
+    count = F.size("names") - size + 1
     hashes = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("names"), i, size))))
-    return df.select(key, "tokens", F.transform("tokens", lambda t: t["token"]).alias("names")).select(key, "tokens", F.posexplode(hashes).alias("at", "hash"))
+    return df.select(key, "names", "low", F.posexplode(hashes).alias("at", "hash"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -68,24 +81,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     are empty, rows with a null id are left out, repeated ids are one document or item;
     other columns are ignored; empty tables give an empty result.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), _words(text_of(item_text)).alias("raw")).where("item_id is not null").distinct()
-    items = items.select("item_id", _tokens(F.col("raw")).alias("tokens"))
-    short = [r[0] for r in items.select(F.size("tokens").alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct().collect()]  # fewer than WINDOW rows
-    rows = docs.select(F.col(doc_id).alias("doc_id"), _words(text_of(text)).alias("raw")).where("doc_id is not null")
-    rows = rows.select("doc_id", _tokens(F.col("raw")).alias("tokens"))
+    items = benchmark.select(F.col(item_id).alias("item_id"), text_of(item_text).alias("text")).where("item_id is not null").distinct()
+    items = _canonical(items, "item_id")
+    short = [r[0] for r in items.select(F.size("names").alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct().collect()]  # fewer than WINDOW rows
+    rows = _canonical(docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null"), "doc_id")
     found = None
     for size in [WINDOW, *sorted(short)]:
-        some = items if size == WINDOW else items.where(F.size("tokens") == size)
-        windows = _windows(some, "item_id", size).select("item_id", "at", "hash", F.slice("tokens", F.col("at") + 1, size).alias("own"), F.size("tokens").alias("item_tokens"))
-        windows = windows.where(F.size(F.filter("own", lambda t: t["slot"].isNull())) >= min(LITERALS, size))
+        cut = lambda c, at: F.slice(c, F.col(at) + 1, size)  # noqa: B023, E731
+        some = items if size == WINDOW else items.where(F.size("names") == size)
+        windows = _windows(some, "item_id", size).select("item_id", "at", "hash", cut("names", "at").alias("own"), cut("low", "at").alias("values"), F.size("names").alias("item_tokens"))
+        windows = windows.where(F.size(F.filter("own", lambda t: ~t.isin(*PLACEHOLDERS))) >= min(LITERALS, size))
         if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
             windows = F.broadcast(windows)
-        theirs = _windows(rows, "doc_id", size).withColumnRenamed("at", "place")
-        hits = theirs.join(windows, "hash").withColumn("theirs", F.slice("tokens", F.col("place") + 1, size))
-        hits = hits.where(F.transform("theirs", lambda t: t["token"]) == F.transform("own", lambda t: t["token"]))
+        hits = _windows(rows, "doc_id", size).withColumnRenamed("at", "place").join(windows, "hash").where(cut("names", "place") == F.col("own"))
+        slots = F.arrays_zip(F.col("own").alias("kind"), F.col("values").alias("own"), cut("low", "place").alias("theirs"))
         hits = hits.select(
             "doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", F.least("item_tokens", F.lit(LEAK)).alias("least"), F.lit(size).alias("size"),
-            F.filter(F.arrays_zip(F.col("own.token").alias("kind"), F.col("own.slot").alias("own"), F.col("theirs.slot").alias("theirs")), lambda s: s["own"].isNotNull()).alias("slots"),
+            F.filter(slots, lambda s: s["kind"].isin(*PLACEHOLDERS)).alias("slots"),
         )
         found = hits if found is None else found.unionByName(hits)
     # an alignment has no more windows than its item
