@@ -10,7 +10,7 @@ are looked at in order of their bound, until no bound reaches the last of the ne
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +22,7 @@ from loadscope.llm.common import text_of
 from loadscope.llm.quality import _platt, _sigmoid
 
 #: Labelled rows in the index at most: those of the smallest hash of their id.
-MAX_EXAMPLES = 6000
+MAX_EXAMPLES = 4000
 #: Terms at most, how many examples have one at least, and the chi-square value that it needs.
 MAX_TERMS, LEAST_EXAMPLES, CHI_SQUARE = 5000, 5, 30.0
 #: Neighbours that vote, and examples of a block.
@@ -35,26 +35,33 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def select_terms(rows: list[set[str]], y: np.ndarray) -> list[str]:
-    """The terms that go with label 1, in alphabetical order; rows of the same terms count once."""
-    rows, y = [*zip(*{(frozenset(r), int(t)): None for r, t in zip(rows, y, strict=True)}, strict=True)] or ([], [])
-    y = np.array(y, np.int64)
-    counts: dict[str, list[int]] = {}
-    for row, label in zip(rows, y.tolist(), strict=True):
+def select_terms(texts: Sequence[str], y: np.ndarray) -> list[str]:
+    """The terms that go with label 1, in alphabetical order; texts of the same terms and label count once."""
+    seen: set[tuple[int, int]] = set()
+    counts: tuple[dict[str, int], dict[str, int]] = {}, {}
+    sizes = [0, 0]
+    for text, label in zip(texts, y.tolist(), strict=True):
+        row = frozenset(words(text))
+        if (key := (hash(row), label)) in seen:
+            continue
+        seen.add(key)
+        sizes[label] += 1
         for w in row:
-            counts.setdefault(w, [0, 0])[label] += 1
-    n, up = len(y), int(y.sum())
-    if not 0 < up < n:
+            counts[label][w] = counts[label].get(w, 0) + 1
+    down, up = sizes
+    n = down + up
+    if not up or not down:
         return []
-    found = []
-    for w, (b, a) in counts.items():
+    kept = []
+    for w, a in counts[1].items():
+        b = counts[0].get(w, 0)
         if a + b < LEAST_EXAMPLES or a + b == n:
             continue
-        c, d = up - a, n - up - b
-        chi = n * (a * d - b * c) ** 2 / (up * (n - up) * (a + b) * (c + d))
+        c, d = up - a, down - b
+        chi = n * (a * d - b * c) ** 2 / (up * down * (a + b) * (c + d))
         if chi >= CHI_SQUARE and a * d > b * c:
-            found.append((-chi, w))
-    return sorted(w for _, w in sorted(found)[:MAX_TERMS])
+            kept.append((-chi, w))
+    return sorted(w for _, w in sorted(kept)[:MAX_TERMS])
 
 
 @dataclass
@@ -80,9 +87,9 @@ class Index:
         v = (1 + np.log(np.array([tf[t] for t in at.tolist()], np.float64))) * self.idf[at] if len(at) else np.empty(0)
         return at, v / np.sqrt((v * v).sum()) if len(at) else v
 
-    def build(self, rows: list[list[str]]) -> Index:
+    def build(self, rows: Sequence[str]) -> Index:
         """Examples with the same label and like terms stand together, so that block bounds are tight."""
-        vectors = [self.vector(r) for r in rows]
+        vectors = [self.vector(words(r)) for r in rows]
         heaviest = [int(at[np.argmax(v)]) if len(at) else -1 for at, v in vectors]
         order = sorted(range(len(rows)), key=lambda i: (heaviest[i], self.labels[i], self.ids[i]))
         self.ids, self.labels = self.ids[order], self.labels[order]
@@ -177,16 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
         labels.select(F.col(doc_id).alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y is not null").dropDuplicates(["key"]).orderBy(F.xxhash64("key"), "key").limit(max_examples)
     )
 
-    @F.pandas_udf("array<string>")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([words(t) for t in batch], dtype=object)
-
-    found = docs.select(F.col(doc_id).alias("key"), text_of(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "y", tokens("text").alias("words"))
-    # rows that repeat an id are one example; the sample is bounded
-    found = found.toPandas().drop_duplicates("key").sort_values("key")
-    rows, y = [list(r) for r in found["words"]], (found["y"].to_numpy(np.int64) > 0).astype(np.int64)
-    terms = select_terms([set(r) for r in rows], y)
+    # rows that repeat an id are one example; the sample is bounded, and so is what reaches the driver
+    found = docs.select(F.col(doc_id).alias("key"), text_of(text).alias("text")).join(F.broadcast(chosen), "key").toPandas().drop_duplicates("key").sort_values("key")
+    rows, y = found["text"].tolist(), (found["y"].to_numpy(np.int64) > 0).astype(np.int64)
+    terms = select_terms(rows, y)
     n, df = document_frequencies(docs, terms, text)
     index = Index({w: i for i, w in enumerate(terms)}, np.log((n + 1) / (df + 1)) + 1, found["key"].to_numpy(np.int64), y)
     return index.build(rows).calibrate()
