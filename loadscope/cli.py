@@ -12,6 +12,7 @@ from loadscope.operators import bom, diff, explore
 from loadscope.operators import summary as S
 from loadscope.plans.analyze import analyze
 from loadscope.plans.session import session
+from loadscope.sources import bills
 from loadscope.sources.config import Config, parse_json, parse_yaml
 from loadscope.sources.errors import AnalysisError
 from loadscope.sources.walk import TreeSource
@@ -56,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = session()
     try:
         if args.command == "diff":
-            before, after = (spark.read.json(str(p)) for p in args.paths[:2])
+            before, after = (bills.read(spark, str(p)) for p in args.paths[:2])
             lines = diff.text_lines(before, after)
             n = 0
             for row in lines.orderBy("line").toLocalIterator():

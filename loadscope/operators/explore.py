@@ -109,3 +109,22 @@ def migrations(records: DataFrame) -> DataFrame:
 def load_paths(sites: DataFrame, contexts: DataFrame) -> DataFrame:
     """(file, sites, artifacts, environment, privileged): loading files."""
     return sites.groupBy("file").agg(F.count("*").alias("sites"), F.count_distinct("artifact_id").alias("artifacts")).join(contexts.select("file", "environment", "privileged"), "file", "left")
+
+
+def lookup(records: DataFrame, term: str) -> DataFrame:
+    """The record that a term means: by id, by locator, by the locator's end, by its last segment; the first that has one, of equals the smallest id."""
+    wanted = F.lit(term)
+    at = F.when(F.col("artifact_id").cast("string") == wanted, 0).when(F.col("locator") == wanted, 1).when(F.endswith("locator", wanted), 2).when(F.substring_index("locator", "/", -1) == wanted, 3)
+    return records.withColumn("_at", at).where("_at is not null").orderBy("_at", "artifact_id").limit(1).drop("_at")
+
+
+def top(records: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n records of an order."""
+    return records.orderBy(*order_by(key)).limit(n)
+
+
+def boundary(records: DataFrame, findings: DataFrame) -> DataFrame:
+    """(artifact_id, terminal): the gravest disposition of a record's findings, record without any."""
+    worst = findings.groupBy("artifact_id").agg(F.min(rank(F.col("disposition"), dims.DISPOSITIONS)).alias("r"))
+    names = F.array(*[F.lit(d) for d in dims.DISPOSITIONS])
+    return records.select("artifact_id").join(worst, "artifact_id", "left").select("artifact_id", F.coalesce(F.get(names, F.col("r")), F.lit("record")).alias("terminal"))

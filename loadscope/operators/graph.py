@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.operators.columns import mapped
+from loadscope.operators.numbering import checkpoint_dir
 from loadscope.plans import dims
 
 
@@ -43,8 +42,7 @@ def component(links: DataFrame, focus: str, most: int = 64) -> DataFrame:
     with a checkpoint in the folder that all executors share.
     """
     spark = links.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loadscope-"))
+    checkpoint_dir(spark)
     both = links.select(F.col("from").alias("a"), F.col("to").alias("b")).unionByName(links.select(F.col("to").alias("a"), F.col("from").alias("b"))).distinct()
     seen = spark.createDataFrame([(focus, 0)], "id string, distance int")
     frontier = seen

@@ -18,7 +18,7 @@ from loadscope.operators import diff as DF
 from loadscope.operators import evidence as E
 from loadscope.operators import records as R
 from loadscope.operators import summary as S
-from loadscope.operators.columns import mapped
+from loadscope.operators.numbering import numbered
 from loadscope.plans import derived as P
 from loadscope.plans import dims
 
@@ -572,6 +572,17 @@ def gate(spark, d):
     return P.records(spark, d).agg(*[F.coalesce(F.bool_or(S.gate(None, mode)), F.lit(False)).alias(f"{mode}_") for mode in ("any", "unknown", "privileged", "execution")])
 
 
+@query(f"SELECT artifact_id, coalesce((['act', 'review', 'record'])[min({_case('disposition', {x: i + 1 for i, x in enumerate(dims.DISPOSITIONS)})})], 'record') AS terminal FROM rec LEFT JOIN find USING (artifact_id) GROUP BY artifact_id")
+def boundary(spark, d):
+    records = P.records(spark, d)
+    return explore.boundary(records, R.findings(records))
+
+
+@query(f"SELECT {SITE_ORDER}, 'ls-' || row_number() OVER (ORDER BY {SITE_ORDER}) AS id FROM lineitem")
+def site_numbers(spark, d):
+    return numbered(P.table(spark, d, "lineitem").select(*P.ORDER), P.ORDER, "id", "ls-")
+
+
 # ---- bills ----
 
 

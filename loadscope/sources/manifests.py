@@ -94,3 +94,11 @@ def declared(files: DataFrame) -> DataFrame:
         every = rows if every is None else every.unionByName(rows)
     # manifests are few lines of a project
     return every.where("name is not null").withColumn("seq", F.row_number().over(Window.orderBy("rank", "source", "seq"))).select("name", "constraint", "source", "rank", "seq")
+
+
+def project_name(files: DataFrame, otherwise: str) -> DataFrame:
+    """One row, name: that of the root's pyproject, else of its package.json, else the given one."""
+    root = files.where(F.col("path").isin("pyproject.toml", "package.json"))
+    table = F.regexp_extract("text", r"(?m)^\[project\][^\[]*?^name\s*=\s*[\"']([^\"']+)[\"']", 1)
+    name = F.when(F.col("path") == "pyproject.toml", F.nullif(table, F.lit(""))).otherwise(F.get_json_object("text", "$.name"))
+    return root.withColumn("name", name).agg(F.coalesce(F.min_by("name", F.when(F.col("name").isNotNull(), F.when(F.col("path") == "pyproject.toml", 0).otherwise(1))), F.lit(otherwise)).alias("name"))
