@@ -27,7 +27,7 @@ LENGTH = 200
 #: Bytes of a piece: a power of two.
 PIECE = 32
 #: Bytes at which a suffix array takes no further hash's contexts.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Contexts of one hash in a suffix array at most; the strings of a hash with more are counted by their own hashes.
 BLOCK = 4000
 #: Bytes of a text looked at together (and their strings' tails).
@@ -332,7 +332,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     """The documents with their keys, and (key, start, end) of bytes covered by repeated strings; spans may overlap."""
     keyed = _keyed(docs, doc_id, text)
     only = keyed.select("key", "text")
-    seen = only.mapInPandas(lambda it: _scan(it, False), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written first: a join of two tables can be split where one hash has many places, one with an aggregate in it can't
+    seen = stored(only.mapInPandas(lambda it: _scan(it, False), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     places = only.mapInPandas(lambda it: _scan(it, True), "anchor long, context long, key long, start long, size long")
     places = stored(places.join(seen, "anchor", "left_semi"))
     classes = stored(places.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min_by(F.struct("key", "start", "size"), F.struct("key", "start")).alias("at")))
