@@ -47,7 +47,7 @@ def _held(df: DataFrame, *columns: str, **new: Column) -> DataFrame:
 
 
 def _canonical(df: DataFrame, key: str) -> DataFrame:
-    """(key, names, low) of rows (key, text): each word's canonical token, and the word itself in lower case without edges.
+    """(key, names, low, bare) of rows (key, text): each word's canonical token, and the word itself without edges, in lower case and as it stands.
 
     The text is put in lower case as a whole; per word there is one trim and a few comparisons.
     """
@@ -62,14 +62,36 @@ def _canonical(df: DataFrame, key: str) -> DataFrame:
         name = (i > 0) & (F.substring(bare, 1, 1) != first) & (bare != F.upper(bare)) & ~F.contains(F.lit(STOPS), F.substring(before, -1, 1))
         return F.when(first.between("0", "9"), PLACEHOLDERS[0]).when(low.isin(UNITS), PLACEHOLDERS[1]).when(name, PLACEHOLDERS[2]).otherwise(low)
 
-    return _held(rows, key, "low", names=F.transform("low", token))
+    return _held(rows, key, "low", "bare", names=F.transform("low", token))
 
 
-def _windows(df: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, at, hash, names, low): each window of a row's canonical tokens; names and low are the whole arrays."""
-    count = F.size("names") - size + 1
-    hashes = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("names"), i, size))))
-    return df.select(key, "names", "low", F.posexplode(hashes).alias("at", "hash"))
+def _windows(df: DataFrame, key: str, size: int, of: str = "names") -> DataFrame:
+    """(key, at, hash, names, low, bare): each window of a row's tokens `of`; names, low and bare are the whole arrays."""
+    count = F.size(of) - size + 1
+    hashes = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col(of), i, size))))
+    return df.select(key, "names", "low", "bare", F.posexplode(hashes).alias("at", "hash"))
+
+
+def _verbatim(rows: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_tokens, same) of passages whose words stand in a document as in the item, placeholders or not.
+
+    A word's canonical token may depend on the word before it, which a passage doesn't bring
+    along; here words are compared themselves, with their case, and any window counts.
+    """
+    found = None
+    for size in sizes:
+        cut = lambda at: F.slice("bare", F.col(at) + 1, size)  # noqa: B023, E731
+        some = items if size == WINDOW else items.where(F.size("bare") == size)
+        windows = _windows(some, "item_id", size, "bare").select("item_id", "at", "hash", cut("at").alias("own"), F.size("bare").alias("item_tokens"))
+        if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+            windows = F.broadcast(windows)
+        hits = _windows(rows, "doc_id", size, "bare").withColumnRenamed("at", "place").join(windows, "hash").where(cut("place") == F.col("own"))
+        hits = hits.select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", F.least("item_tokens", F.lit(LEAK)).alias("least"), F.lit(size).alias("size"))
+        found = hits if found is None else found.unionByName(hits)
+    lined = found.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("ats"), F.max("least").alias("least"), F.max("size").alias("size"))
+    covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1))))
+    lined = lined.withColumn("n_windows", F.size("ats").cast("long")).withColumn("n_tokens", F.size(covered).cast("long")).where(F.col("n_tokens") >= F.col("least"))
+    return lined.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_tokens").alias("n_tokens"), F.lit(True).alias("same"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -77,7 +99,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
     n_windows and n_tokens are those of the best consistent alignment, same whether some
     such alignment has the item's own slot values. An item of fewer words than a window is
-    looked for as a whole; one with fewer than LITERALS words of its own isn't. Null texts
+    looked for as a whole; one with fewer than LITERALS words of its own only word by word. Null texts
     are empty, rows with a null id are left out, repeated ids are one document or item;
     other columns are ignored; empty tables give an empty result.
     """
@@ -110,7 +132,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     )
     lined = lined.where((distinct("own", "theirs") == distinct("own")) & (distinct("own", "theirs") == distinct("theirs")) & (F.col("n_tokens") >= F.col("least")))
     lined = lined.withColumn("same", ~F.exists("slots", lambda s: s["own"] != s["theirs"]))
-    return lined.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_tokens").alias("n_tokens"), F.max("same").alias("same"))
+    typed = lined.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_tokens").alias("n_tokens"), F.max("same").alias("same"))
+    both = typed.withColumn("verbatim", F.lit(False)).unionByName(_verbatim(rows, items, [WINDOW, *sorted(short)]).withColumn("verbatim", F.lit(True)))
+    best = both.groupBy("doc_id", "item_id").agg(F.min(F.struct("verbatim", "n_windows", "n_tokens", "same")).alias("best"))
+    return best.select("doc_id", "item_id", "best.n_windows", "best.n_tokens", "best.same")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

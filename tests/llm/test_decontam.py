@@ -54,3 +54,10 @@ def test_sql(spark, sf):
     names = [d[0] for d in want.description]
     got = decontam.leaks(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("n", range(3, 14))
+def test_capitalised_items_within_a_sentence(spark, n):
+    """An item's first word has an ordinary word before it in a document; items of digits and names have few words of their own."""
+    items = [" ".join(ITEM.split()[:n]), " ".join(["Rome", "7", "Oslo", "8", "kg", "9", "Bonn", "4", "Lima", "5", "Kyiv", "6", "km"][:n])]
+    assert found(spark, [f"they say {items[0]} again", f"they say {items[1]} again", f"they say {items[0].lower()} again"[:12]], items) == [(0, 0, True), (1, 1, True)]
