@@ -41,6 +41,27 @@ def held_out(name: str, buckets: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % buckets == fold, F.lit(True))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """(key, y, text), stored: a sample of labelled rows, max_rows and max_bytes of text at most, whatever the tables' sizes.
+
+    Rows are taken in the order of their id's hash until one more would exceed a bound. A null
+    id or label is none, and so is an id with two different labels; of rows that repeat an id
+    the smallest text counts. Only ids and sizes reach the driver.
+    """
+    chosen = labels.select(F.col(doc_id).cast("long").alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y is not null")
+    chosen = chosen.groupBy("key").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("key", "y").orderBy(F.xxhash64("key"), "key").limit(max_rows)
+    found = docs.select(F.col(doc_id).cast("long").alias("key"), text_of(text).alias("text")).join(F.broadcast(chosen), "key").groupBy("key", "y").agg(F.min("text").alias("text"))
+    found = stored(found)
+    sizes = found.select("key", F.octet_length("text").cast("long").alias("size"), F.xxhash64("key").alias("h")).orderBy("h", "key").collect()
+    total, kept = 0, []
+    for row in sizes:
+        total += row["size"]
+        if total > max_bytes:
+            break
+        kept.append((row["key"],))
+    return found.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "key long")), "key", "left_semi")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable from each node of edges (u, v).
 

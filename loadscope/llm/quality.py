@@ -2,7 +2,8 @@
 
 A text's n-grams are taken over three streams: its characters by shape (letters by case,
 digits, white space, each punctuation mark as itself), its words by shape, and whether
-each word repeats the one before. An n-gram counts once a text. Weights come from dual
+each word repeats the one before. No word is seen as itself, and n-grams share BUCKETS
+hashed places, so some collide. An n-gram counts once a text. Weights come from dual
 coordinate descent over a bounded sample of labelled rows; scores are its margins through
 a logistic curve fitted on the same sample's left-out margins.
 """
@@ -17,12 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadscope.llm.common import text_of
+from loadscope.llm.common import labelled, text_of
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 16
 #: Labelled rows that the model is fitted on at most: those of the smallest hash of their id.
 MAX_TRAIN = 6000
+#: Bytes of their texts at most.
+MAX_BYTES = 32 << 20
 #: Characters shaped at once, with an overlap, whatever a text's length.
 CHUNK = 1 << 20
 CHAR_N, WORD_N, REPEAT_N = (1, 2, 3, 4), (1, 2), (2, 4, 8, 16)
@@ -170,25 +173,18 @@ def fit_rows(rows: list[np.ndarray], labels: list[int], cost: float = 1.0) -> Mo
     return Model(r, descend(rows, y, r, cost), *_platt(margins, y))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN) -> Model:
-    """Fitted on max_train labelled rows at most (labels: rows that may be learnt from; a null label or id is none).
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Model:
+    """Fitted on labelled rows, max_train and max_bytes of text at most (labels: rows that may be learnt from; see common.labelled).
 
-    The rows are those of the smallest hash of their id, so a larger table gives as many.
-    Only they are broadcast, and only their n-grams reach the driver.
+    Only the rows' n-grams reach the driver, a text's number of them at most its bytes times four.
     """
-    chosen = (
-        labels.select(F.col(doc_id).alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y is not null").dropDuplicates(["key"]).orderBy(F.xxhash64("key"), "key").limit(max_train)
-    )
-
     @F.pandas_udf("array<int>")
     def grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         seen = np.zeros(BUCKETS, bool)
         for batch in batches:
             yield pd.Series([indicators(t, seen).astype(np.int32) for t in batch])
 
-    found = (
-        docs.select(F.col(doc_id).alias("key"), text_of(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "y", grams("text").alias("x")).toPandas().drop_duplicates("key").sort_values("key")
-    )
+    found = labelled(docs, labels, label, doc_id, text, max_train, max_bytes).select("key", "y", grams("text").alias("x")).toPandas().sort_values("key")
     return fit_rows([np.asarray(x, np.int64) for x in found["x"]], found["y"].tolist())
 
 

@@ -1,15 +1,18 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine, found with a block-max inverted index.
 
-The examples are a bounded sample of labelled rows. Their terms are those whose presence
-goes with the label (a chi-square test on the sample), weighted by the inverse document
-frequency over all documents. The index keeps, for each term, its postings by blocks of
-examples and the largest weight of each block. A text's nearest examples are exact: blocks
-are looked at in order of their bound, until no bound reaches the last of the nearest.
+The examples are a bounded sample of labelled rows, and every word of theirs is a term: none
+is left out. A term weighs its inverse document frequency over all documents, more if its
+presence goes with either label among the examples and a fraction of that (FLOOR) if not.
+Vectors are over the examples' terms. The index keeps each term's postings by blocks of like
+examples, with the largest weight of each block. A text's nearest examples are exact: a few
+blocks of the largest bound are looked at first, then all whose bound reaches the last of the
+nearest so far.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -18,15 +21,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadscope.llm.common import text_of
+from loadscope.llm.common import labelled, text_of
+from loadscope.llm.embed import centres, unit
 from loadscope.llm.quality import _platt, _sigmoid
 
-#: Labelled rows in the index at most: those of the smallest hash of their id.
-MAX_EXAMPLES = 4000
-#: Terms at most, how many examples have one at least, and the chi-square value that it needs.
-MAX_TERMS, LEAST_EXAMPLES, CHI_SQUARE = 5000, 5, 30.0
-#: Neighbours that vote, and examples of a block.
-NEIGHBOURS, BLOCK = 15, 64
+#: Labelled rows in the index at most, those of the smallest hash of their id, and bytes of their texts together.
+MAX_EXAMPLES, MAX_BYTES = 4000, 32 << 20
+#: Share of its idf that a term keeps whose presence says nothing, and the standard errors from and over which it says more.
+FLOOR, FROM, OVER = 0.05, 3.0, 3.0
+#: Neighbours that vote, examples of a block, and blocks that are looked at first.
+NEIGHBOURS, BLOCK, FIRST = 15, 32, 4
+#: One of how many examples has a term whose postings are a dense row; texts looked up at once.
+FREQUENT, BATCH = 16, 128
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -35,126 +41,149 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def select_terms(texts: Sequence[str], y: np.ndarray) -> list[str]:
-    """The terms that go with label 1, in alphabetical order; texts of the same terms and label count once."""
-    seen: set[tuple[int, int]] = set()
-    counts: tuple[dict[str, int], dict[str, int]] = {}, {}
-    sizes = [0, 0]
-    for text, label in zip(texts, y.tolist(), strict=True):
-        row = frozenset(words(text))
-        if (key := (hash(row), label)) in seen:
-            continue
-        seen.add(key)
+def label_weights(rows: Sequence[np.ndarray], y: np.ndarray, n_terms: int) -> np.ndarray:
+    """Of each term a factor from FLOOR to 1 by the log odds of the labels where it is present, in standard errors; texts of the same terms and label count once."""
+    seen = {(row.tobytes(), label): row for row, label in zip(rows, y.tolist(), strict=True)}
+    counts, sizes = np.zeros((2, n_terms)), np.zeros(2)
+    for (_, label), row in seen.items():
+        counts[label, row] += 1
         sizes[label] += 1
-        for w in row:
-            counts[label][w] = counts[label].get(w, 0) + 1
-    down, up = sizes
-    n = down + up
-    if not up or not down:
-        return []
-    kept = []
-    for w, a in counts[1].items():
-        b = counts[0].get(w, 0)
-        if a + b < LEAST_EXAMPLES or a + b == n:
-            continue
-        c, d = up - a, down - b
-        chi = n * (a * d - b * c) ** 2 / (up * down * (a + b) * (c + d))
-        if chi >= CHI_SQUARE and a * d > b * c:
-            kept.append((-chi, w))
-    return sorted(w for _, w in sorted(kept)[:MAX_TERMS])
+    a, b = counts[1] + 0.5, counts[0] + 0.5
+    errors = np.abs(np.log(a / (sizes[1] + 1)) - np.log(b / (sizes[0] + 1))) / np.sqrt(1 / a + 1 / b)
+    return FLOOR + (1 - FLOOR) * np.clip((errors - FROM) / OVER, 0, 1)
+
+
+def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n)
 
 
 @dataclass
 class Index:
-    """Examples as unit TF-IDF vectors, in postings by term."""
+    """Examples as unit TF-IDF vectors, in postings by term and block."""
 
     terms: dict[str, int]
-    idf: np.ndarray
+    weights: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     slope: float = 1.0
     offset: float = 0.0
-    bounds: np.ndarray = field(default=None)  # term by block: the largest weight
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default=None)  # of a term: where its blocks begin, examples, weights
+    row_of: np.ndarray = field(default=None)  # of a term: its dense row, or -1
+    dense: np.ndarray = field(default=None)
+    of_term: np.ndarray = field(default=None)  # where another term's entries begin
+    blocks: np.ndarray = field(default=None)  # of an entry: its block, largest weight and where its postings begin
+    tops: np.ndarray = field(default=None)
+    begins: np.ndarray = field(default=None)
+    who: np.ndarray = field(default=None)  # of a posting: the example and its weight
+    what: np.ndarray = field(default=None)
 
     def vector(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers in order and their weights, (1 + log tf) * idf, of length 1."""
-        tf: dict[int, int] = {}
-        for w in tokens:
-            if (t := self.terms.get(w)) is not None:
-                tf[t] = tf.get(t, 0) + 1
-        at = np.array(sorted(tf), np.int64)
-        v = (1 + np.log(np.array([tf[t] for t in at.tolist()], np.float64))) * self.idf[at] if len(at) else np.empty(0)
+        """Term numbers in order and their weights, (1 + log tf) times the term's, of length 1."""
+        known = self.terms
+        tf = {known[w]: n for w, n in Counter(tokens).items() if w in known}
+        at = np.fromiter(tf.keys(), np.int64, len(tf))
+        order = np.argsort(at)
+        at = at[order]
+        v = (1 + np.log(np.fromiter(tf.values(), np.float64, len(tf))[order])) * self.weights[at]
         return at, v / np.sqrt((v * v).sum()) if len(at) else v
 
     def build(self, rows: Sequence[str]) -> Index:
-        """Examples with the same label and like terms stand together, so that block bounds are tight."""
+        """Like examples stand together, so that block bounds are tight: by label, then by k-means cell of the vectors folded to 256 places."""
         vectors = [self.vector(words(r)) for r in rows]
-        heaviest = [int(at[np.argmax(v)]) if len(at) else -1 for at, v in vectors]
-        order = sorted(range(len(rows)), key=lambda i: (heaviest[i], self.labels[i], self.ids[i]))
-        self.ids, self.labels = self.ids[order], self.labels[order]
-        vectors = [vectors[i] for i in order]
-        blocks = max(1, -(-len(rows) // BLOCK))
-        self.bounds = np.zeros((len(self.terms), blocks))
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        folded = np.zeros((len(rows), 256))
         for i, (at, v) in enumerate(vectors):
-            np.maximum.at(self.bounds[:, i // BLOCK], at, v)
-            for t, x in zip(at.tolist(), v.tolist(), strict=True):
-                lists[t].append((i, x))
-        self.postings = []
-        for own in lists:
-            where, weight = np.array([i for i, _ in own], np.int64), np.array([x for _, x in own])
-            self.postings.append((np.searchsorted(where, np.arange(blocks + 1) * BLOCK), where, weight))
+            np.add.at(folded[i], at % 256, v)
+        cells = (folded @ centres(unit(folded), max(1, len(rows) // BLOCK)).T).argmax(axis=1) if len(rows) else np.empty(0, np.int64)
+        order = np.lexsort((self.ids, cells, self.labels))
+        self.ids, self.labels = self.ids[order], self.labels[order]
+        vectors = [vectors[i] for i in order.tolist()]
+        term = np.concatenate([np.empty(0, np.int64), *[at for at, _ in vectors]])
+        who = np.repeat(np.arange(len(vectors)), [len(at) for at, _ in vectors])
+        what = np.concatenate([np.empty(0), *[v for _, v in vectors]])
+        frequent = np.flatnonzero(np.bincount(term, minlength=len(self.terms)) * FREQUENT > len(rows))
+        self.row_of = np.full(len(self.terms), -1)
+        self.row_of[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), -(-len(rows) // BLOCK) * BLOCK))
+        own = self.row_of[term] >= 0
+        self.dense[self.row_of[term[own]], who[own]] = what[own]
+        order = np.lexsort((who[~own], term[~own]))
+        term, self.who, self.what = term[~own][order], who[~own][order], what[~own][order]
+        key = term * (len(rows) // BLOCK + 1) + self.who // BLOCK
+        self.begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        self.tops = np.maximum.reduceat(self.what, self.begins) if len(key) else np.empty(0)
+        self.blocks = self.who[self.begins] // BLOCK
+        self.of_term = np.searchsorted(term[self.begins], np.arange(len(self.terms) + 1))
+        self.begins = np.append(self.begins, len(key))
         return self
 
-    def nearest(self, at: np.ndarray, v: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above 0 (ties: the first in the index) and their cosines; skip is left out."""
-        bound = v @ self.bounds[at]
-        order = np.argsort(-bound, kind="stable")
-        who, near = np.empty(0, np.int64), np.empty(0)
-        for b in order.tolist():
-            if bound[b] <= 0 or len(near) == k and bound[b] < near[-1] - 1e-12:
-                break
-            sims = np.zeros(BLOCK)
-            for t, x in zip(at.tolist(), v.tolist(), strict=True):
-                cuts, where, weight = self.postings[t]
-                s, e = cuts[b], cuts[b + 1]
-                if s < e:
-                    sims[where[s:e] - b * BLOCK] += x * weight[s:e]
-            hit = np.flatnonzero(sims > 0)
-            who, near = np.concatenate([who, hit + b * BLOCK]), np.concatenate([near, sims[hit]])
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skip: Sequence[int] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples of the largest cosine above 0 (ties: the smallest id) and their cosines; its example of skip is left out."""
+        n = self.dense.shape[1]
+        for first in range(0, len(vectors), BATCH):
+            some = vectors[first : first + BATCH]
+            known = np.zeros((len(some), len(self.dense)))
+            for i, (at, v) in enumerate(some):
+                rows = self.row_of[at]
+                known[i, rows[rows >= 0]] = v[rows >= 0]
+            base = known @ self.dense
+            tops = base.reshape(len(some), n // BLOCK, BLOCK).max(axis=2) if n else base
+            for i, (at, v) in enumerate(some):
+                rare = self.row_of[at] < 0
+                yield self._nearest(at[rare], v[rare], base[i], tops[i], k, skip[first + i] if len(skip) else -1)
+
+    def _nearest(self, at: np.ndarray, v: np.ndarray, base: np.ndarray, tops: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends = self.of_term[at], self.of_term[at + 1]
+        entries = _spread(starts, ends)
+        x = np.repeat(v, ends - starts)
+        block = self.blocks[entries]
+        bound = tops + np.bincount(block, x * self.tops[entries], len(tops))
+        sims = np.zeros(len(base))
+
+        def add(chosen: np.ndarray) -> float:
+            own = chosen[block]
+            s, e = self.begins[entries[own]], self.begins[entries[own] + 1]
+            p = _spread(s, e)
+            found = np.bincount(self.who[p], np.repeat(x[own], e - s) * self.what[p], len(base)) + base
+            by_block = sims.reshape(-1, BLOCK)
+            by_block[chosen] = found.reshape(-1, BLOCK)[chosen]
             if skip >= 0:
-                near, who = near[who != skip], who[who != skip]
-            best = np.lexsort((who, -near))[:k]
-            who, near = who[best], near[best]
-        return who, near
+                sims[skip] = 0
+            return float(np.partition(sims, -k)[-k]) if len(sims) >= k else 0.0
+
+        first = np.zeros(len(tops), bool)
+        first[np.argpartition(-bound, FIRST)[:FIRST] if len(bound) > FIRST else slice(None)] = True
+        last = add(first)
+        last = add(~first & (bound > 0) & (bound >= last - 1e-9))
+        found = np.flatnonzero((sims > 1e-12) & (sims >= last - 1e-12))
+        near = np.round(sims[found], 12)
+        order = np.lexsort((self.ids[found], -near))[:k]
+        return found[order], near[order]
 
     def margin(self, who: np.ndarray, near: np.ndarray) -> float:
         """Votes by the square of the cosine: from -1 to 1, and 0 without a neighbour."""
         if not len(who):
             return 0.0
         w = near * near
-        return float((w * (2 * self.labels[who] - 1)).sum() / w.sum() * near.max())
-
-    def calibrate(self) -> Index:
-        """The logistic curve through each example's margin among the others."""
-        at: list[list[int]] = [[] for _ in self.ids]
-        weights: list[list[float]] = [[] for _ in self.ids]
-        for t, (_, where, weight) in enumerate(self.postings):
-            for i, x in zip(where.tolist(), weight.tolist(), strict=True):
-                at[i].append(t)
-                weights[i].append(x)
-        margins = np.array([self.margin(*self.nearest(np.array(a, np.int64), np.array(w), skip=i)) if a else 0.0 for i, (a, w) in enumerate(zip(at, weights, strict=True))])
+        return float((w * (2 * self.labels[who] - 1)).sum() / w.sum())
+
+    def calibrate(self, rows: Sequence[str]) -> Index:
+        """The logistic curve through each example's margin among the others; rows: the examples' texts by id."""
+        place = {int(i): k for k, i in enumerate(self.ids)}
+        margins = np.zeros(len(self.ids))
+        vectors = [self.vector(words(text)) for _, text in rows]
+        own = [place[i] for i, _ in rows]
+        for i, found in zip(own, self.nearest(vectors, skip=own), strict=True):
+            margins[i] = self.margin(*found)
         if 0 < self.labels.sum() < len(self.labels):
             self.slope, self.offset = _platt(margins, np.where(self.labels > 0, 1.0, -1.0))
         else:
             self.slope, self.offset = 0.0, (30.0 if len(self.labels) and self.labels[0] else -30.0 if len(self.labels) else 0.0)
         return self
 
-    def score(self, text: str) -> tuple[float, list[int], list[float]]:
-        at, v = self.vector(words(text))
-        who, near = self.nearest(at, v) if len(at) else (np.empty(0, np.int64), np.empty(0))
-        return float(_sigmoid(np.array(self.slope * self.margin(who, near) + self.offset))), self.ids[who].tolist(), near.tolist()
+    def score(self, texts: Sequence[str]) -> list[tuple[float, list[int], list[float]]]:
+        found = self.nearest([self.vector(words(t)) for t in texts])
+        return [(float(_sigmoid(np.array(self.slope * self.margin(who, near) + self.offset))), self.ids[who].tolist(), near.tolist()) for who, near in found]
 
 
 def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> tuple[int, np.ndarray]:
@@ -166,11 +195,11 @@ def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text")
         for batch in batches:
             n += len(batch)
             for t in batch["text"]:
-                found[[known[w] for w in known.keys() & set(words(t))]] += 1
+                found[[known[w] for w in set(words(t)) if w in known]] += 1
         at = np.flatnonzero(found)
         yield pd.DataFrame({"term": np.append(at, -1), "n": np.append(found[at], n)})
 
-    # as many rows as terms
+    # as many rows as terms, which the bytes of the sample bound
     sums = docs.select(text_of(text).alias("text")).mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(terms), np.int64)
     known = sums[sums["term"] >= 0]
@@ -178,25 +207,23 @@ def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text")
     return int(sums.loc[sums["term"] < 0, "n"].sum()), out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", max_examples: int = MAX_EXAMPLES) -> Index:
-    """An index over max_examples labelled rows at most (labels: rows that may be learnt from; a null label or id is none)."""
-    chosen = (
-        labels.select(F.col(doc_id).alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y is not null").dropDuplicates(["key"]).orderBy(F.xxhash64("key"), "key").limit(max_examples)
-    )
-
-    # rows that repeat an id are one example; the sample is bounded, and so is what reaches the driver
-    found = docs.select(F.col(doc_id).alias("key"), text_of(text).alias("text")).join(F.broadcast(chosen), "key").toPandas().drop_duplicates("key").sort_values("key")
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", max_examples: int = MAX_EXAMPLES, max_bytes: int = MAX_BYTES) -> Index:
+    """An index over labelled rows, max_examples and max_bytes of text at most (labels: rows that may be learnt from; see common.labelled)."""
+    found = labelled(docs, labels, label, doc_id, text, max_examples, max_bytes).select("key", "y", "text").toPandas().sort_values("key")
     rows, y = found["text"].tolist(), (found["y"].to_numpy(np.int64) > 0).astype(np.int64)
-    terms = select_terms(rows, y)
-    n, df = document_frequencies(docs, terms, text)
-    index = Index({w: i for i, w in enumerate(terms)}, np.log((n + 1) / (df + 1)) + 1, found["key"].to_numpy(np.int64), y)
-    return index.build(rows).calibrate()
+    tokens = [set(words(r)) for r in rows]
+    terms = {w: i for i, w in enumerate(sorted(set().union(*tokens)))}
+    n, df = document_frequencies(docs, list(terms), text)
+    sets = [np.sort(np.fromiter((terms[w] for w in t), np.int64, len(t))) for t in tokens]
+    weights = (np.log((n + 1) / (df + 1)) + 1) * label_weights(sets, y, len(terms))
+    ids = found["key"].to_numpy(np.int64)
+    return Index(terms, weights, ids, y).build(rows).calibrate(list(zip(ids.tolist(), rows, strict=True)))
 
 
 def score(docs: DataFrame, index: Index, text: str = "text", out: str = "toxicity") -> DataFrame:
     """docs with a struct `out` of each whole text: score from 0 to 1, its nearest examples' ids and their cosines.
 
-    A text without any of the index's terms (a null or empty one too) has no neighbours and
+    A text without any word of the examples (a null or empty one too) has no neighbours and
     scores what that means in the sample. Rows are independent; an empty table gives an
     empty one; a column `out` that is there already is replaced.
     """
@@ -205,6 +232,6 @@ def score(docs: DataFrame, index: Index, text: str = "text", out: str = "toxicit
     @F.pandas_udf("score double, examples array<long>, cosines array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([shared.value.score(t) for t in batch], columns=["score", "examples", "cosines"])
+            yield pd.DataFrame(shared.value.score(batch.tolist()), columns=["score", "examples", "cosines"])
 
     return docs.withColumn(out, run(text_of(text)))

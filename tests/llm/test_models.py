@@ -10,7 +10,10 @@ import numpy as np
 import pyarrow.dataset as ds
 import pytest
 
+from pyspark.sql import functions as F
+
 from loadscope.llm import html_extract, quality, toxicity
+from loadscope.llm.common import labelled
 from loadscope.llm.queries import op5_quality, op8_html, op9_toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -68,17 +71,60 @@ def test_nearest_is_exact():
     texts = [" ".join(rnd.choices([f"w{c}" for c in "abcdefghijklmnopqrst"], k=rnd.randint(0, 12))) for _ in range(400)]
     terms = sorted({w for t in texts for w in toxicity.words(t)})
     index = toxicity.Index({w: i for i, w in enumerate(terms)}, np.linspace(1, 3, len(terms)), np.arange(400), np.arange(400) % 2).build(texts)
-    dense = np.zeros((400, len(terms)))
-    for t, (_, where, weight) in enumerate(index.postings):
-        dense[where, t] = weight
-    for text in texts[:120]:
-        at, v = index.vector(toxicity.words(text))
-        if not len(at):
-            continue
-        sims = dense[:, at] @ v
-        order = np.lexsort((np.arange(400), -np.round(sims, 12)))[: toxicity.NEIGHBOURS]
-        who, near = index.nearest(at, v)
-        assert np.allclose(near, sims[order][: len(near)]) and len(near) == min(toxicity.NEIGHBOURS, (sims > 0).sum())
+    vectors = [index.vector(toxicity.words(t)) for t in texts]
+    sims = dense_rows(vectors, len(terms)) @ dense_rows(vectors, len(terms))[index.ids].T
+    for row, (who, near) in zip(sims, index.nearest(vectors), strict=True):
+        order = np.lexsort((index.ids, -np.round(row, 12)))[: toxicity.NEIGHBOURS]
+        assert len(near) == min(toxicity.NEIGHBOURS, (row > 1e-12).sum())
+        assert who.tolist() == order[: len(near)].tolist() and np.allclose(near, row[who])
+
+
+def dense_rows(vectors, n):
+    out = np.zeros((len(vectors), n))
+    for i, (at, v) in enumerate(vectors):
+        out[i, at] = v
+    return out
+
+
+def test_toxicity_query_is_exact(spark):
+    """The whole query against dense vectors over every word of every example: no term is left out."""
+    docs = {r["doc_id"]: r["text"] for r in ds.dataset(f"{SF}/documents.parquet").to_table().to_pylist()}
+    labels = {r["doc_id"]: r["toxic"] for r in ds.dataset(f"{SF}/labels.parquet").to_table().to_pylist() if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["doc_id"] in docs}
+    got = {r["doc_id"]: r for r in op9_toxicity(spark, SF).collect()}
+    ids = sorted(labels)
+    vocabulary = sorted({w for i in ids for w in re.findall(r"[^\W\d_]+", docs[i].lower())})
+    place = {w: k for k, w in enumerate(vocabulary)}
+
+    def counted(texts):
+        out = np.zeros((len(texts), len(place)))
+        for row, t in zip(out, texts, strict=True):
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                if w in place:
+                    row[place[w]] += 1
+        return out
+
+    everything = counted(list(docs.values()))
+    idf = np.log((len(docs) + 1) / ((everything > 0).sum(axis=0) + 1)) + 1
+    examples, y = counted([docs[i] for i in ids]), np.array([labels[i] for i in ids])
+    one = {(x.tobytes(), int(k)): x for x, k in zip(examples > 0, y, strict=True)}
+    a, b = (sum((x for (_, k), x in one.items() if k == label), np.zeros(len(place))) + 0.5 for label in (1, 0))
+    up, down = (sum(k == label for _, k in one) + 1 for label in (1, 0))
+    z = np.abs(np.log(a / up) - np.log(b / down)) / np.sqrt(1 / a + 1 / b)
+    weight = idf * (toxicity.FLOOR + (1 - toxicity.FLOOR) * np.clip((z - toxicity.FROM) / toxicity.OVER, 0, 1))
+    unit = lambda c: (v := np.where(c > 0, (1 + np.log(np.maximum(c, 1))) * weight, 0)) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    sims = unit(everything) @ unit(examples).T
+    margins = {}
+    for i, row in zip(docs, sims, strict=True):
+        order = np.lexsort((ids, -np.round(row, 10)))[: toxicity.NEIGHBOURS]
+        order = order[row[order] > 1e-9]
+        found = got[i]["examples"]
+        assert len(found) == len(order) and np.allclose([row[ids.index(k)] for k in found], row[order], atol=1e-9)
+        w = np.array([row[ids.index(k)] ** 2 for k in found])
+        margins[i] = (w * (2 * y[[ids.index(k) for k in found]] - 1)).sum() / w.sum() if len(w) else 0.0
+    # a calibrated score grows with the votes
+    order = sorted(docs, key=margins.get)
+    scores = [got[i]["score"] for i in order]
+    assert all(p <= q + 1e-6 for p, q in zip(scores, scores[1:], strict=False)) and scores[-1] > scores[0]
 
 
 def test_classifier_edges(spark, odd, empty):
@@ -87,7 +133,12 @@ def test_classifier_edges(spark, odd, empty):
     assert quality.score(odd, model).where("score between 0 and 1").count() == 8 and quality.score(empty, model).count() == 0
     index = toxicity.fit(odd, labels)
     assert toxicity.score(odd, index).where("toxicity.score between 0 and 1").count() == 8
-    assert quality.fit(empty, labels).score(np.zeros(1))[0] == 0.5 and toxicity.fit(empty, labels).score("x")[0] == 0.5
+    twice = labels.unionByName(spark.createDataFrame([(1, 0, 1)], labels.schema))
+    again = odd.unionByName(odd.where("doc_id = 4").withColumn("text", F.lit("zz zz")))
+    assert [r["key"] for r in labelled(odd, twice, "toxic", "doc_id", "text", 9, 1 << 20).collect()] == [4]
+    assert [r["text"] for r in labelled(again, twice, "toxic", "doc_id", "text", 9, 1 << 30).collect()] == [again.where("doc_id = 4").agg(F.min("text")).first()[0]]
+    assert labelled(odd, labels, "toxic", "doc_id", "text", 9, 3).count() == 0 and labelled(odd, labels, "toxic", "doc_id", "text", 0, 99).count() == 0
+    assert quality.fit(empty, labels).score(np.zeros(1))[0] == 0.5 and toxicity.fit(empty, labels).score(["x"])[0][0] == 0.5
 
 
 def test_pages(spark):
