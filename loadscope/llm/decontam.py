@@ -1,10 +1,13 @@
 """Benchmark passages in documents, also with other numbers, names or units put in.
 
-Every word becomes a canonical token: a number, name or unit its typed placeholder, any
-other word itself in lower case. Windows of canonical tokens are hashed and joined, the
-windows themselves compared, and matches gathered by document, item and alignment. An
-alignment counts if its slots are consistent: each value of the item's slots stands for
-one value in the document and the other way round. All of it is DataFrame functions.
+Two readings of a text are compared. In the typed one a number, a unit or a capitalised word
+(or a run of numbers or of capitalised words without punctuation between) becomes its typed
+placeholder, and any other word itself in lower case; a token depends on nothing outside its
+own run. In the plain one each word stands as it is. Windows of tokens are hashed and joined
+to the benchmark's, the windows themselves compared, and matches gathered by document, item
+and alignment. A typed alignment counts if its slots are consistent: each value of the item's
+slots stands for one value in the document and the other way round. All of it is DataFrame
+functions.
 """
 
 from __future__ import annotations
@@ -17,26 +20,47 @@ from loadscope.llm.common import text_of
 WINDOW = 8
 #: Tokens of an alignment that make a leak, or all of a shorter item.
 LEAK = 13
-#: Words of their own, not placeholders, that a window needs.
+#: Words of their own, not placeholders, that a typed window needs.
 LITERALS = 4
-#: Windows of the benchmark up to which they are broadcast; more are joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Different windows of the benchmark up to which their hashes (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_HASHES = 2_000_000
 
 # Measures that count as units.
 UNITS = (
-    "mm cm m km in ft yd mi g kg mg lb lbs oz t l ml gal s sec secs min mins h hr hrs ms kb mb gb tb hz khz mhz ghz w kw v a c f k pct percent "
-    "second seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres inch inches foot feet mile miles "
+    "mm cm m km ft yd mi g kg mg lb lbs oz t l ml gal s sec secs min mins h hr hrs ms kb mb gb tb hz khz mhz ghz w kw v c f k pct percent "
+    "seconds minute minutes hour hours day days week weeks month months year years meter meters metre metres inch inches foot feet mile miles "
     "gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres dollar dollars cent cents euro euros degree degrees"
 ).split()
-SPACE = "[ \t\n\x0b\f\r]+"
-EDGES = ".,;:!?()[]{}<>\"'`*#|~_=-"
-STOPS = ".!?:"
+SPACE = r" \t\n\x0B\f\r"
+EDGES = r".,;:!?()\[\]{}<>\"'`*#|~_=\-"
+CURRENCY = "$€£¥+"
+REST = f"(?:[^{SPACE}]*[^{SPACE}{EDGES}])?"
+#: A word from its first to its last character that is no edge.
+WORD = f"[^{SPACE}{EDGES}]{REST}"
+NUMBER, NAME = rf"[{CURRENCY}]*[0-9]{REST}", rf"\p{{Lu}}{REST}"
+PLACEHOLDERS = ("<number>", "<unit>", "<name>")
 
 
-PLACEHOLDERS = ("<number>", "<unit>", "<name>")
+def _typed_pattern(possessive: str) -> str:
+    """Runs of numbers, runs of capitalised words, other words. Possessive loops don't recurse in Java; in RE2, which has none, they match the same."""
+    run = lambda w: f"{w}(?:[{SPACE}]+{w})*{possessive}"
+    return f"{run(NUMBER)}|{run(NAME)}|{WORD}"
+
+
+def _kind(token: Column) -> Column:
+    """A typed token as it is compared."""
+    first, low = F.substring(token, 1, 1), F.lower(token)
+    number = first.between("0", "9") | first.isin(*CURRENCY) & F.substring(F.ltrim(token, F.lit(CURRENCY)), 1, 1).between("0", "9")
+    return F.when(number, PLACEHOLDERS[0]).when(low.isin(UNITS), PLACEHOLDERS[1]).when(first != F.lower(first), PLACEHOLDERS[2]).otherwise(low)
 
 
-def _held(df: DataFrame, *columns: str, **new: Column) -> DataFrame:
+def _rows(df: DataFrame, name: str, id_: str, text: str) -> DataFrame:
+    """(name, key, text): the id, null or not, and a key of id and text together."""
+    rows = df.select(F.col(id_).alias(name), text_of(text).alias("text"))
+    return rows.select(name, "text", F.sha2(F.to_json(F.struct(name, "text")), 256).alias("key"))
+
+
+def _held(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     """df with new columns worked out once a row, behind a generator of one row.
 
     Without it the optimizer puts a column's expression into the lambda functions that read
@@ -46,136 +70,132 @@ def _held(df: DataFrame, *columns: str, **new: Column) -> DataFrame:
     return made.select(*columns, "held.*")
 
 
-def _canonical(df: DataFrame, key: str) -> DataFrame:
-    """(key, names, low, bare) of rows (key, text): each word's canonical token, and the word itself without edges, in lower case and as it stands.
+def _tokens(rows: DataFrame, columns: list[str], typed: bool) -> DataFrame:
+    """rows with the array `tokens` of one reading in place of the text."""
+    return _held(rows, columns, tokens=F.regexp_extract_all("text", F.lit(_typed_pattern("+") if typed else WORD), F.lit(0)))
 
-    The text is put in lower case as a whole; per word there is one trim and a few comparisons.
-    """
-    rows = _held(df, key, raw=F.filter(F.split("text", SPACE), lambda w: w != ""))
-    rows = _held(rows, key, "raw", bare=F.transform("raw", lambda w: F.btrim(w, F.lit(EDGES))))
-    low = F.when(F.size("raw") > 0, F.split(F.lower(F.array_join("bare", " ")), " ")).otherwise(F.array().cast("array<string>"))
-    rows = _held(rows, key, "raw", "bare", low=low)
 
-    def token(low: Column, i: Column) -> Column:
-        bare, before = F.get("bare", i), F.get("raw", i - 1)
-        first = F.substring(low, 1, 1)
-        name = (i > 0) & (F.substring(bare, 1, 1) != first) & (bare != F.upper(bare)) & ~F.contains(F.lit(STOPS), F.substring(before, -1, 1))
-        return F.when(first.between("0", "9"), PLACEHOLDERS[0]).when(low.isin(UNITS), PLACEHOLDERS[1]).when(name, PLACEHOLDERS[2]).otherwise(low)
+def _places(read: DataFrame, sizes: list[int], typed: bool) -> DataFrame:
+    """read's rows with `places`: (at, size, hash) of each window of each size. No row holds more than its own text's."""
+    columns = read.columns
+    hashed = _held(read, columns, hashes=F.transform("tokens", lambda t: F.xxhash64(_kind(t) if typed else t)))
+
+    def windows(n: int) -> Column:
+        last = F.size("hashes") - n
+        one = lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.xxhash64(F.lit(n), *[F.get("hashes", i + k) for k in range(n)]).alias("hash"))
+        return F.transform(F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>")), one)
 
-    return _held(rows, key, "low", "bare", names=F.transform("low", token))
+    return hashed.select(*columns, F.concat(*[windows(n) for n in sizes]).alias("places"))
 
 
-def _windows(df: DataFrame, key: str, size: int, of: str = "names") -> DataFrame:
-    """(key, at, hash, names, low, bare): each window of a row's tokens `of`; names, low and bare are the whole arrays."""
-    count = F.size(of) - size + 1
-    hashes = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col(of), i, size))))
-    return df.select(key, "names", "low", "bare", F.posexplode(hashes).alias("at", "hash"))
+def _cut(read: DataFrame, columns: list[str], typed: bool) -> DataFrame:
+    """A row for each place: at, size, hash, its tokens `own` as they are compared and `low` in lower case."""
+    own = lambda p: F.slice("tokens", p["at"] + 1, p["size"])
+    one = lambda p: F.struct(p["at"].alias("at"), p["size"].alias("size"), p["hash"].alias("hash"), (F.transform(own(p), _kind) if typed else own(p)).alias("own"), F.transform(own(p), F.lower).alias("low"))
+    return read.select(*columns, F.explode(F.transform("places", one)).alias("w")).select(*columns, "w.*")
 
 
-def _verbatim(rows: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_tokens, same) of passages whose words stand in a document as in the item, placeholders or not.
+def _matches(docs: DataFrame, items: DataFrame, typed: bool) -> DataFrame:
+    """(doc_id, doc_key, item_id, item_key, shift, at, size, least, own, low, item_low): windows of a reading that documents share with items.
 
-    A word's canonical token may depend on the word before it, which a passage doesn't bring
-    along; here words are compared themselves, with their case, and any window counts.
+    Hashes alone are joined first; the documents with a match are read again for the tokens.
     """
-    found = None
-    for size in sizes:
-        cut = lambda at: F.slice("bare", F.col(at) + 1, size)  # noqa: B023, E731
-        some = items if size == WINDOW else items.where(F.size("bare") == size)
-        windows = _windows(some, "item_id", size, "bare").select("item_id", "at", "hash", cut("at").alias("own"), F.size("bare").alias("item_tokens"))
-        if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-            windows = F.broadcast(windows)
-        hits = _windows(rows, "doc_id", size, "bare").withColumnRenamed("at", "place").join(windows, "hash").where(cut("place") == F.col("own"))
-        hits = hits.select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", F.least("item_tokens", F.lit(LEAK)).alias("least"), F.lit(size).alias("size"))
-        found = hits if found is None else found.unionByName(hits)
-    lined = found.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("ats"), F.max("least").alias("least"), F.max("size").alias("size"))
-    covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1))))
-    lined = lined.withColumn("n_windows", F.size("ats").cast("long")).withColumn("n_tokens", F.size(covered).cast("long")).where(F.col("n_tokens") >= F.col("least"))
-    return lined.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_tokens").alias("n_tokens"), F.lit(True).alias("same"))
+    known = _tokens(items, ["item_id", "key"], typed).withColumn("n", F.size("tokens"))
+    short = [r[0] for r in known.select("n").where(F.col("n").between(1, WINDOW - 1)).distinct().collect()]  # fewer than WINDOW rows
+    sizes = [WINDOW, *sorted(short)]
+    windows = _cut(_places(known, sizes, typed), ["item_id", "key", "n"], typed).where((F.col("size") == WINDOW) | (F.col("n") == F.col("size")))
+    windows = windows.select("item_id", F.col("key").alias("item_key"), "hash", F.col("at").alias("item_at"), F.least("n", F.lit(LEAK)).alias("least"), F.col("own").alias("item_own"), F.col("low").alias("item_low"))
+    if typed:
+        windows = windows.where(F.size(F.filter("item_own", lambda t: ~t.isin(*PLACEHOLDERS))) >= F.least(F.lit(LITERALS), F.size("item_own")))
+    wanted = windows.select("hash").distinct()
+    if wanted.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
+        wanted = F.broadcast(wanted)
+    places = _places(_tokens(docs, ["key"], typed), sizes, typed).select("key", F.explode("places").alias("p")).select("key", "p.*")
+    places = places.join(wanted, "hash", "left_semi").groupBy("key").agg(F.collect_set(F.struct("at", "size", "hash")).alias("places"))
+    read = _tokens(docs.join(places, "key"), ["doc_id", "key", "places"], typed)
+    both = _cut(read, ["doc_id", "key"], typed).join(windows, "hash").where(F.col("own") == F.col("item_own"))
+    return both.select("doc_id", F.col("key").alias("doc_key"), "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift"), F.col("item_at").alias("at"), "size", "least", "own", "low", "item_low")
+
+
+def _lined(matches: DataFrame, *more: Column) -> DataFrame:
+    """Alignments with `n`, the item's tokens that they cover; those that cover too few go. An alignment has no more windows than its item."""
+    lined = matches.groupBy("doc_id", "doc_key", "item_id", "item_key", "shift").agg(F.collect_set(F.struct("at", "size")).alias("ats"), F.max("least").alias("least"), *more)
+    covered = F.array_distinct(F.flatten(F.transform("ats", lambda w: F.sequence(w["at"], w["at"] + w["size"] - 1))))
+    return lined.withColumn("n", F.size(covered).cast("long")).where(F.col("n") >= F.col("least"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each document and item of which it holds a passage: doc_id, item_id, n_windows, n_tokens, same.
-
-    n_windows and n_tokens are those of the best consistent alignment, same whether some
-    such alignment has the item's own slot values. An item of fewer words than a window is
-    looked for as a whole; one with fewer than LITERALS words of its own only word by word. Null texts
-    are empty, rows with a null id are left out, repeated ids are one document or item;
-    other columns are ignored; empty tables give an empty result.
+    """One row for each document and item of which it holds a passage: doc_id, item_id, n_tokens, n_words, same.
+
+    n_tokens is the length of the best consistent typed alignment and n_words that of the best
+    word-by-word one (0 without), same whether some alignment has the item's own slot values.
+    An item of fewer tokens than a window is looked for as a whole; one with fewer than
+    LITERALS words of its own only word by word. Null texts are empty; ids may be null and
+    are returned so; rows that repeat an id give one row, with the best of their texts; other
+    columns are ignored; empty tables give an empty result.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), text_of(item_text).alias("text")).where("item_id is not null").distinct()
-    items = _canonical(items, "item_id")
-    short = [r[0] for r in items.select(F.size("names").alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct().collect()]  # fewer than WINDOW rows
-    rows = _canonical(docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).where("doc_id is not null"), "doc_id")
-    found = None
-    for size in [WINDOW, *sorted(short)]:
-        cut = lambda c, at: F.slice(c, F.col(at) + 1, size)  # noqa: B023, E731
-        some = items if size == WINDOW else items.where(F.size("names") == size)
-        windows = _windows(some, "item_id", size).select("item_id", "at", "hash", cut("names", "at").alias("own"), cut("low", "at").alias("values"), F.size("names").alias("item_tokens"))
-        windows = windows.where(F.size(F.filter("own", lambda t: ~t.isin(*PLACEHOLDERS))) >= min(LITERALS, size))
-        if windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-            windows = F.broadcast(windows)
-        hits = _windows(rows, "doc_id", size).withColumnRenamed("at", "place").join(windows, "hash").where(cut("names", "place") == F.col("own"))
-        slots = F.arrays_zip(F.col("own").alias("kind"), F.col("values").alias("own"), cut("low", "place").alias("theirs"))
-        hits = hits.select(
-            "doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", F.least("item_tokens", F.lit(LEAK)).alias("least"), F.lit(size).alias("size"),
-            F.filter(slots, lambda s: s["kind"].isin(*PLACEHOLDERS)).alias("slots"),
-        )
-        found = hits if found is None else found.unionByName(hits)
-    # an alignment has no more windows than its item
-    lined = found.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("at").alias("ats"), F.max("least").alias("least"), F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
-    )
+    return _leaks(docs, benchmark, doc_id, text, item_id, item_text).groupBy("doc_id", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.max("n_words").alias("n_words"), F.max("same").alias("same"))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    items = _rows(benchmark, "item_id", item_id, item_text).distinct()
+    rows = _rows(docs, "doc_id", doc_id, text)
+    slots = F.filter(F.arrays_zip(F.col("own").alias("kind"), F.col("low").alias("theirs"), F.col("item_low").alias("own")), lambda s: s["kind"].isin(*PLACEHOLDERS))
+    lined = _lined(_matches(rows, items, True).withColumn("slots", slots), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     distinct = lambda *fields: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], *[s[f] for f in fields]))))
-    lined = lined.withColumn("n_windows", F.size("ats").cast("long")).withColumn(
-        "n_tokens", F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1))))).cast("long")
-    )
-    lined = lined.where((distinct("own", "theirs") == distinct("own")) & (distinct("own", "theirs") == distinct("theirs")) & (F.col("n_tokens") >= F.col("least")))
-    lined = lined.withColumn("same", ~F.exists("slots", lambda s: s["own"] != s["theirs"]))
-    typed = lined.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_tokens").alias("n_tokens"), F.max("same").alias("same"))
-    both = typed.withColumn("verbatim", F.lit(False)).unionByName(_verbatim(rows, items, [WINDOW, *sorted(short)]).withColumn("verbatim", F.lit(True)))
-    best = both.groupBy("doc_id", "item_id").agg(F.min(F.struct("verbatim", "n_windows", "n_tokens", "same")).alias("best"))
-    return best.select("doc_id", "item_id", "best.n_windows", "best.n_tokens", "best.same")
+    lined = lined.where((distinct("own", "theirs") == distinct("own")) & (distinct("own", "theirs") == distinct("theirs")))
+    none = F.lit(0).cast("long")
+    typed = lined.select("doc_id", "doc_key", "item_id", F.col("n").alias("n_tokens"), none.alias("n_words"), (~F.exists("slots", lambda s: s["own"] != s["theirs"])).alias("same"))
+    plain = _lined(_matches(rows, items, False)).select("doc_id", "doc_key", "item_id", none.alias("n_tokens"), F.col("n").alias("n_words"), F.lit(True).alias("same"))
+    return typed.unionByName(plain)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark passage; rows with a null id stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without those that hold a benchmark passage.
+
+    Each row is judged by its own text: rows with a null or repeated id stay or go by
+    themselves, repeated rows together. Empty tables give empty results or leave docs as
+    they are; other columns stay.
+    """
+    leaked = _leaks(docs, benchmark).select(F.col("doc_key").alias("_key")).distinct()
+    key = F.sha2(F.to_json(F.struct("doc_id", text_of("text").alias("text"))), 256)
+    return docs.withColumn("_key", key).join(leaked, "_key", "left_anti").select(*docs.columns)
 
 
 def leaks_sql() -> str:
-    """DuckDB SQL for leaks() over the tables documents and benchmark, its windows compared as strings."""
+    """DuckDB SQL for leaks() over the tables documents and benchmark, its windows compared as lists."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
     units = ", ".join(f"'{u}'" for u in UNITS)
-    edges = EDGES.replace("'", "''")
+    kind = f"""CASE WHEN substr(t, 1, 1) BETWEEN '0' AND '9' OR contains('{CURRENCY}', substr(t, 1, 1)) AND substr(ltrim(t, '{CURRENCY}'), 1, 1) BETWEEN '0' AND '9' THEN '<number>'
+        WHEN lower(t) IN ({units}) THEN '<unit>' WHEN substr(t, 1, 1) <> lower(substr(t, 1, 1)) THEN '<name>' ELSE lower(t) END"""
 
-    def tokens(table: str, key: str) -> str:
-        bare = f"trim(w, '{edges}')"
-        return f"""
-        SELECT {key}, list_transform(raw, lambda w, i: CASE
-            WHEN substr({bare}, 1, 1) BETWEEN '0' AND '9' THEN '<number>'
-            WHEN lower({bare}) IN ({units}) THEN '<unit>'
-            WHEN i > 1 AND substr({bare}, 1, 1) <> lower(substr({bare}, 1, 1)) AND {bare} <> upper({bare})
-                 AND right(raw[i - 1], 1) NOT IN ('.', '!', '?', ':') THEN '<name>'
-            ELSE lower({bare}) END) AS names, list_transform(raw, lambda w: lower({bare})) AS low
-        FROM (SELECT {key}, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') AS raw FROM {table} WHERE {key} IS NOT NULL)"""
+    def read(table: str, key: str, typed: bool) -> str:
+        own = f"list_transform(tokens, lambda t: {kind})" if typed else "tokens"
+        return f"""SELECT {key}, text, {own} AS own, list_transform(tokens, lambda t: lower(t)) AS low
+            FROM (SELECT {key}, text, regexp_extract_all(text, {q(_typed_pattern("") if typed else WORD)}) AS tokens FROM (SELECT DISTINCT {key}, coalesce(text, '') AS text FROM {table}))"""
 
+    def reading(p: str, typed: bool) -> str:
+        literals = f"WHERE len(list_filter(own, lambda x: x NOT IN ('<number>', '<unit>', '<name>'))) >= least({LITERALS}, size)" if typed else ""
+        return f"""
+    {p}i AS ({read("benchmark", "item_id", typed)}),
+    {p}d AS ({read("documents", "doc_id", typed)}),
+    {p}s AS (SELECT {WINDOW} AS size UNION SELECT len(own) FROM {p}i WHERE len(own) BETWEEN 1 AND {WINDOW - 1}),
+    {p}w AS (SELECT * FROM (SELECT item_id, text, low, len(own) AS n, size, pos, own[pos:pos + size - 1] AS own
+           FROM (SELECT *, unnest(range(1, len(own) - size + 2)) AS pos FROM {p}i, {p}s WHERE size = {WINDOW} OR len(own) = size)) {literals}),
+    {p}g AS (SELECT doc_id, text, low, size, place, own[place:place + size - 1] AS own FROM (SELECT *, unnest(range(1, len(own) - size + 2)) AS place FROM {p}d, {p}s)),
+    {p}h AS (SELECT g.doc_id, g.text AS doc, w.item_id, w.text AS item, place - pos AS shift, pos, w.size, least(n, {LEAK}) AS least, w.low AS own_low, g.low AS their_low, w.own
+             FROM {p}g g JOIN {p}w w ON g.own = w.own AND g.size = w.size),
+    {p}p AS (SELECT DISTINCT doc_id, doc, item_id, item, shift, least, pos + k AS p, own[k + 1] AS kind, own_low[pos + k] AS a, their_low[pos + k + shift] AS b
+             FROM (SELECT *, unnest(range(0, size)) AS k FROM {p}h)),
+    {p}l AS (SELECT doc_id, doc, item_id, item, shift, count(DISTINCT p) AS n FROM {p}p GROUP BY ALL HAVING count(DISTINCT p) >= max(least))"""
+
+    join = "d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.doc = l.doc AND d.item_id IS NOT DISTINCT FROM l.item_id AND d.item = l.item AND d.shift = l.shift"
     return f"""
-    WITH i AS (SELECT DISTINCT * FROM ({tokens("benchmark", "item_id")})),
-    sizes AS (SELECT {WINDOW} AS size UNION SELECT len(names) FROM i WHERE len(names) BETWEEN 1 AND {WINDOW - 1}),
-    iw AS (SELECT item_id, names, low, size, pos, names[pos:pos + size - 1] AS own
-           FROM (SELECT item_id, names, low, size, unnest(range(1, len(names) - size + 2)) AS pos FROM i, sizes WHERE size = {WINDOW} OR len(names) = size)),
-    ok AS (SELECT * FROM iw WHERE len(list_filter(own, lambda x: x NOT IN ('<number>', '<unit>', '<name>'))) >= least({LITERALS}, size)),
-    d AS (SELECT * FROM ({tokens("documents", "doc_id")})),
-    dw AS (SELECT doc_id, names, low, size, place, names[place:place + size - 1] AS theirs
-           FROM (SELECT doc_id, names, low, size, unnest(range(1, len(names) - size + 2)) AS place FROM d, sizes)),
-    hits AS (SELECT doc_id, item_id, place - pos AS shift, pos, ok.size AS size, least(len(ok.names), {LEAK}) AS least, ok.low AS own_low, dw.low AS their_low, own
-             FROM dw JOIN ok ON theirs = own AND dw.size = ok.size),
-    places AS (SELECT DISTINCT doc_id, item_id, shift, least, pos + k AS p, own[k + 1] AS kind, own_low[pos + k] AS a, their_low[pos + k + shift] AS b
-               FROM (SELECT *, unnest(range(0, size)) AS k FROM hits)),
-    slots AS (SELECT doc_id, item_id, shift, count(DISTINCT (kind, a, b)) AS n, count(DISTINCT (kind, a)) AS na, count(DISTINCT (kind, b)) AS nb, bool_and(a = b) AS same
-              FROM places WHERE kind IN ('<number>', '<unit>', '<name>') GROUP BY ALL),
-    lined AS (SELECT doc_id, item_id, shift, max(least) AS least, count(DISTINCT p) AS n_tokens FROM places GROUP BY doc_id, item_id, shift),
-    n AS (SELECT doc_id, item_id, shift, count(DISTINCT pos) AS n_windows FROM hits GROUP BY doc_id, item_id, shift)
-    SELECT doc_id, item_id, max(n_windows) AS n_windows, max(n_tokens) AS n_tokens, bool_or(coalesce(same, true)) AS same
-    FROM lined JOIN n USING (doc_id, item_id, shift) LEFT JOIN slots USING (doc_id, item_id, shift)
-    WHERE n_tokens >= least AND coalesce(n = na AND n = nb, true) GROUP BY doc_id, item_id"""
+    WITH {reading("t", True)}, {reading("v", False)},
+    slots AS (SELECT doc_id, doc, item_id, item, shift, count(DISTINCT (kind, a, b)) AS n, count(DISTINCT (kind, a)) AS na, count(DISTINCT (kind, b)) AS nb, bool_and(a = b) AS same
+              FROM tp WHERE kind IN ('<number>', '<unit>', '<name>') GROUP BY ALL),
+    found AS (
+      SELECT l.doc_id, l.item_id, l.n AS n_tokens, 0 AS n_words, coalesce(same, true) AS same FROM (SELECT doc_id, doc, item_id, item, shift, max(n) AS n FROM tl GROUP BY ALL) l
+      LEFT JOIN slots d ON {join} WHERE coalesce(d.n = na AND d.n = nb, true)
+      UNION ALL SELECT doc_id, item_id, 0, n, true FROM vl)
+    SELECT doc_id, item_id, max(n_tokens)::BIGINT AS n_tokens, max(n_words)::BIGINT AS n_words, bool_or(same) AS same FROM found GROUP BY doc_id, item_id"""
