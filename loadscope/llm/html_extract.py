@@ -51,8 +51,10 @@ MARK_OF = {w: k for k, ws in enumerate(MARKS.values()) for w in ws.split()}
 TAGS = ("p", "h1", "h2", "h3", "li", "ul", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "body")
 TAG_OF = {t: i for i, t in enumerate(TAGS)}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:(/?)>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*+")
+#: An attribute's name, and whether a value follows it; an unquoted value.
+ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(\s*+=\s*+)?)?")
+UNQUOTED = re.compile(r"[^\s>]*+")
 PART = re.compile(r"[A-Za-z]+")
 STEP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -60,29 +62,66 @@ STEP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Node:
     __slots__ = ("at", "chars", "children", "hidden", "links", "marks", "parent", "points", "tag", "text")
 
-    def __init__(self, tag: str, parent: Node | None, at: int, attributes: str = ""):
+    def __init__(self, tag: str, parent: Node | None, at: int, attributes: dict[str, str] = {}):
         self.tag, self.parent, self.at = tag, parent, at
         self.chars = self.points = 0
         self.children: list[Node | int] = []  # nodes, and numbers of own text blocks between them
         self.text: list[str] = []
         self.links = 0
         self.marks, self.hidden = 0, False
-        if attributes:
-            for m in ATTRIBUTE.finditer(attributes):
-                name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    self.hidden = True
-                elif name in ("class", "id", "role"):
-                    for w in PART.findall(STEP.sub(" ", value)):
-                        if (k := MARK_OF.get(w.lower())) is not None:
-                            self.marks |= 1 << k
+        for name, value in attributes.items():
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                self.hidden = True
+            elif name in ("class", "id", "role"):
+                for w in PART.findall(STEP.sub(" ", value)):
+                    if (k := MARK_OF.get(w.lower())) is not None:
+                        self.marks |= 1 << k
+
+
+class Page:
+    """A page read from left to right, each character a fixed number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last_quote = {q: page.rfind(q) for q in "\"'"}
+        self.last_end: dict[str, int] = {}
+
+    def ends(self, tag: str, at: int) -> bool:
+        """Whether an end tag of this name stands anywhere behind `at`."""
+        if tag not in self.last_end:
+            self.last_end[tag] = max((m.start() for m in re.finditer(f"(?i)</{tag}(?=[\\s/>])", self.page)), default=-1)
+        return self.last_end[tag] >= at
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int, bool]:
+        """Names and values from behind a tag's name (the first of equal names counts), the place behind the tag, and whether it closes itself.
+
+        A quote that is never closed is a character as any other; a tag that is never closed goes on to the end.
+        """
+        page, n, found = self.page, len(self.page), {}
+        while at < n:
+            m = ATTRIBUTE.match(page, at)
+            at = m.end()
+            if m[1] is None:
+                return found, min(at + 1, n), page[at - 1 : at] == "/"
+            value = ""
+            if m[2]:
+                quote = page[at : at + 1]
+                if quote in self.last_quote and self.last_quote[quote] > at:
+                    end = page.index(quote, at + 1)
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    value = UNQUOTED.match(page, at)[0]
+                    at += len(value)
+            found.setdefault(m[1].lower(), html.unescape(value))
+        return found, n, False
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and all block nodes, in page order. Inline elements' text belongs to the block around them."""
     root = Node("#root", None, 0)
     nodes, stack = [root], [root]
-    unseen: list[str] = []
+    open_: dict[str, list[int]] = {}  # of each tag, where it stands on the stack
+    source, unseen = Page(page), []
     links = 0
     pieces: list[str] = []
     link_chars = 0
@@ -101,22 +140,49 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             pieces.clear()
         link_chars = 0
 
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        words = page[at : m.start()] if m else page[at:]
-        if words and not unseen:
-            pieces.append(words)
+    def words(text: str) -> None:
+        nonlocal link_chars
+        if text and not unseen:
+            pieces.append(text)
             if links:
-                link_chars += len(words.strip())
-        if not m:
+                link_chars += len(text.strip())
+
+    def leave(depth: int) -> None:
+        while len(stack) > depth:
+            open_[stack.pop().tag].pop()
+
+    def innermost(tags) -> int:
+        return max((open_[t][-1] for t in tags if open_.get(t)), default=0)
+
+    at, n, last_section = 0, len(page), page.rfind("]]>")
+    while at < n:
+        here = page.find("<", at)
+        words(page[at:] if here < 0 else page[at:here])
+        if here < 0:
             break
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA[") and not unseen:
-                pieces.append(html.escape(m[0][9:-3]))
+        if page.startswith("<!--", here):
+            end = page.find("-->", here + 2)
+            at = n if end < 0 else end + 3
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        if page.startswith("<![CDATA[", here) and here < last_section:
+            end = page.index("]]>", here)
+            words(html.escape(page[here + 9 : end]))
+            at = end + 3
+            continue
+        if page[here + 1 : here + 2] in ("!", "?") or page.startswith("</>", here):
+            end = page.find(">", here)
+            at = n if end < 0 else end + 1
+            continue
+        closing = page[here + 1 : here + 2] == "/"
+        name = NAME.match(page, here + 1 + closing)
+        if not name:
+            words("<")
+            at = here + 1
+            continue
+        tag = name[0].lower()
+        attributes, at, itself = source.attributes(name.end())
+        if unseen and not closing and tag in BLOCK and all(u in ("svg", "math") for u in unseen):
+            unseen.clear()  # a block leaves drawings and formulas
         if unseen:
             if tag == unseen[-1]:
                 if closing:
@@ -125,15 +191,14 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                     unseen.append(tag)
             continue
         if tag in UNSEEN:
-            if tag == "head" and closing or closing or m[4]:
-                continue
-            if tag in RAW:
-                end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else n
-            elif tag == "head":
-                continue  # what it holds is left out by itself, and it may have no end
-            else:
-                unseen.append(tag)
+            if closing or itself or tag == "head":
+                continue  # what a head holds is left out by itself, and it may have no end
+            if tag in ("script", "style") or source.ends(tag, at):
+                if tag in RAW:
+                    end = re.compile(f"</{tag}(?=[\\s/>])[^>]*+>?", re.I).search(page, at) if source.ends(tag, at) else None
+                    at = end.end() if end else n
+                else:
+                    unseen.append(tag)
             if tag in ("iframe", "object", "video", "audio", "canvas", "svg"):
                 pieces.append(" ")
             continue
@@ -145,24 +210,19 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             flush()
             links = 0
             if closing:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-                if depth:
-                    del stack[depth:]
+                if open_.get(tag):
+                    leave(open_[tag][-1])
                 continue
             if stack[-1].tag == "p":
-                stack.pop()
-            if tag in CLOSED_BY:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in SCOPE[tag]:
-                        break
-                    if stack[k].tag in CLOSED_BY[tag]:
-                        del stack[k:]
-                        break
+                leave(len(stack) - 1)
+            if tag in CLOSED_BY and (outer := innermost(CLOSED_BY[tag])) > innermost(SCOPE[tag]):
+                leave(outer)
             if tag == "hr":
                 continue
-            node = Node(tag, stack[-1], len(nodes), m[3])
+            node = Node(tag, stack[-1], len(nodes), attributes)
             stack[-1].children.append(node)
             nodes.append(node)
+            open_.setdefault(tag, []).append(len(stack))
             stack.append(node)
     flush()
     return root, nodes

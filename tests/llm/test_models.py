@@ -167,7 +167,8 @@ def test_generated_pages_that_were_not_fitted_on():
     ("page", "want"),
     [
         (None, ""), ("", ""), ("just words", "just words"), ("<article><h1>A</h1><p>b &amp; c&eacute;  d<br>e</article>", "A\nb & cé d e"), ("<article><p>one <b>two</b>three<p>four</p>", "one twothree\nfour"),
-        ("<article><p>x</p><script>if (a < b) { '</p>' }</script><style>p{}</style><!-- no --><p>y", "x\ny"), ("<nav><ul><li><a href=/>home</a></li></ul></nav>", ""), ("<article><p>a &am", "a &am"),
+        ('<article><p title="the hidden truth" data-x=1 class=a>kept</p>', "kept"), ("<article><svg><path d=x><p>one</p><button>b<p>two</p></article>", "one\nb\ntwo"), ("<article><p don't>a 'b' <i title=\"x>y</i><p>c", "a 'b' y\nc"),
+        ("<article><p hidden>x</p><p>a < b </> c", "a < b c"), ("<article><p>x</p><script>if (a < b) { '</p>' }</script><style>p{}</style><!-- no --><p>y", "x\ny"), ("<nav><ul><li><a href=/>home</a></li></ul></nav>", ""), ("<article><p>a &am", "a &am"),
     ],
 )
 def test_page_edges(spark, page, want):
@@ -183,3 +184,27 @@ def test_decoding_has_no_contradictions():
         odds = html_extract.log_odds(html_extract.features([nodes]), model)
         odds[1] = -1e9  # the body is dropped: so is all in it
         assert html_extract.decode(nodes[:1] + nodes[1:], odds) == [] or all(n.parent is not nodes[1] for n in nodes[1:])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [lambda n: "<p a='" * n, lambda n: '<p a="x>' * n + '"', lambda n: "<div>" * n + "</p></li></b>" * n, lambda n: "<div>" * n + "<li>x</li>" * n, lambda n: "<ul>" + "<div>" * n + "<li>x</li>" * n, lambda n: "<noscript><svg>" * n, lambda n: "<!" * n, lambda n: "<![CDATA[" * n, lambda n: "<" * n * 5],
+)
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    def taken(n):
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            html_extract.parse(page(n))
+            best.append(time.perf_counter() - began)
+        return min(best)
+
+    assert taken(16_000) < 10 * taken(4_000) + 0.1  # squares would take 16 times as long
+
+
+def test_long_page_is_whole(spark):
+    page = "<article>" + "".join(f"<p>paragraph number {i} says a few words, as the others do.</p>" for i in range(20_000)) + "</article>"
+    rows = html_extract.extract(spark.createDataFrame([(1, page, 7)] * 2, "page_id long, html string, n int")).collect()
+    assert [r["text"].count("\n") for r in rows] == [19_999] * 2
