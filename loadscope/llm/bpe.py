@@ -246,18 +246,28 @@ def _over(docs: DataFrame, column, path: str, kind: str, of) -> DataFrame:
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with the array of token ids of each whole text as column `out`; a null or empty text has none.
 
-    A column `out` that is there already is replaced; others stay, an empty table too.
+    Rows are independent: repeated ones get equal results. A column `out` that is there already
+    is replaced; others stay; an empty table gives an empty one.
     """
     return docs.withColumn(out, _over(docs, text_of(text), path, "array<int>", lambda t, b: pd.Series([t.encode(x) for x in b])))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """docs with the text of each array of ids as column `out`; null decodes as no ids."""
+    """docs with the text of each array of ids as column `out`; null decodes as no ids, a null id as nothing.
+
+    Rows are independent: repeated ones get equal results; a column `out` that is there already
+    is replaced; an empty table gives an empty one.
+    """
     column = F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>"))
     return docs.withColumn(out, _over(docs, column, path, "string", lambda t, b: pd.Series([t.decode(x) for x in b])))
 
 
 def digest(docs: DataFrame, path: str, text: str = "text", out: str = "bpe") -> DataFrame:
-    """docs with a struct `out` of n_tokens, ids_sha256 and decoded_sha256 of each whole text, encoded and decoded."""
+    """docs with a struct `out` of n_tokens, ids_sha256 and decoded_sha256 of each whole text, encoded and decoded.
+
+    A null or empty text has no tokens and the digests of nothing. Rows are independent:
+    repeated ones get equal results; a column `out` that is there already is replaced; an
+    empty table gives an empty one.
+    """
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.withColumn(out, _over(docs, text_of(text), path, kind, lambda t, b: pd.DataFrame([t.digests(x) for x in b], columns=["n_tokens", "ids_sha256", "decoded_sha256"])))

@@ -33,7 +33,8 @@ RUNS, PASSES = 400, 25
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match starts where a run of digits does: from within one there is none that isn't from its start.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -294,7 +295,11 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span of personal data in `text` replaced by its kind in angle brackets; spans that overlap become one. Null stays null."""
+    """docs with every span of personal data in `text` replaced by its kind in angle brackets; spans that overlap become one.
+
+    Null stays null, the empty text empty. Rows are independent: repeated ones get equal
+    results; an empty table gives an empty one; other columns stay.
+    """
     weights = docs.sparkSession.sparkContext.broadcast(fit())
 
     def clean(t: str | None, w: Weights) -> str | None:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,3 +75,18 @@ def test_edges(spark, odd, empty):
     assert pii.find(empty).count() == 0
     clean = {r["key"]: r["text"] for r in pii.redact(odd).collect()}
     assert clean[4].endswith("end <card>") and clean[1] is None and clean[2] == ""
+
+
+@pytest.mark.parametrize("text", [lambda n: "1" * n, lambda n: "1." * n, lambda n: "+1 " * n, lambda n: "a@" * n, lambda n: "1 " * n, lambda n: "a@b." * n, lambda n: "(1-" * n])
+def test_hostile_texts_take_linear_time(text):
+    import time
+
+    def taken(n):
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            pii.field_spans(text(n), pii.base_spans(text(n)), pii.fit())
+            best.append(time.perf_counter() - began)
+        return min(best)
+
+    assert taken(10_000) < 10 * taken(2_500) + 0.1  # squares would take 16 times as long
