@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: white space as the analysed languages' own regular expressions see it.
@@ -87,9 +87,20 @@ def line_of(text: Column, position: Column) -> Column:
     return 1 + F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
 
 
+#: A run of name characters is looked at once: the name is what follows its leading digits and dots.
+CALL = r"(?<![A-Za-z0-9_.])[0-9.]*+([A-Za-z_][A-Za-z0-9_.]*+)[ \t]*+\("
+
+
 def call_names(text: Column) -> Column:
     """Dotted names before an opening parenthesis, in order."""
-    return F.regexp_extract_all(text, F.lit("([A-Za-z_][A-Za-z0-9_.]*)[ \\t]*\\("), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(CALL), F.lit(1))
+
+
+def call_lines(rows: DataFrame, text: str) -> DataFrame:
+    """rows without the text, for each call in it: line (from 1) and name. A call never spans lines, so no position is looked up."""
+    lines = rows.select(*[c for c in rows.columns if c != text], F.posexplode(F.split(text, "\n")).alias("at", "words"))
+    kept = [c for c in lines.columns if c not in ("at", "words")]
+    return lines.select(*kept, (F.col("at") + 1).alias("line"), F.explode(call_names(F.col("words"))).alias("name"))
 
 
 def short_id(text: Column) -> Column:

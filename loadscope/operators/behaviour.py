@@ -89,15 +89,24 @@ def resolve(sites: DataFrame, artifacts: DataFrame, deps: DataFrame) -> DataFram
     return rows.withColumn("verdict", found).select(*sites.columns, "verdict")
 
 
-def headline(sites: DataFrame, order: list[str]) -> DataFrame:
-    """(artifact_id, verdict, sites, inconsistent): the most exposed site's verdict, of equals the first in order."""
+def headline_of(order: list[str]) -> list[Column]:
+    """Aggregates over an artifact's sites: verdict (of the most exposed site, of equals the first in order), first_loader, guardable, sites, inconsistent.
+
+    All keep a partial result of fixed size, so an artifact with any number of sites is not
+    a hot key.
+    """
     exposure = mapped(F.col("verdict.behaviour"), dims.EXPOSURE, -1)
-    return sites.where("artifact_id is not null").groupBy("artifact_id").agg(
-        F.min_by("verdict", F.struct(-exposure, *order)).alias("verdict"),
-        F.min_by("loader", F.struct(*order)).alias("first_loader"),
-        F.count("*").alias("sites"),
-        (F.count_distinct("verdict.behaviour") > 1).alias("inconsistent"),
-    )
+    place = F.struct(*order)
+    guard = F.col("loader").isin(list(dims.GUARDS))
+    return [
+        F.min_by("verdict", F.struct(-exposure, *order)).alias("verdict"), F.min_by("loader", place).alias("first_loader"), F.min_by(F.when(guard, F.col("loader")), F.when(guard, place)).alias("guardable"),
+        F.count("*").alias("sites"), (F.min(exposure) != F.max(exposure)).alias("inconsistent"),
+    ]
+
+
+def headline(sites: DataFrame, order: list[str]) -> DataFrame:
+    """(artifact_id, verdict, first_loader, guardable, sites, inconsistent) of artifacts that are loaded."""
+    return sites.where("artifact_id is not null").groupBy("artifact_id").agg(*headline_of(order))
 
 
 def dormant_verdict() -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from loadscope.functions.text import basename
 from loadscope.operators.columns import first_match
 
+#: What a record's digest says of a file: it is that of the whole file, of another one, or nothing certain.
+BINDINGS = ("current", "stale", "unbound")
+
 
 def bind(records: DataFrame, artifacts: DataFrame) -> DataFrame:
     """records (seq, subject, subject_digest, ...) with artifact_id and binding; those about no artifact go.

@@ -26,7 +26,9 @@ class Filters:
 
     @property
     def active(self) -> int:
-        return sum(bool(getattr(self, f)) for f in self.__dataclass_fields__)
+        """How many values are set."""
+        values = [getattr(self, f) for f in self.__dataclass_fields__]
+        return sum(len(v) if isinstance(v, tuple) else bool(v) for v in values)
 
     def toggled(self, facet: str, value: str) -> Filters:
         now = getattr(self, facet)
@@ -88,8 +90,8 @@ def facet_counts(records: DataFrame, filters: Filters) -> DataFrame:
     return rows.groupBy("c.facet", "c.value").agg(F.count("*").alias("artifacts"))
 
 
-def order_by(key: str, descending: bool = False) -> list[Column]:
-    """Order keys of records; ties are always by id upwards."""
+def order_keys(key: str) -> tuple[Column, Column]:
+    """What an order of records compares, and the id that breaks ties."""
     keys = {
         "display": mapped(F.col("behaviour"), dims.DISPLAY, 9) * 10 - F.when(F.col("privileged"), 5).otherwise(0),
         "exposure": mapped(F.col("behaviour"), dims.EXPOSURE, -1) * 2 + F.when(F.col("privileged"), 1).otherwise(0),
@@ -98,7 +100,13 @@ def order_by(key: str, descending: bool = False) -> list[Column]:
         "context": F.when(F.size("environments") == 0, "zzz").otherwise(F.array_join("environments", ",")),
         "evidence": F.col("evidence_state"),
     }
-    return [keys[key].desc() if descending else keys[key].asc(), F.col("artifact_id").asc()]
+    return keys[key], F.col("artifact_id")
+
+
+def order_by(key: str, descending: bool = False) -> list[Column]:
+    """Order keys of records; ties are always by id upwards."""
+    of, tie = order_keys(key)
+    return [of.desc() if descending else of.asc(), tie.asc()]
 
 
 def migrations(records: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.operators.columns import mapped
@@ -20,35 +20,47 @@ def _hops(sites: DataFrame, contexts: DataFrame) -> DataFrame:
     )
 
 
-def _worst():
-    return F.max_by("behaviour", mapped(F.col("behaviour"), dims.EXPOSURE, -1)).alias("behaviour")
+def _exposed() -> tuple[Column, Column]:
+    """The most exposed behaviour as a number, and its name."""
+    names = F.array(*[F.lit(b) for b, _ in sorted(dims.EXPOSURE.items(), key=lambda x: x[1])])
+    return F.max(mapped(F.col("behaviour"), dims.EXPOSURE, -1)).alias("exposure"), F.get(names, F.col("exposure")).alias("behaviour")
 
 
 def nodes(sites: DataFrame, contexts: DataFrame) -> DataFrame:
     """(id, behaviour, privileged): the most exposed behaviour that passes a node."""
-    return _hops(sites, contexts).select(F.explode("path").alias("id"), "behaviour", "privileged").groupBy("id").agg(_worst(), F.bool_or("privileged").alias("privileged"))
+    most, name = _exposed()
+    found = _hops(sites, contexts).select(F.explode("path").alias("id"), "behaviour", "privileged").groupBy("id").agg(most, F.bool_or("privileged").alias("privileged"))
+    return found.select("id", name, "privileged")
 
 
 def edges(sites: DataFrame, contexts: DataFrame) -> DataFrame:
     """(from, to, behaviour): one for each pair of neighbours."""
-    pair = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(F.get("path", i).alias("from"), F.get("path", i + 1).alias("to")))
-    return _hops(sites, contexts).select(F.explode(pair).alias("e"), "behaviour").groupBy("e.from", "e.to").agg(_worst())
+    most, name = _exposed()
+    pair = F.array(*[F.struct(F.get("path", i).alias("from"), F.get("path", i + 1).alias("to")) for i in range(3)])
+    return _hops(sites, contexts).select(F.explode(pair).alias("e"), "behaviour").groupBy("e.from", "e.to").agg(most).select("from", "to", name)
 
 
-def component(links: DataFrame, focus: str, most: int = 64) -> DataFrame:
-    """(id, distance): nodes reachable from the focus over undirected links.
+def component(links: DataFrame, focus: str) -> DataFrame:
+    """(id, distance): nodes reachable from the focus over undirected links, however far.
 
-    A frontier of unseen nodes is joined to the links until it is empty; lineage is cut
-    with a checkpoint in the folder that all executors share.
+    A frontier of unseen nodes is joined to the links until it is empty. Each frontier is
+    checkpointed in the folder that all executors share, so no node is written twice; what has
+    been seen is their union.
     """
     spark = links.sparkSession
     checkpoint_dir(spark)
-    both = links.select(F.col("from").alias("a"), F.col("to").alias("b")).unionByName(links.select(F.col("to").alias("a"), F.col("from").alias("b"))).distinct()
-    seen = spark.createDataFrame([(focus, 0)], "id string, distance int")
-    frontier = seen
-    for step in range(1, most + 1):
-        frontier = frontier.join(both, frontier["id"] == both["a"]).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("distance", F.lit(step)).checkpoint()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier).checkpoint()
-    return seen
+    both = links.select(F.col("from").alias("a"), F.col("to").alias("b")).unionByName(links.select(F.col("to").alias("a"), F.col("from").alias("b"))).distinct().checkpoint()
+    frontier = spark.createDataFrame([(focus, 0)], "id string, distance int")
+    layers, step = [frontier], 0
+    while not frontier.isEmpty():
+        step += 1
+        found = frontier.join(both, frontier["id"] == both["a"]).select(F.col("b").alias("id")).distinct()
+        # a neighbour of the last layer is in it, in the one before, or new
+        for layer in layers[-2:]:
+            found = found.join(layer.select("id"), "id", "left_anti")
+        frontier = found.withColumn("distance", F.lit(step)).checkpoint()
+        layers.append(frontier)
+    out = layers[0]
+    for layer in layers[1:-1]:
+        out = out.unionByName(layer)
+    return out

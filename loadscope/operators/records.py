@@ -7,30 +7,33 @@ from pyspark.sql import functions as F
 
 from loadscope.operators import behaviour as B
 from loadscope.operators.columns import first_match, mapped, rank
-from loadscope.operators.context import contexts_of
-from loadscope.operators.evidence import state
+from loadscope.operators.evidence import BINDINGS, state
 from loadscope.plans import dims
 
 
 def build(artifacts: DataFrame, sites: DataFrame, contexts: DataFrame, evidence: DataFrame, order: list[str]) -> DataFrame:
     """One row for each artifact, with its headline verdict, environments, evidence and alternative.
 
-    sites have verdicts; order breaks ties between them. Every input is aggregated by
-    artifact before it is joined, so all joins are one to one.
+    sites have verdicts; order breaks ties between them. Sites meet their file's context and
+    are then aggregated once, evidence likewise, so all joins to artifacts are one to one.
     """
-    loaded = B.headline(sites, order).withColumnRenamed("verdict", "headline")
-    guardable = sites.where(F.col("loader").isin(list(dims.GUARDS))).groupBy("artifact_id").agg(F.min_by("loader", F.struct(*order)).alias("guardable"))
-    where = contexts_of(sites, contexts).groupBy("artifact_id").agg(F.array_sort(F.collect_list("environment")).alias("environments"), F.bool_or("privileged").alias("privileged"))
+    known = contexts.select("file", "environment", F.col("privileged").alias("reaches"))
+    loaded = sites.where("artifact_id is not null").join(known, "file", "left").groupBy("artifact_id").agg(
+        *B.headline_of(order), F.array_sort(F.collect_set("environment")).alias("environments"), F.bool_or("reaches").alias("privileged")
+    )
+    loaded = loaded.withColumnRenamed("verdict", "headline")
     proof = evidence.groupBy("artifact_id").agg(
-        F.array_sort(F.collect_list("binding")).alias("bindings"), F.bool_or((F.col("binding") == "current") & (F.col("result") == "flagged")).alias("current_flagged"), F.count("*").alias("evidence")
+        F.array_sort(F.collect_set("binding")).alias("bindings"), F.bool_or((F.col("binding") == "current") & (F.col("result") == "flagged")).alias("current_flagged"), F.count("*").alias("evidence"),
+        *[F.count_if(F.col("binding") == b).alias(f"evidence_{b}") for b in BINDINGS],
     )
-    rows = artifacts.join(loaded, "artifact_id", "left").join(guardable, "artifact_id", "left").join(where, "artifact_id", "left").join(proof, "artifact_id", "left")
+    rows = artifacts.join(loaded, "artifact_id", "left").join(proof, "artifact_id", "left")
     rows = rows.withColumn("verdict", F.coalesce("headline", B.dormant_verdict())).drop("headline")
     nothing = F.array().cast("array<string>")
     rows = rows.select(
         *artifacts.columns, "verdict", F.col("verdict.behaviour").alias("behaviour"), F.coalesce("sites", F.lit(0)).cast("long").alias("sites"), "first_loader", "guardable",
         F.coalesce("inconsistent", F.lit(False)).alias("inconsistent"), F.coalesce("environments", nothing).alias("environments"), F.coalesce("privileged", F.lit(False)).alias("privileged"),
         F.coalesce("bindings", nothing).alias("bindings"), F.coalesce("current_flagged", F.lit(False)).alias("current_flagged"), F.coalesce("evidence", F.lit(0)).cast("long").alias("evidence"),
+        *[F.coalesce(f"evidence_{b}", F.lit(0)).cast("long").alias(f"evidence_{b}") for b in BINDINGS],
     )
     rows = rows.withColumn("alternative", alternative(rows)).withColumn("evidence_state", state(F.col("bindings")))
     return rows.withColumn("migration", F.when(F.col("alternative.kind") != "none-identified", "available").otherwise("none"))

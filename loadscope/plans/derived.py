@@ -21,14 +21,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Loaders that suit each format, three to choose from; declarations have none of their own.
+SUITING = {
+    "pickle": ["pickle.load", "dill.load", "pandas.read_pickle"],
+    "pytorch-zip": ["torch.load", "torch.load", "transformers.from_pretrained"],
+    "pytorch-legacy": ["torch.load", "torch.hub.load", "torch.load"],
+    "torchscript": ["torch.jit.load", "torch.load", "torch.jit.load"],
+    "joblib": ["joblib.load", "cloudpickle.load", "joblib.load"],
+    "numpy-npy": ["numpy.load", "numpy.load", "pickle.load"],
+    "numpy-npz": ["numpy.load", "numpy.load", "numpy.load"],
+    "safetensors": ["safetensors.load_file", "transformers.from_pretrained", "sentence_transformers"],
+    "onnx": ["onnxruntime.InferenceSession", "js.onnxruntime", "onnxruntime.InferenceSession"],
+    "gguf": ["llama_cpp.Llama", "js.node-llama-cpp", "llama_cpp.Llama"],
+    "tflite": ["js.tfjs", "js.tfjs", "onnxruntime.InferenceSession"],
+    "keras-h5": ["keras.load_model", "keras.load_model", "keras.load_model"],
+    "keras-v3": ["keras.load_model", "tensorflow.saved_model.load", "keras.load_model"],
+    "tf-savedmodel": ["tensorflow.saved_model.load", "keras.load_model", "js.tfjs"],
+    "flax-msgpack": ["transformers.from_pretrained", "marshal.load", "transformers.from_pretrained"],
+    "mcp-server-manifest": ["pickle.load", "ultralytics.YOLO", "pickle.load"],
+    "remote-repository": ["transformers.from_pretrained", "datasets.load_dataset", "transformers.pipeline"],
+    "unknown": ["torch.load", "ultralytics.YOLO", "js.transformers.from_pretrained"],
+}
+#: One loader for each format and choice, in their order; null where a format isn't loaded.
+CHOICES = [loader for f in dims.FORMAT_IDS for loader in SUITING.get(f, [None] * 3)]
+
+
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fmt = F.element_at(F.array(*[F.lit(f) for f in dims.FORMAT_IDS]), (F.col("p_size") % 21 + 1).cast("int"))
-    ext = F.element_at(F.array(*[F.lit((f[4] or [".dat"])[0]) for f in dims.FORMATS]), (F.col("p_size") % 21 + 1).cast("int"))
-    locator = F.concat(F.lit("models/"), F.lower("p_type"), F.lit("/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit("/m"), F.col("p_partkey").cast("string"), ext)
+    """One for each part; every tenth and the one before share a name, some have a safe sibling or a notable callable."""
     k = F.col("p_partkey")
+    fmt = F.element_at(F.array(*[F.lit(f) for f in dims.FORMAT_IDS]), (k % 21 + 1).cast("int"))
+    ext = F.element_at(F.array(*[F.lit((f[4] or [".dat"])[0]) for f in dims.FORMATS]), (k % 21 + 1).cast("int"))
+    name = F.when(k % 10 == 9, F.concat(F.lit("shared"), F.floor(k / 420).cast("string"), F.lit(".bin"))).otherwise(F.concat(F.lit("m"), k.cast("string"), ext))
+    locator = F.concat(F.lit("models/"), F.lower("p_type"), F.lit("/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.lit("/"), k.cast("string"), F.lit("/"), name)
+    none = F.array().cast("array<struct<locator:string,format:string>>")
     rows = table(spark, sf_dir, "part").select(
         k.alias("artifact_id"), locator.alias("locator"), fmt.alias("format"), F.when(k % 5 == 0, "extension").otherwise("magic").alias("basis"),
-        F.when(fmt == "remote-repository", "remote-reference").otherwise("in-tree").alias("origin"), (k % 17 == 3).alias("mismatch"),
+        F.when(fmt == "remote-repository", "remote-reference").otherwise("in-tree").alias("origin"), (k % 17 == 3).alias("mismatch"), (k % 9 == 1).alias("notable"),
+        F.when(k % 13 == 2, F.array(F.struct(F.lit("beside").alias("locator"), F.lit("safetensors").alias("format")))).otherwise(none).alias("siblings"),
     )
     return rows.withColumn("digest", F.sha2("locator", 256)).withColumn("coverage", F.when(F.col("artifact_id") % 11 == 0, "head-tail").otherwise("full"))
 
@@ -63,17 +92,26 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load sites without verdicts: the ORDER columns, artifact_id, file, loader, args, target, literal."""
-    n = F.col("l_linenumber")
-    loader = F.element_at(F.array(*[F.lit(x[0]) for x in dims.LOADERS]), ((n * 5 + F.col("l_partkey") % 3) % 24 + 1).cast("int"))
-    flag = F.when(F.col("l_returnflag") == "A", "False").when(F.col("l_returnflag") == "R", "True")
-    other = F.when((F.col("l_linestatus") == "F") & (n % 3 == 0), "True")
+    """Load sites without verdicts: the ORDER columns, artifact_id, file, loader, args, target, literal.
+
+    A part's lines with one line number are its sites, about four; all others load what isn't
+    known. An artifact's sites mostly have one loader and one set of arguments.
+    """
+    n, k = F.col("l_linenumber"), F.col("l_partkey")
+    odd = F.when(F.col("l_orderkey") % 40 == 3, 1).otherwise(0)
+    loader = F.element_at(F.array(*[F.lit(x) for x in CHOICES]), (k % 21 * 3 + (F.floor(k / 21) + odd) % 3 + 1).cast("int"))
+    own = loader.isNotNull() & (n == k % 7 + 1) & (k % 12 != 7)
+    fallback = F.element_at(F.array(*[F.lit(x[0]) for x in dims.LOADERS]), ((n * 5 + k % 3) % 24 + 1).cast("int"))
+    said = (F.floor(k / 63) + odd) % 4
+    flag = F.when(said == 0, "False").when(said == 1, "True")
     args = F.create_map(
-        F.lit("weights_only"), flag, F.lit("allow_pickle"), flag, F.lit("safe_mode"), flag, F.lit("trust_remote_code"), other,
-        F.lit("use_safetensors"), F.when((F.col("l_linestatus") == "O") & (n % 3 == 1), "True"), F.lit("pickle_module"), F.when(n == 7, "dill"),
+        F.lit("weights_only"), flag, F.lit("allow_pickle"), flag, F.lit("safe_mode"), flag, F.lit("trust_remote_code"), F.when(k % 10 == 3, "True"),
+        F.lit("use_safetensors"), F.when(k % 10 == 4, "True"), F.lit("pickle_module"), F.when(k % 19 == 7, "dill"),
+    )
+    rows = table(spark, sf_dir, "lineitem").select(
+        *ORDER, F.when(own, k).alias("artifact_id"), F.when(own, loader).otherwise(fallback).alias("loader"), args.alias("args"),
+        F.when(F.col("l_orderkey") % 2 == 0, k.cast("string")).alias("literal"), F.when(F.col("l_orderkey") % 100 == 7, None).otherwise(F.lit("path")).alias("target"),
     )
-    literal = F.when(F.col("l_orderkey") % 2 == 0, F.col("l_partkey").cast("string"))
-    rows = table(spark, sf_dir, "lineitem").select(*ORDER, F.when(F.col("l_orderkey") % 50 == 7, None).otherwise(F.col("l_partkey")).alias("artifact_id"), loader.alias("loader"), args.alias("args"), literal.alias("literal"), F.when(F.col("l_orderkey") % 100 == 7, None).otherwise(F.lit("path")).alias("target"))
     return rows.join(files(spark, sf_dir).select("suppkey", "file"), F.col("l_suppkey") == F.col("suppkey")).drop("suppkey")
 
 
@@ -82,11 +120,13 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence records (seq, subject, subject_digest, result) about artifacts' locators, whole or by their tail."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
-    rows = o.withColumn("k", F.col("o_orderkey") % 4000).join(artifacts(spark, sf_dir).select(F.col("artifact_id").alias("k"), "locator", F.col("digest").alias("d")), "k")
-    subject = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("repo/"), F.col("locator"))).when(F.col("o_orderkey") % 5 == 1, F.substring_index("locator", "/", -2)).when(F.col("o_orderkey") % 5 == 2, F.concat(F.lit("x/"), F.substring_index("locator", "/", -1))).otherwise(F.col("locator"))
-    d = F.when(F.col("o_orderstatus") == "F", F.sha2(F.col("d"), 256)).when(F.col("o_orderstatus") == "O", F.left(F.upper("d"), F.lit(20)))
+    """Evidence records (seq, subject, subject_digest, result), one for each order, about artifacts' locators, whole or by their tail; about every sixth artifact there is none."""
+    count = table(spark, sf_dir, "part").agg(F.count("*").alias("parts"))
+    k = F.col("o_orderkey") % F.col("parts")
+    rows = table(spark, sf_dir, "orders").crossJoin(F.broadcast(count)).withColumn("k", F.when(k % 6 == 5, k - 1).otherwise(k)).join(artifacts(spark, sf_dir).select(F.col("artifact_id").alias("k"), "locator", F.col("digest").alias("d")), "k")
+    o = F.col("o_orderkey") % 7
+    subject = F.when(o == 0, F.concat(F.lit("repo/"), F.col("locator"))).when(o == 1, F.substring_index("locator", "/", -2)).when(o == 2, F.concat(F.lit("x/"), F.substring_index("locator", "/", -1))).when(o == 3, F.substring_index("locator", "/", -1)).otherwise(F.col("locator"))
+    d = F.when(F.col("o_orderkey") % 97 == 5, F.sha2(F.col("d"), 256)).when(F.col("o_orderstatus") != "P", F.left(F.upper("d"), F.lit(20)))
     return rows.select(F.col("o_orderkey").alias("seq"), subject.alias("subject"), d.alias("subject_digest"), F.when(F.col("o_orderpriority").startswith("1"), "flagged").when(F.col("o_orderpriority").startswith("2"), "error").otherwise("pass").alias("result"))
 
 

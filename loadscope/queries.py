@@ -27,8 +27,8 @@ FOUND: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def _list(values: list[str]) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+def _list(values: list[str | None]) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
 
 
 def _in(values) -> str:
@@ -57,9 +57,10 @@ SITE_ORDER = ", ".join(P.ORDER)
 WITH = f"""
 WITH RECURSIVE art AS (
   SELECT *, sha256(locator) AS digest FROM (SELECT p_partkey AS artifact_id,
-    'models/' || lower(p_type) || '/' || lower(replace(p_brand, '#', '-')) || '/m' || p_partkey || ({_list([(f[4] or [".dat"])[0] for f in dims.FORMATS])})[p_size % 21 + 1] AS locator,
-    ({_list(dims.FORMAT_IDS)})[p_size % 21 + 1] AS format, CASE WHEN p_partkey % 5 = 0 THEN 'extension' ELSE 'magic' END AS basis,
-    CASE WHEN p_size % 21 = 19 THEN 'remote-reference' ELSE 'in-tree' END AS origin, p_partkey % 17 = 3 AS mismatch,
+    'models/' || lower(p_type) || '/' || lower(replace(p_brand, '#', '-')) || '/' || p_partkey || '/' || CASE WHEN p_partkey % 10 = 9 THEN 'shared' || (p_partkey // 420) || '.bin'
+      ELSE 'm' || p_partkey || ({_list([(f[4] or [".dat"])[0] for f in dims.FORMATS])})[p_partkey % 21 + 1] END AS locator,
+    ({_list(dims.FORMAT_IDS)})[p_partkey % 21 + 1] AS format, CASE WHEN p_partkey % 5 = 0 THEN 'extension' ELSE 'magic' END AS basis,
+    CASE WHEN p_partkey % 21 = 19 THEN 'remote-reference' ELSE 'in-tree' END AS origin, p_partkey % 17 = 3 AS mismatch, p_partkey % 9 = 1 AS notable, p_partkey % 13 = 2 AS sibling,
     CASE WHEN p_partkey % 11 = 0 THEN 'head-tail' ELSE 'full' END AS coverage FROM part)),
 fil AS (
   SELECT s_suppkey AS suppkey, s_acctbal, lower(replace(r_name, ' ', '-') || '/' || n_name || '/' || CASE s_suppkey % 7 WHEN 1 THEN 'test_' WHEN 2 THEN 'run_' ELSE '' END
@@ -84,9 +85,12 @@ hit AS (
       WHEN 'tensorflow' THEN parts[1] > 2 OR parts[1] = 2 AND coalesce(parts[2], 0) >= 16 END AS reached FROM ver)),
 pins AS (SELECT bool_or(ok) FILTER (name = 'torch') AS torch, coalesce(bool_or(ok) FILTER (name = 'keras'), bool_or(ok) FILTER (name = 'tensorflow')) AS keras FROM hit),
 sit AS (
-  SELECT {SITE_ORDER}, CASE WHEN l_orderkey % 50 = 7 THEN NULL ELSE l_partkey END AS artifact_id, ({_list([x[0] for x in dims.LOADERS])})[(l_linenumber * 5 + l_partkey % 3) % 24 + 1] AS loader,
-    CASE l_returnflag WHEN 'A' THEN 'false' WHEN 'R' THEN 'true' END AS flag, l_linestatus = 'F' AND l_linenumber % 3 = 0 AS trust, l_linestatus = 'O' AND l_linenumber % 3 = 1 AS safe,
-    l_linenumber = 7 AS pm, l_orderkey % 2 = 0 AS literal, l_orderkey % 100 = 7 AS untargeted, file FROM lineitem JOIN fil ON l_suppkey = suppkey),
+  SELECT * EXCLUDE (own, suiting, fallback), CASE WHEN own THEN l_partkey END AS artifact_id, CASE WHEN own THEN suiting ELSE fallback END AS loader FROM (
+    SELECT *, suiting IS NOT NULL AND l_linenumber = l_partkey % 7 + 1 AND l_partkey % 12 <> 7 AS own FROM (
+      SELECT {SITE_ORDER}, ({_list(P.CHOICES)})[l_partkey % 21 * 3 + (l_partkey // 21 + CASE WHEN l_orderkey % 40 = 3 THEN 1 ELSE 0 END) % 3 + 1] AS suiting,
+        ({_list([x[0] for x in dims.LOADERS])})[(l_linenumber * 5 + l_partkey % 3) % 24 + 1] AS fallback,
+        CASE (l_partkey // 63 + CASE WHEN l_orderkey % 40 = 3 THEN 1 ELSE 0 END) % 4 WHEN 0 THEN 'false' WHEN 1 THEN 'true' END AS flag, l_partkey % 10 = 3 AS trust, l_partkey % 10 = 4 AS safe,
+        l_partkey % 19 = 7 AS pm, l_orderkey % 2 = 0 AS literal, l_orderkey % 100 = 7 AS untargeted, file FROM lineitem JOIN fil ON l_suppkey = suppkey))),
 res AS (
   SELECT s.*, CASE WHEN a.artifact_id IS NULL THEN CASE WHEN untargeted THEN {_v("unknown", "artifact-unresolved")} ELSE {_v("unknown", "path-not-static")} END
     WHEN loader IN {_in(dims.DATA_ONLY_LOADERS)} AND origin = 'in-tree' AND (basis = 'extension' OR intrinsic = 'code') THEN {_v("unknown", "format-undetermined")}
@@ -106,12 +110,17 @@ head AS (
 act AS (SELECT artifact_id, environment, bool_or(privileged) AS privileged FROM (SELECT DISTINCT artifact_id, file FROM res WHERE artifact_id IS NOT NULL) JOIN ctx USING (file) GROUP BY ALL),
 envs AS (SELECT artifact_id, list(environment ORDER BY environment) AS environments, bool_or(privileged) AS privileged FROM act GROUP BY artifact_id),
 scn AS (
-  SELECT o_orderkey AS seq, CASE o_orderkey % 5 WHEN 0 THEN 'repo/' || locator WHEN 1 THEN array_to_string(string_split(locator, '/')[-2:], '/') WHEN 2 THEN 'x/' || string_split(locator, '/')[-1] ELSE locator END AS subject,
-    CASE o_orderstatus WHEN 'F' THEN sha256(digest) WHEN 'O' THEN upper(digest)[:20] END AS subject_digest, CASE left(o_orderpriority, 1) WHEN '1' THEN 'flagged' WHEN '2' THEN 'error' ELSE 'pass' END AS result
-  FROM orders JOIN art ON o_orderkey % 4000 = artifact_id WHERE o_orderkey % 3 = 0),
+  SELECT o_orderkey AS seq, CASE o_orderkey % 7 WHEN 0 THEN 'repo/' || locator WHEN 1 THEN array_to_string(string_split(locator, '/')[-2:], '/') WHEN 2 THEN 'x/' || string_split(locator, '/')[-1] WHEN 3 THEN string_split(locator, '/')[-1] ELSE locator END AS subject,
+    CASE WHEN o_orderkey % 97 = 5 THEN sha256(digest) WHEN o_orderstatus <> 'P' THEN upper(digest)[:20] END AS subject_digest, CASE left(o_orderpriority, 1) WHEN '1' THEN 'flagged' WHEN '2' THEN 'error' ELSE 'pass' END AS result
+  FROM (SELECT *, o_orderkey % (SELECT count(*) FROM part) AS k FROM orders) JOIN art ON CASE WHEN k % 6 = 5 THEN k - 1 ELSE k END = artifact_id),
+met AS (
+  SELECT subject, artifact_id, locator = subject AS exact, ends_with(subject, '/' || locator) OR ends_with(locator, '/' || subject) AS tail
+  FROM (SELECT DISTINCT subject FROM scn) JOIN art ON string_split(subject, '/')[-1] = string_split(locator, '/')[-1]),
+meant AS (
+  SELECT subject, coalesce(min(artifact_id) FILTER (exact), CASE WHEN count(*) FILTER (tail) = 1 THEN min(artifact_id) FILTER (tail) END, CASE WHEN count(*) = 1 THEN min(artifact_id) END) AS artifact_id FROM met GROUP BY subject),
 ev AS (
   SELECT s.*, artifact_id, CASE WHEN subject_digest IS NULL OR coverage <> 'full' THEN 'unbound' WHEN starts_with(digest, lower(subject_digest)) THEN 'current' ELSE 'stale' END AS binding
-  FROM scn s JOIN art ON string_split(subject, '/')[-1] = string_split(locator, '/')[-1]),
+  FROM scn s JOIN meant USING (subject) JOIN art USING (artifact_id)),
 evs AS (SELECT artifact_id, list(binding ORDER BY binding) AS bindings, bool_or(binding = 'current' AND result = 'flagged') AS current_flagged, count(*) AS evidence FROM ev GROUP BY artifact_id),
 rec0 AS (
   SELECT a.*, coalesce(h.verdict, CASE WHEN basis = 'extension' OR format = 'unknown' THEN {_v("unknown", "format-undetermined")} WHEN intrinsic = 'code' THEN {_v("unknown", "artifact-unresolved")}
@@ -119,13 +128,14 @@ rec0 AS (
     coalesce(guardable, false) AS guardable, coalesce(environments, []) AS environments, coalesce(privileged, false) AS privileged, coalesce(bindings, []) AS bindings, coalesce(current_flagged, false) AS current_flagged, coalesce(evidence, 0) AS evidence
   FROM (SELECT *, {_case("format", dims.INTRINSIC, "'unknown'")} AS intrinsic FROM art) a LEFT JOIN head h USING (artifact_id) LEFT JOIN envs USING (artifact_id) LEFT JOIN evs USING (artifact_id)),
 rec AS (
-  SELECT *, verdict.b AS behaviour, CASE WHEN verdict.b = 'data' THEN 'none-identified' WHEN guardable AND NOT (verdict.g IS NOT NULL AND verdict.b <> 'code') THEN 'loader-guard-available'
+  SELECT *, verdict.b AS behaviour, CASE WHEN verdict.b = 'data' THEN 'none-identified' WHEN sibling THEN 'sibling-present' WHEN guardable AND NOT (verdict.g IS NOT NULL AND verdict.b <> 'code') THEN 'loader-guard-available'
       WHEN format IN {_in(dims.CONVERTIBLE)} THEN 'conversion-available' ELSE 'none-identified' END AS alternative,
     CASE WHEN len(bindings) = 0 THEN 'absent' WHEN list_contains(bindings, 'stale') THEN 'stale' WHEN list_contains(bindings, 'current') THEN 'bound' ELSE 'unbound' END AS evidence_state,
     CASE WHEN len(environments) = 0 THEN ['unresolved'] ELSE environments END AS shown FROM rec0),
 fnd AS (
   SELECT artifact_id, unnest(list_filter([
     CASE WHEN code AND privileged THEN 'privileged-execution-surface/act' END, CASE WHEN code AND NOT privileged THEN CASE WHEN list_has_any(environments, {MATTERS}) THEN 'execution-surface/act' ELSE 'execution-surface/review' END END,
+    CASE WHEN code AND notable THEN 'pickle-notable-callable/review' END, CASE WHEN alternative = 'sibling-present' THEN 'shadowed-safe-format/act' END,
     CASE WHEN verdict.r = 'loader-default-unpinned' THEN 'unpinned-loader-default/act' END, CASE WHEN code AND first_loader IN {_in(dims.REMOTE_CODE_LOADERS)} THEN 'remote-code-trust/review' END,
     CASE WHEN code AND format = 'mcp-server-manifest' THEN 'spawns-process-on-load/review' END, CASE WHEN behaviour = 'directive' THEN 'directive-surface/record' END, CASE WHEN inconsistent THEN 'inconsistent-guard/act' END,
     CASE WHEN code AND alternative = 'loader-guard-available' THEN 'format-migration-available/act' WHEN code AND alternative = 'conversion-available' THEN 'format-migration-available/review' END,
@@ -229,10 +239,10 @@ def digest_full(spark, d):
     return docs(spark, d).select("doc_id", found["value"].alias("value"), X.short_id(F.col("text").cast("binary")).alias("short"))
 
 
-@query(f"SELECT doc_id, CASE WHEN size <= 1000 THEN sha256(text) ELSE sha256(left(text, 64) || '|' || size || '|' || right(text, 64)) END AS value, CASE WHEN size <= 1000 THEN 'full' ELSE 'head-tail' END AS coverage FROM {DOCS} WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query(f"SELECT doc_id, CASE WHEN size <= 1000 THEN sha256(text) ELSE sha256(b[:64] || encode('|' || size || '|') || b[-64:]) END AS value, CASE WHEN size <= 1000 THEN 'full' ELSE 'head-tail' END AS coverage FROM (SELECT *, encode(text) AS b FROM {DOCS})")
 def digest_head_tail(spark, d):
     found = X.digest(F.col("text").cast("binary"), F.col("size"), 1000, 64)
-    return docs(spark, d).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", found["value"].alias("value"), found["coverage"].alias("coverage"))
+    return docs(spark, d).select("doc_id", found["value"].alias("value"), found["coverage"].alias("coverage"))
 
 
 # Keyed by the remainder of p_size: the first bytes of a file of some format.
@@ -299,10 +309,10 @@ def call_sites(spark, d):
     return P.table(spark, d, "pages").select("page_id", F.explode(X.call_names(F.col("html"))).alias("name"))
 
 
-@query("SELECT doc_id, 1 + length(left(text, p - 1)) - length(replace(left(text, p - 1), chr(10), '')) AS line FROM (SELECT doc_id, text, instr(text, ', ') AS p FROM documents) WHERE p > 0")
+@query("SELECT page_id, line, name, count(*) AS calls FROM (SELECT page_id, line, unnest(regexp_extract_all(words, '([A-Za-z_][A-Za-z0-9_.]*)[ \\t]*\\(', 1)) AS name FROM (SELECT page_id, unnest(l) AS words, generate_subscripts(l, 1) AS line FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages))) GROUP BY ALL")
 def call_lines(spark, d):
-    rows = P.table(spark, d, "documents").select("doc_id", "text", F.instr("text", F.lit(", ")).alias("p")).where("p > 0")
-    return rows.select("doc_id", X.line_of(F.col("text"), F.col("p")).cast("long").alias("line"))
+    rows = X.call_lines(P.table(spark, d, "pages").select("page_id", "html"), "html")
+    return rows.groupBy("page_id", F.col("line").cast("long").alias("line"), "name").agg(F.count("*").alias("calls"))
 
 
 SIGNALS = [("network-egress", "address", "@mail[0-9]"), ("secret-material", "key", "AKIA[0-9A-Z]{16}"), ("secret-material", "password", "password=|token = "), ("process-execution", "shout", "!!|[$]{3}")]
@@ -317,10 +327,10 @@ def privilege_first(spark, d):
     return found.select("file", "kind", "label", F.col("line").cast("long").alias("line"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(t, $${p}$$) THEN $${n}$$ END' for n, p in dims.FRAMEWORKS)}], lambda x: x IS NOT NULL), ',') AS frameworks FROM (SELECT doc_id, left(text, 200) || ' ' || (['import streamlit', ' Flask (x)', 'next/server', '', 'ray.serve airflow.models', 'from fastapi import y; gunicorn'])[doc_id % 6 + 1] AS t FROM documents)")
+@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(t, $${p}$$) THEN $${n}$$ END' for n, p in dims.FRAMEWORKS)}], lambda x: x IS NOT NULL), ',') AS frameworks FROM (SELECT doc_id, text || ' ' || (['import streamlit', ' Flask (x)', 'next/server', '', 'ray.serve airflow.models', 'from fastapi import y; gunicorn'])[doc_id % 6 + 1] AS t FROM documents)")
 def frameworks(spark, d):
     added = F.element_at(F.array(*[F.lit(x) for x in ("import streamlit", " Flask (x)", "next/server", "", "ray.serve airflow.models", "from fastapi import y; gunicorn")]), (F.col("doc_id") % 6 + 1).cast("int"))
-    return P.table(spark, d, "documents").select("doc_id", F.array_join(C.frameworks(F.concat(F.left("text", F.lit(200)), F.lit(" "), added)), ",").alias("frameworks"))
+    return P.table(spark, d, "documents").select("doc_id", F.array_join(C.frameworks(F.concat("text", F.lit(" "), added)), ",").alias("frameworks"))
 
 
 @query("""
@@ -374,13 +384,14 @@ def loader_match(spark, d):
 
 # ---- references ----
 
+MODEL_FILE = "[.](" + "|".join(e[1:] for e in dims.BY_EXTENSION) + ")$"
 LITERALS = "(SELECT DISTINCT CASE l_orderkey % 6 WHEN 0 THEN locator WHEN 1 THEN './' || locator WHEN 2 THEN string_split(locator, '/')[-1] WHEN 3 THEN 'org' || (artifact_id % 9) || '/name' WHEN 4 THEN 'gone/' || artifact_id || '.pt' ELSE 'word' || artifact_id END AS literal FROM lineitem JOIN art ON l_partkey = artifact_id)"
 
 
 @query(f"""
 , lit AS (SELECT literal, regexp_replace(literal, '^[.]/', '') AS path FROM {LITERALS}),
 suf AS (SELECT literal, min(locator) AS found, count(*) AS n FROM lit JOIN art ON locator = path OR ends_with(locator, '/' || path) GROUP BY literal)
-SELECT literal, CASE WHEN path IN (SELECT locator FROM art) THEN path WHEN n = 1 THEN found WHEN regexp_matches(path, '^[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9][A-Za-z0-9._-]*$') AND path NOT LIKE '%.pt' THEN 'hf:' || path WHEN path LIKE '%.pt' THEN 'missing:' || path END AS target
+SELECT literal, CASE WHEN path IN (SELECT locator FROM art) THEN path WHEN n = 1 THEN found WHEN regexp_matches(path, '^[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9][A-Za-z0-9._-]*$') AND NOT regexp_matches(path, '{MODEL_FILE}') THEN 'hf:' || path WHEN regexp_matches(path, '{MODEL_FILE}') THEN 'missing:' || path END AS target
 FROM lit LEFT JOIN suf USING (literal)""")
 def reference_resolve(spark, d):
     arts = P.artifacts(spark, d)
@@ -390,10 +401,9 @@ def reference_resolve(spark, d):
     return A.resolve_references(rows, arts.select(p.alias("path")))
 
 
-@query("SELECT artifact_id, locator FROM art WHERE artifact_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1)")
+@query("SELECT artifact_id, locator FROM art WHERE artifact_id NOT IN (SELECT artifact_id FROM sit WHERE artifact_id IS NOT NULL)")
 def unreferenced(spark, d):
-    used = P.table(spark, d, "lineitem").where("l_returnflag = 'A' and l_linenumber = 1").select(F.col("l_partkey").alias("artifact_id"))
-    return A.unreferenced(P.artifacts(spark, d), used).select("artifact_id", "locator")
+    return A.unreferenced(P.artifacts(spark, d), P.sites(spark, d)).select("artifact_id", "locator")
 
 
 @query(f"""
@@ -453,7 +463,7 @@ def evidence_gaps(spark, d):
 # ---- records ----
 
 
-@query(f"SELECT artifact_id, alternative AS kind, CASE WHEN alternative = 'conversion-available' THEN {_case('format', {f: t[0] for f, t in dims.CONVERTIBLE.items()})} END AS target FROM rec")
+@query(f"SELECT artifact_id, alternative AS kind, CASE WHEN alternative = 'sibling-present' THEN 'safetensors' WHEN alternative = 'conversion-available' THEN {_case('format', {f: t[0] for f, t in dims.CONVERTIBLE.items()})} END AS target FROM rec")
 def alternative(spark, d):
     return P.records(spark, d).select("artifact_id", "alternative.kind", "alternative.target")
 
@@ -466,9 +476,11 @@ def findings(spark, d):
 FAMILY = _case("kind", {k: dims.FAMILIES.index(f) for k, f in dims.FINDINGS.items()})
 
 
-@query(f"SELECT id, kind, disposition FROM find ORDER BY {_case('disposition', {x: i for i, x in enumerate(dims.DISPOSITIONS)})}, {FAMILY}, id LIMIT 200")
+@query(f"SELECT id, kind, disposition, row_number() OVER (ORDER BY {_case('disposition', {x: i for i, x in enumerate(dims.DISPOSITIONS)})}, {FAMILY}, id) AS place FROM find")
 def finding_rank(spark, d):
-    return R.findings(P.records(spark, d)).orderBy(*R.finding_rank()).select("id", "kind", "disposition").limit(200)
+    disposition, family, id_ = R.finding_rank()
+    rows = R.findings(P.records(spark, d)).select("kind", "disposition", disposition.alias("d"), family.alias("f"), id_.alias("id"))
+    return numbered(rows, ["d", "f", "id"], "place").select("id", "kind", "disposition", "place")
 
 
 @query("""
@@ -548,13 +560,21 @@ def search(spark, d):
     return explore.apply_filters(P.records(spark, d), explore.Filters(query="Economy code")).select("artifact_id")
 
 
-@query(f"SELECT artifact_id, row_number() OVER (ORDER BY {_case('behaviour', dims.DISPLAY)} * 10 - CASE WHEN privileged THEN 5 ELSE 0 END, artifact_id) AS place FROM rec ORDER BY place LIMIT 100")
-def sort_records(spark, d):
-    top = P.records(spark, d).orderBy(*explore.order_by("display")).select("artifact_id", "behaviour", "privileged").limit(100)
-    from pyspark.sql import Window
+SHOWN_ORDER = {
+    "display": f"{_case('behaviour', dims.DISPLAY)} * 10 - CASE WHEN privileged THEN 5 ELSE 0 END", "exposure": f"{_case('behaviour', dims.EXPOSURE)} * 2 + CASE WHEN privileged THEN 1 ELSE 0 END",
+    "artifact": "locator", "format": _case("format", dims.LABELS), "context": "CASE WHEN len(environments) = 0 THEN 'zzz' ELSE array_to_string(environments, ',') END", "evidence": "evidence_state",
+}
+
 
-    # a hundred rows are numbered
-    return top.select("artifact_id", F.row_number().over(Window.orderBy(*explore.order_by("display"))).cast("long").alias("place"))
+@query(" UNION ALL ".join(f"SELECT '{k}' AS key, artifact_id, row_number() OVER (ORDER BY {e} {'DESC' if k == 'exposure' else ''}, artifact_id) AS place FROM rec" for k, e in SHOWN_ORDER.items()))
+def sort_records(spark, d):
+    records = P.records(spark, d)
+    out = None
+    for key in SHOWN_ORDER:
+        of, _ = explore.order_keys(key)
+        rows = numbered(records.select((-of if key == "exposure" else of).alias("_key"), "artifact_id"), ["_key", "artifact_id"], "place").select(F.lit(key).alias("key"), "artifact_id", "place")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("SELECT file, count(*) AS sites, count(DISTINCT artifact_id) AS artifacts, any_value(environment) AS environment, any_value(privileged) AS privileged FROM res JOIN ctx USING (file) GROUP BY file")
