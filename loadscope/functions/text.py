@@ -117,3 +117,17 @@ def digest(content: Column, size: Column, cap: int, edge: int) -> Column:
 def bounded_text(content: Column, most: int) -> Column:
     """The first bytes as text; bytes that aren't UTF-8 become U+FFFD."""
     return F.make_valid_utf8(F.substring(content, 1, most).cast("string"))
+
+
+def elided(path: Column, most: int) -> Column:
+    """A path of at most so many characters: its middle gives way to an ellipsis, its last segment longest."""
+    name = basename(path)
+    room = F.greatest(F.lit(most) - F.length(name) - 2, F.lit(0))
+    short = F.when(F.length(name) + 2 > most, left_truncated(name, most)).otherwise(F.concat(F.left(path, room), F.lit("…/"), name))
+    return F.when(F.length(path) <= most, path).otherwise(short)
+
+
+def human_bytes(size: Column) -> Column:
+    """A size in the largest unit of 1024 that it reaches, with one decimal place above bytes."""
+    at = lambda unit, n: F.concat(F.format_string("%.1f", size / n), F.lit(f" {unit}"))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, at("KiB", 1 << 10)).when(size < 1 << 30, at("MiB", 1 << 20)).otherwise(at("GiB", 1 << 30))

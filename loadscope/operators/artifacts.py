@@ -54,7 +54,7 @@ def siblings(paths: DataFrame) -> DataFrame:
 
     Files of a stem are gathered once and each takes the others from the list, so no pair is formed.
     """
-    named = paths.select("path", dirname(F.col("path")).alias("folder"), stem(F.col("path")).alias("stem"), mapped(extname(F.col("path")), dims.BY_EXTENSION, "unknown").alias("format"))
+    named = paths.select("path", dirname(F.col("path")).alias("folder"), stem(F.col("path")).alias("stem"), mapped(extname(F.col("path")), dims.INFERRED, "unknown").alias("format"))
     known = named.where("format <> 'unknown'").groupBy("folder", "stem").agg(F.array_sort(F.collect_set(F.struct(F.col("path").alias("locator"), "format"))).alias("all"))
     found = named.join(known, ["folder", "stem"]).select("path", F.filter("all", lambda s: s["locator"] != F.col("path")).alias("siblings"))
     return found.where(F.size("siblings") > 0)

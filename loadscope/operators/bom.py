@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.functions.text import csv_cell, padded
 from loadscope.operators.columns import mapped
+from loadscope.operators.records import finding_cells
 from loadscope.plans import dims
 
 DEEPEST = 256
@@ -22,6 +25,7 @@ def rows(records: DataFrame) -> DataFrame:
     return records.select(
         "artifact_id", "locator", "origin", "format", mapped(F.col("format"), dims.LABELS, "").alias("label"), "basis", "digest", "behaviour", F.col("verdict.guard").alias("guard"),
         F.col("verdict.reason").alias("reason"), "sites", sorted_("environments").alias("environments"), "privileged", sorted_("bindings").alias("evidence"), F.col("alternative.kind").alias("alternative"),
+        sorted_("privileges").alias("privileges"), sorted_(F.transform(finding_cells(records), lambda f: f["kind"])).alias("findings"),
     )
 
 
@@ -43,17 +47,49 @@ def canonical_json(value: Any, depth: int = 0) -> str:
 def row_digests(bom: DataFrame) -> DataFrame:
     """(artifact_id, digest) of each row's canonical JSON."""
 
-    @F.udf("string")
-    def digest(row: Any) -> str:
-        return hashlib.sha256(canonical_json(row.asDict(recursive=True)).encode()).hexdigest()
+    @F.pandas_udf("string")
+    def digest(rows: pd.DataFrame) -> pd.Series:
+        plain = rows.astype(object).where(rows.notna(), None).to_dict("records")
+        return pd.Series([hashlib.sha256(canonical_json({k: v.item() if hasattr(v, "item") else v for k, v in r.items()}).encode()).hexdigest() for r in plain], dtype=object)
 
     return bom.select("artifact_id", digest(F.struct(*bom.columns)).alias("row_digest"))
 
 
+#: Leading hex digits by which row digests are first gathered; each further fold takes one digit away.
+FOLDED = 5
+
+
 def digest(bom: DataFrame) -> str:
-    """One digest of a whole bill: of its rows' digests by their first two digits, in order, so that no row reaches the driver."""
-    parts = row_digests(bom).groupBy(F.left("row_digest", F.lit(2)).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("row_digest")), ""), 256).alias("d"))
-    return hashlib.sha256("".join(f"{r['part']}{r['d']}" for r in parts.orderBy("part").collect()).encode()).hexdigest()
+    """One digest of a whole bill: a tree over its rows' digests in order, with a leaf for each FOLDED leading digits and sixteen branches above.
+
+    A leaf holds about a millionth of the rows, and neither rows nor leaves reach the driver.
+    """
+    parts = row_digests(bom).select(F.left("row_digest", F.lit(FOLDED)).alias("part"), F.col("row_digest").alias("d"))
+    for n in range(FOLDED, -1, -1):
+        parts = parts.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d")).select(F.left("part", F.lit(max(0, n - 1))).alias("part"), F.concat("part", "d").alias("d"))
+    row = parts.first()
+    return row["d"] if row else hashlib.sha256(b"").hexdigest()
+
+
+def document(bom: DataFrame, summary: dict[str, Any], project: str) -> Iterator[str]:
+    """The lines of a JSON document of a bill: project, summary, digest and entries in order of id, each as it arrives."""
+    head = {"schema": "loadscope/bill/1", "project": project, "summary": summary, "digest": digest(bom)}
+    yield canonical_json(head)[:-1] + ',"entries":['
+    first = True
+    for row in bom.orderBy("artifact_id").toLocalIterator():
+        yield ("" if first else ",") + canonical_json(row.asDict(recursive=True))
+        first = False
+    yield "]}"
+
+
+def cyclonedx_document(bom: DataFrame, project: str) -> Iterator[str]:
+    """The lines of a CycloneDX 1.6 document of a bill."""
+    yield '{"bomFormat":"CycloneDX","specVersion":"1.6","version":1,"metadata":{"component":{"type":"application","name":' + json.dumps(project) + '}},"components":['
+    first = True
+    for row in cyclonedx(bom).orderBy("artifact_id").toLocalIterator():
+        yield ("" if first else ",") + row["component"]
+        first = False
+    yield "]}"
 
 
 def csv_lines(bom: DataFrame) -> Column:

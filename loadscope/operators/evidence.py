@@ -47,3 +47,14 @@ def state(bindings: Column) -> Column:
 def gaps(records: DataFrame) -> DataFrame:
     """Artifacts of the tree without evidence that execute or might."""
     return records.where((F.col("evidence_state") == "absent") & (F.col("origin") == "in-tree") & F.col("behaviour").isin("code", "unknown"))
+
+
+def counts(evidence: DataFrame, records: DataFrame) -> DataFrame:
+    """(binding, records): evidence by its binding, and as absent the artifacts that lack it."""
+    bound = evidence.groupBy("binding").agg(F.count("*").alias("records"))
+    return bound.unionByName(gaps(records).agg(F.count("*").alias("records")).select(F.lit("absent").alias("binding"), "records"))
+
+
+def scanners(evidence: DataFrame) -> DataFrame:
+    """(scanner, records, artifacts): those that said something about an artifact; shown by name."""
+    return evidence.groupBy("scanner").agg(F.count("*").alias("records"), F.count_distinct("artifact_id").alias("artifacts"))

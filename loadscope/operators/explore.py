@@ -45,10 +45,35 @@ PRESETS = {
 }
 
 
+#: Stands between the fields that a search looks at, so that no word matches across two.
+BETWEEN = " \u0001 "
+
+
 def haystack() -> Column:
-    """All that a search looks at, in lower case."""
+    """All of a record that a search looks at, in lower case; its load sites are looked at by themselves."""
     label = mapped(F.col("format"), dims.LABELS, "")
-    return F.lower(F.concat_ws(" \u0001 ", F.col("artifact_id").cast("string"), "locator", "format", label, "behaviour", F.array_join("environments", " \u0001 ")))
+    named = lambda column, names: F.array_join(F.transform(column, lambda x: mapped(x, names, "")), BETWEEN)
+    joined = lambda column: F.array_join(column, BETWEEN)
+    return F.lower(F.concat_ws(
+        BETWEEN, F.col("artifact_id").cast("string"), "locator", F.substring_index("locator", "/", -1), "format", label, "behaviour", "verdict.reason", "alternative.kind", F.left("digest", F.lit(16)),
+        joined("environments"), named("environments", {e: x[0] for e, x in dims.ENVIRONMENTS.items()}), joined("privileges"), named("privileges", dims.PRIVILEGE_LABELS), joined("bindings"),
+    ))
+
+
+def search(records: DataFrame, sites: DataFrame, query: str) -> DataFrame:
+    """Records that have every word of the query, each in themselves or in one of their load sites (file, loader).
+
+    Sites are aggregated to one flag for each word and artifact before they are joined.
+    """
+    terms = query.lower().split()
+    if not terms:
+        return records
+    text = F.lower(F.concat_ws(BETWEEN, "file", "loader"))
+    inside = sites.where("artifact_id is not null").groupBy("artifact_id").agg(*[F.bool_or(F.contains(text, F.lit(t))).alias(f"_has{i}") for i, t in enumerate(terms)])
+    rows = records.join(inside, "artifact_id", "left")
+    for i, t in enumerate(terms):
+        rows = rows.where(F.contains(haystack(), F.lit(t)) | F.coalesce(f"_has{i}", F.lit(False)))
+    return rows.select(*records.columns)
 
 
 def conditions(filters: Filters) -> dict[str, Column]:
@@ -136,3 +161,50 @@ def boundary(records: DataFrame, findings: DataFrame) -> DataFrame:
     worst = findings.groupBy("artifact_id").agg(F.min(rank(F.col("disposition"), dims.DISPOSITIONS)).alias("r"))
     names = F.array(*[F.lit(d) for d in dims.DISPOSITIONS])
     return records.select("artifact_id").join(worst, "artifact_id", "left").select("artifact_id", F.coalesce(F.get(names, F.col("r")), F.lit("record")).alias("terminal"))
+
+
+def boundary_rows(records: DataFrame, findings: DataFrame, stripe: DataFrame, n: int = 9) -> DataFrame:
+    """(artifact_id, terminal, stage, at, state): the six cells and the terminal of the first n records of the shown order."""
+    first = top(records, "display", n)
+    return boundary(first, findings.join(first.select("artifact_id"), "artifact_id", "left_semi")).join(stripe, "artifact_id")
+
+
+def path_rows(sites: DataFrame, records: DataFrame) -> DataFrame:
+    """(file, enclosing, loader, artifact_id, locator, behaviour): each load from its file to what loading does."""
+    enclosing = F.col("enclosing") if "enclosing" in sites.columns else F.lit(None).cast("string")
+    return sites.select("file", enclosing.alias("enclosing"), "loader", "artifact_id", "verdict.behaviour").join(records.select("artifact_id", "locator"), "artifact_id", "left")
+
+
+def path_order() -> list[Column]:
+    """Order of loading files: those of privileged contexts first, then by path."""
+    return [F.coalesce("privileged", F.lit(False)).desc(), F.col("file").asc()]
+
+
+def subjects(findings: DataFrame, records: DataFrame) -> DataFrame:
+    """Findings with what they are about: locator, format and behaviour of the record."""
+    return findings.join(records.select("artifact_id", "locator", "format", "behaviour"), "artifact_id", "left")
+
+
+def visible(bill: DataFrame, records: DataFrame, filters: Filters) -> DataFrame:
+    """Rows of a bill whose record passes the filters."""
+    return bill.join(apply_filters(records, filters).select("artifact_id"), "artifact_id", "left_semi")
+
+
+def compared(records: DataFrame) -> DataFrame:
+    """(artifact_id, format, label, intrinsic, target, target_label, target_intrinsic): each migration's format beside the one it leads to."""
+    rows = records.where("alternative.target is not null").select("artifact_id", "format", F.col("alternative.target").alias("target"))
+    of = lambda c, values: mapped(F.col(c), values, "")
+    return rows.select("artifact_id", "format", of("format", dims.LABELS).alias("label"), of("format", dims.INTRINSIC).alias("intrinsic"), "target", of("target", dims.LABELS).alias("target_label"), of("target", dims.INTRINSIC).alias("target_intrinsic"))
+
+
+def commands(items: DataFrame, query: str, most: int = 60) -> DataFrame:
+    """The first commands (group, label, hint, place) that have every word of the query."""
+    text = F.lower(F.concat_ws(" ", "group", "label", "hint"))
+    for term in query.lower().split():
+        items = items.where(F.contains(text, F.lit(term)))
+    return items.orderBy("place").limit(most)
+
+
+def toggled_sort(key: str, descending: bool, wanted: str) -> tuple[str, bool]:
+    """The order after one is asked for: the same one turns round, another begins upwards."""
+    return (key, not descending) if key == wanted else (wanted, False)

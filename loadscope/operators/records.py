@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadscope.functions.text import dirname, join_path, stem
 from loadscope.operators import behaviour as B
 from loadscope.operators.columns import first_match, mapped, rank
 from loadscope.operators.evidence import BINDINGS, state
@@ -17,9 +18,11 @@ def build(artifacts: DataFrame, sites: DataFrame, contexts: DataFrame, evidence:
     sites have verdicts; order breaks ties between them. Sites meet their file's context and
     are then aggregated once, evidence likewise, so all joins to artifacts are one to one.
     """
-    known = contexts.select("file", "environment", F.col("privileged").alias("reaches"))
+    kinds = F.col("privileges") if "privileges" in contexts.columns else F.array().cast("array<string>")
+    known = contexts.select("file", "environment", F.col("privileged").alias("reaches"), kinds.alias("kinds"))
     loaded = sites.where("artifact_id is not null").join(known, "file", "left").groupBy("artifact_id").agg(
-        *B.headline_of(order), F.array_sort(F.collect_set("environment")).alias("environments"), F.bool_or("reaches").alias("privileged")
+        *B.headline_of(order), F.array_sort(F.collect_set("environment")).alias("environments"), F.bool_or("reaches").alias("privileged"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("privileges"),
     )
     loaded = loaded.withColumnRenamed("verdict", "headline")
     proof = evidence.groupBy("artifact_id").agg(
@@ -31,7 +34,7 @@ def build(artifacts: DataFrame, sites: DataFrame, contexts: DataFrame, evidence:
     nothing = F.array().cast("array<string>")
     rows = rows.select(
         *artifacts.columns, "verdict", F.col("verdict.behaviour").alias("behaviour"), F.coalesce("sites", F.lit(0)).cast("long").alias("sites"), "first_loader", "guardable",
-        F.coalesce("inconsistent", F.lit(False)).alias("inconsistent"), F.coalesce("environments", nothing).alias("environments"), F.coalesce("privileged", F.lit(False)).alias("privileged"),
+        F.coalesce("inconsistent", F.lit(False)).alias("inconsistent"), F.coalesce("environments", nothing).alias("environments"), F.coalesce("privileged", F.lit(False)).alias("privileged"), F.coalesce("privileges", nothing).alias("privileges"),
         F.coalesce("bindings", nothing).alias("bindings"), F.coalesce("current_flagged", F.lit(False)).alias("current_flagged"), F.coalesce("evidence", F.lit(0)).cast("long").alias("evidence"),
         *[F.coalesce(f"evidence_{b}", F.lit(0)).cast("long").alias(f"evidence_{b}") for b in BINDINGS],
     )
@@ -53,8 +56,26 @@ def alternative(records: DataFrame) -> Column:
     ).otherwise(made("none-identified"))
 
 
-def findings(records: DataFrame) -> DataFrame:
-    """(id, artifact_id, kind, disposition): every finding of every record."""
+def change(records: DataFrame) -> Column:
+    """What an alternative asks for, in words; null where there is none.
+
+    A guard is named with the loader, a conversion with the path it would be written to; of a
+    declaration it is said that its format isn't what bounds it.
+    """
+    folder, base = dirname(F.col("locator")), stem(F.col("locator"))
+    target, kind = F.col("alternative.target"), F.col("alternative.kind")
+    written = F.concat(join_path(folder, base), F.lit("."), target)
+    return first_match(
+        (kind == "sibling-present", F.concat(F.lit("load the "), target, F.lit(" file beside it"))),
+        (kind == "loader-guard-available", F.concat(F.lit("pass "), mapped(F.col("guardable"), dims.GUARDS), F.lit(" to "), F.col("guardable"))),
+        (kind == "conversion-available", F.concat(F.lit("load "), F.col("locator"), F.lit(" once where nothing is at stake and write "), written)),
+        (F.col("format") == "mcp-server-manifest", F.lit("pin the server and narrow what it may reach")),
+        (F.col("behaviour") == "directive", F.lit("narrow what it is granted")),
+    )
+
+
+def finding_cells(records: DataFrame) -> Column:
+    """An array of the (kind, disposition) of a record's findings."""
     b, reason, kind = F.col("behaviour"), F.col("verdict.reason"), F.col("alternative.kind")
     code = b == "code"
     matters = F.arrays_overlap("environments", F.array(*[F.lit(e) for e in dims.MATTERING]))
@@ -78,8 +99,12 @@ def findings(records: DataFrame) -> DataFrame:
         ("unresolved-context", "review", F.array_contains("environments", "unresolved") & (b != "data")),
         ("extension-mismatch", "review", F.col("mismatch")),
     ]
-    found = F.filter(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(d).alias("disposition"))) for k, d, c in rules]), lambda f: f.isNotNull())
-    rows = records.select("artifact_id", F.explode(found).alias("f"))
+    return F.filter(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind"), F.lit(d).alias("disposition"))) for k, d, c in rules]), lambda f: f.isNotNull())
+
+
+def findings(records: DataFrame) -> DataFrame:
+    """(id, artifact_id, kind, disposition): every finding of every record."""
+    rows = records.select("artifact_id", F.explode(finding_cells(records)).alias("f"))
     return rows.select(F.concat_ws(":", "f.kind", F.col("artifact_id").cast("string")).alias("id"), "artifact_id", "f.kind", "f.disposition")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadscope.operators.columns import mapped
 from loadscope.plans import dims
 
 
@@ -40,6 +41,34 @@ def summary(records: DataFrame) -> DataFrame:
     )
 
 
+def orphans(sites: DataFrame) -> DataFrame:
+    """(behaviour, reason, sites): load sites that no artifact answers to, by what is known of them."""
+    return sites.where("artifact_id is null").groupBy("verdict.behaviour", "verdict.reason").agg(F.count("*").alias("sites"))
+
+
+def by_format(records: DataFrame) -> DataFrame:
+    """(label, artifacts); shown the most frequent first, then by label."""
+    return records.groupBy(mapped(F.col("format"), dims.LABELS, "").alias("label")).agg(F.count("*").alias("artifacts"))
+
+
+def by_environment(records: DataFrame) -> DataFrame:
+    """(environment, label, short, artifacts): an artifact counts once in each of its environments."""
+    counts = records.select(F.explode(environments()).alias("environment")).groupBy("environment").agg(F.count("*").alias("artifacts"))
+    name = lambda k: mapped(F.col("environment"), {e: x[k] for e, x in dims.ENVIRONMENTS.items()}, "")
+    return counts.select("environment", name(0).alias("label"), name(1).alias("short"), "artifacts")
+
+
+def by_privilege(records: DataFrame) -> DataFrame:
+    """(privilege, label, artifacts): what the files that load an artifact can reach."""
+    counts = records.select(F.explode("privileges").alias("privilege")).groupBy("privilege").agg(F.count("*").alias("artifacts"))
+    return counts.select("privilege", mapped(F.col("privilege"), dims.PRIVILEGE_LABELS, "").alias("label"), "artifacts")
+
+
+def frequent(counts: DataFrame, name: str) -> DataFrame:
+    """Counts in their shown order: the most frequent first, then by name."""
+    return counts.orderBy(F.desc("artifacts"), name)
+
+
 def indicators(records: DataFrame) -> DataFrame:
     """(indicator, value, of): the counts that are shown, with what they are a part of."""
     shown = [("code", "artifacts"), ("unknown", "artifacts"), ("directive", "artifacts"), ("guarded", "artifacts"), ("data", "artifacts"), ("privileged", "code"), ("migrations", "artifacts"), ("stale", "evidence")]

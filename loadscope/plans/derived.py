@@ -71,10 +71,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, environment, basis, privileged)"""
+    """(file, environment, basis, privileged, privileges)"""
     frameworks = F.when(F.col("suppkey") % 4 == 0, F.array(F.lit("flask"))).when(F.col("suppkey") % 4 == 1, F.array(F.lit("mlflow"))).otherwise(F.array().cast("array<string>"))
     found = C.environment(F.col("file"), frameworks, DECLARED)
-    return files(spark, sf_dir).select("file", found.alias("e"), (F.col("s_acctbal") < 0).alias("privileged")).select("file", "e.environment", "e.basis", "privileged")
+    kinds = F.array_compact(F.array(F.when(F.col("suppkey") % 6 == 1, "network-egress"), F.when(F.col("s_acctbal") < 0, "secret-material")))
+    return files(spark, sf_dir).select("file", found.alias("e"), (F.col("s_acctbal") < 0).alias("privileged"), kinds.alias("privileges")).select("file", "e.environment", "e.basis", "privileged", "privileges")
 
 
 def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +128,7 @@ def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("o_orderkey") % 7
     subject = F.when(o == 0, F.concat(F.lit("repo/"), F.col("locator"))).when(o == 1, F.substring_index("locator", "/", -2)).when(o == 2, F.concat(F.lit("x/"), F.substring_index("locator", "/", -1))).when(o == 3, F.substring_index("locator", "/", -1)).otherwise(F.col("locator"))
     d = F.when(F.col("o_orderkey") % 97 == 5, F.sha2(F.col("d"), 256)).when(F.col("o_orderstatus") != "P", F.left(F.upper("d"), F.lit(20)))
-    return rows.select(F.col("o_orderkey").alias("seq"), subject.alias("subject"), d.alias("subject_digest"), F.when(F.col("o_orderpriority").startswith("1"), "flagged").when(F.col("o_orderpriority").startswith("2"), "error").otherwise("pass").alias("result"))
+    return rows.select(F.col("o_orderkey").alias("seq"), subject.alias("subject"), d.alias("subject_digest"), F.when(F.col("o_orderpriority").startswith("1"), "flagged").when(F.col("o_orderpriority").startswith("2"), "error").otherwise("pass").alias("result"), F.concat(F.lit("scanner"), (F.col("o_orderkey") % 5).cast("string")).alias("scanner"))
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

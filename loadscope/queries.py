@@ -18,7 +18,7 @@ from loadscope.operators import diff as DF
 from loadscope.operators import evidence as E
 from loadscope.operators import records as R
 from loadscope.operators import summary as S
-from loadscope.operators.numbering import numbered
+from loadscope.operators.numbering import numbered, numbered_within
 from loadscope.plans import derived as P
 from loadscope.plans import dims
 
@@ -67,7 +67,7 @@ fil AS (
     || replace(s_name, '#', '-') || CASE WHEN s_suppkey % 9 = 4 THEN '.ipynb' ELSE '.py' END) AS file
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 ctx AS (
-  SELECT file, s_acctbal < 0 AS privileged, CASE WHEN file LIKE 'africa/%' THEN 'production' WHEN regexp_matches(file, '^america/[^/]*1/') THEN 'staging'
+  SELECT file, s_acctbal < 0 AS privileged, list_filter([CASE WHEN suppkey % 6 = 1 THEN 'network-egress' END, CASE WHEN s_acctbal < 0 THEN 'secret-material' END], lambda x: x IS NOT NULL) AS kinds, CASE WHEN file LIKE 'africa/%' THEN 'production' WHEN regexp_matches(file, '^america/[^/]*1/') THEN 'staging'
     WHEN file LIKE '%.ipynb' THEN 'notebook' WHEN regexp_matches(file, '(^|/)test_[^/]*[.]py$') THEN 'test' WHEN suppkey % 4 = 0 THEN 'service' ELSE 'unresolved' END AS environment,
     CASE WHEN file LIKE 'africa/%' OR regexp_matches(file, '^america/[^/]*1/') THEN 'declared' WHEN file LIKE '%.ipynb' OR regexp_matches(file, '(^|/)test_[^/]*[.]py$') THEN 'path'
     WHEN suppkey % 4 = 0 THEN 'framework' ELSE 'unresolved' END AS basis FROM fil),
@@ -108,10 +108,11 @@ head AS (
   SELECT artifact_id, arg_min(verdict, (-({EXPOSURE}), {SITE_ORDER})) AS verdict, arg_min(loader, ({SITE_ORDER})) AS first_loader, count(*) AS sites, count(DISTINCT verdict.b) > 1 AS inconsistent,
     count(*) FILTER (loader IN {_in(dims.GUARDS)}) > 0 AS guardable FROM res WHERE artifact_id IS NOT NULL GROUP BY artifact_id),
 act AS (SELECT artifact_id, environment, bool_or(privileged) AS privileged FROM (SELECT DISTINCT artifact_id, file FROM res WHERE artifact_id IS NOT NULL) JOIN ctx USING (file) GROUP BY ALL),
+priv AS (SELECT artifact_id, array_to_string(list_sort(list_distinct(flatten(list(kinds)))), ',') AS privileges FROM (SELECT DISTINCT artifact_id, file FROM res WHERE artifact_id IS NOT NULL) JOIN ctx USING (file) GROUP BY artifact_id),
 envs AS (SELECT artifact_id, list(environment ORDER BY environment) AS environments, bool_or(privileged) AS privileged FROM act GROUP BY artifact_id),
 scn AS (
   SELECT o_orderkey AS seq, CASE o_orderkey % 7 WHEN 0 THEN 'repo/' || locator WHEN 1 THEN array_to_string(string_split(locator, '/')[-2:], '/') WHEN 2 THEN 'x/' || string_split(locator, '/')[-1] WHEN 3 THEN string_split(locator, '/')[-1] ELSE locator END AS subject,
-    CASE WHEN o_orderkey % 97 = 5 THEN sha256(digest) WHEN o_orderstatus <> 'P' THEN upper(digest)[:20] END AS subject_digest, CASE left(o_orderpriority, 1) WHEN '1' THEN 'flagged' WHEN '2' THEN 'error' ELSE 'pass' END AS result
+    CASE WHEN o_orderkey % 97 = 5 THEN sha256(digest) WHEN o_orderstatus <> 'P' THEN upper(digest)[:20] END AS subject_digest, CASE left(o_orderpriority, 1) WHEN '1' THEN 'flagged' WHEN '2' THEN 'error' ELSE 'pass' END AS result, 'scanner' || (o_orderkey % 5) AS scanner
   FROM (SELECT *, o_orderkey % (SELECT count(*) FROM part) AS k FROM orders) JOIN art ON CASE WHEN k % 6 = 5 THEN k - 1 ELSE k END = artifact_id),
 met AS (
   SELECT subject, artifact_id, locator = subject AS exact, ends_with(subject, '/' || locator) OR ends_with(locator, '/' || subject) AS tail
@@ -442,7 +443,7 @@ def inconsistent(spark, d):
 
 @query("SELECT file, environment, basis, privileged FROM ctx")
 def context_classify(spark, d):
-    return P.contexts(spark, d)
+    return P.contexts(spark, d).drop("privileges")
 
 
 @query("SELECT artifact_id, environment, privileged FROM act")
@@ -555,9 +556,17 @@ def facet_counts(spark, d):
     return explore.facet_counts(P.records(spark, d), FILTERS)
 
 
-@query("SELECT artifact_id FROM rec WHERE contains(lower(locator), 'economy') AND (behaviour = 'code' OR contains(lower(locator), 'code') OR contains(format, 'code') OR list_contains(environments, 'code'))")
+HAY = f"""lower(concat_ws(' | ', artifact_id::VARCHAR, locator, format, {_case("format", dims.LABELS)}, behaviour, verdict.r, alternative, left(digest, 16), array_to_string(environments, ' | '),
+  array_to_string(list_transform(environments, lambda e: {_case("e", {k: v[0] for k, v in dims.ENVIRONMENTS.items()})}), ' | '), privileges,
+  CASE WHEN contains(privileges, 'network') THEN 'Network egress' END, CASE WHEN contains(privileges, 'secret') THEN 'Secret material' END, array_to_string(bindings, ' | ')))"""
+
+
+@query(f"""
+, hay AS (SELECT artifact_id, {HAY} AS h FROM rec LEFT JOIN priv USING (artifact_id)),
+seen AS (SELECT artifact_id, bool_or(contains(lower(file), 'asia')) AS a, bool_or(contains(lower(loader), 'torch')) AS b FROM res WHERE artifact_id IS NOT NULL GROUP BY artifact_id)
+SELECT artifact_id FROM hay LEFT JOIN seen USING (artifact_id) WHERE (contains(h, 'asia') OR coalesce(a, false)) AND (contains(h, 'torch') OR coalesce(b, false)) AND contains(h, 'egress')""")
 def search(spark, d):
-    return explore.apply_filters(P.records(spark, d), explore.Filters(query="Economy code")).select("artifact_id")
+    return explore.search(P.records(spark, d), P.sites(spark, d), "Asia torch egress").select("artifact_id")
 
 
 SHOWN_ORDER = {
@@ -606,7 +615,7 @@ def site_numbers(spark, d):
 # ---- bills ----
 
 
-@query(f"SELECT artifact_id, locator, origin, format, {_case('format', dims.LABELS)} AS label, basis, digest, behaviour, verdict.g AS guard, verdict.r AS reason, sites, array_to_string(environments, ',') AS environments, privileged, array_to_string(list_sort(list_distinct(bindings)), ',') AS evidence, alternative FROM rec")
+@query(f"SELECT artifact_id, locator, origin, format, {_case('format', dims.LABELS)} AS label, basis, digest, behaviour, verdict.g AS guard, verdict.r AS reason, sites, array_to_string(environments, ',') AS environments, privileged, array_to_string(list_sort(list_distinct(bindings)), ',') AS evidence, alternative, coalesce(privileges, '') AS privileges, coalesce(findings, '') AS findings FROM rec LEFT JOIN priv USING (artifact_id) LEFT JOIN (SELECT artifact_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS findings FROM find GROUP BY artifact_id) USING (artifact_id)")
 def bom_rows(spark, d):
     return bom.rows(P.records(spark, d))
 
@@ -634,6 +643,113 @@ def diff_rank(spark, d):
     return DF.ranked(DF.changes(*P.bills(spark, d)))
 
 
+# ---- counts, orders and views ----
+
+
+@query(f"SELECT {_case('format', dims.LABELS)} AS label, count(*) AS artifacts FROM rec GROUP BY 1")
+def summary_formats(spark, d):
+    return S.by_format(P.records(spark, d))
+
+
+@query(f"SELECT environment, {_case('environment', {k: v[0] for k, v in dims.ENVIRONMENTS.items()})} AS label, {_case('environment', {k: v[1] for k, v in dims.ENVIRONMENTS.items()})} AS short, count(*) AS artifacts FROM (SELECT unnest(shown) AS environment FROM rec) GROUP BY environment")
+def summary_environments(spark, d):
+    return S.by_environment(P.records(spark, d))
+
+
+@query(f"SELECT privilege, {_case('privilege', dims.PRIVILEGE_LABELS)} AS label, count(*) AS artifacts FROM (SELECT unnest(string_split(privileges, ',')) AS privilege FROM priv WHERE privileges <> '') GROUP BY privilege")
+def summary_privileges(spark, d):
+    return S.by_privilege(P.records(spark, d))
+
+
+@query("SELECT verdict.b AS behaviour, verdict.r AS reason, count(*) AS sites FROM res WHERE artifact_id IS NULL GROUP BY ALL")
+def orphan_sites(spark, d):
+    return S.orphans(P.resolved(spark, d))
+
+
+@query("SELECT binding, count(*) AS records FROM ev GROUP BY 1 UNION ALL SELECT 'absent', count(*) FROM rec WHERE evidence_state = 'absent' AND origin = 'in-tree' AND behaviour IN ('code', 'unknown')")
+def evidence_counts(spark, d):
+    return E.counts(P.evidence(spark, d), P.records(spark, d))
+
+
+@query("SELECT scanner, count(*) AS records, count(DISTINCT artifact_id) AS artifacts FROM ev GROUP BY scanner")
+def evidence_scanners(spark, d):
+    return E.scanners(P.evidence(spark, d))
+
+
+@query("SELECT 'ev-' || row_number() OVER (ORDER BY seq) AS id, seq, subject FROM scn")
+def evidence_numbers(spark, d):
+    return numbered(P.scanned(spark, d).select("seq", "subject"), ["seq"], "id", "ev-")
+
+
+@query(f"SELECT artifact_id, file, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY artifact_id ORDER BY file, {SITE_ORDER}) AS place FROM sit WHERE artifact_id IS NOT NULL")
+def site_order(spark, d):
+    rows = P.sites(spark, d).where("artifact_id is not null").select("artifact_id", "file", *P.ORDER)
+    return numbered_within(rows, ["artifact_id"], ["file", *P.ORDER], "place").select("artifact_id", "file", "l_orderkey", "l_linenumber", "place")
+
+
+@query(f"""
+, l AS (SELECT doc_id, unnest(lines) AS words, generate_subscripts(lines, 1) AS line FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS lines FROM documents)),
+h AS ({" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, '{n}' AS label, line FROM l WHERE length(words) <= 4000 AND regexp_matches(words, '{p}')" for k, n, p in SIGNALS)})
+SELECT file, kind, label, row_number() OVER (PARTITION BY file ORDER BY kind, line, label) AS place FROM (SELECT doc_id::VARCHAR AS file, kind, label, min(line) AS line FROM h GROUP BY ALL)""")
+def privilege_order(spark, d):
+    found = C.signals(P.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), SIGNALS)
+    return numbered_within(found.select("file", "kind", "line", "label"), ["file"], ["kind", "line", "label"], "place").select("file", "kind", "label", "place")
+
+
+@query("SELECT file, row_number() OVER (ORDER BY NOT any_value(privileged), file) AS place FROM res JOIN ctx USING (file) GROUP BY file")
+def loadpath_order(spark, d):
+    rows = explore.load_paths(P.resolved(spark, d), P.contexts(spark, d)).select((~F.col("privileged")).alias("_later"), "file")
+    return numbered(rows, ["_later", "file"], "place").select("file", "place")
+
+
+@query("SELECT file, loader, artifact_id, locator, verdict.b AS behaviour, count(*) AS sites FROM res LEFT JOIN (SELECT artifact_id, locator FROM art) USING (artifact_id) GROUP BY ALL")
+def loadpath_rows(spark, d):
+    rows = explore.path_rows(P.resolved(spark, d), P.artifacts(spark, d))
+    return rows.groupBy("file", "loader", "artifact_id", "locator", "behaviour").agg(F.count("*").alias("sites"))
+
+
+@query("SELECT id, locator, format, behaviour FROM find JOIN rec USING (artifact_id)")
+def finding_subjects(spark, d):
+    records = P.records(spark, d)
+    return explore.subjects(R.findings(records), records).select("id", "locator", "format", "behaviour")
+
+
+@query(f"SELECT artifact_id, locator FROM rec WHERE {' AND '.join(HELD.values())}")
+def bom_visible(spark, d):
+    records = P.records(spark, d)
+    return explore.visible(records.select("artifact_id", "locator"), records, FILTERS)
+
+
+CONVERTED = _case("format", {f: t[0] for f, t in dims.CONVERTIBLE.items()})
+
+
+@query(f"""SELECT artifact_id, format, {_case("format", dims.LABELS)} AS label, {_case("format", dims.INTRINSIC)} AS intrinsic, target, {_case("target", dims.LABELS)} AS target_label, {_case("target", dims.INTRINSIC)} AS target_intrinsic
+FROM (SELECT *, CASE WHEN alternative = 'sibling-present' THEN 'safetensors' WHEN alternative = 'conversion-available' THEN {CONVERTED} END AS target FROM rec) WHERE target IS NOT NULL""")
+def format_comparison(spark, d):
+    return explore.compared(P.records(spark, d))
+
+
+FIRST_GUARDED = f"(SELECT artifact_id, arg_min(loader, ({SITE_ORDER})) AS guarded FROM res WHERE artifact_id IS NOT NULL AND loader IN {_in(dims.GUARDS)} GROUP BY artifact_id)"
+
+
+@query(f"""SELECT artifact_id, CASE WHEN alternative = 'sibling-present' THEN 'load the safetensors file beside it' WHEN alternative = 'loader-guard-available' THEN 'pass ' || {_case("guarded", dims.GUARDS)} || ' to ' || guarded
+  WHEN alternative = 'conversion-available' THEN 'load ' || locator || ' once where nothing is at stake and write ' || regexp_replace(locator, '[.][^./]*$', '') || '.' || {CONVERTED}
+  WHEN format = 'mcp-server-manifest' THEN 'pin the server and narrow what it may reach' WHEN behaviour = 'directive' THEN 'narrow what it is granted' END AS change FROM rec LEFT JOIN {FIRST_GUARDED} USING (artifact_id)""")
+def alternative_change(spark, d):
+    records = P.records(spark, d)
+    return records.select("artifact_id", R.change(records).alias("change"))
+
+
+@query("SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f KiB', n / 1024) END AS size FROM (SELECT page_id, strlen(html) AS n FROM pages)")
+def human_sizes(spark, d):
+    return P.table(spark, d, "pages").select("page_id", X.human_bytes(F.octet_length("html").cast("long")).alias("size"))
+
+
+@query("SELECT artifact_id, CASE WHEN length(locator) <= 30 THEN locator WHEN length(name) + 2 > 30 THEN '…' || right(name, 29) ELSE left(locator, greatest(30 - length(name) - 2, 0)::BIGINT) || '…/' || name END AS shown FROM (SELECT *, string_split(locator, '/')[-1] AS name FROM art)")
+def elided_paths(spark, d):
+    return P.artifacts(spark, d).select("artifact_id", X.elided(F.col("locator"), 30).alias("shown"))
+
+
 # ---- graph ----
 
 HOPS = ", hop AS (SELECT DISTINCT 'env:' || environment AS e, 'file:' || file AS f, 'loader:' || file || '#' || loader AS l, 'artifact:' || artifact_id AS a, verdict.b AS behaviour, privileged FROM res JOIN ctx USING (file) WHERE artifact_id IS NOT NULL)"

@@ -151,3 +151,8 @@ def classified(probed: DataFrame) -> DataFrame:
 
 def notable(names: Column) -> Column:
     return F.filter(names, lambda g: g.isin(NOTABLE_CALLABLES))
+
+
+def notable_first(names: Column) -> Column:
+    """The same names, the notable ones first, otherwise in their order."""
+    return F.concat(notable(names), F.filter(names, lambda g: ~g.isin(NOTABLE_CALLABLES)))

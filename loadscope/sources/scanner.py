@@ -8,7 +8,7 @@ imports and matched against the loader rules; arguments are split at top-level c
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +28,7 @@ PY_IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+([\w.]+)[ \t]+import[ \t]+\(?([^\n)
 JS_IMPORT = re.compile(r"import\s+(?:\*\s+as\s+(\w+)|\{([^}]*)\}|(\w+))\s+from\s+(['\"])([^'\"]+)\4|(?:const|let|var)\s+(?:\{([^}]*)\}|(\w+))\s*=\s*require\(\s*(['\"])([^'\"]+)\8\s*\)")
 BINDING = re.compile(r"^[ \t]*(?:const |let |var )?([A-Za-z_]\w*)[ \t]*=(?!=)[ \t]*([^\n]+)|\bwith[ \t]+(open\([^\n]*\))[ \t]+as[ \t]+(\w+)", re.M)
 SCOPE = re.compile(r"^([ \t]*)(?:async[ \t]+)?(?:def|class|function)[ \t]+([A-Za-z_]\w*)", re.M)
+FORMATTED = re.compile(r"[fF][rR]?(\"\"\"|'''|\"|')(.*)\1\Z", re.S)
 QUOTED = re.compile(r"[rRbBuU]{0,2}(\"\"\"|'''|\"|'|`)(.*)\1\Z", re.S)
 ROW = "file string, line int, pos int, enclosing string, loader string, canonical string, snippet string, args map<string,string>, target string, literal string"
 
@@ -52,17 +53,27 @@ def mask(text: str, python: bool) -> str:
     return "".join([*out, text[at:]])
 
 
+CLOSER = {"(": ")", "[": "]", "{": "}"}
+
+
 def brackets(masked: str) -> tuple[list[tuple[int, int]], dict[int, int]]:
-    """Round brackets that open, each with the end of what stands before it; and where each closes, any kind closing any."""
+    """Round brackets that open, each with the end of what stands before it; and where each closes.
+
+    A closer of another kind than the innermost open bracket leaves that bracket and all
+    around it without an end.
+    """
     opened, closes, stack, last = [], {}, [], 0
     for m in BRACKET.finditer(masked):
         at = m.start()
-        if m[0] in "([{":
+        if m[0] in CLOSER:
             if m[0] == "(":
                 opened.append((last, at))
             stack.append(at)
         elif stack:
-            closes[stack.pop()] = at
+            if CLOSER[masked[stack[-1]]] == m[0]:
+                closes[stack.pop()] = at
+            else:
+                stack.clear()
         last = at + 1
     return opened, closes
 
@@ -123,6 +134,17 @@ def canonical(name: str, known: dict[str, str]) -> str:
     return name
 
 
+# What the constants of both languages are as literals.
+CONSTANTS = {"True": "true", "true": "true", "False": "false", "false": "false", "None": "none", "null": "none", "undefined": "none"}
+
+
+def folded(value: str) -> str:
+    """A constant or plain string as its value, anything else as it is written."""
+    if (m := QUOTED.fullmatch(value)) and m[1] not in m[2] and "\\" not in m[2]:
+        return m[2]
+    return CONSTANTS.get(value, value)
+
+
 @lru_cache(1)
 def _rules() -> list[tuple[str, str, list[int], list[str], re.Pattern]]:
     return [(i, eco, positions, keywords, re.compile(p)) for i, eco, positions, keywords, p in LOADERS]
@@ -140,25 +162,45 @@ class Source:
         for m in BINDING.finditer(self.masked):
             name, (s, e) = (m[1], m.span(2)) if m[1] else (m[4], m.span(3))
             self.bound.setdefault(name, []).append((self.line(m.start()), text[s:e].split("#")[0].strip().rstrip(";") if python else text[s:e].strip().rstrip(";")))
+        self.starts = {name: [n for n, _ in rows] for name, rows in self.bound.items()}
         self.scopes = [(m.start(), len(m[1].replace("\t", "    ")), m[2]) for m in SCOPE.finditer(self.masked)]
+        self.passed, self.deep = 0, []
 
     def line(self, at: int) -> int:
         return bisect_right(self.lines, at)
 
     def enclosing(self, at: int) -> str | None:
-        start = self.lines[self.line(at) - 1]
-        head = re.match(r"[ \t]*", self.text[start:])[0]
-        indent = len(head.replace("\t", "    "))
-        found = [(depth, s, name) for s, depth, name in self.scopes if s <= at and depth < indent]
-        return max(found)[2] if found else None
+        """The scope around a place; places have to be asked for in rising order.
+
+        In Python that is the most indented of the scopes before it that are less indented, of
+        equals the last. Scopes are kept by rising indentation: of those less indented than a new
+        one none can win against it later, unless the place is no deeper than the new one itself,
+        so each indentation keeps its last scope. Elsewhere it is the last function before.
+        """
+        while self.passed < len(self.scopes) and self.scopes[self.passed][0] <= at:
+            _, depth, name = self.scopes[self.passed]
+            k = bisect_left(self.deep, (depth,))
+            if k < len(self.deep) and self.deep[k][0] == depth:
+                self.deep[k] = (depth, name)
+            else:
+                self.deep.insert(k, (depth, name))
+            self.passed += 1
+        if not self.python:
+            return self.scopes[self.passed - 1][2] if self.passed else None
+        head = re.compile(r"[ \t]*").match(self.text, self.lines[self.line(at) - 1])[0]
+        k = bisect_left(self.deep, (len(head.replace("\t", "    ")),))
+        return self.deep[k - 1][1] if k else None
 
     def nearest(self, name: str, line: int) -> str | None:
         """What a name was bound to last by this line, or else first after it."""
         rows = self.bound.get(name)
-        if not rows:
-            return None
-        k = bisect_right([n for n, _ in rows], line)
-        return rows[max(0, k - 1)][1]
+        return rows[max(0, bisect_right(self.starts[name], line) - 1)][1] if rows else None
+
+    def formatted(self, body: str, again) -> str | None:
+        """An f-string's text if all that it puts in is certain."""
+        parts = re.split(r"(\{\{|\}\}|\{[^{}]*\})", body)
+        out = [again(p[1:-1].split(":")[0].split("!")[0]) if p.startswith("{") and p != "{{" else p[0] if p in ("{{", "}}") else p for p in parts]
+        return None if None in out or any(c in p for p, o in zip(parts, out, strict=True) for c in "{}" if p is o) else "".join(out)
 
     def path(self, expr: str, line: int, depth: int = 0) -> str | None:
         """A path that an expression certainly is, or null."""
@@ -168,6 +210,8 @@ class Source:
         again = lambda e: self.path(e, line, depth + 1)
         if (m := QUOTED.fullmatch(expr)) and m[1] not in m[2]:
             return m[2] if "\\" not in m[2] or expr[0] in "rR" else re.sub(r"\\(.)", lambda x: {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}.get(x[1], x[1]), m[2])
+        if self.python and (m := FORMATTED.fullmatch(expr)) and m[1] not in m[2]:
+            return self.formatted(m[2], again)
         if re.fullmatch(r"[A-Za-z_]\w*", expr):
             found = self.nearest(expr, line)
             return again(found) if found and found != expr else None
@@ -202,9 +246,9 @@ class Source:
             for part in parts:
                 k = re.match(r"([A-Za-z_]\w*)\s*[=:](?!=)\s*(.*)\Z", part, re.S) if self.python else None
                 if k:
-                    named[k[1]] = k[2].strip()
+                    named[k[1]] = folded(k[2].strip())
                 elif not self.python and part.startswith("{"):
-                    named |= {a.strip("\"' "): b.strip() for a, _, b in (x.partition(":") for x in split_top(part[1:-1], mask(part[1:-1], False))) if b}
+                    named |= {a.strip("\"' "): folded(b.strip()) for a, _, b in (x.partition(":") for x in split_top(part[1:-1], mask(part[1:-1], False))) if b}
                 else:
                     plain.append(part)
             target = next((named[k] for k in keywords if k in named), None) or next((plain[p] for p in positions if p < len(plain)), None)
@@ -213,6 +257,25 @@ class Source:
             yield file, line, at, self.enclosing(at), loader, name, snippet, named, target, self.path(target, line) if target else None
 
 
+def imports(files: DataFrame) -> DataFrame:
+    """(file, names): the sorted distinct modules that each source file (path, text) imports."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                python = path.endswith((".py", ".pyi", ".ipynb"))
+                masked = mask(text or "", python)
+                if python:
+                    found = {n for module, _, whole in PY_IMPORT.findall(masked) for n in ([module] if module else [w.split()[0] for w in whole.split(",") if w.split()])}
+                else:
+                    found = {m[5] or m[9] for m in JS_IMPORT.finditer(text or "")}
+                rows.append((path, sorted(found)))
+            yield pd.DataFrame(rows, columns=["file", "names"])
+
+    return files.select("path", "text").where("path is not null").mapInPandas(run, "file string, names array<string>")
+
+
 def scan(files: DataFrame) -> DataFrame:
     """Loader calls of source files (path, text), one row each; the ecosystem is told from the extension. Null texts have none."""
 

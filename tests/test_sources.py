@@ -36,7 +36,7 @@ def calls(text, python=True):
 def test_python_calls():
     assert calls(PY) == [
         (7, "serve", "pickle.load", {}, "a/b.pkl"),
-        (8, "serve", "torch.load", {"weights_only": "False"}, "models/x.pt"),
+        (8, "serve", "torch.load", {"weights_only": "false"}, "models/x.pt"),
         (11, "go", "joblib.load", {}, "models/z.joblib"),
     ]
 
@@ -53,10 +53,52 @@ def test_scan_is_linear(text):
     assert time.time() - began < 20
 
 
+@pytest.mark.parametrize(
+    ("expr", "want"),
+    [('f"models/{NAME}.pt"', "models/m.pt"), ('f"{ROOT}/{NAME:>3}"', "w/m"), ('f"a{{b}}"', "a{b}"), ('f"x{other()}"', None), ('f"x{NAME"', None), ('f"x{unknown}"', None), ('Path(f"{ROOT}") / NAME', "w/m"), ("unknown", None)],
+)
+def test_formatted_strings_are_folded(expr, want):
+    found = calls(f'import torch\nROOT = "w"\nNAME = "m"\ntorch.load({expr})\n')
+    assert [c[4] for c in found] == [want]
+
+
+def test_brackets_of_other_kinds_give_no_call():
+    assert calls("import torch\ntorch.load(x]\n") == [] and len(calls("import torch\ntorch.load(x)\ntorch.load([y)\n")) == 1
+
+
+def test_scopes_of_places():
+    text = "import torch\ndef a():\n    class B:\n        def c(self):\n            torch.load(1)\n        torch.load(2)\n    torch.load(3)\ntorch.load(4)\ndef d():\n    torch.load(5)\n"
+    brute = []
+    source = scanner.Source(text, True)
+    for c in calls(text):
+        at = source.lines[c[0] - 1]
+        indent = len(text[at:]) - len(text[at:].lstrip(" "))
+        held = [(depth, s, name) for s, depth, name in source.scopes if s <= at + indent and depth < indent]
+        brute.append(max(held)[2] if held else None)
+    assert [c[1] for c in calls(text)] == brute
+    js = "function a() {\n  tf.loadGraphModel('x')\n}\ntf.loadGraphModel('y')\n"
+    assert [c[1] for c in calls(js, False)] == ["a", "a"]
+
+
+def test_scopes_and_bindings_are_linear():
+    def taken(n):
+        text = "import torch\n" + "".join(f"def f{i}():\n    x = 'a{i}'\n    torch.load(x)\n" for i in range(n))
+        began = time.perf_counter()
+        assert len(calls(text)) == n
+        return time.perf_counter() - began
+
+    assert taken(8000) < 10 * taken(2000) + 0.2  # squares would take 16 times as long
+
+
+def test_imports(spark):
+    files = spark.createDataFrame([("a.py", "import b.c as d, e\nfrom f import g\n# import no\n"), ("a.ts", "import {x} from 'y/z'\nconst q = require('r')\n"), ("n.py", None)], "path string, text string")
+    assert {r["file"]: r["names"] for r in scanner.imports(files).collect()} == {"a.py": ["b.c", "e", "f"], "a.ts": ["r", "y/z"], "n.py": []}
+
+
 def test_scan_as_rows(spark):
     files = spark.createDataFrame([("a.py", PY), ("b.py", ""), ("c.py", None), (None, PY)], "path string, text string")
     rows = scanner.scan(files).collect()
-    assert len(rows) == 3 and {r["file"] for r in rows} == {"a.py"} and rows[1]["args"] == {"weights_only": "False"}
+    assert len(rows) == 3 and {r["file"] for r in rows} == {"a.py"} and rows[1]["args"] == {"weights_only": "false"}
 
 
 class Evil:
