@@ -48,16 +48,22 @@ def _typed_pattern(possessive: str) -> str:
 
 
 def _kind(token: Column) -> Column:
-    """A typed token as it is compared."""
+    """A typed token as it is compared. Most tokens begin with a small letter and are done after one comparison more."""
     first, low = F.substring(token, 1, 1), F.lower(token)
     number = first.between("0", "9") | first.isin(*CURRENCY) & F.substring(F.ltrim(token, F.lit(CURRENCY)), 1, 1).between("0", "9")
-    return F.when(number, PLACEHOLDERS[0]).when(low.isin(UNITS), PLACEHOLDERS[1]).when(first != F.lower(first), PLACEHOLDERS[2]).otherwise(low)
+    word = F.when(low.isin(UNITS), PLACEHOLDERS[1]).otherwise(low)
+    return F.when(token.between("a", "{"), word).when(number, PLACEHOLDERS[0]).when(low.isin(UNITS), PLACEHOLDERS[1]).when(first != F.lower(first), PLACEHOLDERS[2]).otherwise(low)
+
+
+def _key(id_: str, text: Column) -> Column:
+    """Of an id, null or not, and a text together."""
+    return F.sha2(F.concat_ws("\n", F.coalesce(F.concat(F.lit("="), F.col(id_).cast("string")), F.lit("")), text), 256)
 
 
 def _rows(df: DataFrame, name: str, id_: str, text: str) -> DataFrame:
     """(name, key, text): the id, null or not, and a key of id and text together."""
     rows = df.select(F.col(id_).alias(name), text_of(text).alias("text"))
-    return rows.select(name, "text", F.sha2(F.to_json(F.struct(name, "text")), 256).alias("key"))
+    return rows.select(name, "text", _key(name, F.col("text")).alias("key"))
 
 
 def _held(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
@@ -75,17 +81,19 @@ def _tokens(rows: DataFrame, columns: list[str], typed: bool) -> DataFrame:
     return _held(rows, columns, tokens=F.regexp_extract_all("text", F.lit(_typed_pattern("+") if typed else WORD), F.lit(0)))
 
 
-def _places(read: DataFrame, sizes: list[int], typed: bool) -> DataFrame:
-    """read's rows with `places`: (at, size, hash) of each window of each size. No row holds more than its own text's."""
-    columns = read.columns
-    hashed = _held(read, columns, hashes=F.transform("tokens", lambda t: F.xxhash64(_kind(t) if typed else t)))
-
-    def windows(n: int) -> Column:
-        last = F.size("hashes") - n
-        one = lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.xxhash64(F.lit(n), *[F.get("hashes", i + k) for k in range(n)]).alias("hash"))
-        return F.transform(F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>")), one)
+def _grams(read: DataFrame, columns: list[str], sizes: list[int], typed: bool) -> DataFrame:
+    """(columns, at, size, hash): each window of each size of read's tokens, from 0.
 
-    return hashed.select(*columns, F.concat(*[windows(n) for n in sizes]).alias("places"))
+    Positions are taken out of the array of hashes within generated code, and the array is left
+    behind there: rows that go on are small, and a text takes time in proportion to its length.
+    """
+    hashed = _held(read, columns, hashes=F.transform("tokens", lambda t: F.xxhash64(_kind(t) if typed else t)))
+    window = lambda n: F.when(F.col("at") + n <= F.size("hashes"), F.xxhash64(F.lit(n), *[F.get("hashes", F.col("at") + k) for k in range(n)]))
+    each = hashed.select(*columns, "hashes", F.posexplode("hashes").alias("at", "_")).select(*columns, "at", *[window(n).alias(f"w{n}") for n in sizes])
+    if len(sizes) == 1:
+        return each.where(f"w{sizes[0]} is not null").select(*columns, "at", F.lit(sizes[0]).alias("size"), F.col(f"w{sizes[0]}").alias("hash"))
+    lists = F.array(*[F.struct(F.lit(n).alias("size"), F.col(f"w{n}").alias("hash")) for n in sizes])
+    return each.select(*columns, "at", F.explode(lists).alias("w")).select(*columns, "at", "w.*").where("hash is not null")
 
 
 def _cut(read: DataFrame, columns: list[str], typed: bool) -> DataFrame:
@@ -103,15 +111,15 @@ def _matches(docs: DataFrame, items: DataFrame, typed: bool) -> DataFrame:
     known = _tokens(items, ["item_id", "key"], typed).withColumn("n", F.size("tokens"))
     short = [r[0] for r in known.select("n").where(F.col("n").between(1, WINDOW - 1)).distinct().collect()]  # fewer than WINDOW rows
     sizes = [WINDOW, *sorted(short)]
-    windows = _cut(_places(known, sizes, typed), ["item_id", "key", "n"], typed).where((F.col("size") == WINDOW) | (F.col("n") == F.col("size")))
+    placed = _grams(known, ["key"], sizes, typed).groupBy("key").agg(F.collect_set(F.struct("at", "size", "hash")).alias("places"))
+    windows = _cut(known.join(placed, "key"), ["item_id", "key", "n"], typed).where((F.col("size") == WINDOW) | (F.col("n") == F.col("size")))
     windows = windows.select("item_id", F.col("key").alias("item_key"), "hash", F.col("at").alias("item_at"), F.least("n", F.lit(LEAK)).alias("least"), F.col("own").alias("item_own"), F.col("low").alias("item_low"))
     if typed:
         windows = windows.where(F.size(F.filter("item_own", lambda t: ~t.isin(*PLACEHOLDERS))) >= F.least(F.lit(LITERALS), F.size("item_own")))
     wanted = windows.select("hash").distinct()
     if wanted.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
         wanted = F.broadcast(wanted)
-    places = _places(_tokens(docs, ["key"], typed), sizes, typed).select("key", F.explode("places").alias("p")).select("key", "p.*")
-    places = places.join(wanted, "hash", "left_semi").groupBy("key").agg(F.collect_set(F.struct("at", "size", "hash")).alias("places"))
+    places = _grams(_tokens(docs, ["key"], typed), ["key"], sizes, typed).join(wanted, "hash", "left_semi").groupBy("key").agg(F.collect_set(F.struct("at", "size", "hash")).alias("places"))
     read = _tokens(docs.join(places, "key"), ["doc_id", "key", "places"], typed)
     both = _cut(read, ["doc_id", "key"], typed).join(windows, "hash").where(F.col("own") == F.col("item_own"))
     return both.select("doc_id", F.col("key").alias("doc_key"), "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift"), F.col("item_at").alias("at"), "size", "least", "own", "low", "item_low")
@@ -158,8 +166,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     they are; other columns stay.
     """
     leaked = _leaks(docs, benchmark).select(F.col("doc_key").alias("_key")).distinct()
-    key = F.sha2(F.to_json(F.struct("doc_id", text_of("text").alias("text"))), 256)
-    return docs.withColumn("_key", key).join(leaked, "_key", "left_anti").select(*docs.columns)
+    return docs.withColumn("_key", _key("doc_id", text_of("text"))).join(leaked, "_key", "left_anti").select(*docs.columns)
 
 
 def leaks_sql() -> str:
