@@ -50,14 +50,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0).alias("predicted"))
 
 
+#: A text that opens with a line like this stands for a licence file.
+OPENS = r"(?i)\A[^\n]*(licen[cs]|copyright|spdx|warrant|redistribut|permission is hereby|public domain|all rights)"
+
+
 def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as files source/lang/<hundreds of the id>/<id>; one that opens with a licence line is a licence file."""
+    """documents as files source/lang/<hundreds of the id>/<id>, one row each; one that opens with a licence line is a licence file, one without an id has no path."""
     docs = table(spark, sf_dir, "documents")
-    opens = F.coalesce(F.regexp_extract("text", r"\A[^\n]*", 0).rlike(license.SPEAKS), F.lit(False))
+    opens = F.coalesce(F.col("text").rlike(OPENS), F.lit(False))
     name = F.concat(F.when(opens, "LICENSE.").otherwise("text."), F.col("doc_id").cast("string"))
     folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 100).cast("string"))
-    found = license.scan(docs.select(F.concat_ws("/", folder, name).alias("path"), "text").where("path is not null"))
-    return found.select(F.regexp_extract("path", r"([0-9]+)$", 1).cast("long").alias("doc_id"), "path", "licence", F.round("cosine", 6).alias("cosine"), "origin", "inherited_from")
+    path = F.when(F.col("doc_id").isNotNull(), F.concat_ws("/", folder, name))
+    found = license.scan(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",))
+    return found.select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "origin", "inherited_from")
 
 
 def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,18 +107,50 @@ def test_contexts_hold_each_string_once(monkeypatch):
 
 
 def test_licences(spark):
+    deep = "/".join("abcdefghij" * 5)
     files = [
         ("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "code"), ("a/b/c/LICENSE.txt", "Licensed under the Apache License, Version 2.0."), ("a/b/c/d/y.py", "code"), ("z.py", None),
-        ("q/own.py", "# x\n# This work is licensed under the GNU General Public License, version 3.\ncode"), ("a/none.py", "no licence is spoken of here, but warranty"), ("a/LICENSE", "Released under the MIT License."), (None, "x"),
+        ("q/own.py", "# x\n# This work is licensed under the GNU General Public License, version 3.\ncode"), ("a/none.py", "no licence is spoken of here, but warranty"), ("a/LICENSE", "Released under the MIT License."), (None, "x"), (None, "Released under the MIT License."),
+        (f"a/{deep}/z.py", ""), ("i/COPYING", "Copyright (c) 2020 A. Person\n\n" + license.TEXTS["ISC"].replace(". ", ".\n")), ("i/x.py", "word " * 60_000),
     ]
-    got = {r["path"]: (r["licence"], r["origin"], r["inherited_from"]) for r in license.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    rows = license.scan(spark.createDataFrame([(*f, 1) for f in files], "path string, text string, licence int")).collect()
+    assert len(rows) == len(files) and sorted((r["licence"] or "", r["origin"]) for r in rows if r["path"] is None) == [("", "none"), ("MIT", "own")]
+    got = {r["path"]: (r["licence"], r["origin"], r["inherited_from"]) for r in rows if r["path"]}
     assert got == {
         "a/LICENSE": ("MIT", "own", None), "a/b/x.py": ("MIT", "inherited", "a/LICENSE"), "a/b/c/LICENSE.txt": ("Apache-2.0", "own", None), "a/b/c/d/y.py": ("Apache-2.0", "inherited", "a/b/c/LICENSE.txt"),
-        "z.py": (None, "none", None), "q/own.py": ("GPL-3.0", "own", None), "a/none.py": ("MIT", "inherited", "a/LICENSE"),
+        "z.py": (None, "none", None), "q/own.py": ("GPL-3.0", "own", None), "a/none.py": ("MIT", "inherited", "a/LICENSE"), f"a/{deep}/z.py": ("MIT", "inherited", "a/LICENSE"),
+        "i/COPYING": ("ISC", "own", None), "i/x.py": ("ISC", "inherited", "i/COPYING"),
     }
     assert license.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(license.TEXTS))
+def test_whole_licence_texts_are_told_apart(name):
+    matcher = license.Matcher(license.TEMPLATES, license.TEXTS)
+    assert matcher.own("Copyright 2021 Someone\n\n" + license.TEXTS[name], True)[1] == name
+
+
+def test_passages_equal_brute_force(rows):
+    """Every line and every line with its neighbours against every sentence, as dense vectors."""
+    import math
+    import re
+
+    matcher = license.Matcher(license.TEMPLATES, {})
+    units = [(n, s) for n, t in license.TEMPLATES.items() for s in t.replace("SPDX-", ". SPDX-").split(". ") if s.strip(" .")]
+    words = lambda t: re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", t.lower())
+    df = Counter(w for _, s in units for w in set(words(s)))
+    vector = lambda ws: {w: c * (math.log((1 + len(units)) / (1 + df.get(w, 0))) + 1) for w, c in Counter(ws).items()}
+    dot = lambda a, b: sum(x * b.get(w, 0.0) for w, x in a.items())
+    known = [(n, v := vector(words(s)), math.sqrt(dot(v, v))) for n, s in units]
+    odd = ["", "\n\n", "the License", "Released under\nthe MIT License.", "x\r\nLicensed under the Apache\rLicense, Version 2.0."]
+    for text in odd + [d["text"] for d in rows][:60]:
+        lines = [words(x) for x in re.split(r"\r\n|\r|\n", text)]
+        passages = [p for i in range(len(lines)) if lines[i] for p in (lines[i], sum(lines[max(0, i - 1) : i + 2], []))]
+        found = [(-round(min(dot(p, v) / math.sqrt(dot(p, p)) / norm, 1.0), 9), n) for p in map(vector, passages) if p for n, v, norm in known if dot(p, v) >= 0.5 * norm * math.sqrt(dot(p, p))]
+        want, got = min(found, default=None), matcher.own(text, False)
+        assert (got is None) == (want is None) and (got is None or abs(got[0] - want[0]) < 1e-8)
+
+
 def test_licence_query(spark, sf, rows):
     known = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "General Public License, version 3.": "GPL-3.0", "under the Apache License, Version 2.0.": "Apache-2.0", "under the MIT License.": "MIT"}
     got = {r["doc_id"]: r for r in op6_license(spark, sf).collect()}
