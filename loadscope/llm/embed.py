@@ -14,7 +14,7 @@ from loadscope.llm.common import components, stored
 COSINE = 0.95
 #: Vectors that the cells are fitted on at most (those of the smallest hash), and rounds.
 MAX_FIT, ROUNDS = 20_000, 8
-#: Vectors a cell should have, and cells at most.
+#: Vectors a cell should have, and cells at most: beyond, cells grow, and their blocks with the square of that.
 CELL, MAX_CELLS = 256, 4096
 #: Cells that a vector is put into: its nearest.
 PROBES = 4
@@ -34,12 +34,14 @@ def centres(sample: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) ->
     rnd = np.random.default_rng(seed)
     c = sample[rnd.choice(len(sample), min(k, len(sample)), replace=False)]
     for _ in range(rounds):
-        sims = np.concatenate([sample[i : i + 4096] @ c.T for i in range(0, len(sample), 4096)])
-        own = sims.argmax(axis=1)
+        own, near = np.empty(len(sample), np.int64), np.empty(len(sample))
+        for i in range(0, len(sample), 512):  # never all similarities at once
+            sims = sample[i : i + 512] @ c.T
+            own[i : i + 512], near[i : i + 512] = sims.argmax(axis=1), sims.max(axis=1)
         sums = np.zeros_like(c)
         np.add.at(sums, own, sample)
         empty = np.flatnonzero(np.bincount(own, minlength=len(c)) == 0)
-        sums[empty] = sample[np.argsort(sims.max(axis=1), kind="stable")[: len(empty)]]
+        sums[empty] = sample[np.argsort(near, kind="stable")[: len(empty)]]
         c = unit(sums)
     return c
 
@@ -115,13 +117,14 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     good = F.coalesce(F.forall("v", finite) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(good, F.transform("v", lambda x: x + F.lit(0.0))))  # no negative zeros
     classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
-    classes = stored(classes.withColumn("id", F.xxhash64("v")))
+    # numbered once and for all, since the table is written: no two vectors share an id
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()))
     total, widths = classes.agg(F.count("*"), F.collect_set(F.size("v"))).first()
     out = None
     for width in sorted(widths):  # as many as there are lengths of vectors
         some = classes.where(F.size("v") == width)
         n = total if len(widths) == 1 else some.count()
-        sample = some.orderBy(F.xxhash64("id"), "id").limit(MAX_FIT).select("v").toPandas()["v"]
+        sample = some.orderBy(F.xxhash64("v"), "first").limit(MAX_FIT).select("v").toPandas()["v"]
         c = centres(unit(np.stack(sample.to_list())), max(1, min(MAX_CELLS, -(-n // CELL))))
         shared = vectors.sparkSession.sparkContext.broadcast(c)
 
@@ -148,7 +151,12 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
 
 def keep_one(vectors: DataFrame) -> DataFrame:
-    """vectors with one row of each group: that of the smallest id."""
+    """vectors with one row of each group: that of the smallest id.
+
+    A row with a null id names no group and goes; of rows that repeat an id all stay if one
+    does. Ties don't arise between different ids; an empty table gives an empty one; all
+    columns stay.
+    """
     return vectors.join(near_duplicates(vectors).where("kept").select("vec_id"), "vec_id", "left_semi").select(*vectors.columns)
 
 
