@@ -35,10 +35,12 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 #: The same split for texts of the characters that PLAIN allows, on which `re` has the same classes and is faster.
 PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r -~À-ÖØ-öø-ɏ]*")
-#: Words whose codes a worker keeps at most; then it starts afresh. Results don't depend on it.
-KEPT_WORDS = 400_000
-#: Arcs looked up that a worker keeps at most.
-KEPT_ARCS = 1_000_000
+#: Bytes of words and their codes that a worker keeps at most, in each of two generations. Results don't depend on it.
+KEPT_BYTES = 12 << 20
+#: What a kept word costs beside its own and its codes' characters.
+KEPT_WORD = 330
+#: Arcs looked up that a worker keeps at most (some 100 bytes each).
+KEPT_ARCS = 200_000
 #: Longer words are encoded each time.
 LONGEST_KEPT = 64
 
@@ -210,19 +212,27 @@ class Tokenizer:
 
 
 class Words(dict):
-    """Codes of pre-split words, worked out when first asked for."""
+    """Codes of pre-split words, worked out when first asked for.
+
+    A full generation becomes the old one, from which words that are asked for again come
+    back; the rest goes with the next.
+    """
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.old, self.held = tokenizer, {}, 0
 
     def __missing__(self, word: str) -> tuple[str, bytes]:
-        automaton = self.tokenizer.automaton
-        tokens = automaton.encode(word.encode("utf-8", "replace"))
-        out = ",".join([self.tokenizer.decimals[t] for t in tokens]), automaton.decode(tokens)
+        if (out := self.old.get(word)) is None:
+            automaton = self.tokenizer.automaton
+            tokens = automaton.encode(word.encode("utf-8", "replace"))
+            out = ",".join([self.tokenizer.decimals[t] for t in tokens]), automaton.decode(tokens)
         if len(word) <= LONGEST_KEPT:
-            if len(self) >= KEPT_WORDS:
+            if self.held >= KEPT_BYTES:
+                self.old = dict(self)
                 self.clear()
+                self.held = 0
             self[word] = out
+            self.held += KEPT_WORD + len(word) * 3 + len(out[0])
         return out
 
 
