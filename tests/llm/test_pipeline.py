@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline as C
 from loadscope.llm import decontam, pii, quality
 from loadscope.llm.queries import QUALITY_CUT, quality_model
-from tests.llm.test_simhash import brute_fingerprint, reach
+from tests.llm.test_simhash import reach
 
 
 def test_stages(spark, sf, rows):
@@ -16,9 +16,11 @@ def test_stages(spark, sf, rows):
     kept = {d["doc_id"]: d["text"] for d in rows if model.score(__import__("numpy").array([model.margin(quality.indicators(d["text"], seen))]))[0] >= QUALITY_CUT}
     assert {r["doc_id"] for r in first.collect()} == set(kept)
 
-    fps = {i: brute_fingerprint(t) for i, t in kept.items()}
-    ids = sorted(fps)
-    head = reach(fps, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 2])
+    words = {i: t.encode().lower().split() for i, t in kept.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    ids = sorted(sets)
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    head = reach(sets, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if alike(sets[a], sets[b])])
     second = C.distinct(spark, first, sf)
     assert second.columns == docs.columns and sorted(r["doc_id"] for r in second.collect()) == sorted(set(head.values()))
 
