@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterator
+from contextlib import nullcontext
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from loadscope.operators import bom, diff, explore
+from loadscope.operators import evidence as E
+from loadscope.operators import records as R
 from loadscope.operators import summary as S
 from loadscope.plans.analyze import analyze
 from loadscope.plans.session import session
-from loadscope.sources import bills
+from loadscope.sources import bills, walk
 from loadscope.sources.config import Config, parse_json, parse_yaml
 from loadscope.sources.errors import AnalysisError
-from loadscope.sources.walk import TreeSource
 
 CONFIGS = ("loadscope.yaml", "loadscope.yml", "loadscope.json")
 
@@ -29,54 +33,117 @@ def read_config(root: Path) -> Config:
 
 def report(spark, root: Path):
     """The analysis of a directory: its entries, with their bytes read in tasks."""
-    spark.dataSource.register(TreeSource)
+    spark.dataSource.register(walk.TreeSource)
     base = str(root.resolve())
+    entries = spark.read.format("tree").option("root", base).load()
+    walk.check(entries, str(root))
+    found = analyze(walk.read_files(entries, base), read_config(root))
+    # read more than once by most commands, and no larger than a project
+    return replace(found, sites=found.sites.persist(), records=found.records.persist(), contexts=found.contexts.persist(), evidence=found.evidence.persist())
 
-    def contents(batches):
-        for batch in batches:
-            data = []
-            for path in batch["path"]:
-                try:
-                    data.append((Path(base) / path).read_bytes())
-                except OSError:
-                    data.append(None)
-            yield batch.assign(content=data)
 
-    entries = spark.read.format("tree").option("root", base).load().where("not link")
-    return analyze(entries.mapInPandas(contents, "path string, size long, link boolean, content binary"), read_config(root))
+def scan_lines(found) -> Iterator[str]:
+    """Indicators, then how often each environment and format occurs, then notices."""
+    records = found.records
+    for row in S.indicators(records).collect():  # eight rows
+        yield f"{row['indicator']:12} {row['value']} of {row['of']}"
+    for title, counts, name in (("environments", S.by_environment(records), "environment"), ("formats", S.by_format(records), "label")):
+        yield f"{title}: " + ", ".join(f"{r[name]} {r['artifacts']}" for r in S.frequent(counts, name).collect())  # as many as there are formats
+    for row in found.notices.orderBy("path", "code").toLocalIterator():
+        yield f"{row['code']}: {row['path']}"
+
+
+def load_path_lines(found) -> Iterator[str]:
+    paths = explore.load_paths(found.sites, found.contexts)
+    for row in paths.orderBy(*explore.path_order()).toLocalIterator():
+        yield f"{'!' if row['privileged'] else ' '} {row['file']}  {row['environment'] or 'unresolved'}  {row['sites']} loads of {row['artifacts']} artifacts"
+
+
+def evidence_lines(found) -> Iterator[str]:
+    for row in E.counts(found.evidence, found.records).orderBy("binding").collect():  # four rows
+        yield f"{row['binding']}: {row['records']}"
+    for row in E.scanners(found.evidence).orderBy("scanner").toLocalIterator():
+        yield f"{row['scanner']}: {row['records']} records on {row['artifacts']} artifacts"
+
+
+def explain_lines(found, term: str) -> Iterator[str]:
+    """All that is known of one artifact; nothing if no artifact is meant."""
+    row = next(iter(explore.lookup(found.records.withColumn("change", R.change(found.records)), term).collect()), None)
+    if row is None:
+        return
+    yield f"{row['locator']}  {row['format']} ({row['basis']})  {row['behaviour']}"
+    for name, value in (("reason", row["verdict"]["reason"]), ("guard", row["verdict"]["guard"]), ("environments", ", ".join(row["environments"])), ("privileges", ", ".join(row["privileges"])), ("evidence", ", ".join(row["bindings"])), ("alternative", row["change"])):
+        if value:
+            yield f"  {name}: {value}"
+    own = F.col("artifact_id") == row["artifact_id"]
+    for site in found.sites.where(own).orderBy("file", "line").toLocalIterator():
+        yield f"  {site['file']}:{site['line']} {site['loader']}"
+    for f in R.findings(found.records.where(own)).orderBy(*R.finding_rank()).collect():  # fifteen at most
+        yield f"  {f['disposition']}: {f['kind']}"
+
+
+def migration_lines(records, markdown: bool = False) -> Iterator[str]:
+    """Migrations in their order; as Markdown with a heading for each kind."""
+    rows = explore.migrations(records).withColumn("change", R.change(records)).orderBy("rank", "locator")
+    kind = None
+    for row in rows.toLocalIterator():
+        if markdown and row["alternative"]["kind"] != kind:
+            kind = row["alternative"]["kind"]
+            yield f"## {kind}\n"
+        yield f"- [ ] `{row['locator']}`: {row['change']}" if markdown else f"{row['locator']} {row['alternative']['kind']} {row['alternative']['target'] or ''}".rstrip()
+
+
+def bill_lines(records, form: str, project: str) -> Iterator[str]:
+    rows = bom.rows(records)
+    if form == "json":
+        yield from bom.document(rows, S.summary(records).first().asDict(), project)
+    elif form == "cyclonedx":
+        yield from bom.cyclonedx_document(rows, project)
+    else:
+        lines = {"lines": rows.select("artifact_id", F.to_json(F.struct(*rows.columns)).alias("line")), "csv": rows.select("artifact_id", bom.csv_lines(rows).alias("line")), "text": bom.text_lines(rows)}[form]
+        for row in lines.orderBy("artifact_id").toLocalIterator():
+            yield row["line"]
+
+
+COMMANDS = ("scan", "artifacts", "loadpaths", "migrations", "plan", "evidence", "explain", "bom", "diff")
+
+
+def emit(lines: Iterator[str], args) -> int:
+    """Writes lines as they arrive, to a file or the terminal, and counts them."""
+    n = 0
+    with args.out.open("w", encoding="utf-8") if args.out else nullcontext(sys.stdout) as to:
+        for line in lines:
+            n += 1
+            if args.out or not args.quiet:
+                print(line, file=to)
+    return n
 
 
 def main(argv: list[str] | None = None) -> int:
     """0, or 1 where the gate fails, 2 where bills differ or the input is wrong."""
     parser = argparse.ArgumentParser(prog="loadscope")
-    parser.add_argument("command", choices=("scan", "artifacts", "migrations", "bom", "diff"))
-    parser.add_argument("paths", nargs="+", type=Path)
-    parser.add_argument("--format", choices=("json", "csv", "text", "cyclonedx"), default="json")
+    parser.add_argument("command", choices=COMMANDS)
+    parser.add_argument("paths", nargs="+", help="a folder (explain: and what to explain), or two bills")
+    parser.add_argument("--format", choices=("json", "lines", "csv", "text", "cyclonedx"), default="json")
     parser.add_argument("--fail-on", choices=("none", "any", "unknown", "privileged", "execution"), default="none")
+    parser.add_argument("--out", type=Path, help="write here instead of to the terminal")
+    parser.add_argument("--quiet", action="store_true", help="write nothing; the exit code tells")
     args = parser.parse_args(argv)
     spark = session()
     try:
         if args.command == "diff":
             before, after = (bills.read(spark, str(p)) for p in args.paths[:2])
-            lines = diff.text_lines(before, after)
-            n = 0
-            for row in lines.orderBy("line").toLocalIterator():
-                print(row["line"])
-                n += 1
+            n = emit((row["line"] for row in diff.text_lines(before, after).orderBy("line").toLocalIterator()), args)
             return 2 if n else 0
-        records = report(spark, args.paths[0]).records
-        if args.command == "scan":
-            for row in S.indicators(records).collect():  # eight rows
-                print(f"{row['indicator']:12} {row['value']} of {row['of']}")
-        elif args.command == "migrations":
-            for row in explore.migrations(records).orderBy("rank", "locator").toLocalIterator():
-                print(row["locator"], row["alternative"]["kind"], row["alternative"]["target"] or "")
-        else:
-            rows = bom.rows(records)
-            lines = {"json": rows.select("artifact_id", F.to_json(F.struct(*rows.columns)).alias("line")), "csv": rows.select("artifact_id", bom.csv_lines(rows).alias("line")), "text": bom.text_lines(rows)}
-            out = bom.cyclonedx(rows).withColumnRenamed("component", "line") if args.format == "cyclonedx" else lines[args.format if args.command == "bom" else "text"]
-            for row in out.orderBy("artifact_id").toLocalIterator():
-                print(row["line"])
+        root = Path(args.paths[0])
+        found = report(spark, root)
+        records = found.records
+        lines = {
+            "scan": lambda: scan_lines(found), "loadpaths": lambda: load_path_lines(found), "evidence": lambda: evidence_lines(found), "explain": lambda: explain_lines(found, " ".join(args.paths[1:])),
+            "migrations": lambda: migration_lines(records), "plan": lambda: migration_lines(records, True), "artifacts": lambda: bill_lines(records, "text", root.resolve().name), "bom": lambda: bill_lines(records, args.format, root.resolve().name),
+        }[args.command]()
+        if not emit(lines, args) and args.command == "explain":
+            return 2
         return 1 if not records.where(S.gate(records, args.fail_on)).isEmpty() else 0
     except AnalysisError as e:
         print(e, file=sys.stderr)

@@ -45,6 +45,12 @@ def extname(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), "^[\\s\\S]+(\\.[^.]*)\\z", 1))
 
 
+def suffixes(path: Column) -> Column:
+    """What a path ends with, from each of its segments on: the whole path first, its name last."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+
+
 def stem(path: Column) -> Column:
     name = basename(path)
     return F.substring(name, F.lit(1), F.length(name) - F.length(extname(path)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadscope.functions.text import basename, dirname, extname, matches_any, stem
+from loadscope.functions.text import dirname, extname, matches_any, stem, suffixes
 from loadscope.operators.columns import first_match, mapped
 from loadscope.plans import dims
 
@@ -27,16 +27,15 @@ def resolve_references(literals: DataFrame, paths: DataFrame) -> DataFrame:
     """(literal, target): what each distinct literal refers to among paths, or null.
 
     In order: a path itself; the one path that ends with it after a slash; a repository
-    `hf:org/name`; `missing:` for something that looks like a model file. The suffix is
-    found by an equi-join on the last segment, so each literal meets only its namesakes.
+    `hf:org/name`; `missing:` for something that looks like a model file. Paths are counted by
+    each of their suffixes first, so a literal meets one row however many namesakes there are.
     """
     cleaned = F.regexp_replace(F.replace(F.col("literal"), F.lit("\\"), F.lit("/")), "^\\./", "")
     wanted = literals.select("literal").distinct().withColumn("path", cleaned)
     exact = wanted.join(paths.select("path", F.lit(True).alias("exact")).distinct(), "path", "left")
-    names = paths.select(F.col("path").alias("found"), basename(F.col("path")).alias("name")).distinct()
-    ending = wanted.withColumn("name", basename(F.col("path"))).join(names, "name")
-    ending = ending.where((F.col("found") == F.col("path")) | F.endswith("found", F.concat(F.lit("/"), F.col("path"))))
-    ending = ending.groupBy("literal").agg(F.min("found").alias("found"), F.count("*").alias("n")).where("n = 1").select("literal", "found")
+    endings = paths.select("path").distinct().select(F.explode(suffixes(F.col("path"))).alias("ending"), F.col("path").alias("found"))
+    endings = endings.groupBy("ending").agg(F.min("found").alias("found"), F.count("*").alias("n")).where("n = 1")
+    ending = wanted.join(endings, wanted["path"] == endings["ending"]).select("literal", "found")
     rows = exact.join(ending, "literal", "left")
     extension = extname(F.col("path"))
     hub = F.col("path").rlike("^[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9][A-Za-z0-9._-]*\\z") & ~extension.isin(list(dims.BY_EXTENSION))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadscope.functions.text import basename
+from loadscope.functions.text import basename, suffixes
 from loadscope.operators.columns import first_match
 
 #: What a record's digest says of a file: it is that of the whole file, of another one, or nothing certain.
@@ -16,19 +16,22 @@ def bind(records: DataFrame, artifacts: DataFrame) -> DataFrame:
     """records (seq, subject, subject_digest, ...) with artifact_id and binding; those about no artifact go.
 
     A subject is an artifact's locator; else the one locator that it ends with or that ends
-    with it, after a slash; else the one of the same last segment. Distinct subjects meet
-    locators by their last segment, which all three share. A digest (16 to 64 hex digits)
-    binds as a prefix of the whole file's.
+    with it, after a slash; else the one of the same last segment. Locators are counted by each
+    of their suffixes before they are joined, so a subject meets one row of each kind and no
+    name is a hot key. A digest (16 to 64 hex digits) binds as a prefix of the whole file's.
     """
-    known = artifacts.select("artifact_id", "locator", "digest", "coverage", basename(F.col("locator")).alias("name"))
-    subjects = records.select("subject").distinct().withColumn("clean", F.replace("subject", F.lit("\\"), F.lit("/")))
-    pairs = subjects.withColumn("name", basename(F.col("clean"))).join(known, "name")
-    slash = lambda c: F.concat(F.lit("/"), F.col(c))
-    exact = F.col("clean") == F.col("locator")
-    suffix = F.endswith("clean", slash("locator")) | F.endswith("locator", slash("clean"))
-    one = lambda condition: (F.count_if(condition), F.min(F.when(condition, F.col("artifact_id"))))
-    (_, e), (n, s), (m, b) = one(exact), one(suffix), one(F.lit(True))
-    target = pairs.groupBy("subject").agg(first_match((e.isNotNull(), e), (n == 1, s), (m == 1, b)).alias("artifact_id")).where("artifact_id is not null")
+    known = artifacts.select("artifact_id", "locator", "digest", "coverage")
+    tagged = lambda tag, kind, key: F.struct(F.lit(tag).alias("tag"), F.lit(kind).alias("kind"), key.alias("key"))
+    each = lambda tag, kind, keys: F.transform(keys, lambda k: tagged(tag, kind, k))
+    proper = lambda path: F.slice(suffixes(path), 2, 1 << 16)
+    ours = F.concat(F.array(tagged("", "whole", F.col("locator")), tagged("", "name", basename(F.col("locator")))), each("", "ending", proper(F.col("locator"))))
+    keyed = known.select("artifact_id", F.explode(ours).alias("k")).groupBy("k.kind", "k.key").agg(F.count("*").alias("n"), F.min("artifact_id").alias("id"))
+    clean = F.replace("subject", F.lit("\\"), F.lit("/"))
+    theirs = F.concat(F.array(tagged("exact", "whole", clean), tagged("either", "ending", clean), tagged("name", "name", basename(clean))), each("either", "whole", proper(clean)))
+    met = records.select("subject").distinct().select("subject", F.explode(theirs).alias("k")).select("subject", "k.*").join(keyed, ["kind", "key"])
+    one = lambda tag: (F.sum(F.when(F.col("tag") == tag, F.col("n"))), F.min(F.when(F.col("tag") == tag, F.col("id"))))
+    (_, exact), (either, ending), (named, name) = one("exact"), one("either"), one("name")
+    target = met.groupBy("subject").agg(first_match((exact.isNotNull(), exact), (either == 1, ending), (named == 1, name)).alias("artifact_id")).where("artifact_id is not null")
     bound = records.join(target, "subject").join(known.select("artifact_id", "digest", "coverage"), "artifact_id")
     return bound.withColumn("binding", binding(F.col("subject_digest"), F.col("digest"), F.col("coverage"))).select(*records.columns, "artifact_id", "binding")
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loadscope.functions import text as X
 from loadscope.functions.text import basename, extname
 from loadscope.operators import artifacts as A
 from loadscope.operators import behaviour as B
@@ -14,10 +15,14 @@ from loadscope.operators import context as C
 from loadscope.operators import deps as D
 from loadscope.operators import evidence as E
 from loadscope.operators import records as R
+from loadscope.operators.columns import mapped
 from loadscope.plans import dims
 from loadscope.sources import declarations, documents, manifests, notebook, probes, scanner
 from loadscope.sources.config import Config
+from loadscope.sources.walk import EDGE, MOST_HASHED
 
+#: Bytes above which a source or a notebook isn't read.
+MOST_SOURCE, MOST_NOTEBOOK = 2 << 20, 8 << 20
 SOURCES = [".py", ".pyi", ".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".mts"]
 PRIVILEGED = ["cloud-credentials", "secret-material", "orchestration-api", "process-execution"]
 EVIDENCE = r"(^|/)(evidence|modelscan|picklescan|fickling)[^/]*\.json\z|-evidence\.json\z|(modelscan|picklescan)-report\.json\z"
@@ -32,50 +37,84 @@ class Report:
     contexts: DataFrame
     evidence: DataFrame
     records: DataFrame
+    notices: DataFrame
+    counts: DataFrame
 
 
 def analyze(files: DataFrame, config: Config = Config()) -> Report:
-    """files: path, size, link, content (bytes). An empty tree gives empty relations; nulls in content are files that can't be read."""
+    """files: path, size, link, content (bytes); optionally head, tail, digest and coverage, which are made of the content where they are missing.
+
+    An empty tree gives empty relations; nulls in content are files that can't be read, or
+    where there is a head, files too large to be read as text.
+    """
+    if "head" not in files.columns:
+        made = X.digest(F.col("content"), F.col("size"), MOST_HASHED, EDGE)
+        files = files.withColumns({"head": F.substring("content", 1, EDGE), "tail": F.substring("content", -EDGE, EDGE), "digest": made["value"], "coverage": made["coverage"]})
     scope = A.in_scope(files, list(config.ignore)).where("path is not null")
-    texts = scope.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     extension = extname(F.col("path"))
+    cap = F.when(extension == ".ipynb", MOST_NOTEBOOK).when(extension.isin(SOURCES), MOST_SOURCE).otherwise(F.lit(1 << 62))
+    texts = scope.where(F.col("size") <= cap).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     books = notebook.joined(notebook.read(texts.where(extension == ".ipynb"))).select(F.col("notebook").alias("path"), F.col("source").alias("text"))
     sources = texts.where(extension.isin(SOURCES)).unionByName(books)
     calls = scanner.scan(sources)
     deps = D.merge(manifests.declared(texts))
 
-    heads = scope.where(extension.isin(list(dims.BY_EXTENSION))).select("path", "size", F.substring("content", 1, 65536).alias("head"), F.substring("content", -65536, 65536).alias("tail"), F.sha2("content", 256).alias("digest"))
+    heads = scope.where(extension.isin(list(dims.BY_EXTENSION))).select("path", "size", "head", "tail", "digest", "coverage")
     probed = probes.classified(probes.probe(heads))
     siblings = A.siblings(heads.select("path"))
     known = probed.join(siblings, "path", "left").select(
-        F.col("path").alias("artifact_id"), F.col("path").alias("locator"), "found.*", F.lit("in-tree").alias("origin"), "digest", F.lit("full").alias("coverage"),
+        F.col("path").alias("artifact_id"), F.col("path").alias("locator"), "found.*", F.lit("in-tree").alias("origin"), "digest", F.coalesce("coverage", F.lit("full")).alias("coverage"), F.lit(None).cast("string").alias("version"),
         F.coalesce(F.size(probes.notable(F.col("pickle.globals"))) > 0, F.lit(False)).alias("notable"), "siblings",
     )
     literals = calls.where("literal is not null").select("literal")
     targets = A.resolve_references(literals, heads.select("path"))
     none = F.array().cast("array<struct<locator:string,format:string>>")
     remote = targets.where("target like 'hf:%' or target like 'missing:%'").select("target").distinct()
+    here = F.regexp_replace("target", "^[a-z]+:", "")
+    hub = F.startswith("target", F.lit("hf:"))
+    guess = mapped(extname(here), dims.INFERRED, "unknown")
     remote = remote.select(
-        F.col("target").alias("artifact_id"), F.regexp_replace("target", "^[a-z]+:", "").alias("locator"), F.when(F.startswith("target", F.lit("hf:")), "remote-repository").otherwise("unknown").alias("format"), F.lit("none").alias("basis"), F.lit(False).alias("mismatch"),
-        F.when(F.startswith("target", F.lit("hf:")), "remote-reference").otherwise("unresolved").alias("origin"), F.lit(None).cast("string").alias("digest"), F.lit("full").alias("coverage"), F.lit(False).alias("notable"), none.alias("siblings"),
+        F.col("target").alias("artifact_id"), here.alias("locator"), F.when(hub, "remote-repository").otherwise(guess).alias("format"), F.when(hub, "none").otherwise("extension").alias("basis"), F.lit(False).alias("mismatch"),
+        F.when(hub, "remote-reference").otherwise("unresolved").alias("origin"), F.lit(None).cast("string").alias("digest"), F.lit("full").alias("coverage"), F.nullif(F.regexp_extract(here, r"@([\w.-]+)\z", 1), F.lit("")).alias("version"), F.lit(False).alias("notable"), none.alias("siblings"),
     )
     declared = declarations.declarations(texts)
     stated = declared.select(
-        "artifact_id", F.col("name").alias("locator"), "format", F.lit("declared").alias("basis"), F.lit(False).alias("mismatch"), "origin", F.lit(None).cast("string").alias("digest"), F.lit("full").alias("coverage"), F.lit(False).alias("notable"), none.alias("siblings"),
+        "artifact_id", F.col("name").alias("locator"), "format", F.lit("declared").alias("basis"), F.lit(False).alias("mismatch"), "origin", F.lit(None).cast("string").alias("digest"), F.lit("full").alias("coverage"), F.lit(None).cast("string").alias("version"), F.lit(False).alias("notable"), none.alias("siblings"), "path",
     )
-    arts = known.unionByName(remote).unionByName(stated.dropDuplicates(["artifact_id"]))
+    # of declarations with one id the last by path counts
+    last = stated.groupBy("artifact_id").agg(F.max_by(F.struct(*[c for c in stated.columns if c not in ("artifact_id", "path")]), "path").alias("d")).select("artifact_id", "d.*")
+    arts = known.unionByName(remote).unionByName(last)
 
     bound = calls.join(targets.withColumnRenamed("target", "artifact_id"), "literal", "left").select("file", "line", "pos", "enclosing", "loader", "args", "literal", "artifact_id", "target")
     sites = B.resolve(bound, arts, deps)
     lines = declared.select(F.col("path").alias("file"), F.lit(1).alias("line"), F.lit(0).alias("pos"), F.lit(None).cast("string").alias("enclosing"), F.concat(F.lit("declared:"), F.col("format")).alias("loader"), F.create_map().cast("map<string,string>").alias("args"), F.lit(None).cast("string").alias("literal"), "artifact_id", F.lit(None).cast("string").alias("target"), B.verdict(F.col("behaviour")).alias("verdict"))
     sites = sites.unionByName(lines)
 
-    signals = C.signals(sources).groupBy("file").agg(F.bool_or(F.col("kind").isin(PRIVILEGED)).alias("privileged"))
+    signals = C.signals(sources).groupBy("file").agg(F.bool_or(F.col("kind").isin(PRIVILEGED)).alias("privileged"), F.array_sort(F.collect_set("kind")).alias("privileges"))
     marks = sources.select(F.col("path").alias("file"), C.frameworks(F.col("text")).alias("frameworks"))
     used = sites.select("file").distinct().join(marks, "file", "left").join(signals, "file", "left")
     environment = C.environment(F.col("file"), F.coalesce("frameworks", F.array().cast("array<string>")), [(e, list(g)) for e, g in config.environments])
-    contexts = used.select("file", environment.alias("e"), F.coalesce("privileged", F.lit(False)).alias("privileged")).select("file", "e.environment", "e.basis", "privileged")
+    contexts = used.select("file", environment.alias("e"), F.coalesce("privileged", F.lit(False)).alias("privileged"), F.coalesce("privileges", F.array().cast("array<string>")).alias("privileges")).select("file", "e.environment", "e.basis", "privileged", "privileges")
 
-    reports = documents.evidence(texts.where(F.col("path").rlike(EVIDENCE) | (basename(F.col("path")) == "evidence.json"))).withColumn("seq", F.xxhash64("source", "subject", "scanner"))
+    reports = documents.evidence(texts.where(F.col("path").rlike(EVIDENCE) | (basename(F.col("path")) == "evidence.json")))
+    # reports are a few thousand records of a project at most
+    reports = reports.withColumn("seq", F.row_number().over(Window.orderBy("source", "subject", "scanner", "result")))
     proof = E.bind(reports, arts)
-    return Report(arts, sites, contexts, proof, R.build(arts, sites, contexts, proof, ["file", "line", "pos"]))
+    records = R.build(arts, sites, contexts, proof, ["file", "line", "pos"])
+    return Report(arts, sites, contexts, proof, records, notices(files, scope, extension, config), counts(files, scope))
+
+
+def notices(files: DataFrame, scope: DataFrame, extension: Column, config: Config) -> DataFrame:
+    """(path, code) of what isn't looked into: links, sources above their cap, files that can't be read, notebooks that can't be parsed."""
+    skipped = A.notices(files.where("path is not null"), list(config.ignore), MOST_SOURCE, MOST_NOTEBOOK)
+    unread = scope.where("content is null and head is null").select("path", F.lit("unreadable").alias("code"))
+    book = F.from_json(F.make_valid_utf8(F.col("content").cast("string")), "struct<cells:array<struct<cell_type:string>>>")
+    unparsed = scope.where((extension == ".ipynb") & F.col("content").isNotNull()).where(book["cells"].isNull()).select("path", F.lit("unparsed").alias("code"))
+    return skipped.where(extension.isin([*SOURCES, ".ipynb"]) | (F.col("code") == "link-skipped")).unionByName(unread).unionByName(unparsed)
+
+
+def counts(files: DataFrame, scope: DataFrame) -> DataFrame:
+    """One row: entries walked, in scope and read as text, and bytes read."""
+    walked = files.agg(F.count("*").alias("walked"))
+    read = scope.agg(F.count("*").alias("in_scope"), F.count("content").alias("read"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"))
+    return walked.crossJoin(read)

@@ -8,6 +8,7 @@ Top-level directories are partitions, so a wide tree is walked by many tasks.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loadscope.functions.text import bounded_text
+from loadscope.sources.errors import AnalysisError
 
 # Depth and number of entries of a walk, and directories that are never entered.
 DEEPEST, MOST_ENTRIES = 24, 40_000
@@ -85,6 +87,21 @@ def picked(entries: DataFrame) -> DataFrame:
     return entries.where((F.size(parts) > 1) & kept).withColumn("path", F.array_join(F.slice(parts, 2, F.size(parts)), "/"))
 
 
+def _inside(base: str, path: str) -> str:
+    """The real path of an entry; one that leads out of the root is refused."""
+    full = os.path.realpath(os.path.join(base, path))
+    if not full.startswith(base + os.sep):
+        raise OSError(path)
+    return full
+
+
+def _edges(f, edge: int) -> tuple[bytes, bytes, int]:
+    head = f.read(edge)
+    size = f.seek(0, os.SEEK_END)
+    f.seek(max(0, size - edge))
+    return head, f.read(edge), size
+
+
 def read_edges(entries: DataFrame, root: str, edge: int = EDGE) -> DataFrame:
     """Entries that are files with head and tail: their first and last bytes; null if unreadable. A path never leads out of the root."""
     base = os.path.realpath(root)
@@ -93,15 +110,11 @@ def read_edges(entries: DataFrame, root: str, edge: int = EDGE) -> DataFrame:
         for batch in batches:
             heads, tails = [], []
             for path in batch["path"]:
-                full = os.path.realpath(os.path.join(base, path))
                 try:
-                    if not full.startswith(base + os.sep):
-                        raise OSError(path)
-                    with open(full, "rb") as f:
-                        heads.append(f.read(edge))
-                        size = f.seek(0, os.SEEK_END)
-                        f.seek(max(0, size - edge))
-                        tails.append(f.read(edge))
+                    with open(_inside(base, path), "rb") as f:
+                        head, tail, _ = _edges(f, edge)
+                    heads.append(head)
+                    tails.append(tail)
                 except OSError:
                     heads.append(None)
                     tails.append(None)
@@ -110,6 +123,57 @@ def read_edges(entries: DataFrame, root: str, edge: int = EDGE) -> DataFrame:
     return entries.where(~F.col("link")).select("path", "size").mapInPandas(read, "path string, size long, head binary, tail binary")
 
 
+#: Bytes of a file read as text at most, of a file hashed as a whole at most, and of a piece that is hashed at once.
+MOST_TEXT, MOST_HASHED, PIECE = 8 << 20, 256 << 20, 1 << 16
+
+
+def read_files(entries: DataFrame, root: str) -> DataFrame:
+    """Entries with content (null above MOST_TEXT), head, tail, digest and coverage; all null if unreadable.
+
+    A file is hashed in pieces, above MOST_HASHED by both edges and its size, so that no task
+    holds more than MOST_TEXT of it. Rows are handed on in small batches.
+    """
+    base = os.path.realpath(root)
+
+    def one(path: str, link: bool) -> tuple:
+        if link:
+            return None, None, None, None, None
+        try:
+            with open(_inside(base, path), "rb") as f:
+                head, tail, size = _edges(f, EDGE)
+                f.seek(0)
+                content = f.read(MOST_TEXT) if size <= MOST_TEXT else None
+                f.seek(0)
+                sha = hashlib.sha256()
+                if size <= MOST_HASHED:
+                    while piece := f.read(PIECE):
+                        sha.update(piece)
+                else:
+                    sha.update(head + f"|{size}|".encode() + tail)
+            return content, head, tail, sha.hexdigest(), "full" if size <= MOST_HASHED else "head-tail"
+        except OSError:
+            return None, None, None, None, None
+
+    def read(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 16):
+                part = batch.iloc[at : at + 16]
+                rows = [one(p, link) for p, link in zip(part["path"], part["link"], strict=True)]
+                yield part.assign(**{name: [r[i] for r in rows] for i, name in enumerate(("content", "head", "tail", "digest", "coverage"))})
+
+    return entries.select("path", "size", "link").mapInPandas(read, "path string, size long, link boolean, content binary, head binary, tail binary, digest string, coverage string")
+
+
+def check(entries: DataFrame, root: str) -> int:
+    """How many entries there are; none, or more than MOST_ENTRIES, raise: a part of a tree says less than it seems to."""
+    n = entries.limit(MOST_ENTRIES + 1).count()
+    if not n:
+        raise AnalysisError("empty-tree", f"{root}: nothing to read", "There is no file below this folder that isn't skipped.", "Name the folder of a project.")
+    if n > MOST_ENTRIES:
+        raise AnalysisError("tree-too-large", f"{root}: more than {MOST_ENTRIES} entries", "A walk that stops in between would leave files out.", "Name a smaller folder, or ignore generated ones.")
+    return n
+
+
 def memory(spark, files: dict[str, bytes | str]) -> DataFrame:
     """(path, size, link, content) of files given as they are."""
     rows = [(p, len(raw := c.encode() if isinstance(c, str) else c), False, bytearray(raw)) for p, c in sorted(files.items())]
