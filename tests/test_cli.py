@@ -12,8 +12,9 @@ from loadscope.functions import text as X
 from loadscope.operators import behaviour as B
 from loadscope.operators import explore
 from loadscope.operators import records as R
-from loadscope.plans.analyze import Report, analyze
+from loadscope.plans.analyze import Report, counts, notices
 from loadscope.sources import probes, walk
+from loadscope.sources.config import Config
 from loadscope.sources.errors import AnalysisError
 from pyspark.sql import functions as F
 
@@ -83,19 +84,24 @@ def test_an_empty_folder_is_an_error(spark, tmp_path):
     assert cli.main(["scan", str(tmp_path)]) == 2
 
 
-def test_analysis_of_a_tree_read_in_tasks(spark, project, monkeypatch):
+def test_a_tree_has_to_be_of_some_size(spark, project, monkeypatch):
     spark.dataSource.register(walk.TreeSource)
     entries = spark.read.format("tree").option("root", str(project)).load()
-    files = walk.read_files(entries, str(project))
-    report = analyze(files)
-    counts = report.counts.first()
-    assert (counts["walked"], counts["in_scope"], counts["read"]) == (8, 7, 7)
-    assert sorted(map(tuple, report.notices.collect())) == [("broken.ipynb", "unparsed"), ("link.py", "link-skipped")]
+    assert walk.check(entries, str(project)) == 8
     monkeypatch.setattr(walk, "MOST_ENTRIES", 3)
     with pytest.raises(AnalysisError, match="more than 3"):
         walk.check(entries, str(project))
 
 
+def test_notices_and_counts(spark):
+    """Those of files whose content is given: nothing is scanned for them."""
+    files = walk.memory(spark, {"a.py": "x = 1\n", "broken.ipynb": "{", "good.ipynb": '{"cells": []}'})
+    extension = X.extname(F.col("path"))
+    scope = files.withColumn("head", F.col("content"))
+    assert [tuple(r) for r in notices(files, scope, extension, Config()).collect()] == [("broken.ipynb", "unparsed")]
+    assert tuple(counts(files, scope).first()) == (3, 3, 3, 20)
+
+
 def test_files_are_hashed_in_pieces(spark, project, tmp_path):
     import hashlib
 
