@@ -21,25 +21,34 @@ from loadscope.sources import bills, walk
 from loadscope.sources.config import Config, parse_json, parse_yaml
 from loadscope.sources.errors import AnalysisError
 
-CONFIGS = ("loadscope.yaml", "loadscope.yml", "loadscope.json")
+CONFIGS = ("loadscope.json", "loadscope.yaml", "loadscope.yml", ".loadscope.yaml")
+#: Bytes of a configuration at most.
+MOST_CONFIG = 4 << 20
 
 
 def read_config(root: Path) -> Config:
     for name in CONFIGS:
         if (path := root / name).is_file():
+            if path.stat().st_size > MOST_CONFIG:
+                raise AnalysisError("bad-config", f"{name}: larger than {MOST_CONFIG} bytes", "A configuration is a few globs.", "Name the file that was meant.")
             return (parse_json if name.endswith("json") else parse_yaml)(path.read_text(), name)
     return Config()
 
 
-def report(spark, root: Path):
-    """The analysis of a directory: its entries, with their bytes read in tasks."""
+def report(spark, root: Path, quiet: bool = True):
+    """The analysis of a directory: its entries, with their bytes read in tasks. Stages are told on stderr."""
     spark.dataSource.register(walk.TreeSource)
-    base = str(root.resolve())
-    entries = spark.read.format("tree").option("root", base).load()
+    base, config = str(root.resolve()), read_config(root)
+    entries = walk.without(spark.read.format("tree").option("root", base).load(), config.ignore)
     walk.check(entries, str(root))
-    found = analyze(walk.read_files(entries, base), read_config(root))
-    # read more than once by most commands, and no larger than a project
-    return replace(found, sites=found.sites.persist(), records=found.records.persist(), contexts=found.contexts.persist(), evidence=found.evidence.persist())
+
+    def told(stage: str, counted: dict[str, int] | None) -> None:
+        if counted is not None and not quiet:
+            print(f"{stage}: " + ", ".join(f"{n} {name}" for name, n in counted.items()), file=sys.stderr)
+
+    found = analyze(walk.read_files(entries, base), config, progress=told)
+    skipped = spark.read.format("tree").option("root", base).option("list", "skipped").load()
+    return replace(found, notices=found.notices.unionByName(skipped.select("path", F.lit("directory-skipped").alias("code"))))
 
 
 def scan_lines(found) -> Iterator[str]:
@@ -96,11 +105,13 @@ def migration_lines(records, markdown: bool = False) -> Iterator[str]:
 def bill_lines(records, form: str, project: str) -> Iterator[str]:
     rows = bom.rows(records)
     if form == "json":
-        yield from bom.document(rows, S.summary(records).first().asDict(), project)
+        counted = lambda counts, name: {r[name]: r["artifacts"] for r in counts.collect()}  # noqa: E731  (as many as there are formats)
+        summary = S.summary(records).first().asDict() | {"formats": counted(S.by_format(records), "label"), "environments": counted(S.by_environment(records), "environment")}
+        yield from bom.document(rows, summary, project)
     elif form == "cyclonedx":
         yield from bom.cyclonedx_document(rows, project)
     else:
-        lines = {"lines": rows.select("artifact_id", F.to_json(F.struct(*rows.columns)).alias("line")), "csv": rows.select("artifact_id", bom.csv_lines(rows).alias("line")), "text": bom.text_lines(rows)}[form]
+        lines = bom.text_lines(rows) if form == "text" else rows.select("artifact_id", bom.SPREAD[form](rows).alias("line"))
         for row in lines.orderBy("artifact_id").toLocalIterator():
             yield row["line"]
 
@@ -126,9 +137,10 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("paths", nargs="+", help="a folder (explain: and what to explain), or two bills")
     parser.add_argument("--format", choices=("json", "lines", "csv", "text", "cyclonedx"), default="json")
     parser.add_argument("--fail-on", choices=("none", "any", "unknown", "privileged", "execution"), default="none")
-    parser.add_argument("--out", type=Path, help="write here instead of to the terminal")
+    parser.add_argument("--out", help="write here instead of to the terminal; a bill as lines or csv to a folder (with a slash at its end) is written by tasks")
     parser.add_argument("--quiet", action="store_true", help="write nothing; the exit code tells")
     args = parser.parse_args(argv)
+    args.spread, args.out = bool(args.out) and args.out.endswith("/"), args.out and Path(args.out)
     spark = session()
     try:
         if args.command == "diff":
@@ -136,11 +148,15 @@ def main(argv: list[str] | None = None) -> int:
             n = emit((row["line"] for row in diff.text_lines(before, after).orderBy("line").toLocalIterator()), args)
             return 2 if n else 0
         root = Path(args.paths[0])
-        found = report(spark, root)
+        found = report(spark, root, args.quiet)
         records = found.records
+        project = found.project or root.resolve().name
+        if args.command == "bom" and args.format in bom.SPREAD and args.spread:
+            bom.spread(bom.rows(records), args.format).write.mode("overwrite").text(str(args.out))
+            return 1 if not records.where(S.gate(records, args.fail_on)).isEmpty() else 0
         lines = {
             "scan": lambda: scan_lines(found), "loadpaths": lambda: load_path_lines(found), "evidence": lambda: evidence_lines(found), "explain": lambda: explain_lines(found, " ".join(args.paths[1:])),
-            "migrations": lambda: migration_lines(records), "plan": lambda: migration_lines(records, True), "artifacts": lambda: bill_lines(records, "text", root.resolve().name), "bom": lambda: bill_lines(records, args.format, root.resolve().name),
+            "migrations": lambda: migration_lines(records), "plan": lambda: migration_lines(records, True), "artifacts": lambda: bill_lines(records, "text", project), "bom": lambda: bill_lines(records, args.format, project),
         }[args.command]()
         if not emit(lines, args) and args.command == "explain":
             return 2

@@ -134,6 +134,6 @@ def elided(path: Column, most: int) -> Column:
 
 
 def human_bytes(size: Column) -> Column:
-    """A size in the largest unit of 1024 that it reaches, with one decimal place above bytes."""
-    at = lambda unit, n: F.concat(F.format_string("%.1f", size / n), F.lit(f" {unit}"))
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, at("KiB", 1 << 10)).when(size < 1 << 30, at("MiB", 1 << 20)).otherwise(at("GiB", 1 << 30))
+    """A size in the largest unit of 1024 that it reaches: one decimal place above bytes, two of GiB, of two equally near values the larger."""
+    at = lambda unit, n, places: F.concat(F.format_string(f"%.{places}f", F.round(size / n, places)), F.lit(f" {unit}"))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1 << 20, at("KiB", 1 << 10, 1)).when(size < 1 << 30, at("MiB", 1 << 20, 1)).otherwise(at("GiB", 1 << 30, 2))

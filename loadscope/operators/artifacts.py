@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadscope.functions.text import dirname, extname, matches_any, stem, suffixes
+from loadscope.functions.text import dirname, extname, matches_any, sanitise, stem, suffixes
 from loadscope.operators.columns import first_match, mapped
 from loadscope.plans import dims
 
@@ -27,10 +27,10 @@ def resolve_references(literals: DataFrame, paths: DataFrame) -> DataFrame:
     """(literal, target): what each distinct literal refers to among paths, or null.
 
     In order: a path itself; the one path that ends with it after a slash; a repository
-    `hf:org/name`; `missing:` for something that looks like a model file. Paths are counted by
+    `hf:org/name`, which has no extension; `missing:` for something that looks like a model file. Paths are counted by
     each of their suffixes first, so a literal meets one row however many namesakes there are.
     """
-    cleaned = F.regexp_replace(F.replace(F.col("literal"), F.lit("\\"), F.lit("/")), "^\\./", "")
+    cleaned = F.regexp_replace(F.replace(sanitise(F.col("literal")), F.lit("\\"), F.lit("/")), "^\\./", "")
     wanted = literals.select("literal").distinct().withColumn("path", cleaned)
     exact = wanted.join(paths.select("path", F.lit(True).alias("exact")).distinct(), "path", "left")
     endings = paths.select("path").distinct().select(F.explode(suffixes(F.col("path"))).alias("ending"), F.col("path").alias("found"))
@@ -38,7 +38,7 @@ def resolve_references(literals: DataFrame, paths: DataFrame) -> DataFrame:
     ending = wanted.join(endings, wanted["path"] == endings["ending"]).select("literal", "found")
     rows = exact.join(ending, "literal", "left")
     extension = extname(F.col("path"))
-    hub = F.col("path").rlike("^[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9][A-Za-z0-9._-]*\\z") & ~extension.isin(list(dims.BY_EXTENSION))
+    hub = F.col("path").rlike("^[A-Za-z0-9][A-Za-z0-9_.-]*/[A-Za-z0-9_.-]+\\z") & (extension == "")
     missing = F.col("path").rlike("[/.]") & extension.isin(list(dims.BY_EXTENSION))
     target = first_match((F.col("exact"), F.col("path")), (F.col("found").isNotNull(), F.col("found")), (hub, F.concat(F.lit("hf:"), F.col("path"))), (missing, F.concat(F.lit("missing:"), F.col("path"))))
     return rows.select("literal", target.alias("target"))

@@ -96,6 +96,15 @@ def csv_lines(bom: DataFrame) -> Column:
     return F.concat_ws(",", *[csv_cell(F.col(c)) for c in bom.columns])
 
 
+#: Forms whose every line stands by itself.
+SPREAD = {"lines": lambda bom: F.to_json(F.struct(*bom.columns)), "csv": csv_lines}
+
+
+def spread(bom: DataFrame, form: str) -> DataFrame:
+    """A bill's lines as rows (value) in order of id over many partitions, to be written by tasks."""
+    return bom.repartitionByRange("artifact_id").sortWithinPartitions("artifact_id").select(SPREAD[form](bom).alias("value"))
+
+
 def text_lines(bom: DataFrame) -> DataFrame:
     """(artifact_id, line): aligned by the longest locator."""
     width = bom.agg(F.max(F.length("locator")).alias("width"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,5 +28,11 @@ def first_match(*cases: tuple[Column, Column]) -> Column:
     return out
 
 
-def distinct_sorted(values: Column) -> Column:
-    return F.array_sort(F.array_distinct(values))
+def firsts(values: Sequence[str], has: Callable[[str], Column], order: Column) -> Column:
+    """An aggregate: those of the values that a group has, in the order of the first row that has each.
+
+    It keeps one place for each value of a fixed list, partial results included, and never a
+    list of rows.
+    """
+    places = F.array(*[F.struct(F.min(F.when(has(v), order)).alias("at"), F.lit(i).alias("i"), F.lit(v).alias("value")) for i, v in enumerate(values)])
+    return F.transform(F.array_sort(F.filter(places, lambda x: x["at"].isNotNull())), lambda x: x["value"])

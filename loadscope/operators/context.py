@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.functions.text import matches_any
+from loadscope.operators import asof
 from loadscope.operators.columns import first_match, rank
 from loadscope.plans import dims
 
@@ -53,22 +54,11 @@ def by_reach(environments: Column) -> Column:
 
 
 def nearest_binding(calls: DataFrame, bindings: DataFrame) -> DataFrame:
-    """calls (scope, name, at) with the expression bound last at or before `at`, or else first after it.
-
-    bindings has scope, name, at, expr. Both sides are put in one order per scope and name and
-    carried along by a window, so no pair is formed.
-    """
-    b = bindings.select("scope", "name", "at", F.lit(0).alias("side"), "expr", F.lit(None).cast("bigint").alias("call"))
-    c = calls.select("scope", "name", "at", F.lit(1).alias("side"), F.lit(None).cast("string").alias("expr"), "call")
-    order = Window.partitionBy("scope", "name").orderBy("at", "side", "call", "expr")
-    every = Window.partitionBy("scope", "name").orderBy("at", "side", "call", "expr").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = b.unionByName(c)
-    last = F.last("expr", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("expr", ignorenulls=True).over(every)
-    return both.withColumn("bound", F.coalesce(last, after)).where("side = 1").select("call", "scope", "name", "at", "bound")
+    """calls (scope, name, at) with the expression bound last at or before `at`, or else first after it. bindings has scope, name, at, expr."""
+    found = asof.nearest(calls.select("scope", "name", "at", "call"), bindings.select("scope", "name", "at", "expr"), ["scope", "name"], "at", "expr")
+    return found.select("call", "scope", "name", "at", F.col("expr").alias("bound"))
 
 
 def enclosing_scope(sites: DataFrame, scopes: DataFrame) -> DataFrame:
     """sites (file, site, at, indent) with the name of the deepest scope (file, at, indent, name) that begins at or before them and is less indented; of equals the last."""
-    pairs = sites.alias("s").join(scopes.alias("c"), (F.col("s.file") == F.col("c.file")) & (F.col("c.at") <= F.col("s.at")) & (F.col("c.indent") < F.col("s.indent")), "left")
-    return pairs.groupBy("s.file", "s.site").agg(F.max_by(F.col("c.name"), F.struct("c.indent", "c.at")).alias("enclosing"))
+    return asof.deepest(sites, scopes)

@@ -42,15 +42,19 @@ def _directions() -> dict[str, Column]:
     }
 
 
-def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(artifact_id, field, before, after, direction): each field that differs in both bills' rows of an artifact."""
+def cells() -> Column:
+    """Of the rows b and a of an artifact, (field, before, after, direction) of each field that differs."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    cells = [
+    every = [
         F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.struct(F.lit(f).alias("field"), text(F.col(f"b.{f}")).alias("before"), text(F.col(f"a.{f}")).alias("after"), d.alias("direction")))
         for f, d in _directions().items()
     ]
-    rows = status(before, after).where("status = 'changed'")
-    return rows.select("artifact_id", F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c")).select("artifact_id", "c.*")
+    return F.filter(F.array(*every), lambda x: x.isNotNull())
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(artifact_id, field, before, after, direction): each field that differs in both bills' rows of an artifact."""
+    return status(before, after).where("status = 'changed'").select("artifact_id", F.explode(cells()).alias("c")).select("artifact_id", "c.*")
 
 
 def ranked(changed: DataFrame) -> DataFrame:

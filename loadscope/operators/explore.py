@@ -122,7 +122,7 @@ def order_keys(key: str) -> tuple[Column, Column]:
         "exposure": mapped(F.col("behaviour"), dims.EXPOSURE, -1) * 2 + F.when(F.col("privileged"), 1).otherwise(0),
         "artifact": F.col("locator"),
         "format": mapped(F.col("format"), dims.LABELS, ""),
-        "context": F.when(F.size("environments") == 0, "zzz").otherwise(F.array_join("environments", ",")),
+        "context": F.when(F.size("environments") == 0, "zzz").otherwise(F.array_join(F.array_sort("environments"), ",")),
         "evidence": F.col("evidence_state"),
     }
     return keys[key], F.col("artifact_id")

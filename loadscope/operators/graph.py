@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.operators.columns import mapped
-from loadscope.operators.numbering import checkpoint_dir
+from loadscope.operators.shared import shared_dir
 from loadscope.plans import dims
 
 
@@ -40,19 +40,19 @@ def edges(sites: DataFrame, contexts: DataFrame) -> DataFrame:
     return _hops(sites, contexts).select(F.explode(pair).alias("e"), "behaviour").groupBy("e.from", "e.to").agg(most).select("from", "to", name)
 
 
-def component(links: DataFrame, focus: str) -> DataFrame:
-    """(id, distance): nodes reachable from the focus over undirected links, however far.
+def component(links: DataFrame, focus: str, farthest: int | None = None) -> DataFrame:
+    """(id, distance): nodes reachable from the focus over undirected links, however far, or within `farthest` links.
 
     A frontier of unseen nodes is joined to the links until it is empty. Each frontier is
     checkpointed in the folder that all executors share, so no node is written twice; what has
     been seen is their union.
     """
     spark = links.sparkSession
-    checkpoint_dir(spark)
+    shared_dir(spark)
     both = links.select(F.col("from").alias("a"), F.col("to").alias("b")).unionByName(links.select(F.col("to").alias("a"), F.col("from").alias("b"))).distinct().checkpoint()
     frontier = spark.createDataFrame([(focus, 0)], "id string, distance int")
     layers, step = [frontier], 0
-    while not frontier.isEmpty():
+    while not frontier.isEmpty() and (farthest is None or step < farthest):
         step += 1
         found = frontier.join(both, frontier["id"] == both["a"]).select(F.col("b").alias("id")).distinct()
         # a neighbour of the last layer is in it, in the one before, or new
@@ -61,6 +61,6 @@ def component(links: DataFrame, focus: str) -> DataFrame:
         frontier = found.withColumn("distance", F.lit(step)).checkpoint()
         layers.append(frontier)
     out = layers[0]
-    for layer in layers[1:-1]:
+    for layer in layers[1:]:
         out = out.unionByName(layer)
     return out

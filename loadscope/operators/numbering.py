@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def checkpoint_dir(spark: SparkSession) -> None:
-    """The folder all executors share, from spark.checkpoint.dir; a local one where that is unset (tests)."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loadscope-"))
+from loadscope.operators.asof import dealt
 
 
 def numbered(rows: DataFrame, order: list[str], name: str, prefix: str = "") -> DataFrame:
@@ -20,12 +14,11 @@ def numbered(rows: DataFrame, order: list[str], name: str, prefix: str = "") ->
     Rows are dealt out by ranges of the order; a range's numbers begin after the counts of
     those before it (as many rows as there are ranges), and go on within it.
     """
-    checkpoint_dir(rows.sparkSession)
-    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    spread = dealt(rows, order)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_range", "_start")
+    starts = spread.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_range", "_start")
     number = F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.join(F.broadcast(starts), "_range").withColumn(name, F.concat(F.lit(prefix), number.cast("string")) if prefix else number).drop("_range", "_start")
+    return spread.join(F.broadcast(starts), "_range").withColumn(name, F.concat(F.lit(prefix), number.cast("string")) if prefix else number).drop("_range", "_start")
 
 
 def numbered_within(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:

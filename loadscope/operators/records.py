@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loadscope.functions.text import dirname, join_path, stem
 from loadscope.operators import behaviour as B
-from loadscope.operators.columns import first_match, mapped, rank
+from loadscope.operators.columns import first_match, firsts, mapped, rank
 from loadscope.operators.evidence import BINDINGS, state
 from loadscope.plans import dims
 
@@ -15,18 +15,20 @@ from loadscope.plans import dims
 def build(artifacts: DataFrame, sites: DataFrame, contexts: DataFrame, evidence: DataFrame, order: list[str]) -> DataFrame:
     """One row for each artifact, with its headline verdict, environments, evidence and alternative.
 
-    sites have verdicts; order breaks ties between them. Sites meet their file's context and
+    sites have verdicts; order breaks ties between them. Environments and privileges stand in
+    the order of the first site with each, bindings in that of the evidence (seq). Sites meet their file's context and
     are then aggregated once, evidence likewise, so all joins to artifacts are one to one.
     """
     kinds = F.col("privileges") if "privileges" in contexts.columns else F.array().cast("array<string>")
     known = contexts.select("file", "environment", F.col("privileged").alias("reaches"), kinds.alias("kinds"))
     loaded = sites.where("artifact_id is not null").join(known, "file", "left").groupBy("artifact_id").agg(
-        *B.headline_of(order), F.array_sort(F.collect_set("environment")).alias("environments"), F.bool_or("reaches").alias("privileged"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("privileges"),
+        *B.headline_of(order), F.bool_or("reaches").alias("privileged"),
+        firsts(dims.REACH, lambda e: F.col("environment") == e, F.struct(*order)).alias("environments"),
+        firsts(list(dims.PRIVILEGE_LABELS), lambda p: F.array_contains("kinds", p), F.struct(*order)).alias("privileges"),
     )
     loaded = loaded.withColumnRenamed("verdict", "headline")
     proof = evidence.groupBy("artifact_id").agg(
-        F.array_sort(F.collect_set("binding")).alias("bindings"), F.bool_or((F.col("binding") == "current") & (F.col("result") == "flagged")).alias("current_flagged"), F.count("*").alias("evidence"),
+        firsts(BINDINGS, lambda b: F.col("binding") == b, F.col("seq")).alias("bindings"), F.bool_or((F.col("binding") == "current") & (F.col("result") == "flagged")).alias("current_flagged"), F.count("*").alias("evidence"),
         *[F.count_if(F.col("binding") == b).alias(f"evidence_{b}") for b in BINDINGS],
     )
     rows = artifacts.join(loaded, "artifact_id", "left").join(proof, "artifact_id", "left")

@@ -18,7 +18,10 @@ from loadscope.operators import diff as DF
 from loadscope.operators import evidence as E
 from loadscope.operators import records as R
 from loadscope.operators import summary as S
+from loadscope.operators.imports import canonical
 from loadscope.operators.numbering import numbered, numbered_within
+from loadscope.operators.rules import first_rule
+from loadscope.operators.shared import stored
 from loadscope.plans import derived as P
 from loadscope.plans import dims
 
@@ -107,9 +110,9 @@ res AS (
 head AS (
   SELECT artifact_id, arg_min(verdict, (-({EXPOSURE}), {SITE_ORDER})) AS verdict, arg_min(loader, ({SITE_ORDER})) AS first_loader, count(*) AS sites, count(DISTINCT verdict.b) > 1 AS inconsistent,
     count(*) FILTER (loader IN {_in(dims.GUARDS)}) > 0 AS guardable FROM res WHERE artifact_id IS NOT NULL GROUP BY artifact_id),
-act AS (SELECT artifact_id, environment, bool_or(privileged) AS privileged FROM (SELECT DISTINCT artifact_id, file FROM res WHERE artifact_id IS NOT NULL) JOIN ctx USING (file) GROUP BY ALL),
+act AS (SELECT artifact_id, environment, bool_or(privileged) AS privileged, min(({SITE_ORDER})) AS since FROM res JOIN ctx USING (file) WHERE artifact_id IS NOT NULL GROUP BY artifact_id, environment),
 priv AS (SELECT artifact_id, array_to_string(list_sort(list_distinct(flatten(list(kinds)))), ',') AS privileges FROM (SELECT DISTINCT artifact_id, file FROM res WHERE artifact_id IS NOT NULL) JOIN ctx USING (file) GROUP BY artifact_id),
-envs AS (SELECT artifact_id, list(environment ORDER BY environment) AS environments, bool_or(privileged) AS privileged FROM act GROUP BY artifact_id),
+envs AS (SELECT artifact_id, list(environment ORDER BY since) AS environments, bool_or(privileged) AS privileged FROM act GROUP BY artifact_id),
 scn AS (
   SELECT o_orderkey AS seq, CASE o_orderkey % 7 WHEN 0 THEN 'repo/' || locator WHEN 1 THEN array_to_string(string_split(locator, '/')[-2:], '/') WHEN 2 THEN 'x/' || string_split(locator, '/')[-1] WHEN 3 THEN string_split(locator, '/')[-1] ELSE locator END AS subject,
     CASE WHEN o_orderkey % 97 = 5 THEN sha256(digest) WHEN o_orderstatus <> 'P' THEN upper(digest)[:20] END AS subject_digest, CASE left(o_orderpriority, 1) WHEN '1' THEN 'flagged' WHEN '2' THEN 'error' ELSE 'pass' END AS result, 'scanner' || (o_orderkey % 5) AS scanner
@@ -122,7 +125,7 @@ meant AS (
 ev AS (
   SELECT s.*, artifact_id, CASE WHEN subject_digest IS NULL OR coverage <> 'full' THEN 'unbound' WHEN starts_with(digest, lower(subject_digest)) THEN 'current' ELSE 'stale' END AS binding
   FROM scn s JOIN meant USING (subject) JOIN art USING (artifact_id)),
-evs AS (SELECT artifact_id, list(binding ORDER BY binding) AS bindings, bool_or(binding = 'current' AND result = 'flagged') AS current_flagged, count(*) AS evidence FROM ev GROUP BY artifact_id),
+evs AS (SELECT artifact_id, list(binding ORDER BY seq) AS bindings, bool_or(binding = 'current' AND result = 'flagged') AS current_flagged, count(*) AS evidence FROM ev GROUP BY artifact_id),
 rec0 AS (
   SELECT a.*, coalesce(h.verdict, CASE WHEN basis = 'extension' OR format = 'unknown' THEN {_v("unknown", "format-undetermined")} WHEN intrinsic = 'code' THEN {_v("unknown", "artifact-unresolved")}
       WHEN intrinsic = 'data' THEN {_v("data")} WHEN intrinsic = 'directive' THEN {_v("directive")} ELSE {_v("unknown")} END) AS verdict, first_loader, coalesce(sites, 0) AS sites, coalesce(inconsistent, false) AS inconsistent,
@@ -383,21 +386,140 @@ def loader_match(spark, d):
     return rows.withColumn("loader", A.match_loader(F.col("name"), F.lit("py")))
 
 
+# ---- documents of agents, rules and headers ----
+
+ALIASES = [("np", "numpy", "s_suppkey % 2 = 0", 1), ("np", "np2", "s_suppkey % 7 = 0", 2), ("nn", "torch.nn", "s_suppkey % 3 = 0", 1), ("a", "z", "true", 1), ("a.b", "x.y", "s_suppkey % 2 = 1", 1), ("a.b.c.d", "deep", "s_suppkey % 5 = 0", 1), ("a.b.c.d.e", "never", "true", 1)]
+WRITTEN = ["np.load", "nn.functional.load", "a.b.c", "a", "a.b.c.d.e.f", "zz.load", "np", "b.a.b", "npx.load"]
+
+
+@query(f"""
+, al AS ({" UNION ALL ".join(f"SELECT s_suppkey AS file, '{a}' AS alias, '{f}' AS full, {at} AS place FROM supplier WHERE {c}" for a, f, c, at in ALIASES)}),
+one AS (SELECT file, alias, arg_max("full", place) AS full FROM al GROUP BY ALL),
+nm AS (SELECT l_suppkey AS file, ({_list(WRITTEN)})[(l_partkey + l_linenumber) % 9 + 1] AS name, count(*) AS calls FROM lineitem GROUP BY ALL),
+best AS (SELECT file, name, arg_max("full" || substr(name, length(alias) + 1), length(alias)) AS canonical FROM nm JOIN one USING (file) WHERE (name = alias OR starts_with(name, alias || '.')) AND len(string_split(alias, '.')) <= 4 GROUP BY ALL)
+SELECT file, name, coalesce(canonical, name) AS canonical, calls FROM nm LEFT JOIN best USING (file, name)""")
+def import_aliases(spark, d):
+    s = P.table(spark, d, "supplier")
+    each = [s.where(c).select(F.col("s_suppkey").alias("file"), F.lit(a).alias("alias"), F.lit(f).alias("full"), F.lit(at).alias("at")) for a, f, c, at in ALIASES]
+    aliases = each[0]
+    for more in each[1:]:
+        aliases = aliases.unionByName(more)
+    name = F.element_at(F.array(*[F.lit(n) for n in WRITTEN]), ((F.col("l_partkey") + F.col("l_linenumber")) % 9 + 1).cast("int"))
+    found = canonical(P.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), name.alias("name")), aliases)
+    return found.groupBy("file", "name", "canonical").agg(F.count("*").alias("calls"))
+
+
+@query("""
+, c AS (SELECT c_custkey AS k, c_custkey % 9 AS depth FROM customer)
+SELECT 'c' || k || '/settings.json' AS path, 'Ev' || k % 3 AS event, unnest(list_filter([CASE WHEN depth <= 6 AND k % 13 <> 7 THEN 'run-' || k END, CASE WHEN k % 4 = 0 AND depth <= 4 THEN 'more-' || k END], lambda x: x IS NOT NULL)) AS command, 2 AS line
+FROM c WHERE k % 11 <> 5""")
+def hook_commands(spark, d):
+    """Settings with a command at any depth under changing keys, some below a reserved key, some not text."""
+    from loadscope.sources.declarations import hooks
+
+    k = F.col("c_custkey").cast("string")
+    depth = F.col("c_custkey") % 9
+    command = F.when(F.col("c_custkey") % 13 == 7, "7").otherwise(F.concat(F.lit('"run-'), k, F.lit('"')))
+    inner = F.concat(F.lit('{"command":'), command, F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit(',"list":[{"command":"more-'), k, F.lit('"}]'))).otherwise(""), F.lit("}"))
+    layer = lambda i, text: F.when(depth > i, text).otherwise("")
+    inner = F.concat(*[layer(i, "[" if i % 2 else f'{{"k{i}":') for i in reversed(range(8))], inner, *[layer(i, "]" if i % 2 else "}") for i in range(8)])
+    inner = F.when(F.col("c_custkey") % 11 == 5, F.concat(F.lit('{"constructor":'), inner, F.lit("}"))).otherwise(inner)
+    text = F.concat(F.lit('{"command": "no", "hooks": {"__proto__": {"command": "no"},\n"Ev'), (F.col("c_custkey") % 3).cast("string"), F.lit('": '), inner, F.lit("}}"))
+    return hooks(P.table(spark, d, "customer").select(F.concat(F.lit("c"), k, F.lit("/settings.json")).alias("path"), text.alias("text"))).select("path", "event", "command", "line")
+
+
+@query("""SELECT 'agent:n' || p_partkey AS artifact_id, CASE p_partkey % 4 WHEN 3 THEN 'Read|p' || p_partkey ELSE 'Read|a, b|p' || p_partkey END || CASE WHEN p_partkey % 10 = 0 THEN '|*' ELSE '' END AS facts,
+CASE WHEN p_partkey % 10 = 0 THEN 'the tool grant is *: every tool of the host' END AS note FROM part""")
+def frontmatter_lists(spark, d):
+    """Agents whose tools are written as an inline list, as lines below the key, as lines after a first list that is replaced, or as words."""
+    from loadscope.sources.declarations import declarations
+
+    key = F.col("p_partkey")
+    k = key.cast("string")
+    star = lambda before, after="": F.when(key % 10 == 0, f"{before}*{after}").otherwise("")
+    lines = F.concat(F.lit("tools:\n  - Read\nnot a key\n  - 'a, b'\n - p"), k, star("\n  - '", "'"))
+    written = F.when(key % 4 == 0, F.concat(F.lit('Tools: [Read, "a, b", p'), k, star(", "), F.lit("]"))).when(key % 4 == 1, lines).when(key % 4 == 2, F.concat(F.lit("tools: [old]\n"), lines)).otherwise(F.concat(F.lit("tools: Read, p"), k, star(", ")))
+    text = F.concat(F.lit("---\nname: n"), k, F.lit("\n"), written, F.lit("\nconstructor: no\n---\nbody"))
+    found = declarations(P.table(spark, d, "part").select(F.concat(F.lit("agents/n"), k, F.lit(".md")).alias("path"), text.alias("text")))
+    return found.select("artifact_id", F.array_join("facts", "|").alias("facts"), "note")
+
+
+TENSOR = "{'name': '%s', 'dtype': %s, 'begin': %s, 'finish': %s, 'problem': %s}"
+
+
+@query(f"""
+, t AS (SELECT p_partkey AS k, 4 * (p_partkey % 5) AS n FROM part WHERE p_partkey % 13 <> 5 AND p_partkey % 17 <> 4)
+SELECT k, x.name, x.dtype, x.begin, x.finish, x.problem FROM (SELECT k, unnest([
+  {TENSOR % ("first", "'F32'", "0", "n", "NULL")},
+  {TENSOR % ("second", "'F16'", "CASE WHEN k % 7 = 0 THEN n - 1 ELSE n END", "n + 2", "CASE WHEN k % 7 = 0 AND n = 0 THEN 'outside' WHEN k % 7 = 0 THEN 'overlapping' END")},
+  {TENSOR % ("third", "CASE WHEN k % 11 = 3 THEN NULL ELSE 'I8' END", "n + 2", "CASE WHEN k % 3 = 1 THEN n + 900 ELSE n + 3 END", "CASE WHEN k % 11 = 3 THEN 'shape' WHEN k % 3 = 1 THEN 'outside' END")}]) AS x FROM t)""")
+def tensor_rows(spark, d):
+    """The tensors of headers made of parts: some overlap, reach beyond the file or lack a type; some headers are cut off or aren't JSON."""
+    from loadscope.sources import tensors
+
+    key = F.col("p_partkey")
+    n = 4 * (key % 5)
+    entry = lambda name, dtype, begin, end: F.concat(F.lit(f'"{name}":{{'), dtype, F.lit('"shape":[1],"data_offsets":['), begin.cast("string"), F.lit(","), end.cast("string"), F.lit("]}"))
+    text = F.concat_ws(
+        ",", F.lit('{"__metadata__":{"format":"pt"}'), entry("first", F.lit('"dtype":"F32",'), F.lit(0), n), entry("second", F.lit('"dtype":"F16",'), F.when(key % 7 == 0, n - 1).otherwise(n), n + 2),
+        entry("third", F.when(key % 11 == 3, "").otherwise('"dtype":"I8",'), n + 2, F.when(key % 3 == 1, n + 900).otherwise(n + 3)), F.lit('"__proto__":{}'),
+    )
+    text = F.concat(text, F.when(key % 17 == 4, "").otherwise("}"))
+    length = F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(F.octet_length(text).cast("long")), 16, "0"), F.lit("(..)"), F.lit(1))), "")
+    head = F.concat(F.unhex(length), F.encode(text, "UTF-8"))
+    files = P.table(spark, d, "part").select(key.alias("path"), (F.octet_length(head) + n + 3).cast("long").alias("size"), F.when(key % 13 == 5, F.substring(head, 1, 60)).otherwise(head).alias("head"))
+    found = tensors.tensors(tensors.headers(files))
+    return found.select(F.col("path").alias("k"), "name", "dtype", "begin", F.col("end").alias("finish"), "problem")
+
+
+@query("""
+, rule AS (SELECT n_nationkey AS priority, '^[^/]*/' || lower(left(n_name, 1 + n_nationkey % 2)) || CASE WHEN n_nationkey % 3 = 0 THEN '.*[02468][.]py$' ELSE '' END AS pattern, n_name AS gives FROM nation)
+SELECT file, arg_min(gives, priority) AS nation FROM fil LEFT JOIN rule ON regexp_matches(file, pattern) GROUP BY file""")
+def first_rules(spark, d):
+    """The first of the nations' patterns that each file matches."""
+    n = F.col("n_nationkey")
+    pattern = F.concat(F.lit("^[^/]*/"), F.lower(F.expr("left(n_name, 1 + n_nationkey % 2)")), F.when(n % 3 == 0, ".*[02468][.]py$").otherwise(""))
+    rules = P.table(spark, d, "nation").select(n.alias("priority"), pattern.alias("pattern"), F.col("n_name").alias("nation"))
+    return first_rule(P.files(spark, d).select("file"), rules, "file", ["nation"])
+
+
+@query("""
+, c AS (SELECT conv_id, turn, role = 'assistant' AS code, len(string_split(text, chr(10))) AS n FROM conversations),
+m AS (SELECT *, count(*) FILTER (code) OVER w AS cell, coalesce(sum(n + 1) FILTER (code) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS first_line FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+l AS (SELECT DISTINCT conv_id, (turn * 3 + 1)::BIGINT AS line FROM conversations)
+SELECT l.conv_id, line, cell FROM l LEFT JOIN (SELECT * FROM m WHERE code) m ON l.conv_id = m.conv_id AND line >= first_line AND line < first_line + n""")
+def line_cells(spark, d):
+    from loadscope.sources.notebook import cell_of_line, cells
+
+    rows = P.table(spark, d, "conversations").select(F.col("conv_id").alias("notebook"), F.col("turn").alias("at"), (F.col("role") == "assistant").alias("code"), F.col("text").alias("source"))
+    lines = P.table(spark, d, "conversations").select(F.col("conv_id").alias("notebook"), (F.col("turn") * 3 + 1).alias("line")).distinct()
+    return cell_of_line(cells(rows), lines).select(F.col("notebook").alias("conv_id"), "line", "cell")
+
+
+@query("""
+, e AS (SELECT artifact_id, binding, min(seq) AS since FROM ev GROUP BY ALL)
+SELECT artifact_id, array_to_string(environments, ',') AS environments, coalesce(b, '') AS bindings FROM rec LEFT JOIN (SELECT artifact_id, string_agg(binding, ',' ORDER BY since) AS b FROM e GROUP BY artifact_id) USING (artifact_id)""")
+def insertion_order(spark, d):
+    """Environments in the order of an artifact's sites, bindings in that of its evidence."""
+    return P.records(spark, d).select("artifact_id", F.array_join("environments", ",").alias("environments"), F.array_join("bindings", ",").alias("bindings"))
+
+
 # ---- references ----
 
 MODEL_FILE = "[.](" + "|".join(e[1:] for e in dims.BY_EXTENSION) + ")$"
-LITERALS = "(SELECT DISTINCT CASE l_orderkey % 6 WHEN 0 THEN locator WHEN 1 THEN './' || locator WHEN 2 THEN string_split(locator, '/')[-1] WHEN 3 THEN 'org' || (artifact_id % 9) || '/name' WHEN 4 THEN 'gone/' || artifact_id || '.pt' ELSE 'word' || artifact_id END AS literal FROM lineitem JOIN art ON l_partkey = artifact_id)"
+LITERALS = "(SELECT DISTINCT CASE l_orderkey % 10 WHEN 0 THEN locator WHEN 1 THEN './' || locator WHEN 2 THEN string_split(locator, '/')[-1] WHEN 3 THEN 'org' || (artifact_id % 9) || '/name' WHEN 4 THEN 'gone/' || artifact_id || '.pt' WHEN 5 THEN 'config/index' || artifact_id % 9 || '.yaml' WHEN 6 THEN 'src/main.py' WHEN 7 THEN 'org/_name-' || artifact_id % 9 WHEN 8 THEN 'org.v2/' || chr(7) || 'x' ELSE 'word' || artifact_id END AS literal FROM lineitem JOIN art ON l_partkey = artifact_id)"
 
 
 @query(f"""
-, lit AS (SELECT literal, regexp_replace(literal, '^[.]/', '') AS path FROM {LITERALS}),
+, lit AS (SELECT literal, regexp_replace(regexp_replace(literal, '[\\x00-\\x1f\\x7f]', '�', 'g'), '^[.]/', '') AS path FROM {LITERALS}),
 suf AS (SELECT literal, min(locator) AS found, count(*) AS n FROM lit JOIN art ON locator = path OR ends_with(locator, '/' || path) GROUP BY literal)
-SELECT literal, CASE WHEN path IN (SELECT locator FROM art) THEN path WHEN n = 1 THEN found WHEN regexp_matches(path, '^[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9][A-Za-z0-9._-]*$') AND NOT regexp_matches(path, '{MODEL_FILE}') THEN 'hf:' || path WHEN regexp_matches(path, '{MODEL_FILE}') THEN 'missing:' || path END AS target
+SELECT literal, CASE WHEN path IN (SELECT locator FROM art) THEN path WHEN n = 1 THEN found WHEN regexp_matches(path, '^[A-Za-z0-9][A-Za-z0-9_.-]*/[A-Za-z0-9_.-]+$') AND NOT regexp_matches(path, '[^/][.][^./]*$') THEN 'hf:' || path WHEN regexp_matches(path, '{MODEL_FILE}') THEN 'missing:' || path END AS target
 FROM lit LEFT JOIN suf USING (literal)""")
 def reference_resolve(spark, d):
     arts = P.artifacts(spark, d)
-    k, o, p = F.col("artifact_id"), F.col("l_orderkey") % 6, F.col("locator")
-    literal = F.when(o == 0, p).when(o == 1, F.concat(F.lit("./"), p)).when(o == 2, X.basename(p)).when(o == 3, F.concat(F.lit("org"), (k % 9).cast("string"), F.lit("/name"))).when(o == 4, F.concat(F.lit("gone/"), k.cast("string"), F.lit(".pt"))).otherwise(F.concat(F.lit("word"), k.cast("string")))
+    k, o, p = F.col("artifact_id"), F.col("l_orderkey") % 10, F.col("locator")
+    literal = F.when(o == 0, p).when(o == 1, F.concat(F.lit("./"), p)).when(o == 2, X.basename(p)).when(o == 3, F.concat(F.lit("org"), (k % 9).cast("string"), F.lit("/name"))).when(o == 4, F.concat(F.lit("gone/"), k.cast("string"), F.lit(".pt")))
+    literal = literal.when(o == 5, F.concat(F.lit("config/index"), (k % 9).cast("string"), F.lit(".yaml"))).when(o == 6, "src/main.py").when(o == 7, F.concat(F.lit("org/_name-"), (k % 9).cast("string"))).when(o == 8, "org.v2/\x07x").otherwise(F.concat(F.lit("word"), k.cast("string")))
     rows = P.table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("artifact_id")).join(arts, "artifact_id").select(literal.alias("literal"))
     return A.resolve_references(rows, arts.select(p.alias("path")))
 
@@ -571,17 +693,17 @@ def search(spark, d):
 
 SHOWN_ORDER = {
     "display": f"{_case('behaviour', dims.DISPLAY)} * 10 - CASE WHEN privileged THEN 5 ELSE 0 END", "exposure": f"{_case('behaviour', dims.EXPOSURE)} * 2 + CASE WHEN privileged THEN 1 ELSE 0 END",
-    "artifact": "locator", "format": _case("format", dims.LABELS), "context": "CASE WHEN len(environments) = 0 THEN 'zzz' ELSE array_to_string(environments, ',') END", "evidence": "evidence_state",
+    "artifact": "locator", "format": _case("format", dims.LABELS), "context": "CASE WHEN len(environments) = 0 THEN 'zzz' ELSE array_to_string(list_sort(environments), ',') END", "evidence": "evidence_state",
 }
 
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS key, artifact_id, row_number() OVER (ORDER BY {e} {'DESC' if k == 'exposure' else ''}, artifact_id) AS place FROM rec" for k, e in SHOWN_ORDER.items()))
 def sort_records(spark, d):
-    records = P.records(spark, d)
+    of = {key: explore.order_keys(key)[0] for key in SHOWN_ORDER}
+    keys = stored(P.records(spark, d).select("artifact_id", *[(-c if key == "exposure" else c).alias(f"_{key}") for key, c in of.items()]))
     out = None
     for key in SHOWN_ORDER:
-        of, _ = explore.order_keys(key)
-        rows = numbered(records.select((-of if key == "exposure" else of).alias("_key"), "artifact_id"), ["_key", "artifact_id"], "place").select(F.lit(key).alias("key"), "artifact_id", "place")
+        rows = numbered(keys.select(F.col(f"_{key}").alias("_key"), "artifact_id"), ["_key", "artifact_id"], "place").select(F.lit(key).alias("key"), "artifact_id", "place")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -615,7 +737,7 @@ def site_numbers(spark, d):
 # ---- bills ----
 
 
-@query(f"SELECT artifact_id, locator, origin, format, {_case('format', dims.LABELS)} AS label, basis, digest, behaviour, verdict.g AS guard, verdict.r AS reason, sites, array_to_string(environments, ',') AS environments, privileged, array_to_string(list_sort(list_distinct(bindings)), ',') AS evidence, alternative, coalesce(privileges, '') AS privileges, coalesce(findings, '') AS findings FROM rec LEFT JOIN priv USING (artifact_id) LEFT JOIN (SELECT artifact_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS findings FROM find GROUP BY artifact_id) USING (artifact_id)")
+@query(f"SELECT artifact_id, locator, origin, format, {_case('format', dims.LABELS)} AS label, basis, digest, behaviour, verdict.g AS guard, verdict.r AS reason, sites, array_to_string(list_sort(environments), ',') AS environments, privileged, array_to_string(list_sort(list_distinct(bindings)), ',') AS evidence, alternative, coalesce(privileges, '') AS privileges, coalesce(findings, '') AS findings FROM rec LEFT JOIN priv USING (artifact_id) LEFT JOIN (SELECT artifact_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS findings FROM find GROUP BY artifact_id) USING (artifact_id)")
 def bom_rows(spark, d):
     return bom.rows(P.records(spark, d))
 
@@ -740,9 +862,16 @@ def alternative_change(spark, d):
     return records.select("artifact_id", R.change(records).alias("change"))
 
 
-@query("SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f KiB', n / 1024) END AS size FROM (SELECT page_id, strlen(html) AS n FROM pages)")
+# Every other page's size is raised so that all units are reached; of two equally near values the larger is shown.
+SIZE = "strlen(html) * CASE page_id % 4 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 WHEN 3 THEN 1024 ELSE 1 END"
+
+
+@query(f"""SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', floor(n * 10 / 1024 + 0.5) / 10) WHEN n < 1073741824 THEN printf('%.1f MiB', floor(n * 10 / 1048576 + 0.5) / 10)
+  ELSE printf('%.2f GiB', floor(n * 100 / 1073741824 + 0.5) / 100) END AS size FROM (SELECT page_id, {SIZE} AS n FROM pages)""")
 def human_sizes(spark, d):
-    return P.table(spark, d, "pages").select("page_id", X.human_bytes(F.octet_length("html").cast("long")).alias("size"))
+    k = F.col("page_id") % 4
+    size = F.octet_length("html").cast("long") * F.when(k == 1, 1000).when(k == 2, 1_000_000).when(k == 3, 1024).otherwise(1)
+    return P.table(spark, d, "pages").select("page_id", X.human_bytes(size).alias("size"))
 
 
 @query("SELECT artifact_id, CASE WHEN length(locator) <= 30 THEN locator WHEN length(name) + 2 > 30 THEN '…' || right(name, 29) ELSE left(locator, greatest(30 - length(name) - 2, 0)::BIGINT) || '…/' || name END AS shown FROM (SELECT *, string_split(locator, '/')[-1] AS name FROM art)")
@@ -766,13 +895,13 @@ def graph_edges(spark, d):
     return graph.edges(P.resolved(spark, d), P.contexts(spark, d))
 
 
-LINKS = "(SELECT 'n' || n_nationkey AS a, 'n' || (n_nationkey * 2 % 7) AS b FROM nation WHERE n_nationkey % 3 > 0)"
-
-
-@query(f", e AS (SELECT a, b FROM {LINKS} UNION SELECT b, a FROM {LINKS}), r(id) AS (SELECT 'n1' UNION SELECT e.b FROM r JOIN e ON r.id = e.a) SELECT id FROM r")
+@query(HOPS + """, pair AS (SELECT e AS x, f AS y FROM hop UNION SELECT f, l FROM hop UNION SELECT l, a FROM hop), linked AS (SELECT x, y FROM pair UNION SELECT y, x FROM pair),
+focus AS (SELECT min(a) AS id FROM hop), r(id, n) AS (SELECT id, 0 FROM focus UNION SELECT y, n + 1 FROM r JOIN linked ON id = x WHERE n < 2) SELECT id, min(n) AS distance FROM r GROUP BY id""")
 def component(spark, d):
-    links = P.table(spark, d, "nation").where("n_nationkey % 3 > 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("from"), F.concat(F.lit("n"), (F.col("n_nationkey") * 2 % 7).cast("string")).alias("to"))
-    return graph.component(links, "n1").select("id")
+    """What is at most two links away from the first artifact in the graph of contexts, files, loaders and artifacts."""
+    links = graph.edges(P.resolved(spark, d), P.contexts(spark, d)).select("from", "to")
+    focus = links.where(F.startswith("to", F.lit("artifact:"))).agg(F.min("to")).first()[0]
+    return graph.component(links, focus, 2)
 
 
 # ---- what SQL doesn't express ----

@@ -10,6 +10,45 @@ MOST_RECORDS = 5000
 RESULTS = ("pass", "flagged", "error", "skipped")
 
 
+# Keys that a document's objects never have, at any level, and how deep documents are read.
+RESERVED = ("__proto__", "constructor", "prototype")
+DEEPEST = 32
+
+
+def fields(value: Column) -> Column:
+    """The entries (key, value) of a variant that is an object, without reserved keys; null for others."""
+    known = F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, _: ~k.isin(*RESERVED))
+    return F.map_entries(known)
+
+
+def nodes(rows: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+    """rows (..., value: variant) with depth: each value itself at depth 0, then what its objects and lists hold, level by level.
+
+    A round opens one level; what has been opened passes through, so each value is opened once.
+    Reserved keys aren't entered, nor anything below the deepest level. A null value gives itself.
+    """
+    own = [c for c in rows.columns if c != "value"]
+    out = rows.select(*own, F.lit(0).alias("depth"), F.lit(False).alias("opened"), "value")
+    made = lambda depth, opened, value: F.struct(depth.alias("depth"), F.lit(opened).alias("opened"), value.alias("value"))
+    for _ in range(deepest):
+        this = F.array(made(F.col("depth"), True, F.col("value")))
+        held = F.coalesce(F.transform(fields(F.col("value")), lambda e: e["value"]), F.try_variant_get("value", "$", "array<variant>"))
+        below = F.transform(held, lambda v: made(F.col("depth") + 1, False, v))
+        out = out.select(*own, F.explode(F.when(F.col("opened") | below.isNull(), this).otherwise(F.concat(this, below))).alias("n")).select(*own, "n.*")
+    return out.drop("opened")
+
+
+def string_at(value: Column, path: str) -> Column:
+    """A string at a path of a variant; null if something else is there."""
+    return F.when(F.schema_of_variant(F.try_variant_get(value, path, "variant")) == "STRING", F.try_variant_get(value, path, "string"))
+
+
+def line_of(text: Column, key: Column) -> Column:
+    """The line on which a key first stands in quotes, 1 if nowhere."""
+    at = F.position(F.concat(F.lit('"'), key, F.lit('"')), text)
+    return F.when(at > 0, F.size(F.split(F.substring(text, F.lit(1), at), "\n"))).otherwise(1)
+
+
 def json_text(column: Column, path: str) -> Column:
     """A string at a path, or null if the document isn't JSON or has none there.
 
@@ -25,12 +64,22 @@ def _result(column: Column) -> Column:
 
 
 def mcp_servers(files: DataFrame) -> DataFrame:
-    """(path, name, behaviour, origin, command, url): servers of MCP manifests (path, text); one with a command runs code here."""
-    entry = "struct<command:string,url:string,endpoint:string,type:string,transport:string>"
-    kind = f"struct<mcpServers:map<string,{entry}>,servers:map<string,{entry}>>"
-    parsed = files.select("path", F.from_json("text", kind).alias("d")).select("path", F.explode(F.coalesce("d.mcpServers", "d.servers")).alias("name", "s"))
-    local = F.col("s.command").isNotNull()
-    return parsed.select("path", "name", F.when(local, "code").otherwise("directive").alias("behaviour"), F.when(local, "in-tree").otherwise("remote-reference").alias("origin"), F.col("s.command").alias("command"), F.coalesce("s.url", "s.endpoint").alias("url"))
+    """(path, line, name, behaviour, origin, command, args, url, transport, variables): servers of MCP manifests (path, text); one with a command runs code here.
+
+    Entries that aren't objects are none; line is where the entry's name first stands in the text.
+    """
+    root = files.select("path", "text", F.try_parse_json("text").alias("d"))
+    block = F.coalesce(*[F.try_variant_get("d", f"$.{k}", "variant") for k in ("mcpServers", "servers")])
+    rows = root.select("path", "text", F.explode(fields(block)).alias("e")).select("path", "text", F.col("e.key").alias("name"), F.col("e.value").alias("s")).where(fields(F.col("s")).isNotNull())
+    s = F.col("s")
+    given = F.coalesce(F.try_variant_get(s, "$.args", "array<variant>"), F.array().cast("array<variant>"))
+    args = F.transform(F.filter(given, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
+    command = string_at(s, "$.command")
+    local = command.isNotNull()
+    return rows.select(
+        "path", line_of(F.col("text"), F.col("name")).alias("line"), "name", F.when(local, "code").otherwise("directive").alias("behaviour"), F.when(local, "in-tree").otherwise("remote-reference").alias("origin"), command.alias("command"), args.alias("args"),
+        F.coalesce(string_at(s, "$.url"), string_at(s, "$.endpoint")).alias("url"), F.coalesce(string_at(s, "$.type"), string_at(s, "$.transport")).alias("transport"), F.transform(fields(F.try_variant_get(s, "$.env", "variant")), lambda e: e["key"]).alias("variables"),
+    )
 
 
 def native_evidence(files: DataFrame) -> DataFrame:

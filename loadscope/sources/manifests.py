@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loadscope.functions.versions import normalise_name
 from loadscope.operators.deps import LOCK, OTHER, REQUIREMENTS, requirement_lines
+from loadscope.operators.numbering import numbered
 
 # Manifests by their file's name, the first that fits.
 KINDS = [
@@ -92,11 +93,11 @@ def declared(files: DataFrame) -> DataFrame:
     for name, read, rank in readers:
         rows = read(known.where(F.col("kind") == name)).withColumn("rank", F.lit(rank))
         every = rows if every is None else every.unionByName(rows)
-    # manifests are few lines of a project
-    return every.where("name is not null").withColumn("seq", F.row_number().over(Window.orderBy("rank", "source", "seq"))).select("name", "constraint", "source", "rank", "seq")
+    read = every.where("name is not null").withColumnRenamed("seq", "line")
+    return numbered(read, ["rank", "source", "line", "name", "constraint"], "seq").select("name", "constraint", "source", "rank", "seq")
 
 
-def project_name(files: DataFrame, otherwise: str) -> DataFrame:
+def project_name(files: DataFrame, otherwise: str | None) -> DataFrame:
     """One row, name: that of the root's pyproject, else of its package.json, else the given one."""
     root = files.where(F.col("path").isin("pyproject.toml", "package.json"))
     table = F.regexp_extract("text", r"(?m)^\[project\][^\[]*?^name\s*=\s*[\"']([^\"']+)[\"']", 1)

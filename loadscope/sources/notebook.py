@@ -37,6 +37,10 @@ def joined(rows: DataFrame) -> DataFrame:
 
 
 def cell_of_line(numbered: DataFrame, lines: DataFrame) -> DataFrame:
-    """lines (notebook, line) with the cell that each lies in."""
-    inside = (lines["notebook"] == numbered["notebook"]) & (lines["line"] >= numbered["first_line"]) & (lines["line"] < numbered["first_line"] + numbered["n_lines"])
-    return lines.join(numbered.select("notebook", "cell", "first_line", "n_lines"), inside, "left").select(lines["notebook"], lines["line"], "cell")
+    """lines (notebook, line) with the cell that each lies in, null for the blank lines between cells.
+
+    Each line of a cell becomes a row with the cell's number, so lines meet theirs in an
+    equi-join and the rows grow with the notebooks' lines only.
+    """
+    every = numbered.select("notebook", "cell", F.explode(F.sequence("first_line", F.col("first_line") + F.col("n_lines") - 1)).alias("line"))
+    return lines.join(every, ["notebook", "line"], "left").select("notebook", "line", "cell")

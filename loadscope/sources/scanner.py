@@ -1,24 +1,20 @@
-"""Calls of loaders in Python and JavaScript source, found by a linear scan over masked text.
+"""Python and JavaScript source as rows: calls, imports, scopes and bindings, from a linear scan over masked text.
 
 Masking keeps every character's place: comments become spaces, what stands in strings a
-filler. A call is a dotted name before a bracket; names are rewritten by the file's
-imports and matched against the loader rules; arguments are split at top-level commas.
+filler. A call is a dotted name before a bracket. What names mean, which scope a call is in
+and what a variable is bound to is worked out by joins over these rows (operators.loads).
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from loadscope.plans.dims import LOADERS
-
-# How far a call's closing bracket may be, how deep paths are folded, and how long a snippet is.
-FARTHEST, DEEPEST, SNIPPET = 20_000, 6, 160
 FILL = "\x01"
 NAME = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_."
 BRACKET = re.compile(r"[()\[\]{}]")
@@ -28,9 +24,7 @@ PY_IMPORT = re.compile(r"^[ \t]*(?:from[ \t]+([\w.]+)[ \t]+import[ \t]+\(?([^\n)
 JS_IMPORT = re.compile(r"import\s+(?:\*\s+as\s+(\w+)|\{([^}]*)\}|(\w+))\s+from\s+(['\"])([^'\"]+)\4|(?:const|let|var)\s+(?:\{([^}]*)\}|(\w+))\s*=\s*require\(\s*(['\"])([^'\"]+)\8\s*\)")
 BINDING = re.compile(r"^[ \t]*(?:const |let |var )?([A-Za-z_]\w*)[ \t]*=(?!=)[ \t]*([^\n]+)|\bwith[ \t]+(open\([^\n]*\))[ \t]+as[ \t]+(\w+)", re.M)
 SCOPE = re.compile(r"^([ \t]*)(?:async[ \t]+)?(?:def|class|function)[ \t]+([A-Za-z_]\w*)", re.M)
-FORMATTED = re.compile(r"[fF][rR]?(\"\"\"|'''|\"|')(.*)\1\Z", re.S)
-QUOTED = re.compile(r"[rRbBuU]{0,2}(\"\"\"|'''|\"|'|`)(.*)\1\Z", re.S)
-ROW = "file string, line int, pos int, enclosing string, loader string, canonical string, snippet string, args map<string,string>, target string, literal string"
+ROW = "file string, kind string, at int, line int, indent int, name string, value string, opened int, closed int"
 
 
 def mask(text: str, python: bool) -> str:
@@ -87,202 +81,65 @@ def called(masked: str, opened: list[tuple[int, int]]) -> Iterator[tuple[int, st
             yield since + len(before) - len(name), name, at
 
 
-def split_top(text: str, masked: str, separators: str = ",") -> list[str]:
-    """The parts between separators that stand in no bracket."""
-    parts, depth, at = [], 0, 0
-    for m in re.finditer(rf"[()\[\]{{}}{re.escape(separators)}]", masked):
-        if m[0] in separators:
-            if not depth:
-                parts.append(text[at : m.start()])
-                at = m.end()
-        else:
-            depth += 1 if m[0] in "([{" else -1
-    return [p.strip() for p in [*parts, text[at:]] if p.strip()]
-
-
-def aliases(text: str, masked: str, python: bool) -> dict[str, str]:
-    """Local names with what they stand for."""
-    out: dict[str, str] = {}
+def imported(text: str, masked: str, python: bool) -> Iterator[tuple[int, str, str | None, str]]:
+    """(place, module, local name or none, what it stands for) of each imported name."""
     if python:
-        for module, names, whole in PY_IMPORT.findall(masked):
-            for part in (names or whole).split(","):
+        for m in PY_IMPORT.finditer(masked):
+            for part in (m[2] or m[3] or "").split(","):
                 words = part.split()
                 if words and re.fullmatch(r"[\w.]+", words[0]):
                     name = words[2] if len(words) == 3 and words[1] == "as" else None
-                    if module:
-                        out[name or words[0]] = f"{module}.{words[0]}"
-                    elif name:
-                        out[name] = words[0]
-        return out
+                    yield m.start(), m[1] or words[0], name or words[0] if m[1] else name, f"{m[1]}.{words[0]}" if m[1] else words[0]
+        return
     for m in JS_IMPORT.finditer(text):
-        module = (m[5] or m[9]).split("/")[-1]
+        whole = m[5] or m[9]
+        module = whole.split("/")[-1]
         for part in (m[2] or m[6] or "").split(","):
             words = re.split(r"\s+as\s+|\s*:\s*", part.strip())
             if words[0]:
-                out[words[-1]] = words[0]
+                yield m.start(), whole, words[-1], words[0]
         if star := m[1] or m[3] or m[7]:
-            out[star] = {"onnxruntime-node": "onnxruntime", "onnxruntime-web": "onnxruntime", "tfjs": "tf", "tfjs-node": "tf"}.get(module, module)
-    return out
-
-
-def canonical(name: str, known: dict[str, str]) -> str:
-    """A dotted name with its longest known prefix put in full."""
-    parts = name.split(".")
-    for k in range(min(4, len(parts)), 0, -1):
-        if (full := known.get(".".join(parts[:k]))) is not None:
-            return ".".join([full, *parts[k:]])
-    return name
-
-
-# What the constants of both languages are as literals.
-CONSTANTS = {"True": "true", "true": "true", "False": "false", "false": "false", "None": "none", "null": "none", "undefined": "none"}
-
-
-def folded(value: str) -> str:
-    """A constant or plain string as its value, anything else as it is written."""
-    if (m := QUOTED.fullmatch(value)) and m[1] not in m[2] and "\\" not in m[2]:
-        return m[2]
-    return CONSTANTS.get(value, value)
-
-
-@lru_cache(1)
-def _rules() -> list[tuple[str, str, list[int], list[str], re.Pattern]]:
-    return [(i, eco, positions, keywords, re.compile(p)) for i, eco, positions, keywords, p in LOADERS]
-
-
-class Source:
-    """One file's text, masked, with its lines, imports, bindings and scopes."""
-
-    def __init__(self, text: str, python: bool):
-        self.text, self.python = text, python
-        self.masked = mask(text, python)
-        self.lines = [0, *(m.end() for m in re.finditer("\n", text))]
-        self.known = aliases(text, self.masked, python)
-        self.bound: dict[str, list[tuple[int, str]]] = {}
-        for m in BINDING.finditer(self.masked):
-            name, (s, e) = (m[1], m.span(2)) if m[1] else (m[4], m.span(3))
-            self.bound.setdefault(name, []).append((self.line(m.start()), text[s:e].split("#")[0].strip().rstrip(";") if python else text[s:e].strip().rstrip(";")))
-        self.starts = {name: [n for n, _ in rows] for name, rows in self.bound.items()}
-        self.scopes = [(m.start(), len(m[1].replace("\t", "    ")), m[2]) for m in SCOPE.finditer(self.masked)]
-        self.passed, self.deep = 0, []
-
-    def line(self, at: int) -> int:
-        return bisect_right(self.lines, at)
-
-    def enclosing(self, at: int) -> str | None:
-        """The scope around a place; places have to be asked for in rising order.
-
-        In Python that is the most indented of the scopes before it that are less indented, of
-        equals the last. Scopes are kept by rising indentation: of those less indented than a new
-        one none can win against it later, unless the place is no deeper than the new one itself,
-        so each indentation keeps its last scope. Elsewhere it is the last function before.
-        """
-        while self.passed < len(self.scopes) and self.scopes[self.passed][0] <= at:
-            _, depth, name = self.scopes[self.passed]
-            k = bisect_left(self.deep, (depth,))
-            if k < len(self.deep) and self.deep[k][0] == depth:
-                self.deep[k] = (depth, name)
-            else:
-                self.deep.insert(k, (depth, name))
-            self.passed += 1
-        if not self.python:
-            return self.scopes[self.passed - 1][2] if self.passed else None
-        head = re.compile(r"[ \t]*").match(self.text, self.lines[self.line(at) - 1])[0]
-        k = bisect_left(self.deep, (len(head.replace("\t", "    ")),))
-        return self.deep[k - 1][1] if k else None
-
-    def nearest(self, name: str, line: int) -> str | None:
-        """What a name was bound to last by this line, or else first after it."""
-        rows = self.bound.get(name)
-        return rows[max(0, bisect_right(self.starts[name], line) - 1)][1] if rows else None
-
-    def formatted(self, body: str, again) -> str | None:
-        """An f-string's text if all that it puts in is certain."""
-        parts = re.split(r"(\{\{|\}\}|\{[^{}]*\})", body)
-        out = [again(p[1:-1].split(":")[0].split("!")[0]) if p.startswith("{") and p != "{{" else p[0] if p in ("{{", "}}") else p for p in parts]
-        return None if None in out or any(c in p for p, o in zip(parts, out, strict=True) for c in "{}" if p is o) else "".join(out)
-
-    def path(self, expr: str, line: int, depth: int = 0) -> str | None:
-        """A path that an expression certainly is, or null."""
-        expr = expr.strip()
-        if depth > DEEPEST or not expr:
-            return None
-        again = lambda e: self.path(e, line, depth + 1)
-        if (m := QUOTED.fullmatch(expr)) and m[1] not in m[2]:
-            return m[2] if "\\" not in m[2] or expr[0] in "rR" else re.sub(r"\\(.)", lambda x: {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}.get(x[1], x[1]), m[2])
-        if self.python and (m := FORMATTED.fullmatch(expr)) and m[1] not in m[2]:
-            return self.formatted(m[2], again)
-        if re.fullmatch(r"[A-Za-z_]\w*", expr):
-            found = self.nearest(expr, line)
-            return again(found) if found and found != expr else None
-        masked = mask(expr, self.python)
-        for operator, glue in (("+", ""), ("/", "/")):
-            if len(parts := split_top(expr, masked, operator)) > 1:
-                folded = [again(p) for p in parts]
-                return None if None in folded else glue.join(f.strip("/") if glue and i else f for i, f in enumerate(folded))
-        if m := re.fullmatch(r"(?:([\w.]+)|(.+?)\.(open|read_bytes|read_text|resolve|absolute|as_posix))\((.*)\)", expr, re.S):
-            name = m[1] or ""
-            if m[2] or name.rpartition(".")[2] in ("open", "read_bytes", "read_text", "resolve", "absolute", "as_posix") and "." in name:
-                return again(m[2] or name.rpartition(".")[0])
-            inside = split_top(m[4], mask(m[4], self.python))
-            if canonical(name, self.known).rpartition(".")[2] in ("Path", "PurePath", "str", "fspath", "join") and inside:
-                folded = [again(p) for p in inside]
-                return None if None in folded else "/".join(folded)
-            if name == "open" and inside:
-                return again(inside[0])
-        return None
-
-    def calls(self, file: str) -> Iterator[tuple]:
-        opened, closes = brackets(self.masked)
-        for at, written, bracket in called(self.masked, opened):
-            name = canonical(written, self.known)
-            rule = next((r for r in _rules() if (r[1] == "py") == self.python and r[4].search(name)), None)
-            end = closes.get(bracket, -1)
-            if rule is None or end < 0 or end - bracket > FARTHEST:
-                continue
-            loader, _, positions, keywords, _ = rule
-            parts = split_top(self.text[bracket + 1 : end], self.masked[bracket + 1 : end])
-            named, plain = {}, []
-            for part in parts:
-                k = re.match(r"([A-Za-z_]\w*)\s*[=:](?!=)\s*(.*)\Z", part, re.S) if self.python else None
-                if k:
-                    named[k[1]] = folded(k[2].strip())
-                elif not self.python and part.startswith("{"):
-                    named |= {a.strip("\"' "): folded(b.strip()) for a, _, b in (x.partition(":") for x in split_top(part[1:-1], mask(part[1:-1], False))) if b}
-                else:
-                    plain.append(part)
-            target = next((named[k] for k in keywords if k in named), None) or next((plain[p] for p in positions if p < len(plain)), None)
-            line = self.line(at)
-            snippet = " ".join(self.text[at : end + 1].split())[:SNIPPET]
-            yield file, line, at, self.enclosing(at), loader, name, snippet, named, target, self.path(target, line) if target else None
-
-
-def imports(files: DataFrame) -> DataFrame:
-    """(file, names): the sorted distinct modules that each source file (path, text) imports."""
+            yield m.start(), whole, star, {"onnxruntime-node": "onnxruntime", "onnxruntime-web": "onnxruntime", "tfjs": "tf", "tfjs-node": "tf"}.get(module, module)
+
+
+def rows(file: str, text: str) -> Iterator[tuple]:
+    """The rows of one file. A JavaScript function holds what follows it, so there scopes have no indentation and calls have one."""
+    python = file.endswith((".py", ".pyi", ".ipynb"))
+    masked = mask(text, python)
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    line = lambda at: bisect_right(starts, at)
+    width = lambda head: len(head.replace("\t", "    "))
+    for at, module, name, full in imported(text, masked, python):
+        yield file, "import", at, line(at), None, module, None, None, None
+        if name:
+            yield file, "alias", at, line(at), None, name, full, None, None
+    for m in SCOPE.finditer(masked):
+        yield file, "scope", m.start(), line(m.start()), width(m[1]) if python else 0, m[2], None, None, None
+    for m in BINDING.finditer(masked):
+        name, (s, e) = (m[1], m.span(2)) if m[1] else (m[4], m.span(3))
+        value = text[s:e].split("#")[0] if python else text[s:e]
+        yield file, "binding", m.start(), line(m.start()), None, name, value.strip().rstrip(";"), None, None
+    opened, closes = brackets(masked)
+    for at, name, bracket in called(masked, opened):
+        if bracket in closes:
+            n = line(at)
+            indent = width(re.compile(r"[ \t]*").match(text, starts[n - 1])[0]) if python else 1
+            yield file, "call", at, n, indent, name, None, bracket, closes[bracket]
+
+
+def read(files: DataFrame) -> DataFrame:
+    """The rows of source files (path, text); the language is told from the extension. Files without a path or a text have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in ROW.split(", ")]
         for batch in batches:
-            rows = []
             for path, text in zip(batch["path"], batch["text"], strict=True):
-                python = path.endswith((".py", ".pyi", ".ipynb"))
-                masked = mask(text or "", python)
-                if python:
-                    found = {n for module, _, whole in PY_IMPORT.findall(masked) for n in ([module] if module else [w.split()[0] for w in whole.split(",") if w.split()])}
-                else:
-                    found = {m[5] or m[9] for m in JS_IMPORT.finditer(text or "")}
-                rows.append((path, sorted(found)))
-            yield pd.DataFrame(rows, columns=["file", "names"])
-
-    return files.select("path", "text").where("path is not null").mapInPandas(run, "file string, names array<string>")
+                found = pd.DataFrame(rows(path, text), columns=columns)
+                yield found.astype({c: "Int32" for c in ("at", "line", "indent", "opened", "closed")})
 
+    return files.where("path is not null and text is not null").select("path", "text").mapInPandas(run, ROW)
 
-def scan(files: DataFrame) -> DataFrame:
-    """Loader calls of source files (path, text), one row each; the ecosystem is told from the extension. Null texts have none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in ROW.replace("map<string,string>", "map").split(", ")]
-        for batch in batches:
-            rows = [row for path, text in zip(batch["path"], batch["text"], strict=True) if text for row in Source(text, path.endswith((".py", ".pyi", ".ipynb"))).calls(path)]
-            yield pd.DataFrame(rows, columns=columns)
 
-    return files.select("path", "text").where("path is not null").mapInPandas(run, ROW)
+def imports(found: DataFrame) -> DataFrame:
+    """(file, names): the sorted distinct modules that each file imports, of the rows of read."""
+    return found.where("kind = 'import'").groupBy("file").agg(F.array_sort(F.collect_set("name")).alias("names"))

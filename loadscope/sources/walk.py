@@ -2,22 +2,24 @@
 
     spark.dataSource.register(TreeSource)
     spark.read.format("tree").option("root", path).load()
+    spark.read.format("tree").option("root", path).option("list", "skipped").load()
 
-Top-level directories are partitions, so a wide tree is walked by many tasks.
+Folders are dealt out as partitions, a large one by the folders below it, so a wide or deep tree is
+walked by many tasks. Filters on the path's beginning, the size and links are pushed into the walk
+(spark.sql.python.filterPushdown.enabled): a folder that can't hold a wanted path isn't entered.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, LessThanOrEqual, Not, StringStartsWith
 
-from loadscope.functions.text import bounded_text
 from loadscope.sources.errors import AnalysisError
 
 # Depth and number of entries of a walk, and directories that are never entered.
@@ -29,6 +31,10 @@ SKIPPED = frozenset(
 EDGE = 65_536
 
 
+#: Partitions that a tree is dealt into, if it has as many folders; so many folders are listed at once.
+PARTITIONS = 64
+
+
 @dataclass
 class Folder(InputPartition):
     path: str
@@ -36,36 +42,97 @@ class Folder(InputPartition):
     whole: bool
 
 
+@dataclass
+class Wanted:
+    """What is asked of entries: how paths begin and don't begin, the largest size, and whether they are links."""
+
+    begins: tuple[str, ...] = ()
+    lacks: tuple[str, ...] = ()
+    most: int | None = None
+    link: bool | None = None
+
+    def enters(self, folder: str) -> bool:
+        """Whether a folder can hold a wanted path."""
+        below = f"{folder}/"
+        return all(below.startswith(b) or b.startswith(below) for b in self.begins) and not any(below.startswith(x) for x in self.lacks)
+
+    def takes(self, path: str, size: int, link: bool) -> bool:
+        return all(map(path.startswith, self.begins)) and not path.startswith(self.lacks) and (self.most is None or size <= self.most) and self.link in (None, link)
+
+
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = os.path.abspath(root)
+    def __init__(self, root: str, skipped: bool):
+        self.root, self.skipped, self.wanted = os.path.abspath(root), skipped, Wanted()
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Takes the filters it knows; the others are given back to Spark."""
+        w = self.wanted
+        for f in filters:
+            match f:
+                case StringStartsWith(("path",), value):
+                    w.begins += (value,)
+                case Not(StringStartsWith(("path",), value)):
+                    w.lacks += (value,)
+                case LessThanOrEqual(("size",), value):
+                    w.most = value if w.most is None else min(w.most, value)
+                case EqualTo(("link",), bool(value)) if w.link is None:
+                    w.link = value
+                case _:
+                    yield f
+
+    def _below(self, folder: str, depth: int) -> Iterator[tuple[str, bool]]:
+        """The folders of a folder, and whether each is entered. One that no wanted path is in isn't named at all."""
+        try:
+            with os.scandir(os.path.join(self.root, folder)) as entries:
+                names = sorted(e.name for e in entries if not e.is_symlink() and e.is_dir(follow_symlinks=False))
+        except OSError:
+            return
+        for name in names:
+            path = f"{folder}/{name}" if folder else name
+            if self.wanted.enters(path):
+                yield path, name not in SKIPPED and depth < DEEPEST
 
     def partitions(self) -> list[Folder]:
-        below = [e.name for e in os.scandir(self.root) if not e.is_symlink() and e.is_dir(follow_symlinks=False) and e.name not in SKIPPED]
-        return [Folder("", 0, False), *(Folder(name, 1, True) for name in sorted(below))]
+        """The root's own entries, and folders below: the shallowest are opened until there are enough."""
+        done, work = [Folder("", 0, False)], [("", 0)]
+        while work:
+            folder, depth = work.pop(0)
+            below = [(path, depth + 1) for path, enters in self._below(folder, depth) if enters]
+            if folder:
+                done.append(Folder(folder, depth, len(done) + len(work) >= PARTITIONS))
+                if done[-1].whole:
+                    continue
+            work += below
+        return done
 
     def read(self, partition: Folder) -> Iterator[tuple]:
-        """(path, size, link): links are listed with size 0 and never followed; an entry that can't be read has size 0."""
+        """(path, size, link): links are listed with size 0 and never followed; an entry that can't be read has size 0. Or (path, 0, false) of the folders that aren't entered."""
         work = [(partition.path, partition.depth)]
         while work:
             folder, depth = work.pop()
+            for path, enters in self._below(folder, depth):
+                if enters and partition.whole:
+                    work.append((path, depth + 1))
+                elif self.skipped and not enters and self.wanted.takes(path, 0, False):
+                    yield path, 0, False
+            if not self.skipped:
+                yield from self._entries(folder)
+
+    def _entries(self, folder: str) -> Iterator[tuple]:
+        try:
+            entries = sorted(os.scandir(os.path.join(self.root, folder)), key=lambda e: e.name)
+        except OSError:
+            return
+        for e in entries:
+            path, link = f"{folder}/{e.name}" if folder else e.name, e.is_symlink()
+            if not link and not e.is_file(follow_symlinks=False):
+                continue
             try:
-                entries = sorted(os.scandir(os.path.join(self.root, folder)), key=lambda e: e.name)
+                size = 0 if link else e.stat(follow_symlinks=False).st_size
             except OSError:
-                continue
-            for e in entries:
-                path = f"{folder}/{e.name}" if folder else e.name
-                if e.is_symlink():
-                    yield path, 0, True
-                elif e.is_dir(follow_symlinks=False):
-                    if partition.whole and e.name not in SKIPPED and depth < DEEPEST:
-                        work.append((path, depth + 1))
-                elif e.is_file(follow_symlinks=False):
-                    try:
-                        size = e.stat(follow_symlinks=False).st_size
-                    except OSError:
-                        size = 0
-                    yield path, size, False
+                size = 0
+            if self.wanted.takes(path, size, link):
+                yield path, size, link
 
 
 class TreeSource(DataSource):
@@ -77,14 +144,41 @@ class TreeSource(DataSource):
         return "path string, size long, link boolean"
 
     def reader(self, schema) -> DataSourceReader:
-        return TreeReader(self.options["root"])
+        return TreeReader(self.options["root"], self.options.get("list", "entries") == "skipped")
+
+
+def without(entries: DataFrame, ignored: Sequence[str]) -> DataFrame:
+    """Entries without the folders that are ignored as a whole (`folder/**`), as filters that the walk takes."""
+    for glob in ignored:
+        folder = glob.removesuffix("/**").removeprefix("./")
+        if folder != glob and not set("*?[]{}\\") & set(folder):
+            entries = entries.where(~F.startswith("path", F.lit(f"{folder}/")))
+    return entries
+
+
+def _through_skipped(path: Column) -> Column:
+    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    return F.exists(folders, lambda p: p.isin(list(SKIPPED)))
 
 
 def picked(entries: DataFrame) -> DataFrame:
     """Entries of a picked folder: their first segment goes, and paths through a skipped directory."""
     parts = F.split("path", "/")
-    kept = ~F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(list(SKIPPED)))
-    return entries.where((F.size(parts) > 1) & kept).withColumn("path", F.array_join(F.slice(parts, 2, F.size(parts)), "/"))
+    return entries.where((F.size(parts) > 1) & ~_through_skipped(F.col("path"))).withColumn("path", F.array_join(F.slice(parts, 2, F.size(parts)), "/"))
+
+
+def picked_skipped(entries: DataFrame) -> DataFrame:
+    """(path, files): the directories of a picked folder that are skipped, each once at its outermost, with how many files it hides."""
+    parts = F.slice(F.split("path", "/"), 2, 1 << 16)
+    first = F.array_position(F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(list(SKIPPED))), True)
+    rows = entries.where(F.size(F.split("path", "/")) > 1).select(parts.alias("parts"), first.cast("int").alias("n")).where("n > 0")
+    return rows.groupBy(F.array_join(F.slice("parts", F.lit(1), F.col("n")), "/").alias("path")).agg(F.count("*").alias("files"))
+
+
+def dropped(entries: DataFrame) -> DataFrame:
+    """Entries of dropped folders and files, which keep their names: links and paths through a skipped directory or deeper than a walk goes are left out; a leading slash is no part of a path."""
+    rows = entries.withColumn("path", F.regexp_replace("path", "^/+", ""))
+    return rows.where((F.col("path") != "") & ~F.col("link") & ~_through_skipped(F.col("path")) & (F.size(F.split("path", "/")) <= DEEPEST + 1))
 
 
 def _inside(base: str, path: str) -> str:
@@ -183,7 +277,3 @@ def memory(spark, files: dict[str, bytes | str]) -> DataFrame:
 def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     """Files whose content is base64 text, as bytes."""
     return files.withColumn(content, F.unbase64(F.col(content)))
-
-
-def text(content: Column, most: int) -> Column:
-    return bounded_text(content, most)

@@ -114,7 +114,7 @@ def test_files_are_hashed_in_pieces(spark, project, tmp_path):
 
 def test_small_helpers(spark):
     rows = spark.createDataFrame([(0, ["a", "os.system", "b"]), (1536, []), (5 << 30, [])], "n long, names array<string>")
-    assert [tuple(r) for r in rows.select(X.human_bytes(F.col("n")), probes.notable_first(F.col("names"))).collect()] == [("0 B", ["os.system", "a", "b"]), ("1.5 KiB", []), ("5.0 GiB", [])]
+    assert [tuple(r) for r in rows.select(X.human_bytes(F.col("n")), probes.notable_first(F.col("names"))).collect()] == [("0 B", ["os.system", "a", "b"]), ("1.5 KiB", []), ("5.00 GiB", [])]
     assert explore.toggled_sort("artifact", False, "artifact") == ("artifact", True) and explore.toggled_sort("artifact", True, "format") == ("format", False)
     assert explore.Filters(behaviour=("code", "data"), privileged=True).active == 3
     items = spark.createDataFrame([("go", "Scan tree", "s", 1), ("go", "Open bill", "b", 2)], '"group" string, label string, hint string, place int'.replace('"', "`"))

@@ -11,6 +11,8 @@ from io import BytesIO
 import pytest
 
 from loadscope.operators import deps as D
+from loadscope.operators import loads as L
+from loadscope.operators.shared import stored
 from loadscope.sources import config, declarations, documents, manifests, notebook, probes, scanner, walk
 from loadscope.sources.errors import AnalysisError
 
@@ -29,76 +31,66 @@ torch.load(
 '''
 
 
-def calls(text, python=True):
-    return [(c[1], c[3], c[4], c[7], c[9]) for c in scanner.Source(text, python).calls("f")]
+def calls(spark, *texts, ext="py"):
+    """(line, enclosing, loader, args, literal) of the loads of each text, by place; all texts in one run."""
+    files = spark.createDataFrame([(f"f{i}.{ext}", t) for i, t in enumerate(texts)], "path string, text string")
+    rows = L.loads(stored(scanner.read(files)), files).collect()
+    return [[(r["line"], r["enclosing"], r["loader"], r["args"], r["literal"]) for r in sorted(rows, key=lambda r: r["pos"]) if r["file"] == f"f{i}.{ext}"] for i in range(len(texts))]
 
 
-def test_python_calls():
-    assert calls(PY) == [
+FOLDED = [('f"models/{NAME}.pt"', "models/m.pt"), ('f"{ROOT}/{NAME:>3}"', "w/m"), ('f"a{{b}}"', "a{b}"), ('f"x{other()}"', None), ('f"x{NAME"', None), ('f"x{unknown}"', None), ('Path(f"{ROOT}") / NAME', "w/m"), ("unknown", None), ("f=ROOT", "w"), ('f="k.pt"', "k.pt"), ("DEEP", "w/m"), ("ROUND", None)]
+
+
+def test_python_calls(spark):
+    head = 'import torch\nfrom pathlib import Path as P\nROOT = "w"\nNAME = "m"\nHALF = ROOT\nDEEP = P(HALF, NAME)\nROUND = TURN\nTURN = ROUND\n'
+    scopes = "import torch\ndef a():\n    class B:\n        def c(self):\n            torch.load(1)\n        torch.load(2)\n    torch.load(3)\ntorch.load(4)\ndef d():\n    torch.load(5)\n"
+    texts = [PY, head + "".join(f"torch.load({e})\n" for e, _ in FOLDED), "import torch\ntorch.load(x]\n", "import torch\ntorch.load(x)\ntorch.load([y)\n", scopes, "import torch.nn as n, torch as t\nn.load(1)\nt.load(2)\nfrom torch import load as n\nn(3)\n"]
+    plain, folded, none, one, scoped, aliased = calls(spark, *texts)
+    assert plain == [
         (7, "serve", "pickle.load", {}, "a/b.pkl"),
         (8, "serve", "torch.load", {"weights_only": "false"}, "models/x.pt"),
         (11, "go", "joblib.load", {}, "models/z.joblib"),
     ]
+    assert [c[4] for c in folded] == [want for _, want in FOLDED]
+    assert none == [] and len(one) == 1
+    assert [c[1] for c in scoped] == ["c", "B", "a", None, "d"]
+    assert [c[0] for c in aliased] == [3, 5]  # of an alias given twice the last counts, so n.load is torch.load.load
 
 
-def test_javascript_calls():
+def test_javascript_calls(spark):
     js = 'import { pipeline as p } from "@x/transformers"\nimport * as ort from "onnxruntime-node"\nconst f = "m.onnx"\n// p("no")\nort.InferenceSession.create(f)\np("task", "org/x")\n'
-    assert [(c[2], c[4]) for c in calls(js, False)] == [("js.onnxruntime", "m.onnx"), ("js.transformers.from_pretrained", "task")]
+    inner = "function a() {\n  tf.loadGraphModel('x')\n}\ntf.loadGraphModel('y')\n"
+    first, second = calls(spark, js, inner, ext="js")
+    assert [(c[2], c[4]) for c in first] == [("js.onnxruntime", "m.onnx"), ("js.transformers.from_pretrained", "task")]
+    assert [c[1] for c in second] == ["a", "a"]
 
 
-@pytest.mark.parametrize("text", ["a" * 2_000_000, "torch.load(" * 50_000, "x = f(1) " * 200_000, '"' * 100_000, "(" * 300_000])
+@pytest.mark.parametrize("text", ["a" * 2_000_000, "torch.load(" * 50_000, "x = f(1) " * 200_000, '"' * 100_000, "(" * 300_000, "def f():\n" * 100_000, "x = 1\n" * 200_000])
 def test_scan_is_linear(text):
     began = time.time()
-    assert calls(text) == []
+    assert not any(r[5] == "torch.load" for r in scanner.rows("f.py", text) if r[1] == "call")
     assert time.time() - began < 20
 
 
-@pytest.mark.parametrize(
-    ("expr", "want"),
-    [('f"models/{NAME}.pt"', "models/m.pt"), ('f"{ROOT}/{NAME:>3}"', "w/m"), ('f"a{{b}}"', "a{b}"), ('f"x{other()}"', None), ('f"x{NAME"', None), ('f"x{unknown}"', None), ('Path(f"{ROOT}") / NAME', "w/m"), ("unknown", None)],
-)
-def test_formatted_strings_are_folded(expr, want):
-    found = calls(f'import torch\nROOT = "w"\nNAME = "m"\ntorch.load({expr})\n')
-    assert [c[4] for c in found] == [want]
-
-
-def test_brackets_of_other_kinds_give_no_call():
-    assert calls("import torch\ntorch.load(x]\n") == [] and len(calls("import torch\ntorch.load(x)\ntorch.load([y)\n")) == 1
-
-
-def test_scopes_of_places():
-    text = "import torch\ndef a():\n    class B:\n        def c(self):\n            torch.load(1)\n        torch.load(2)\n    torch.load(3)\ntorch.load(4)\ndef d():\n    torch.load(5)\n"
-    brute = []
-    source = scanner.Source(text, True)
-    for c in calls(text):
-        at = source.lines[c[0] - 1]
-        indent = len(text[at:]) - len(text[at:].lstrip(" "))
-        held = [(depth, s, name) for s, depth, name in source.scopes if s <= at + indent and depth < indent]
-        brute.append(max(held)[2] if held else None)
-    assert [c[1] for c in calls(text)] == brute
-    js = "function a() {\n  tf.loadGraphModel('x')\n}\ntf.loadGraphModel('y')\n"
-    assert [c[1] for c in calls(js, False)] == ["a", "a"]
-
-
-def test_scopes_and_bindings_are_linear():
-    def taken(n):
-        text = "import torch\n" + "".join(f"def f{i}():\n    x = 'a{i}'\n    torch.load(x)\n" for i in range(n))
-        began = time.perf_counter()
-        assert len(calls(text)) == n
-        return time.perf_counter() - began
-
-    assert taken(8000) < 10 * taken(2000) + 0.2  # squares would take 16 times as long
+def test_many_scopes_and_bindings_of_one_file(spark):
+    n = 20_000
+    text = "import torch\n" + "".join(f"def f{i}():\n    x = 'a{i}'\n    torch.load(x)\n" for i in range(n))
+    (found,) = calls(spark, text)
+    assert [(c[1], c[4]) for c in found] == [(f"f{i}", f"a{i}") for i in range(n)]
 
 
-def test_imports(spark):
-    files = spark.createDataFrame([("a.py", "import b.c as d, e\nfrom f import g\n# import no\n"), ("a.ts", "import {x} from 'y/z'\nconst q = require('r')\n"), ("n.py", None)], "path string, text string")
-    assert {r["file"]: r["names"] for r in scanner.imports(files).collect()} == {"a.py": ["b.c", "e", "f"], "a.ts": ["r", "y/z"], "n.py": []}
+def test_rows_of_source(spark):
+    files = spark.createDataFrame([("a.py", "import b.c as d, e\nfrom f import g\n# import no\n"), ("a.ts", "import {x} from 'y/z'\nconst q = require('r')\n"), ("b.py", ""), ("n.py", None), (None, PY)], "path string, text string")
+    found = scanner.read(files)
+    assert {r["file"]: r["names"] for r in scanner.imports(found).collect()} == {"a.py": ["b.c", "e", "f"], "a.ts": ["r", "y/z"]}
+    assert {r["file"] for r in found.select("file").distinct().collect()} == {"a.py", "a.ts"}
 
 
-def test_scan_as_rows(spark):
-    files = spark.createDataFrame([("a.py", PY), ("b.py", ""), ("c.py", None), (None, PY)], "path string, text string")
-    rows = scanner.scan(files).collect()
-    assert len(rows) == 3 and {r["file"] for r in rows} == {"a.py"} and rows[1]["args"] == {"weights_only": "false"}
+def test_given_loader_rules(spark):
+    rules = spark.createDataFrame([(1, "py", r"^mine\.load$", "mine", [1], ["where"]), (2, "py", r"load$", "other", [0], [])], "priority int, ecosystem string, pattern string, loader string, positions array<int>, keywords array<string>")
+    files = spark.createDataFrame([("a.py", 'import mine as m\nm.load(1, "a")\nm.load(where="b")\nother.load("c")\n')], "path string, text string")
+    got = sorted((r["line"], r["loader"], r["literal"]) for r in L.loads(scanner.read(files), files, rules).collect())
+    assert got == [(2, "mine", "a"), (3, "mine", "b"), (4, "other", "c")]
 
 
 class Evil:
