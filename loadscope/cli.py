@@ -37,9 +37,8 @@ def read_config(root: Path) -> Config:
 
 def report(spark, root: Path, quiet: bool = True):
     """The analysis of a directory: its entries, with their bytes read in tasks. Stages are told on stderr."""
-    spark.dataSource.register(walk.TreeSource)
     base, config = str(root.resolve()), read_config(root)
-    entries = walk.without(spark.read.format("tree").option("root", base).load(), config.ignore)
+    entries = walk.without(walk.tree(spark, base), config.ignore)
     walk.check(entries, str(root))
 
     def told(stage: str, counted: dict[str, int] | None) -> None:
@@ -47,7 +46,7 @@ def report(spark, root: Path, quiet: bool = True):
             print(f"{stage}: " + ", ".join(f"{n} {name}" for name, n in counted.items()), file=sys.stderr)
 
     found = analyze(walk.read_files(entries, base), config, progress=told)
-    skipped = spark.read.format("tree").option("root", base).option("list", "skipped").load()
+    skipped = walk.tree(spark, base, list="skipped")
     return replace(found, notices=found.notices.unionByName(skipped.select("path", F.lit("directory-skipped").alias("code"))))
 
 

@@ -1,12 +1,10 @@
 """Source trees as a Spark data source: entries of a directory, and bounded reads of them.
 
-    spark.dataSource.register(TreeSource)
-    spark.read.format("tree").option("root", path).load()
-    spark.read.format("tree").option("root", path).option("list", "skipped").load()
+    tree(spark, path)
+    tree(spark, path, list="skipped")
 
 Folders are dealt out as partitions, a large one by the folders below it, so a wide or deep tree is
-walked by many tasks. Filters on the path's beginning, the size and links are pushed into the walk
-(spark.sql.python.filterPushdown.enabled): a folder that can't hold a wanted path isn't entered.
+walked by many tasks. Filters on the path's beginning, the size and links are pushed into the walk: a folder that can't hold a wanted path isn't entered.
 """
 
 from __future__ import annotations
@@ -16,9 +14,9 @@ import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, LessThanOrEqual, Not, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, IsNotNull, LessThanOrEqual, Not, StringStartsWith
 
 from loadscope.sources.errors import AnalysisError
 
@@ -77,6 +75,8 @@ class TreeReader(DataSourceReader):
                     w.most = value if w.most is None else min(w.most, value)
                 case EqualTo(("link",), bool(value)) if w.link is None:
                     w.link = value
+                case IsNotNull():  # nothing of an entry is null
+                    pass
                 case _:
                     yield f
 
@@ -147,6 +147,13 @@ class TreeSource(DataSource):
         return TreeReader(self.options["root"], self.options.get("list", "entries") == "skipped")
 
 
+def tree(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    """The entries of a directory (path, size, link); with list="skipped" the folders that aren't entered."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(TreeSource)
+    return spark.read.format("tree").options(root=root, **options).load()
+
+
 def without(entries: DataFrame, ignored: Sequence[str]) -> DataFrame:
     """Entries without the folders that are ignored as a whole (`folder/**`), as filters that the walk takes."""
     for glob in ignored:

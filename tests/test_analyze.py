@@ -42,10 +42,39 @@ def test_a_small_project(spark):
         "hf:org/model": ("remote-repository", "unknown", ["production"], True, "loader-guard-available", "absent"),
         "prompt:x": ("prompt-template", "directive", ["unresolved"], False, "none-identified", "absent"),
     }
-    assert report.sites.where("artifact_id is null").count() == 1
+    assert report.sites.where("artifact_id is null").count() == 1 and report.project is None
     assert not report.records.where(S.gate(report.records, "privileged")).isEmpty()
 
 
 def test_an_empty_tree(spark):
     files = spark.createDataFrame([], "path string, size long, link boolean, content binary")
     assert analyze(files).records.count() == 0
+
+
+def test_each_file_is_read_once(spark, tmp_path):
+    """Bytes are read by a function that leaves a mark for each file; relations of the report are read afterwards, several times."""
+    from pyspark.sql import functions as F
+
+    names = {"src/a.py": "import torch\nX = 'w.pt'\ntorch.load(X)\n", "w.pt": "x", "n.ipynb": json.dumps({"cells": [{"cell_type": "markdown", "source": "t"}, {"cell_type": "code", "source": "x = 1"}, {"cell_type": "code", "source": "import pickle\npickle.load('w.pt')"}]}), ".mcp.json": '{"mcpServers":\n{"a": {"command": "x"}}}', "e/evidence.json": '{"records": [{"subject": "w.pt", "scanner": "s", "result": "pass"}]}'}
+    marks = str(tmp_path)
+
+    def read(batches):
+        import uuid
+
+        for batch in batches:
+            for path in batch["path"]:
+                with open(f"{marks}/{path.replace('/', '_')}-{uuid.uuid4().hex}", "w"):
+                    pass
+            yield batch.assign(content=[names[p].encode() for p in batch["path"]])
+
+    rows = spark.createDataFrame([(p, len(t), False) for p, t in names.items()], "path string, size long, link boolean")
+    heard = []
+    report = analyze(rows.mapInPandas(read, "path string, size long, link boolean, content binary"), progress=lambda stage, counted: heard.append((stage, counted)))
+    for _ in range(2):
+        sites = {(r["file"], r["line"]): (r["site"], r["cell"], r["artifact_id"]) for r in report.sites.collect()}
+        assert report.records.count() == 2 and report.notices.count() == 0 and report.counts.first()["walked"] == 5
+    assert sites == {(".mcp.json", 2): ("ls-1", None, "mcp:a"), ("n.ipynb", 4): ("ls-2", 2, "w.pt"), ("src/a.py", 3): ("ls-3", None, "w.pt")}
+    assert report.evidence.first()["id"] == "ev-1"
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == sorted(n.replace("/", "_") for n in names)
+    assert [s for s, c in heard if c is None] == ["walk", "dependencies", "load-sites", "artifacts", "behaviour", "context", "evidence", "evidence", "bom"]
+    assert report.stages == {"walk": {"files": 5}, "dependencies": {"declared": 0, "pinned": 0}, "load-sites": {"calls": 2, "files": 2}, "artifacts": {"artifacts": 2, "in_tree": 2}, "behaviour": {"sites": 3, "code": 2, "unknown": 1}, "context": {"contexts": 3, "privileged": 0}, "evidence": {"read": 1, "bound": 1}, "bom": {"records": 2, "code": 2}}

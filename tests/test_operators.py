@@ -88,7 +88,7 @@ def test_every_loader_has_a_verdict(spark):
 
 def test_references(spark):
     paths = spark.createDataFrame([("a/m.pt",), ("b/m.pt",), ("c/n.pkl",)], "path string")
-    wanted = {"a/m.pt": "a/m.pt", "./c/n.pkl": "c/n.pkl", "n.pkl": "c/n.pkl", "m.pt": "missing:m.pt", "org/x": "hf:org/x", "x/y.onnx": "missing:x/y.onnx", "x/y.txt": "hf:x/y.txt", "word": None, "a\\m.pt": "a/m.pt"}
+    wanted = {"a/m.pt": "a/m.pt", "./c/n.pkl": "c/n.pkl", "n.pkl": "c/n.pkl", "m.pt": "missing:m.pt", "org/x": "hf:org/x", "x/y.onnx": "missing:x/y.onnx", "x/y.txt": None, "config/index.yaml": None, "org/_x-1": "hf:org/_x-1", "org/x.v2": None, "word": None, "a\\m.pt": "a/m.pt"}
     rows = A.resolve_references(spark.createDataFrame([(k,) for k in wanted], "literal string"), paths).collect()
     assert {r["literal"]: r["target"] for r in rows} == wanted
 

@@ -144,8 +144,7 @@ def test_walk(spark, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("" if p.endswith("empty") else "12345")
     (tmp_path / "link").symlink_to(tmp_path / "a.txt")
-    spark.dataSource.register(walk.TreeSource)
-    rows = spark.read.format("tree").option("root", str(tmp_path)).load()
+    rows = walk.tree(spark, str(tmp_path))
     assert sorted(map(tuple, rows.collect())) == [(".hidden", 5, False), ("a.txt", 5, False), ("link", 0, True), ("src/deep/empty", 0, False), ("src/x.py", 5, False)]
     edges = {r["path"]: (bytes(r["head"]), bytes(r["tail"])) for r in walk.read_edges(rows, str(tmp_path), 3).collect()}
     assert edges["a.txt"] == (b"123", b"345") and edges["src/deep/empty"] == (b"", b"")
@@ -154,6 +153,47 @@ def test_walk(spark, tmp_path):
     assert walk.memory(spark, {"b": "é", "a": b"x"}).select("path", "size").collect() == [("a", 1), ("b", 2)]
 
 
+def listed(spark, root, **options):
+    return walk.tree(spark, str(root), **options)
+
+
+def test_filters_go_into_the_walk(spark, tmp_path, monkeypatch):
+    for i in range(200):
+        (tmp_path / f"d{i % 20}/e{i}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"d{i % 20}/e{i}/f.py").write_text("x" * i)
+    for p in ("gen/deep/no.py", "src/gen/yes.py", "src/node_modules/a/no.js", "dist/no", "d1/venv/no"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("12345")
+    (tmp_path / "src/link").symlink_to(tmp_path / "dist")
+    plain = {tuple(r) for r in listed(spark, tmp_path).collect()}
+    assert len(plain) == 203 and listed(spark, tmp_path).rdd.getNumPartitions() > walk.PARTITIONS
+    for condition, holds in [
+        ("path like 'd1%'", lambda p, s, l: p.startswith("d1")), ("not startswith(path, 'gen/') and not startswith(path, 'd')", lambda p, s, l: not p.startswith(("gen/", "d"))), ("size <= 7 and not link", lambda p, s, l: s <= 7 and not l),
+        ("link", lambda p, s, l: l), ("startswith(path, 'src/gen/y') and size > 1", lambda p, s, l: p.startswith("src/gen/y") and s > 1), ("startswith(path, 'd1') and startswith(path, 'd11/')", lambda p, s, l: p.startswith("d11/")),
+    ]:
+        assert {tuple(r) for r in listed(spark, tmp_path).where(condition).collect()} == {r for r in plain if holds(*r)}, condition
+    found = walk.without(listed(spark, tmp_path), ["gen/**", "*.md", "src/*/**"])
+    assert {r["path"] for r in found.collect()} == {p for p, _, _ in plain if not p.startswith("gen/")}
+    assert "Filter " not in found._jdf.queryExecution().executedPlan().toString()
+    # an ignored folder isn't opened at all
+    reader, opened = walk.TreeReader(str(tmp_path), False), []
+    assert [*reader.pushFilters([walk.Not(walk.StringStartsWith(("path",), "gen/")), walk.EqualTo(("path",), "x")])] == [walk.EqualTo(("path",), "x")]
+    scandir = walk.os.scandir
+    monkeypatch.setattr(walk.os, "scandir", lambda p: opened.append(str(p)) or scandir(p))
+    assert sum(1 for part in reader.partitions() for _ in reader.read(part)) == 202 and not any("/gen/" in f"{p}/" and "/src/" not in p for p in opened)
+    monkeypatch.undo()
+    skipped = sorted(r["path"] for r in listed(spark, tmp_path, list="skipped").collect())
+    assert skipped == ["d1/venv", "dist", "src/node_modules"]
+    assert [r["path"] for r in listed(spark, tmp_path, list="skipped").where("startswith(path, 'src/')").collect()] == ["src/node_modules"]
+
+
+def test_dropped_and_picked_folders(spark):
+    rows = spark.createDataFrame([("/top/a", 1, False), ("top/node_modules/x/b", 1, False), ("top/node_modules/c", 1, False), ("c", 1, False), ("", 1, False), ("l", 0, True), ("/".join("d" * 30), 1, False)], "path string, size long, link boolean")
+    assert sorted(r["path"] for r in walk.dropped(rows).collect()) == ["c", "top/a"]
+    assert sorted(map(tuple, walk.picked_skipped(rows.where("path like 'top/%'")).collect())) == [("node_modules", 2)]
+    assert walk.decoded(spark.createDataFrame([("a", "aMOp"), ("b", None)], "path string, content string")).select("path", "content").collect() == [("a", bytearray("hé".encode())), ("b", None)]
+
+
 def test_config():
     text = "environments:\n  production:\n    - 'src/**'\n  test:\n    - t/*\nignore:\n  - gen/**  # why\n"
     want = config.Config((("production", ("src/**",)), ("test", ("t/*",))), ("gen/**",), "c")
@@ -210,6 +250,44 @@ def test_declarations(spark):
     }
 
 
+def test_declarations_in_other_spellings(spark):
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    deep = "x"
+    for i in range(40):
+        deep = {"command": f"c{i}", "k": deep} if i % 2 else [deep]
+    files = {
+        "agents/a.md": '---\ntools: [Read, "a, b"]\nmodel: x\n---\nx', "agents/b.md": "---\nTools:\n- Read\n  # no item\n  - 'a, b'\n---\nx", "agents/c.md": "---\ntools: [old]\ntools:\n  - Read\n  - \"a, b\"\n---", "agents/d.md": "---\ntools: '*'\nprototype: y\n---\nx", "agents/e.md": "no block", "agents/f.md": "---\n---\n", "agents/g.md": "---\ntools: [x]\nnever closed",
+        ".mcp.json": '{"x": 1,\n"mcpServers": {"a": {"command": "npx", "args": ["-y", 1, "q"], "env": {"K": "v", "__proto__": "z"}},\n "b": {"endpoint": "https://x"}, "constructor": {"command": "no"}, "z": 3}}',
+        "a/settings.json": '{"hooks": {"A": {"command": "one", "command": "two"}, "__proto__": [{"command": "no"}], "B": 7, "C": {"command": 3, "x": {"y": [[{"z": {"command": "six"}}]], "deep": [[[{"z": {"command": "seven"}}]]]}}}}',
+        "b/settings.json": json.dumps({"hooks": {"D": deep}}), "c/settings.json": "{", "d/settings.json": '{"hooks": []}',
+    }
+    found = declarations.declarations(spark.createDataFrame(list(files.items()), "path string, text string")).collect()
+    agents = {r["path"][7]: (r["facts"], r["note"]) for r in found if r["path"].startswith("agents/")}
+    star = "the tool grant is *: every tool of the host"
+    assert agents == {**dict.fromkeys("abc", (["Read", "a, b"], None)), "d": (["*"], star), **dict.fromkeys("efg", ([], None))}
+    assert sorted((r["name"], r["line"], r["facts"]) for r in found if r["path"] == ".mcp.json") == [("a", 2, ["npx -y q", "passes K"]), ("b", 3, ["https://x"])]
+
+    def brute(value, depth=0):
+        if depth > 6 or not isinstance(value, dict | list):
+            return []
+        if isinstance(value, list):
+            return [c for v in value for c in brute(v, depth + 1)]
+        own = [value["command"]] if isinstance(value.get("command"), str) else []
+        return own + [c for k, v in value.items() if k not in documents.RESERVED for c in brute(v, depth + 1)]
+
+    want = sorted((e, c) for p in "abd" for e, v in dict(json.loads(files[f"{p}/settings.json"])["hooks"] or {}).items() if e not in documents.RESERVED for c in brute(v))
+    assert sorted((r["name"], r["facts"][0]) for r in found if r["path"].endswith("settings.json")) == want and ("A", "two") in want and ("C", "six") in want
+
+
+def test_nodes_of_documents(spark):
+    docs = ['{"a": [1, {"b": null}], "__proto__": {"c": 1}, "d": {"constructor": [2]}}', "[]", "3", "{"]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, t string").selectExpr("i", "try_parse_json(t) as value")
+    depths = {}
+    for r in documents.nodes(rows, 2).select("i", "depth").collect():
+        depths.setdefault(r["i"], []).append(r["depth"])
+    assert {k: sorted(v) for k, v in depths.items()} == {0: [0, 1, 1, 2, 2], 1: [0], 2: [0], 3: [0]}
+
+
 def test_evidence_documents(spark):
     files = {
         "native.json": json.dumps({"records": [{"scanner": "s", "subject": "a.pkl", "sha256": "ab", "result": "odd"}, {"scanner": "s"}]}),
