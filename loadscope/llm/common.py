@@ -44,7 +44,7 @@ def held_out(name: str, buckets: int, fold: int) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, max_rows: int, max_bytes: int) -> DataFrame:
     """(key, y, text), stored: a sample of labelled rows, max_rows and max_bytes of text at most, whatever the tables' sizes.
 
-    Rows are taken in the order of their id's hash until one more would exceed a bound. A null
+    Rows are taken in the order of their id's hash; one that would exceed the bound of bytes is left out, whatever its place. A null
     id or label is none, and so is an id with two different labels; of rows that repeat an id
     the smallest text counts. Only ids and sizes reach the driver.
     """
@@ -55,10 +55,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text:
     sizes = found.select("key", F.octet_length("text").cast("long").alias("size"), F.xxhash64("key").alias("h")).orderBy("h", "key").collect()
     total, kept = 0, []
     for row in sizes:
-        total += row["size"]
-        if total > max_bytes:
-            break
-        kept.append((row["key"],))
+        if total + row["size"] <= max_bytes:
+            total += row["size"]
+            kept.append((row["key"],))
     return found.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "key long")), "key", "left_semi")
 
 

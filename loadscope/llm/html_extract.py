@@ -13,6 +13,7 @@ import html
 import math
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from loadscope.llm.common import text_of
 
+#: Buckets of attribute tokens that are no known word.
+NAMED = 8
 #: Generated pages, trees, their depth, cuts tried for a feature, and the step of each tree.
-PAGES, TREES, DEPTH, CUTS, RATE = 260, 40, 4, 24, 0.3
+PAGES, TREES, DEPTH, CUTS, RATE = 480, 60, 4, 24, 0.3
 
 # Elements by what HTML makes of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,15 +63,15 @@ STEP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("at", "chars", "children", "hidden", "links", "marks", "parent", "points", "tag", "text")
+    __slots__ = ("at", "chars", "children", "hidden", "links", "marks", "named", "parent", "points", "tag", "text")
 
     def __init__(self, tag: str, parent: Node | None, at: int, attributes: dict[str, str] = {}):
         self.tag, self.parent, self.at = tag, parent, at
         self.chars = self.points = 0
         self.children: list[Node | int] = []  # nodes, and numbers of own text blocks between them
-        self.text: list[str] = []
+        self.text: list[list[tuple[str, Node]]] = []  # blocks: pieces, each with the node it is of
         self.links = 0
-        self.marks, self.hidden = 0, False
+        self.marks, self.named, self.hidden = 0, 0, False
         for name, value in attributes.items():
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 self.hidden = True
@@ -76,6 +79,8 @@ class Node:
                 for w in PART.findall(STEP.sub(" ", value)):
                     if (k := MARK_OF.get(w.lower())) is not None:
                         self.marks |= 1 << k
+                    else:
+                        self.named |= 1 << zlib.crc32(w.lower().encode()) % NAMED
 
 
 class Page:
@@ -117,35 +122,49 @@ class Page:
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
-    """The root and all block nodes, in page order. Inline elements' text belongs to the block around them."""
+    """The root and all nodes, in page order: blocks, and inline or unknown elements that an attribute marks or hides.
+
+    Other inline elements' text belongs to the block around them. A marked one is a node of its own, but
+    its text stays a piece of that block, until a block begins within it: then it is a block.
+    """
     root = Node("#root", None, 0)
     nodes, stack = [root], [root]
     open_: dict[str, list[int]] = {}  # of each tag, where it stands on the stack
     source, unseen = Page(page), []
     links = 0
-    pieces: list[str] = []
-    link_chars = 0
+    inline: list[Node] = []  # marked elements that are open within the current block
+    pieces: list[tuple[str, Node, bool]] = []
 
     def flush() -> None:
-        nonlocal link_chars
-        if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
-            if text:
-                own = stack[-1]
-                own.children.append(len(own.text))
-                own.text.append(text)
-                own.chars += len(text)
-                own.points += text.count(".") + text.count(",")
-                own.links += link_chars
-            pieces.clear()
-        link_chars = 0
+        if not pieces:
+            return
+        own, block = stack[-1], []
+        for text, node, linked in pieces:
+            text = html.unescape(text)
+            n = len(text.strip())
+            node.chars += n
+            node.points += text.count(".") + text.count(",")
+            node.links += n if linked else 0
+            if block and block[-1][1] is node:
+                block[-1] = (block[-1][0] + text, node)
+            else:
+                block.append((text, node))
+        pieces.clear()
+        if any(text.strip() for text, _ in block):
+            own.children.append(len(own.text))
+            own.text.append(block)
 
     def words(text: str) -> None:
-        nonlocal link_chars
         if text and not unseen:
-            pieces.append(text)
-            if links:
-                link_chars += len(text.strip())
+            pieces.append((text, inline[-1] if inline else stack[-1], bool(links)))
+
+    def enclose() -> None:
+        """A block begins or ends: marked elements around it become blocks."""
+        for node in inline:
+            stack[-1].children.append(node)
+            open_.setdefault(node.tag, []).append(len(stack))
+            stack.append(node)
+        inline.clear()
 
     def leave(depth: int) -> None:
         while len(stack) > depth:
@@ -200,19 +219,19 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 else:
                     unseen.append(tag)
             if tag in ("iframe", "object", "video", "audio", "canvas", "svg"):
-                pieces.append(" ")
+                words(" ")
             continue
         if tag == "br" or tag == "img":
-            pieces.append(" ")
-        elif tag == "a":
-            links = 0 if closing else 1
+            words(" ")
         elif tag in BLOCK:
             flush()
             links = 0
             if closing:
                 if open_.get(tag):
+                    inline.clear()
                     leave(open_[tag][-1])
                 continue
+            enclose()
             if stack[-1].tag == "p":
                 leave(len(stack) - 1)
             if tag in CLOSED_BY and (outer := innermost(CLOSED_BY[tag])) > innermost(SCOPE[tag]):
@@ -224,6 +243,22 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             nodes.append(node)
             open_.setdefault(tag, []).append(len(stack))
             stack.append(node)
+        else:
+            if tag == "a":
+                links = 0 if closing else 1
+            if closing:
+                k = max((i for i, x in enumerate(inline) if x.tag == tag), default=-1)
+                if k >= 0:
+                    del inline[k:]
+                elif open_.get(tag):
+                    flush()
+                    inline.clear()
+                    leave(open_[tag][-1])
+            elif not itself and tag not in VOID:
+                node = Node(tag, inline[-1] if inline else stack[-1], len(nodes), attributes)
+                if node.marks or node.hidden:
+                    nodes.append(node)
+                    inline.append(node)
     flush()
     return root, nodes
 
@@ -252,14 +287,17 @@ def features(pages: list[list[Node]]) -> np.ndarray:
             points[p] += points[i]
             size[p] += size[i]
             inner[p] += inner[i]
+        # whether anything on the page says that it is the main text: only then does the lack of such a mark tell
+        marked = max((m & 1 for m in marks), default=0)
         for i, x in enumerate(nodes):
             p = parent[i]
-            rows.append((chars[i], links[i], points[i], size[i], inner[i], chars[0], depth[i], children[p], alike.get((p, x.tag), 1), chars[p] - nodes[p].chars, TAG_OF.get(x.tag, len(TAGS)), x.chars, marks[i], above[i], x.hidden))
-    chars, links, points, size, inner, total, depth, siblings, alike, beside, tag, own, marks, above, hidden = np.array(rows, np.int64).reshape(-1, 15).T
+            rows.append((chars[i], links[i], points[i], size[i], inner[i], chars[0], depth[i], children[p], alike.get((p, x.tag), 1), chars[p] - nodes[p].chars, TAG_OF.get(x.tag, len(TAGS)), x.chars, marks[i], above[i], x.hidden, x.named, marked))
+    chars, links, points, size, inner, total, depth, siblings, alike, beside, tag, own, marks, above, hidden, named, marked = np.array(rows, np.int64).reshape(-1, 17).T
     some = np.maximum(chars, 1)
     columns = [np.log1p(chars), links / some, points / some * 100, chars / size, chars / np.maximum(inner, 1), chars / np.maximum(total, 1), depth, siblings, alike / np.maximum(siblings, 1), chars / np.maximum(beside, 1), tag, np.log1p(own)]
     columns += [(marks >> k & 1) + 2 * (above >> k & 1) for k in range(len(MARKS))]
-    return np.stack([*columns, hidden], axis=1).astype(np.float64)
+    columns += [named >> k & 1 for k in range(NAMED)]
+    return np.stack([*columns, hidden, marked], axis=1).astype(np.float64)
 
 
 # Elements that say by their name what others say by their class.
@@ -321,24 +359,33 @@ def log_odds(x: np.ndarray, model: tuple[float, list[Tree]]) -> np.ndarray:
     return out
 
 
+def worth(nodes: list[Node], odds: np.ndarray) -> list[float]:
+    """What keeping each node adds by itself; a hidden one is never worth it."""
+    return [-math.inf if x.hidden else o * math.log1p(x.chars) if x.chars else 0.5 * min(o, 0.0) for x, o in zip(nodes, odds.tolist(), strict=True)]
+
+
 def decode(nodes: list[Node], odds: np.ndarray) -> list[str]:
     """Blocks of the kept nodes in page order.
 
     A node counts by its own text, so that containers without text cost and bring nothing
     themselves; keeping a node's subtree is worth the best choice below it plus its own.
     """
-    best = [o * math.log1p(x.chars) if x.text else 0.5 * min(o, 0.0) for x, o in zip(nodes, odds.tolist(), strict=True)]
+    best = worth(nodes, odds)
     for i in range(len(nodes) - 1, 0, -1):
         if best[i] > 0:
             best[nodes[i].parent.at] += best[i]
+    kept = [True] * len(nodes)
+    for x in nodes[1:]:
+        kept[x.at] = kept[x.parent.at] and best[x.at] > 0
     out: list[str] = []
-    work: list[Node | str] = [nodes[0]]
+    work: list[Node | list] = [nodes[0]]
     while work:
         node = work.pop()
-        if isinstance(node, str):
-            out.append(node)
+        if isinstance(node, list):
+            if text := " ".join("".join([t if kept[x.at] else " " for t, x in node]).split()):
+                out.append(text)
             continue
-        work += [node.text[c] if isinstance(c, int) else c for c in reversed(node.children) if isinstance(c, int) or best[c.at] > 0 and not c.hidden]
+        work += [node.text[c] if isinstance(c, int) else c for c in reversed(node.children) if isinstance(c, int) or kept[c.at]]
     return out
 
 
@@ -355,12 +402,19 @@ def _page(rnd: random.Random) -> tuple[str, set[int]]:
             main.add(count)
         return f"\x01{count}\x02 " + " ".join(word() + rnd.choice(("", "", "", "", ",", ".")) for _ in range(n)) + rnd.choice((".", ".", ""))
 
+    # a page in plain style says nothing by its elements or their classes
+    plain = rnd.random() < 0.4
+    hashed = plain and rnd.random() < 0.4
+    noise = lambda: f' class="{word()}{rnd.randint(0, 99)} {word()}"' if hashed and rnd.random() < 0.6 else ""
     attr = lambda *ws: rnd.choice(("", f' class="{rnd.choice(ws)}"', f' id="{rnd.choice(ws)}"', f' class="{word()} {rnd.choice(ws)}"')) if ws else ""
     link = lambda good=False: f'<a href="/{word()}">{piece(rnd.randint(1, 3), good)}</a>'
     some = lambda p: rnd.random() < p
 
     def menu() -> str:
         own = "".join(f"<li>{link()}</li>" for _ in range(rnd.randint(3, 9)))
+        if plain and some(0.8):
+            listed = " ".join(link() for _ in range(rnd.randint(2, 9)))
+            return rnd.choice((f"<ul{noise()}>{own}</ul>", f"<div{noise()}><ul>{own}</ul></div>", f"<div{noise()}>{listed}</div>", f"<p{noise()}>{listed}</p>"))
         return rnd.choice((f"<nav{attr('nav', 'menu')}><ul>{own}</ul></nav>", f'<div class="{rnd.choice(("menu", "navbar", "breadcrumb"))}"><ul>{own}</ul></div>', f"<ul{attr('menu', 'nav', 'links')}>{own}</ul>"))
 
     def header() -> str:
@@ -368,6 +422,8 @@ def _page(rnd: random.Random) -> tuple[str, set[int]]:
 
     def footer() -> str:
         body = f"&copy; {piece(rnd.randint(3, 25), False)}"
+        if plain and some(0.7):
+            return f"<div{noise()}>{body}</div>"
         return rnd.choice((f"<footer{attr('footer', 'legal')}>{body}</footer>", f"<footer><p>{body}</p>{menu() if some(0.3) else ''}</footer>", f'<div class="footer">{body}</div>'))
 
     def aside() -> str:
@@ -380,17 +436,21 @@ def _page(rnd: random.Random) -> tuple[str, set[int]]:
 
     def comments() -> str:
         own = "".join(f'<{t} class="comment"><p>{piece(rnd.randint(3, 50), False)}</p></{t}>' for t in [rnd.choice(("div", "li", "article"))] * rnd.randint(1, 5))
-        return f'<{(t := rnd.choice(("section", "div")))} {rnd.choice(("class", "id"))}="{rnd.choice(("comments", "discussion", "replies"))}"><h3>{piece(2, False)}</h3>{own}</{t}>'
+        return f'<{(t := rnd.choice(("section", "div", "div", "user-comments")))} {rnd.choice(("class", "id"))}="{rnd.choice(("comments", "discussion", "replies"))}"><h3>{piece(2, False)}</h3>{own}</{t}>'
 
     def form() -> str:
         return f"<form{attr('search', 'login', 'contact')}><label>{piece(2, False)}</label><input><p>{piece(rnd.randint(2, 8), False)}</p></form>"
 
     def article() -> str:
-        parts = [f"<{h}>{piece(rnd.randint(2, 12), True)}</{h}>" for h in (["h1"] if some(0.85) else [])]
+        parts = [f"<{h}{noise()}>{piece(rnd.randint(2, 12), True)}</{h}>" for h in (["h1"] if some(0.85) else [])]
         for _ in range(rnd.choice((1, 2, 3, 5, 8, 14))):
             kind = rnd.random()
-            if kind < 0.7:
-                parts.append(f"<p>{piece(rnd.choice((1, 4, 10, 30, 60, 120)), True)}</p>")
+            if kind < 0.04:
+                # a marked element within a paragraph, or around blocks
+                bad = rnd.choice((f'<span class="{rnd.choice(("advert", "ad", "sponsored", "share", "promo"))}">{piece(rnd.randint(1, 6), False)}</span>', f'<span class="{rnd.choice(("text", "entry", "story"))}">{piece(4, True)}</span>', f"<span hidden>{piece(3, False)}</span>"))
+                parts.append(f"<p>{piece(10, True)} {bad} {piece(10, True)}</p>")
+            elif kind < 0.7:
+                parts.append(f"<p{noise()}>{piece(rnd.choice((1, 4, 10, 30, 60, 120)), True)}</p>")
             elif kind < 0.76:
                 parts.append(f"<h{(k := rnd.randint(2, 3))}>{piece(rnd.randint(1, 6), True)}</h{k}>")
             elif kind < 0.82:
@@ -410,6 +470,15 @@ def _page(rnd: random.Random) -> tuple[str, set[int]]:
         body = "".join(parts)
         extra = (comments() if some(0.1) else "") + (aside() if some(0.06) else "") + (f"<footer>{piece(5, False)}</footer>" if some(0.06) else "")
         kind = rnd.random()
+        if plain:
+            inner = body
+            for _ in range(rnd.choice((0, 0, 1, 1, 2, 3))):
+                inner = f"<div{noise()}>{inner}</div>"
+            if some(0.2):
+                cells = [f"<td{noise()}>{inner}</td>"] + [f"<td{noise()}>{menu()}</td>" for _ in range(rnd.randint(0, 2))]
+                rnd.shuffle(cells)
+                inner = f"<table{noise()}><tr>{''.join(cells)}</tr></table>"
+            return inner + (comments() if some(0.1) else "")
         if kind < 0.6:
             return f"<article{attr('post', 'entry')}>{body}{extra}</article>"
         if kind < 0.75:
@@ -436,14 +505,15 @@ def fit(pages: int = PAGES, seed: int = 11) -> tuple[float, list[Tree]]:
         _, nodes = parse(page)
         x = features([nodes])
         good, bad = np.zeros(len(nodes)), np.zeros(len(nodes))
-        for i in range(len(nodes) - 1, -1, -1):
+        for i in range(len(nodes)):
             for t in nodes[i].text:
-                for m in re.finditer("\x01(\\d+)\x02", t):
-                    (good if int(m[1]) in main else bad)[i] += 1
-            if i:
-                p = nodes[i].parent.at
-                good[p] += good[i]
-                bad[p] += bad[i]
+                for piece, own in t:
+                    for m in re.finditer("\x01(\\d+)\x02", piece):
+                        (good if int(m[1]) in main else bad)[own.at] += 1
+        for i in range(len(nodes) - 1, 0, -1):
+            p = nodes[i].parent.at
+            good[p] += good[i]
+            bad[p] += bad[i]
         use = np.flatnonzero(good + bad > 0)
         xs.append(x[use])
         ys.append((good[use] > 0) & ((good[use] >= bad[use]) | (use < 4)))

@@ -208,3 +208,55 @@ def test_long_page_is_whole(spark):
     page = "<article>" + "".join(f"<p>paragraph number {i} says a few words, as the others do.</p>" for i in range(20_000)) + "</article>"
     rows = html_extract.extract(spark.createDataFrame([(1, page, 7)] * 2, "page_id long, html string, n int")).collect()
     assert [r["text"].count("\n") for r in rows] == [19_999] * 2
+
+
+PARAGRAPHS = [f"Paragraph {i} " + "lorem ipsum dolor, sit amet consectetur. " * 7 for i in range(6)]
+BARE = "".join(f"<p>{p}</p>" for p in PARAGRAPHS[:4])
+
+
+@pytest.mark.parametrize(
+    ("page", "n"),
+    [
+        (f"<body><div>{BARE}</div></body>", 4), (f"<html><body>{BARE}</body></html>", 4), ("<body><h1>Headline</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + "</body>", 6),
+        (f"<body><nav><a href=1>Home</a> <a href=2>News</a></nav><div>{BARE}</div><footer>(c) Firm</footer></body>", 4), (f"<body><div><div><div>{BARE}</div></div></div></body>", 4),
+        (f"<body><table><tr><td><a href=1>Home</a><br><a href=2>News</a></td><td>{BARE}</td></tr></table></body>", 4), (f"<body><div class='x9 q'><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></div><div class='css-1k2 z'>{BARE}</div></body>", 4),
+    ],
+)
+def test_pages_without_marks_keep_their_text(page, n):
+    text = html_extract.main_text(page, html_extract.fit())
+    assert sum(p.strip() in text for p in PARAGRAPHS) == n and "Home" not in text
+
+
+def test_marked_inline_elements_go_and_others_stay():
+    page = f"<article><p>{PARAGRAPHS[0]}<span class='advert'>BUY</span> <span hidden>HID</span> <b class='q'>bold</b> <em>end</em></p>{BARE}<user-comments class='comments'><p>nice one</p>yes</user-comments></article>"
+    text = html_extract.main_text(page, html_extract.fit()).split("\n")
+    assert text[0] == f"{PARAGRAPHS[0]} bold end".replace(".  bold", ". bold") and len(text) == 5
+    _, nodes = html_extract.parse("<p>a<span class=ad>b<i>c</i></span>d<x-y class=comment>e<div>f</div>g</x-y>h</p>")
+    assert [(x.tag, ["".join(t for t, _ in b) for b in x.text], x.chars) for x in nodes] == [("#root", [], 0), ("p", ["abcde", "h"], 3), ("span", [], 2), ("x-y", ["g"], 2), ("div", ["f"], 1)]
+
+
+def test_decoding_equals_enumeration():
+    rnd = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rnd.integers(2, 13))
+        nodes = [html_extract.Node("#root", None, 0)]
+        for i in range(1, n):
+            x = html_extract.Node("div", nodes[int(rnd.integers(0, i))], i, {"hidden": ""} if rnd.random() < 0.1 else {})
+            x.parent.children.append(x)
+            if rnd.random() < 0.7:
+                x.text, x.children, x.chars = [[(f"t{i}", x)]], [0], 2
+            nodes.append(x)
+        odds = rnd.normal(size=n)
+        own = html_extract.worth(nodes, odds)
+        best = max((sum(own[i] for i in range(1, n) if keep >> i & 1), keep) for keep in range(1, 1 << n, 2) if all(not keep >> i & 1 or keep >> nodes[i].parent.at & 1 for i in range(1, n)))
+        got = {int(t[1:]) for t in html_extract.decode(nodes, odds)}
+        assert got == {i for i in range(1, n) if best[1] >> i & 1 and nodes[i].text}
+
+
+def test_held_out_pages_of_both_kinds():
+    rnd, model, right, wrong, missed, empty = random.Random(999), html_extract.fit(), 0, 0, 0, 0
+    for _ in range(200):
+        page, main = html_extract._page(rnd)
+        got = {int(x) for x in re.findall("\x01(\\d+)\x02", html_extract.main_text(page, model))}
+        right, wrong, missed, empty = right + len(got & main), wrong + len(got - main), missed + len(main - got), empty + bool(main and not got)
+    assert 2 * right / (2 * right + wrong + missed) > 0.96 and not empty
