@@ -15,6 +15,7 @@ from loadscope.operators import bom, diff, explore
 from loadscope.operators import evidence as E
 from loadscope.operators import records as R
 from loadscope.operators import summary as S
+from loadscope.plans import dims
 from loadscope.plans.analyze import analyze
 from loadscope.plans.session import session
 from loadscope.sources import bills, walk
@@ -85,7 +86,8 @@ def explain_lines(found, term: str) -> Iterator[str]:
             yield f"  {name}: {value}"
     own = F.col("artifact_id") == row["artifact_id"]
     for site in found.sites.where(own).orderBy("file", "line").toLocalIterator():
-        yield f"  {site['file']}:{site['line']} {site['loader']}"
+        expects = dims.EXPECTED.get(site["loader"]) if site["verdict"]["reason"] == "format-undetermined" else None
+        yield f"  {site['file']}:{site['line']} {site['loader']}" + (f" in cell {cell}" if (cell := site.asDict().get("cell")) else "") + (f", which expects {expects}" if expects else "")
     for f in R.findings(found.records.where(own)).orderBy(*R.finding_rank()).collect():  # fifteen at most
         yield f"  {f['disposition']}: {f['kind']}"
 

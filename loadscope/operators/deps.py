@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.functions.versions import normalise_name, parse_constraint
@@ -13,13 +13,23 @@ PIN_RANK = {"exact": 2, "range": 1, "unpinned": 0}
 LOCK, REQUIREMENTS, OTHER = 2, 1, 0
 
 
+# Fixed value: a requirement as the public grammar of dependency specifiers has it: a name, its extras in brackets, the rest.
+REQUIREMENT = r"^\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)\s*(?:\[[^\]]*\])?\s*(.*)$"
+
+
+def requirement(text: Column) -> tuple[Column, Column]:
+    """The normalised name and the constraint of a requirement; what follows a semicolon says where it holds."""
+    plain = F.btrim(F.regexp_replace(text, r";[\s\S]*\z", ""))
+    return normalise_name(F.regexp_extract(plain, REQUIREMENT, 1)), F.btrim(F.regexp_extract(plain, REQUIREMENT, 2))
+
+
 def requirement_lines(files: DataFrame) -> DataFrame:
     """(source, seq, name, constraint): requirement lines of files (path, text), without comments, markers, options and blanks."""
     lines = files.select(F.col("path").alias("source"), F.posexplode(F.split("text", "\r?\n")).alias("seq", "line"))
-    line = F.btrim(F.regexp_replace(F.regexp_replace("line", r"(^|\s)#.*\z", ""), r";.*\z", ""))
+    line = F.btrim(F.regexp_replace("line", r"(^|\s)#.*\z", ""))
     lines = lines.select("source", "seq", line.alias("line")).where("line <> '' and not startswith(line, '-')")
-    parts = lambda k: F.regexp_extract("line", r"^([A-Za-z0-9][A-Za-z0-9._-]*(?:\[[^\]]*\])?)\s*(.*)\z", k)
-    return lines.select("source", "seq", normalise_name(parts(1)).alias("name"), parts(2).alias("constraint")).where("name is not null")
+    name, constraint = requirement(F.col("line"))
+    return lines.select("source", "seq", name.alias("name"), constraint.alias("constraint")).where("name is not null")
 
 
 def merge(declared: DataFrame) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.operators.columns import mapped, rank
+from loadscope.operators.records import finding_cells, stripe
+from loadscope.operators.shared import stored
 from loadscope.operators.summary import environments
 from loadscope.plans import dims
 
@@ -49,34 +52,42 @@ PRESETS = {
 BETWEEN = " \u0001 "
 
 
-def haystack() -> Column:
-    """All of a record that a search looks at, in lower case; its load sites are looked at by themselves."""
+def haystack(records: DataFrame) -> Column:
+    """All of a record that a search looks at, in lower case; its load sites and evidence are looked at by themselves."""
     label = mapped(F.col("format"), dims.LABELS, "")
     named = lambda column, names: F.array_join(F.transform(column, lambda x: mapped(x, names, "")), BETWEEN)
     joined = lambda column: F.array_join(column, BETWEEN)
+    version = F.col("version") if "version" in records.columns else F.lit(None).cast("string")
     return F.lower(F.concat_ws(
-        BETWEEN, F.col("artifact_id").cast("string"), "locator", F.substring_index("locator", "/", -1), "format", label, "behaviour", "verdict.reason", "alternative.kind", F.left("digest", F.lit(16)),
+        BETWEEN, F.col("artifact_id").cast("string"), "locator", F.substring_index("locator", "/", -1), version, "format", label, "behaviour", "verdict.reason", "alternative.kind", F.left("digest", F.lit(16)),
         joined("environments"), named("environments", {e: x[0] for e, x in dims.ENVIRONMENTS.items()}), joined("privileges"), named("privileges", dims.PRIVILEGE_LABELS), joined("bindings"),
+        joined(F.transform(finding_cells(records), lambda f: f["kind"])),
     ))
 
 
-def search(records: DataFrame, sites: DataFrame, query: str) -> DataFrame:
-    """Records that have every word of the query, each in themselves or in one of their load sites (file, loader).
+def search(records: DataFrame, sites: DataFrame, query: str, evidence: DataFrame | None = None) -> DataFrame:
+    """Records that have every word of the query, each in themselves, in one of their load sites (file, line, enclosing, loader) or in a record of evidence (scanner, result).
 
-    Sites are aggregated to one flag for each word and artifact before they are joined.
+    Sites and evidence are aggregated to one flag for each word and artifact before they are joined.
     """
     terms = query.lower().split()
     if not terms:
         return records
-    text = F.lower(F.concat_ws(BETWEEN, "file", "loader"))
-    inside = sites.where("artifact_id is not null").groupBy("artifact_id").agg(*[F.bool_or(F.contains(text, F.lit(t))).alias(f"_has{i}") for i, t in enumerate(terms)])
-    rows = records.join(inside, "artifact_id", "left")
-    for i, t in enumerate(terms):
-        rows = rows.where(F.contains(haystack(), F.lit(t)) | F.coalesce(f"_has{i}", F.lit(False)))
+    rows, flags = records, [[] for _ in terms]
+    for name, parts, columns in (("site", sites, ("file", "line", "enclosing", "loader")), ("proof", evidence, ("scanner", "result"))):
+        if parts is None:
+            continue
+        text = F.lower(F.concat_ws(BETWEEN, *[F.col(c).cast("string") for c in columns if c in parts.columns]))
+        inside = parts.where("artifact_id is not null").groupBy("artifact_id").agg(*[F.bool_or(F.contains(text, F.lit(t))).alias(f"_{name}{i}") for i, t in enumerate(terms)])
+        rows = rows.join(inside, "artifact_id", "left")
+        for i in range(len(terms)):
+            flags[i].append(F.coalesce(f"_{name}{i}", F.lit(False)))
+    for t, found in zip(terms, flags, strict=True):
+        rows = rows.where(reduce(lambda a, b: a | b, found, F.contains(haystack(records), F.lit(t))))
     return rows.select(*records.columns)
 
 
-def conditions(filters: Filters) -> dict[str, Column]:
+def conditions(filters: Filters, records: DataFrame) -> dict[str, Column]:
     one = lambda column, values: F.col(column).isin(list(values)) if values else F.lit(True)
     out = {
         "behaviour": one("behaviour", filters.behaviour),
@@ -88,19 +99,24 @@ def conditions(filters: Filters) -> dict[str, Column]:
     }
     query = F.lit(True)
     for term in filters.query.lower().split():
-        query = query & F.contains(haystack(), F.lit(term))
+        query = query & F.contains(haystack(records), F.lit(term))
     return out | {"query": query}
 
 
-def apply_filters(records: DataFrame, filters: Filters) -> DataFrame:
-    for condition in conditions(filters).values():
+def apply_filters(records: DataFrame, filters: Filters, sites: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
+    """Records that pass all filters. With sites the query's words are also looked for in load sites and evidence, as search does."""
+    held = conditions(filters, records)
+    if sites is not None:
+        held.pop("query")
+        records = search(records, sites, filters.query, evidence)
+    for condition in held.values():
         records = records.where(condition)
     return records
 
 
 def facet_counts(records: DataFrame, filters: Filters) -> DataFrame:
     """(facet, value, artifacts): each facet counted under all the other facets' filters, in one pass over the records."""
-    held = conditions(filters)
+    held = conditions(filters, records)
     passed = F.array(*[held[k] for k in held])
     failed = F.size(F.filter(passed, lambda x: ~x))
     values = {
@@ -156,17 +172,16 @@ def top(records: DataFrame, key: str, n: int) -> DataFrame:
     return records.orderBy(*order_by(key)).limit(n)
 
 
-def boundary(records: DataFrame, findings: DataFrame) -> DataFrame:
+def boundary(records: DataFrame) -> DataFrame:
     """(artifact_id, terminal): the gravest disposition of a record's findings, record without any."""
-    worst = findings.groupBy("artifact_id").agg(F.min(rank(F.col("disposition"), dims.DISPOSITIONS)).alias("r"))
-    names = F.array(*[F.lit(d) for d in dims.DISPOSITIONS])
-    return records.select("artifact_id").join(worst, "artifact_id", "left").select("artifact_id", F.coalesce(F.get(names, F.col("r")), F.lit("record")).alias("terminal"))
+    worst = F.array_min(F.transform(finding_cells(records), lambda f: rank(f["disposition"], dims.DISPOSITIONS)))
+    return records.select("artifact_id", F.coalesce(F.get(F.array(*[F.lit(d) for d in dims.DISPOSITIONS]), worst), F.lit("record")).alias("terminal"))
 
 
-def boundary_rows(records: DataFrame, findings: DataFrame, stripe: DataFrame, n: int = 9) -> DataFrame:
-    """(artifact_id, terminal, stage, at, state): the six cells and the terminal of the first n records of the shown order."""
-    first = top(records, "display", n)
-    return boundary(first, findings.join(first.select("artifact_id"), "artifact_id", "left_semi")).join(stripe, "artifact_id")
+def boundary_rows(records: DataFrame, n: int = 9) -> DataFrame:
+    """(artifact_id, terminal, at, stage, state): the six cells and the terminal of the first n records of the shown order."""
+    first = stored(top(records, "display", n))
+    return boundary(first).join(stripe(first), "artifact_id")
 
 
 def path_rows(sites: DataFrame, records: DataFrame) -> DataFrame:

@@ -606,14 +606,17 @@ def finding_rank(spark, d):
     return numbered(rows, ["d", "f", "id"], "place").select("id", "kind", "disposition", "place")
 
 
-@query("""
+STRIPE = """
 SELECT artifact_id, stage, state FROM (SELECT artifact_id, unnest([
   {'stage': 'format', 'state': CASE WHEN format = 'unknown' THEN 'unresolved' WHEN mismatch THEN 'flagged' WHEN basis = 'extension' THEN 'unresolved' ELSE 'resolved' END},
   {'stage': 'load', 'state': CASE WHEN sites = 0 THEN 'unresolved' ELSE 'resolved' END},
   {'stage': 'exec', 'state': CASE WHEN behaviour IN ('code', 'directive') THEN 'flagged' WHEN behaviour = 'unknown' THEN 'unresolved' ELSE 'resolved' END},
   {'stage': 'context', 'state': CASE WHEN len(list_filter(environments, lambda e: e <> 'unresolved')) = 0 THEN 'unresolved' WHEN privileged THEN 'flagged' ELSE 'resolved' END},
   {'stage': 'evidence', 'state': CASE WHEN list_contains(bindings, 'stale') OR current_flagged THEN 'flagged' WHEN NOT list_contains(bindings, 'current') THEN 'unresolved' ELSE 'resolved' END},
-  {'stage': 'alternative', 'state': CASE WHEN alternative <> 'none-identified' THEN 'flagged' WHEN behaviour <> 'data' THEN 'unresolved' ELSE 'resolved' END}], recursive := true) FROM rec)""")
+  {'stage': 'alternative', 'state': CASE WHEN alternative <> 'none-identified' THEN 'flagged' WHEN behaviour <> 'data' THEN 'unresolved' ELSE 'resolved' END}], recursive := true) FROM rec)"""
+
+
+@query(STRIPE)
 def stripe(spark, d):
     return R.stripe(P.records(spark, d)).select("artifact_id", "stage", "state")
 
@@ -691,6 +694,15 @@ def search(spark, d):
     return explore.search(P.records(spark, d), P.sites(spark, d), "Asia torch egress").select("artifact_id")
 
 
+@query("""
+, said AS (SELECT artifact_id, bool_or(contains(scanner, 'scanner3')) AS a FROM ev GROUP BY artifact_id),
+found AS (SELECT artifact_id, bool_or(contains(kind, 'unpinned')) AS b FROM find GROUP BY artifact_id)
+SELECT artifact_id FROM rec JOIN said USING (artifact_id) JOIN found USING (artifact_id) WHERE a AND b""")
+def search_proof(spark, d):
+    """A search whose words are those of evidence and of findings."""
+    return explore.search(P.records(spark, d), P.sites(spark, d), "scanner3 unpinned", P.evidence(spark, d)).select("artifact_id")
+
+
 SHOWN_ORDER = {
     "display": f"{_case('behaviour', dims.DISPLAY)} * 10 - CASE WHEN privileged THEN 5 ELSE 0 END", "exposure": f"{_case('behaviour', dims.EXPOSURE)} * 2 + CASE WHEN privileged THEN 1 ELSE 0 END",
     "artifact": "locator", "format": _case("format", dims.LABELS), "context": "CASE WHEN len(environments) = 0 THEN 'zzz' ELSE array_to_string(list_sort(environments), ',') END", "evidence": "evidence_state",
@@ -725,8 +737,7 @@ def gate(spark, d):
 
 @query(f"SELECT artifact_id, coalesce((['act', 'review', 'record'])[min({_case('disposition', {x: i + 1 for i, x in enumerate(dims.DISPOSITIONS)})})], 'record') AS terminal FROM rec LEFT JOIN find USING (artifact_id) GROUP BY artifact_id")
 def boundary(spark, d):
-    records = P.records(spark, d)
-    return explore.boundary(records, R.findings(records))
+    return explore.boundary(P.records(spark, d))
 
 
 @query(f"SELECT {SITE_ORDER}, 'ls-' || row_number() OVER (ORDER BY {SITE_ORDER}) AS id FROM lineitem")
@@ -734,6 +745,17 @@ def site_numbers(spark, d):
     return numbered(P.table(spark, d, "lineitem").select(*P.ORDER), P.ORDER, "id", "ls-")
 
 
+@query(f"""
+, few AS (SELECT artifact_id FROM rec ORDER BY {_case('behaviour', dims.DISPLAY)} * 10 - CASE WHEN privileged THEN 5 ELSE 0 END, artifact_id LIMIT 9),
+cell AS ({STRIPE})
+SELECT artifact_id, terminal, stage, state FROM few JOIN cell USING (artifact_id) JOIN (
+  SELECT artifact_id, coalesce((['act', 'review', 'record'])[min({_case('disposition', {x: i + 1 for i, x in enumerate(dims.DISPOSITIONS)})})], 'record') AS terminal FROM rec LEFT JOIN find USING (artifact_id) GROUP BY artifact_id) USING (artifact_id)""")
+def boundary_cells(spark, d):
+    """The load boundary's nine rows: the first records of the shown order with their cells and where they end."""
+    records = P.records(spark, d)
+    return explore.boundary_rows(records).select("artifact_id", "terminal", "stage", "state")
+
+
 # ---- bills ----
 
 

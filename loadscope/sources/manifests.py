@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadscope.functions.versions import normalise_name
-from loadscope.operators.deps import LOCK, OTHER, REQUIREMENTS, requirement_lines
+from loadscope.operators.deps import LOCK, OTHER, REQUIREMENTS, requirement, requirement_lines
 from loadscope.operators.numbering import numbered
 
 # Manifests by their file's name, the first that fits.
@@ -52,8 +52,8 @@ def pyproject(files: DataFrame) -> DataFrame:
     opens = F.when(F.col("line").rlike(r"^\s*dependencies\s*=\s*\["), 1).when(F.col("line").rlike(r"^\s*([A-Za-z-]+\s*=|\[)"), 0)
     rows = rows.withColumn("inside", _latest(opens))
     items = rows.where("table = 'project' and inside = 1").select("source", "seq", F.explode(F.regexp_extract_all("line", F.lit("[\"']([^\"']+)[\"']"), F.lit(1))).alias("text"))
-    spec = lambda k: F.regexp_extract("text", r"^([A-Za-z0-9][A-Za-z0-9._-]*(?:\[[^\]]*\])?)\s*([^;]*)", k)
-    project = items.select("source", "seq", normalise_name(spec(1)).alias("name"), F.btrim(spec(2)).alias("constraint"))
+    name, constraint = requirement(F.col("text"))
+    project = items.select("source", "seq", name.alias("name"), constraint.alias("constraint"))
     pair = lambda k: F.regexp_extract("line", r'^\s*"?([A-Za-z0-9._-]+)"?\s*=\s*(?:\{[^}]*version\s*=\s*)?"([^"]*)"', k)
     poetry = rows.where(r"table rlike '^tool\\.poetry\\.(group\\.[^.]+\\.)?(dev-)?dependencies$'").where(pair(1) != "").where(pair(1) != "python")
     return project.unionByName(poetry.select("source", "seq", normalise_name(pair(1)).alias("name"), pair(2).alias("constraint")))
