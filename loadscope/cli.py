@@ -81,7 +81,7 @@ def explain_lines(found, term: str) -> Iterator[str]:
     if row is None:
         return
     yield f"{row['locator']}  {row['format']} ({row['basis']})  {row['behaviour']}"
-    for name, value in (("reason", row["verdict"]["reason"]), ("guard", row["verdict"]["guard"]), ("environments", ", ".join(row["environments"])), ("privileges", ", ".join(row["privileges"])), ("evidence", ", ".join(row["bindings"])), ("alternative", row["change"])):
+    for name, value in (("reason", row["verdict"]["reason"]), ("guard", row["verdict"]["guard"]), ("environments", ", ".join(row["environments"])), ("privileges", ", ".join(row["privileges"])), ("evidence", ", ".join(row["bindings"])), ("alternative", row["change"]), ("tensors", ", ".join(row.asDict().get("dtypes") or []))):
         if value:
             yield f"  {name}: {value}"
     own = F.col("artifact_id") == row["artifact_id"]

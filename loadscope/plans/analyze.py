@@ -23,6 +23,7 @@ from loadscope.operators.numbering import numbered
 from loadscope.operators.shared import stored
 from loadscope.plans import dims
 from loadscope.sources import declarations, documents, manifests, notebook, probes, scanner
+from loadscope.sources import tensors as T
 from loadscope.sources.config import Config
 from loadscope.sources.walk import EDGE, MOST_HASHED
 
@@ -44,6 +45,8 @@ class Report:
     records: DataFrame
     notices: DataFrame
     counts: DataFrame
+    tensors: DataFrame | None = None
+    metadata: DataFrame | None = None
     project: str | None = None
     stages: dict[str, dict[str, int]] = field(default_factory=dict)
 
@@ -101,9 +104,10 @@ def analyze(files: DataFrame, config: Config = Config(), loaders: DataFrame | No
     calls = stages.store("load-sites", lambda: L.loads(stored(scanner.read(sources)), sources, loaders), calls=F.count("*"), files=F.approx_count_distinct("file"))
 
     heads = scope.where(extension.isin(list(dims.BY_EXTENSION))).select("path", "size", "head", "tail", "digest", "coverage")
+    headers = stored(T.headers(scope.where(extension.isin(list(dims.BY_EXTENSION))).select("path", "size", F.coalesce("content", "head").alias("head"))).drop("head").where("state <> 'none'"))
     targets = stored(A.resolve_references(calls.where("literal is not null").select("literal"), heads.select("path")))
     declared = stored(declarations.declarations(texts))
-    arts = stages.store("artifacts", lambda: known(heads).unionByName(remote(targets)).unionByName(stated(declared)), artifacts=F.count("*"), in_tree=F.count_if(F.col("origin") == "in-tree"))
+    arts = stages.store("artifacts", lambda: known(heads, headers).unionByName(remote(targets), allowMissingColumns=True).unionByName(stated(declared), allowMissingColumns=True), artifacts=F.count("*"), in_tree=F.count_if(F.col("origin") == "in-tree"))
 
     place = ["file", "line", "pos", "loader", "artifact_id"]
     bound = calls.join(targets.withColumnRenamed("target", "artifact_id"), "literal", "left").select("file", "line", "pos", "enclosing", "loader", "args", "literal", "artifact_id", "target")
@@ -118,15 +122,18 @@ def analyze(files: DataFrame, config: Config = Config(), loaders: DataFrame | No
     reports = stages.store("evidence", lambda: numbered(reports, ["source", "subject", "scanner", "result", "subject_digest", "detail"], "seq").withColumn("id", F.concat(F.lit("ev-"), F.col("seq").cast("string"))), read=F.count("*"))
     proof = stages.store("evidence", lambda: E.bind(reports, arts), bound=F.count("*"))
     records = stages.store("bom", lambda: R.build(arts, sites, contexts, proof, ["file", "line", "pos"]), records=F.count("*"), code=F.count_if(F.col("behaviour") == "code"))
-    return Report(arts, sites, contexts, proof, records, notices(held, scope, extension, config), counts(held, scope), project, stages.counts)
+    return Report(arts, sites, contexts, proof, records, notices(held, scope, extension, config), counts(held, scope), T.tensors(headers), T.metadata(headers), project, stages.counts)
 
 
-def known(heads: DataFrame) -> DataFrame:
-    """Artifacts that are files of the tree (path, size, head, tail, digest, coverage)."""
+def known(heads: DataFrame, headers: DataFrame) -> DataFrame:
+    """Artifacts that are files of the tree (path, size, head, tail, digest, coverage); dtypes says how many tensors of each type their headers list."""
     probed = probes.classified(probes.probe(heads))
+    counted = F.concat_ws(" ", F.col("tensors").cast("string"), F.coalesce("dtype", F.lit("untyped")))
+    listed = T.dtypes(T.tensors(headers)).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("dtype", counted.alias("text")))).alias("d")).select("path", F.transform("d", lambda x: x["text"]).alias("dtypes"))
+    probed = probed.drop("tensors").join(listed, "path", "left")
     return probed.join(A.siblings(heads.select("path")), "path", "left").select(
         F.col("path").alias("artifact_id"), F.col("path").alias("locator"), "found.*", F.lit("in-tree").alias("origin"), "digest", F.coalesce("coverage", F.lit("full")).alias("coverage"), F.lit(None).cast("string").alias("version"),
-        F.coalesce(F.size(probes.notable(F.col("pickle.globals"))) > 0, F.lit(False)).alias("notable"), "siblings",
+        F.coalesce(F.size(probes.notable(F.col("pickle.globals"))) > 0, F.lit(False)).alias("notable"), "siblings", "dtypes",
     )
 
 

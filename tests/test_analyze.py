@@ -20,6 +20,10 @@ AutoModel.from_pretrained("org/model")
 '''
 
 
+TENSORS = json.dumps({"__metadata__": {"format": "pt"}, "w": {"dtype": "F32", "shape": [1], "data_offsets": [0, 4]}, "v": {"dtype": "F32", "shape": [1], "data_offsets": [4, 8]}, "b": {"dtype": "I8", "shape": [1], "data_offsets": [7, 8]}}).encode()
+HEADER = len(TENSORS).to_bytes(8, "little") + TENSORS + bytes(8)
+
+
 def test_a_small_project(spark):
     digest = __import__("hashlib").sha256(pickle.dumps({"a": 1}, 4)).hexdigest()
     files = {
@@ -28,7 +32,7 @@ def test_a_small_project(spark):
         "tests/test_a.py": 'import torch\ntorch.load("weights/b.pt")\ntorch.load(name)\n',
         "weights/a.pkl": pickle.dumps({"a": 1}, 4),
         "weights/b.pt": pickle.dumps({"a": 1}, 2),
-        "weights/b.safetensors": b"\x02\0\0\0\0\0\0\0{}",
+        "weights/b.safetensors": HEADER,
         "prompts/x.md": "Say {{word}}",
         "security/evidence.json": json.dumps({"records": [{"scanner": "s", "subject": "weights/a.pkl", "sha256": digest, "result": "pass"}]}),
         "ignored/z.py": 'import torch\ntorch.load("weights/a.pkl")\n',
@@ -42,6 +46,8 @@ def test_a_small_project(spark):
         "hf:org/model": ("remote-repository", "unknown", ["production"], True, "loader-guard-available", "absent"),
         "prompt:x": ("prompt-template", "directive", ["unresolved"], False, "none-identified", "absent"),
     }
+    assert {r["artifact_id"]: r["dtypes"] for r in report.records.where("dtypes is not null").collect()} == {"weights/b.safetensors": ["2 F32", "1 I8"]}
+    assert sorted((r["name"], r["problem"]) for r in report.tensors.collect()) == [("b", "overlapping"), ("v", None), ("w", None)] and report.metadata.collect() == [("weights/b.safetensors", "format", "pt")]
     assert report.sites.where("artifact_id is null").count() == 1 and report.project is None
     assert not report.records.where(S.gate(report.records, "privileged")).isEmpty()
 
