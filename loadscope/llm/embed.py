@@ -150,16 +150,6 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     return done.select("vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def keep_one(vectors: DataFrame) -> DataFrame:
-    """vectors with one row of each group: that of the smallest id.
-
-    A row with a null id names no group and goes; of rows that repeat an id all stay if one
-    does. Ties don't arise between different ids; an empty table gives an empty one; all
-    columns stay.
-    """
-    return vectors.join(near_duplicates(vectors).where("kept").select("vec_id"), "vec_id", "left_semi").select(*vectors.columns)
-
-
 ORACLE = f"""
 WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= {COSINE}),

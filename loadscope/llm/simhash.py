@@ -135,12 +135,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = of.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = of.join(least, "component").select("fp", "component_id")
     return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, n_words: int = 3, max_bits: int = 2) -> DataFrame:
-    """docs with one row of each component: the one of the smallest doc_id.
-
-    Of rows that repeat an id one stays; rows with a null id can't be told apart and go.
-    """
-    heads = near_duplicates(docs, n_words=n_words, max_bits=max_bits).where("doc_id = component_id").select("doc_id")
-    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
