@@ -9,7 +9,8 @@ A state is kept as the version before it and the one arc that its copy lost; the
 that it gains later follow from the arc a of the merge that made them.
 
 A word is encoded with two tables: a trie of the tokens' bytes and the automaton. Each
-prefix of a word has one path, so a position of the word needs to keep one state only.
+prefix of a word has one path at most, so a search that takes the longest token first tries
+each place of a word once.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ EMPTY = hashlib.sha256(b"").hexdigest()
 PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r -~À-ÖØ-öø-ɏ]*")
 #: Bytes of words and their codes that a worker keeps at most, in each of two generations. Results don't depend on it.
-KEPT_BYTES = 12 << 20
+KEPT_BYTES = 24 << 20
 #: What a kept word costs beside its own and its codes' characters.
-KEPT_WORD = 330
+KEPT_WORD = 240
 #: Arcs looked up that a worker keeps at most (some 100 bytes each).
 KEPT_ARCS = 200_000
 #: Longer words are encoded each time.
@@ -85,19 +86,32 @@ class Automaton:
                 self.version.append(len(states))
                 self.lost[a][b] = len(states)
                 self.target[a] = states[-1]
-        self.trie: list[dict[int, int]] = [{}]
-        self.token_at = [-1]
-        for t, label in enumerate(self.labels):
-            if self.left[t] == -2:
-                continue
-            node = 0
-            for byte in label:
-                if (after := self.trie[node].get(byte)) is None:
-                    after = self.trie[node][byte] = len(self.trie)
-                    self.trie.append({})
-                    self.token_at.append(-1)
+        #: The trie: a node has its children by their bytes, and at -1 the longest token on its way.
+        self.trie: dict[int, dict | int] = {-1: -1}
+        live = [t for t in range(len(self.labels)) if self.left[t] != -2]
+        for t in live:
+            node = self.trie
+            for byte in self.labels[t]:
+                if (after := node.get(byte)) is None:
+                    after = node[byte] = {-1: -1}
                 node = after
-            self.token_at[node] = t
+            node[-1] = t
+        todo = [self.trie]
+        while todo:
+            node = todo.pop()
+            for byte, after in node.items():
+                if byte >= 0:
+                    after[-1] = node[-1] if after[-1] < 0 else after[-1]
+                    todo.append(after)
+        #: A token's longest beginning that is a token, else -1.
+        self.shorter = [-1] * len(self.labels)
+        for t in live:
+            node = self.trie
+            for byte in self.labels[t][:-1]:
+                node = node[byte]
+            self.shorter[t] = node[-1]
+        self.sizes = [*map(len, self.labels)]
+        self.longest = max(self.sizes)
 
     def reads(self, state: int, token: int) -> bool:
         """Whether the state has an arc for the token."""
@@ -117,33 +131,43 @@ class Automaton:
                 s = states[older - 1] if older else self.base[a]
 
     def encode(self, word: bytes) -> list[int]:
-        """The tokens of one pre-split word."""
+        """The tokens of one pre-split word: depth first, from each place the longest token first.
+
+        A place that led to no end isn't tried again, whatever token leads there, since it has one path.
+        """
         n = len(word)
-        state: list[int] = [-1] * (n + 1)
-        back: list[int] = [-1] * (n + 1)
-        state[0] = 0
-        trie, token_at, target, known = self.trie, self.token_at, self.target, self._known
-        for i in range(n):
-            if (s := state[i]) < 0:
-                continue
-            node, j = 0, i
-            while j < n and (after := trie[node].get(word[j])) is not None:
-                node, j = after, j + 1
-                if (t := token_at[node]) >= 0 and state[j] < 0:
+        out: list[int] = []
+        dead: set[int] = set()
+        trie, shorter, sizes, target, known, longest = self.trie, self.shorter, self.sizes, self.target, self._known, self.longest
+        i = s = 0
+        while i < n:
+            node = trie
+            for byte in word[i : i + longest]:
+                if (after := node.get(byte)) is None:
+                    break
+                node = after
+            t = node[-1]
+            while True:
+                if t < 0:  # back by one token
+                    dead.add(i)
+                    t = out.pop()
+                    i -= sizes[t]
+                    s = target[out[-1]] if out else 0
+                    t = shorter[t]
+                    continue
+                j = i + sizes[t]
+                if j not in dead:
                     key = s << 20 | t
                     if (reads := known.get(key)) is None:
                         if len(known) > KEPT_ARCS:
                             known.clear()
                         reads = known[key] = self.reads(s, t)
                     if reads:
-                        state[j], back[j] = target[t], t
-            if not i and state[n] >= 0:
-                break
-        out = []
-        while n:
-            out.append(back[n])
-            n -= len(self.labels[back[n]])
-        return out[::-1]
+                        break
+                t = shorter[t]
+            out.append(t)
+            i, s = j, target[t]
+        return out
 
     def decode(self, tokens: list[int]) -> bytes:
         return b"".join(map(self.labels.__getitem__, tokens))
@@ -170,6 +194,7 @@ class Tokenizer:
         self.labels = {i: label for label, i in own.items()}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.labels |= {i: text.encode() for text, i in self.added.items()}
+        self.by_decimal = {str(i): label for i, label in self.labels.items()}
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = Words(self)
@@ -182,17 +207,17 @@ class Tokenizer:
     def split_words(self, text: str) -> list[str]:
         return PLAIN_SPLIT.findall(text) if PLAIN.fullmatch(text) else self.split.findall(text)
 
-    def pieces(self, text: str) -> list[tuple[str, bytes]]:
-        """Of each word in turn, its ids' decimals with commas and the bytes that these ids decode to."""
+    def pieces(self, text: str) -> list[str]:
+        """Of each word in turn, its ids' decimals with commas."""
         if not self.special or not self.special.search(text):
             return [*map(self.words.__getitem__, self.split_words(text))]
         out = []
         for k, part in enumerate(self.special.split(text)):
-            out += [(str(self.added[part]), part.encode())] if k % 2 else map(self.words.__getitem__, self.split_words(part))
+            out += [str(self.added[part])] if k % 2 else map(self.words.__getitem__, self.split_words(part))
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.pieces(text) for i in ids.split(",")]
+        return [int(i) for ids in self.pieces(text) for i in ids.split(",")]
 
     def decode(self, ids: list[int]) -> str:
         """The arcs' labels of these ids, joined; bytes that aren't UTF-8 become U+FFFD; unknown ids are left out."""
@@ -201,14 +226,14 @@ class Tokenizer:
     def digests(self, text: str) -> tuple[int, str, str]:
         if not (found := self.pieces(text)):
             return 0, EMPTY, EMPTY
-        ids, decoded = zip(*found, strict=True)
-        joined = ",".join(ids)
-        whole = b"".join(decoded)
+        joined = ",".join(found)
+        ids = joined.split(",")
+        whole = b"".join(map(self.by_decimal.__getitem__, ids))
         try:
             whole.decode()
         except UnicodeDecodeError:
             whole = whole.decode("utf-8", "replace").encode()
-        return joined.count(",") + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(whole).hexdigest()
+        return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(whole).hexdigest()
 
 
 class Words(dict):
@@ -221,18 +246,17 @@ class Words(dict):
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer, self.old, self.held = tokenizer, {}, 0
 
-    def __missing__(self, word: str) -> tuple[str, bytes]:
+    def __missing__(self, word: str) -> str:
         if (out := self.old.get(word)) is None:
-            automaton = self.tokenizer.automaton
-            tokens = automaton.encode(word.encode("utf-8", "replace"))
-            out = ",".join([self.tokenizer.decimals[t] for t in tokens]), automaton.decode(tokens)
+            tokens = self.tokenizer.automaton.encode(word.encode("utf-8", "replace"))
+            out = ",".join([self.tokenizer.decimals[t] for t in tokens])
         if len(word) <= LONGEST_KEPT:
             if self.held >= KEPT_BYTES:
                 self.old = dict(self)
                 self.clear()
                 self.held = 0
             self[word] = out
-            self.held += KEPT_WORD + len(word) * 3 + len(out[0])
+            self.held += KEPT_WORD + len(word) * 2 + len(out)
         return out
 
 

@@ -114,7 +114,7 @@ class Encoder:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, byte offsets: where each token starts, and where the last ends)."""
         pieces = self.tokenizer.pieces(text)
-        ids = np.array(",".join([p[0] for p in pieces]).split(","), dtype=np.int32) if pieces else np.empty(0, np.int32)
+        ids = np.array(",".join(pieces).split(","), dtype=np.int32) if pieces else np.empty(0, np.int32)
         return ids, np.concatenate([[0], np.cumsum(self.width[ids])])
 
     def said(self, ids: np.ndarray, mask: np.ndarray) -> list[str]:

@@ -78,3 +78,11 @@ def test_edges(spark, odd, empty):
     coded = bpe.decode(bpe.encode(odd, vocabulary(), out="key"), vocabulary(), ids="key", out="n")
     assert all(r["n"] == (r["text"] or "") for r in coded.collect())
     assert bpe.encode(empty, vocabulary()).count() == 0 and coded.count() == 8
+
+
+def test_few_arcs_are_looked_up(both, rows):
+    """The longest tokens are tried first, so that few others are: three tries for two tokens at most."""
+    automaton = bpe.Automaton([])
+    automaton.__dict__ |= both[0].automaton.__dict__ | {"_known": (tried := type("Tried", (dict,), {"n": 0, "get": lambda self, key: setattr(self, "n", self.n + 1) or dict.get(self, key)})())}
+    made = sum(len(automaton.encode(w.encode())) for d in rows[:100] for w in both[0].split_words(d["text"]))
+    assert made <= tried.n <= 1.5 * made
