@@ -26,12 +26,16 @@ from loadscope.llm.common import stored, text_of
 LENGTH = 200
 #: Bytes of a piece: a power of two.
 PIECE = 32
-#: Bytes at which a suffix array takes no further hash's contexts.
+#: Bytes of a suffix array at most, unless one hash's contexts alone have more.
 SHARD = 1 << 19
 #: Contexts of one hash in a suffix array at most; the strings of a hash with more are counted by their own hashes.
 BLOCK = 4000
 #: Bytes of a text looked at together (and their strings' tails).
-CHUNK = 1 << 22
+CHUNK = 1 << 20
+#: Texts whose contexts are handed on at once.
+HANDED = 500
+#: Of places and symbols in suffix arrays: half the memory of numpy's default, and a shard has far fewer than 2^29 bytes.
+PLACE = np.int32
 #: Bits of the filter that spares documents without a match the join: its size doesn't depend on the data.
 FILTER_BITS = 1 << 24
 
@@ -45,7 +49,7 @@ def _types(t: np.ndarray) -> np.ndarray:
     rises = np.ones(n, np.int8)
     d = np.sign(t[1:] - t[:-1]).astype(np.int8)
     rises[:-1] = d
-    at = np.where(rises != 0, np.arange(n), n - 1)
+    at = np.where(rises != 0, np.arange(n, dtype=PLACE), PLACE(n - 1))
     following = np.minimum.accumulate(at[::-1])[::-1]
     return rises[following] > 0
 
@@ -81,21 +85,23 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, symbols: np.ndar
         return own
 
     larger: list[list[np.ndarray]] = [[] for _ in range(size)]
-    large: list[np.ndarray] = [np.empty(0, np.int64)] * size
+    large: list[np.ndarray] = [np.empty(0, PLACE)] * size
     for b in symbols.tolist():
-        level = np.concatenate(larger[b]) if larger[b] else np.empty(0, np.int64)
+        level = np.concatenate(larger[b]) if larger[b] else np.empty(0, PLACE)
+        larger[b] = []
         whole = []
         while len(level):
             whole.append(level)
             level = pushed(level, False, b, larger)
-        large[b] = np.concatenate(whole) if whole else np.empty(0, np.int64)
+        large[b] = np.concatenate(whole) if whole else np.empty(0, PLACE)
         if seeds[b]:
             pushed(np.concatenate(seeds[b]), False, b, larger)
     smaller: list[list[np.ndarray]] = [[] for _ in range(size)]
     out: list[np.ndarray] = []
     for b in symbols.tolist()[::-1]:
         # from the right: each list is in descending order
-        level = np.concatenate(smaller[b]) if smaller[b] else np.empty(0, np.int64)
+        level = np.concatenate(smaller[b]) if smaller[b] else np.empty(0, PLACE)
+        smaller[b] = []
         whole = []
         while len(level):
             whole.append(level)
@@ -104,7 +110,7 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, symbols: np.ndar
         pushed(down, True, b, smaller)
         out += [*whole, down]
         if b == 0:
-            out.append(np.array([len(t) - 1]))
+            out.append(np.array([len(t) - 1], PLACE))
     return np.concatenate(out)[::-1]
 
 
@@ -122,25 +128,25 @@ def _ranked(names: np.ndarray) -> np.ndarray:
         new[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
         rank = new
         if rank[order[-1]] == n - 1:
-            return order
+            return order.astype(PLACE)
         h *= 2
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Of a string of symbols whose last is 0 and occurs once."""
     n = len(t)
-    t = t.astype(np.int64)
+    t = t.astype(PLACE)
     if n < 3:
-        return np.arange(n)[::-1].copy()
+        return np.arange(n, dtype=PLACE)[::-1].copy()
     s_type = _types(t)
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]).astype(PLACE) + PLACE(1)
     symbols = np.unique(t)
     sorted_ = _induce(t, s_type, lms, symbols)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     sorted_ = sorted_[is_lms[sorted_]]
     # names of the substrings from one leftmost S-suffix to the next
-    ends = np.full(n, n - 1)
+    ends = np.full(n, n - 1, PLACE)
     ends[lms[:-1]] = lms[1:]
     a, b = sorted_[:-1], sorted_[1:]
     size = ends[a] - a
@@ -151,11 +157,12 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         differ[live[bad]] = True
         live = live[~bad & (k < size[live])]
         k += 1
-    names = np.empty(n, np.int64)
+    names = np.empty(n, PLACE)
     names[sorted_] = np.concatenate([[0], np.cumsum(differ)])
     if len(sorted_) and names[sorted_[-1]] == len(sorted_) - 1:
         return _induce(t, s_type, sorted_, symbols)
     reduced = names[lms]
+    del ends, names, is_lms, sorted_, a, b, size, differ, live
     # the recursion: induced sorting again while there are few names, else doubling of their ranks
     order = suffix_array(reduced) if reduced.max() < 256 and (reduced == 0).sum() == 1 else _ranked(reduced)
     return _induce(t, s_type, lms[order], symbols)
@@ -167,16 +174,17 @@ def common_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:
     Only where the symbols to the left differ is it counted; elsewhere it is one less than at the place to the left.
     """
     n = len(t)
-    before = np.full(n, n - 1)
+    before = np.full(n, n - 1, PLACE)
     before[order[1:]] = order[:-1]
-    place = np.arange(n)
+    place = np.arange(n, dtype=PLACE)
     left = np.where(place > 0, t[place - 1], -1)
     left_before = np.where(before > 0, t[before - 1], -2)
-    own = np.flatnonzero(left != left_before)
+    own = np.flatnonzero(left != left_before).astype(PLACE)
     own = own[own != order[0]]
+    del left, left_before
     padded = np.concatenate([t.astype(np.uint8) if t.max() < 256 else t, np.zeros(8, t.dtype if t.max() >= 256 else np.uint8)])
-    found = np.zeros(len(own), np.int64)
-    live = np.arange(len(own))
+    found = np.zeros(len(own), PLACE)
+    live = np.arange(len(own), dtype=PLACE)
     if padded.dtype == np.uint8:  # eight at a time
         words = np.lib.stride_tricks.as_strided(padded, (n + 1, 8), (1, 1))
         while len(live):
@@ -186,14 +194,14 @@ def common_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:
             same = (words[a] == words[b]).all(axis=1)
             live = live[same]
             found[live] += 8
-        live = np.arange(len(own))
+        live = np.arange(len(own), dtype=PLACE)
     while len(live):
         a, b = own[live] + found[live], before[own[live]] + found[live]
         fits = (a < n) & (b < n)
         live, a, b = live[fits], a[fits], b[fits]
         live = live[t[a] == t[b]]
         found[live] += 1
-    out = np.full(n, np.iinfo(np.int64).min // 2)
+    out = np.full(n, np.iinfo(PLACE).min // 2, PLACE)
     out[own] = found + own
     out = np.maximum.accumulate(out) - place
     out[order[0]] = 0
@@ -203,19 +211,19 @@ def common_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:
 def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each context, which of its places start a string of `length` bytes that starts at another place of the contexts too."""
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts)) + 1
-    raw = np.frombuffer(b"\x00".join([*contexts, b""]), np.uint8).astype(np.int64) + 2
+    raw = np.frombuffer(b"\x00".join([*contexts, b""]), np.uint8).astype(PLACE) + PLACE(2)
     ends = np.cumsum(sizes) - 1
     raw[ends] = 1
-    t = np.append(raw, 0)
+    t = np.append(raw, PLACE(0))
     order = suffix_array(t)
     shared = common_prefixes(t, order)
-    room = np.repeat(ends, sizes) - np.arange(len(raw))  # bytes up to the context's end
+    room = np.repeat(ends.astype(PLACE), sizes) - np.arange(len(raw), dtype=PLACE)  # bytes up to the context's end
     long_ = np.zeros(len(t), bool)
     # equal for `length` symbols, and none of them an end: then none of the neighbour's is
     inside = np.append(room >= length, False)
     at = order[1:][(shared[order[1:]] >= length)]
     long_[at] = True
-    before = np.empty(len(t), np.int64)
+    before = np.empty(len(t), PLACE)
     before[order[1:]] = order[:-1]
     long_[before[at]] = True
     long_ &= inside
@@ -264,7 +272,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _scan(batches: Iterator[pd.DataFrame], with_places: bool) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in (whole.iloc[i : i + HANDED] for whole in batches for i in range(0, len(whole), HANDED)):
         parts = []
         for key, text in zip(batch["key"], batch["text"], strict=True):
             raw = text.encode("utf-8", "replace")
@@ -298,12 +306,33 @@ def _may_hold(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.where(holds("key")), docs.where(~holds("key"))
 
 
+def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of their hash, in pieces of whole hashes: of SHARD bytes at most, or of one hash."""
+    rows: pd.DataFrame | None = None
+
+    def cut(ends: list[int]) -> Iterator[pd.DataFrame]:
+        nonlocal rows
+        upto, begun, last = [0, *np.cumsum(rows["bytes"].map(len)).tolist()], 0, 0
+        for end in ends:
+            if last > begun and upto[end] - upto[begun] > SHARD:
+                yield rows.iloc[begun:last]
+                begun = last
+            last = end
+        rows = rows.iloc[begun:]
+
+    for batch in batches:
+        rows = batch if rows is None else pd.concat([rows, batch])
+        anchor = rows["anchor"].to_numpy()
+        yield from cut((np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist())
+    if rows is not None and len(rows):
+        anchor = rows["anchor"].to_numpy()
+        yield from cut([*(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(rows)])
+        yield rows
+
+
 def _sorted_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of rows in order of their hash: which strings of the contexts that occur once are repeated, as (key, start, end) of bytes."""
-    kept: list[pd.DataFrame] = []
-    held = 0
-
-    def done(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for rows in _shards(batches):
         out = []
         for starts, key, start, n in zip(repeated_starts(rows["bytes"].tolist()), rows["key"], rows["start"], rows["n"], strict=True):
             if n == 1 and len(at := np.flatnonzero(starts)):
@@ -313,20 +342,6 @@ def _sorted_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if out:
             yield pd.DataFrame(out, columns=["key", "start", "end"])
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        cuts = np.flatnonzero(batch["anchor"].to_numpy()[1:] != batch["anchor"].to_numpy()[:-1]) + 1
-        for at, to in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-            part = batch.iloc[at:to]
-            if held >= SHARD and part["anchor"].iloc[0] != kept[-1]["anchor"].iloc[0]:
-                yield from done(pd.concat(kept))
-                kept, held = [], 0
-            kept.append(part)
-            held += int(part["bytes"].map(len).sum())
-    if kept:
-        yield from done(pd.concat(kept))
-
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The documents with their keys, and (key, start, end) of bytes covered by repeated strings; spans may overlap."""

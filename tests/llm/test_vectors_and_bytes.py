@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from loadscope.llm import embed, license, suffix
@@ -158,3 +160,36 @@ def test_licence_query(spark, sf, rows):
         want = {v for k, v in known.items() if k in d["text"]}
         if len(want) == 1:
             assert got[d["doc_id"]]["licence"] == want.pop() and got[d["doc_id"]]["origin"] == "own"
+
+
+def test_shards_are_bounded_and_hold_whole_hashes(monkeypatch):
+    """A large group isn't put on top of a shard that is nearly full, and none is split."""
+    monkeypatch.setattr(suffix, "SHARD", 3000)
+    rows = pd.DataFrame({"anchor": np.repeat(np.arange(40), (np.arange(40) * 7) % 13 + 2), "n": 1, "start": 0})
+    rows = rows.assign(key=np.arange(len(rows)), bytes=[bytes([97 + k % 26]) * (200 + k % 90) for k in range(len(rows))])
+    seen: list[list[bytes]] = []
+    monkeypatch.setattr(suffix, "repeated_starts", lambda contexts: seen.append(contexts) or [np.ones(1, bool)] * len(contexts))
+    for step in (7, 100, 10_000):
+        seen.clear()
+        out = pd.concat(suffix._sorted_shards(rows.iloc[i : i + step] for i in range(0, len(rows), step)))
+        assert out["key"].tolist() == rows["key"].tolist() and len(seen) > 5
+        at = 0
+        for contexts in seen:
+            own = rows.iloc[at : at + len(contexts)]
+            at += len(contexts)
+            assert sum(map(len, contexts)) <= 3000 or own["anchor"].nunique() == 1
+            assert not set(own["anchor"]) & set(rows.iloc[at:]["anchor"])
+
+
+def test_memory_of_a_suffix_array():
+    """Fewer than 60 bytes for each byte of a shard, at the peak."""
+    rnd = np.random.default_rng(1)
+    noise = lambda n: bytes(rnd.integers(97, 123, n).astype(np.uint8))
+    line = noise(160)
+    contexts = [noise(90) + line + noise(90) for _ in range(600)]
+    tracemalloc.start()
+    try:
+        suffix.repeated_starts(contexts)
+        assert tracemalloc.get_traced_memory()[1] < 60 * sum(map(len, contexts))
+    finally:
+        tracemalloc.stop()
