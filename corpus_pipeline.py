@@ -17,7 +17,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: links of SimHash fingerprints, then what these leave apart; each link has a five-word Jaccard similarity of 0.8 or more."""
     return nearcopies.keep_one(docs)
 
 

@@ -1,8 +1,10 @@
-"""Near copies by the Jaccard similarity of whole five-word shingle sets, with MinHash bands for candidates.
+"""Near copies: SimHash fingerprints by their inverted index first, then whole five-word shingle sets of the rest.
 
-At Jaccard 0.8 two SimHash fingerprints are expected to differ in about ten of 64 bits, more
-than an index over their positional bytes can reach. Two texts at 0.8 share one of the bands
-with a probability of 0.99997.
+Fingerprints at two or fewer differing bits give links, each held against the Jaccard
+similarity of the shingle sets. At Jaccard 0.8 two fingerprints are expected to differ in about ten of
+64 bits, more than an index over their positional bytes can reach. So sets that SimHash leaves in
+different components meet by MinHash bands as well: two texts at 0.8 share one of the bands with a
+probability of 0.99997.
 """
 
 from __future__ import annotations
@@ -15,9 +17,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadscope.llm import simhash
 from loadscope.llm.common import components, stored, text_of
 
 N_WORDS, JACCARD = 5, 0.8
+#: Bits in which the fingerprints of SimHash's links differ at most.
+MAX_BITS = 2
 BANDS, ROWS = 20, 4
 #: Longest band whose pairs are all listed; members of longer ones are held against heads.
 LONGEST_BAND = 48
@@ -37,15 +42,7 @@ FACTORS |= np.uint64(1)
 
 def shingles(text: str, n_words: int = N_WORDS) -> np.ndarray:
     """The hashes of the text's different shingles, in order; a shorter text is one shingle, a wordless one has none."""
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    n = min(n_words, len(words))
-    starts = [0, *(ends[: len(words) - n] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(line[s:e], 42) for s, e in zip(starts, ends[n - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+    return np.unique(simhash.hashes(text, n_words))
 
 
 def bands(own: np.ndarray) -> list[int]:
@@ -64,13 +61,13 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _marks(text: Column) -> Column:
-    """A struct of the digest of the text's shingle set and of the set's band keys."""
+    """A struct of the digest of the text's shingle set, of the set's band keys and of its fingerprint."""
 
-    @F.pandas_udf("set string, bands array<long>")
+    @F.pandas_udf("set string, bands array<long>, fp long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t) for t in batch]
-            yield pd.DataFrame({"set": [xxhash.xxh128_hexdigest(s.tobytes()) for s in sets], "bands": [bands(s) for s in sets]})
+            yield pd.DataFrame({"set": [xxhash.xxh128_hexdigest(s.tobytes()) for s in sets], "bands": [bands(s) for s in sets], "fp": [simhash.fingerprint_of(s) for s in sets]})
 
     return of(text)
 
@@ -93,6 +90,22 @@ def _alike(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
+def _by_simhash(classes: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v), u < v, of sets (set, fp): those of one fingerprint with its smallest one, and the smallest ones of linked fingerprints."""
+    heads = stored(classes.groupBy("fp").agg(F.min("set").alias("head")))
+    same = classes.join(heads, "fp").where("set <> head").select(F.col("head").alias("u"), F.col("set").alias("v"))
+    linked = simhash.links(heads.select("fp"), MAX_BITS)
+    near = linked.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
+    return same.unionByName(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
+def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (u, v) that aren't of one component of the edges already."""
+    of = stored(components(edges))
+    side = lambda x: of.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    return pairs.join(side("u"), "u", "left").join(side("v"), "v", "left").where("of_u is null or of_v is null or of_u <> of_v").select("u", "v")
+
+
 def _listed(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (u, v), u < v, of postings (set, key), and the sets of long bands."""
     sizes = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("set").alias("least"), F.max("set").alias("most")).where("n > 1")
@@ -191,16 +204,16 @@ def _across(postings: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(marked: DataFrame) -> DataFrame:
-    """Edges (u, v) between the sets of a table (set, bands, text) whose shingles have Jaccard JACCARD or more, enough of them for their components.
+    """Edges (u, v) between the sets of a table (set, bands, fp, text) whose shingles have Jaccard JACCARD or more, enough of them for their components.
 
-    Equal sets are one. Every pair of a band is held against the threshold; in a band of
+    Equal sets are one. SimHash's links come first, those that have the similarity. Every pair of a band whose
+    sets these leave apart is held against the threshold; in a band of
     more than LONGEST_BAND sets each is held against the smallest and the largest one. Sets of
     such bands are then held against heads of the lists of their rare shingles, and all that aren't
     of one component by then are joined by prefixes, exactly.
     """
-    classes = stored(marked.groupBy("set").agg(F.first("bands").alias("bands")))
+    classes = stored(marked.groupBy("set").agg(F.first("bands").alias("bands"), F.min("fp").alias("fp")))
     pairs, long_ = _listed(classes.select("set", F.explode("bands").alias("key")))
-    pairs = stored(pairs)
 
     def owns(wanted: DataFrame) -> DataFrame:
         one = marked.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("text").alias("text"))
@@ -210,7 +223,12 @@ def links(marked: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("set").alias("v"), F.col("own").alias("b")), "v").join(sets.select(F.col("set").alias("u"), F.col("own").alias("a")), "u")
         return stored(both.where(_alike(F.col("a"), F.col("b"))).select("u", "v"))
 
-    good = verified(pairs, owns(pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set"))).distinct()))
+    def held(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, owns(pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set"))).distinct()))
+
+    near = held(stored(_by_simhash(classes.select("set", "fp"))))
+    pairs = stored(_apart(pairs, near))
+    good = stored(near.unionByName(held(pairs)))
     long_ = stored(long_)
     if long_.isEmpty():
         return good
@@ -240,7 +258,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     whole = F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), whole.alias("row"))
     held = docs.select(rank.alias("rank"), text_of("text").alias("text"))
-    held = stored(held.withColumn("mark", _marks(F.col("text"))).select("rank", "text", "mark.set", "mark.bands"))
+    held = stored(held.withColumn("mark", _marks(F.col("text"))).select("rank", "text", "mark.set", "mark.bands", "mark.fp"))
     firsts = held.groupBy("set").agg(F.min("rank").alias("rank"))
     found = components(links(held)).select(F.col("node").alias("set"), "component")
     heads = firsts.join(found, "set", "left").groupBy(F.coalesce("component", "set").alias("component")).agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("_row"))

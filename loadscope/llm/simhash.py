@@ -20,22 +20,30 @@ LONGEST_POSTING = 48
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str, n_words: int = 3) -> int:
-    """The text's 64-bit fingerprint, as a signed integer."""
+def hashes(text: str, n_words: int = 3) -> np.ndarray:
+    """Of the text's shingles in turn, repeats included; a shorter text is one shingle, a wordless one has none."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = min(n_words, len(words))
     starts = [0, *(ends[: len(words) - n] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[s:e], 42) for s, e in zip(starts, ends[n - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+    return np.fromiter((digest(line[s:e], 42) for s, e in zip(starts, ends[n - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint_of(own: np.ndarray) -> int:
+    """The 64-bit fingerprint of these hashes, as a signed integer; that of none is 0."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        part = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(own), CHUNK):
+        part = own[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    return int(np.packbits(ones * 2 > len(own), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str, n_words: int = 3) -> int:
+    return fingerprint_of(hashes(text, n_words))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", n_words: int = 3, out: str = "fp") -> DataFrame:

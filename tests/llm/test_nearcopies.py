@@ -107,3 +107,14 @@ def test_edges(spark, odd, empty):
     assert C.distinct(spark, empty, None).count() == 0
     got = nearcopies.keep_one(odd)
     assert got.columns == odd.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == [(False, 1), (False, 2), (False, 4), (False, 6), (True, 0)]
+
+
+def test_simhash_links_come_first(spark):
+    """Without any band: fingerprints of two differing bits link, one of three doesn't, and none below the similarity."""
+    w = text(3, 300)
+    texts = {"a": " ".join(w), "b": edited(w, 7), "c": edited(w, 70), "d": edited(w, 250), "e": " ".join(text(4, 300)), "f": ""}
+    fps = {"a": 0b111, "b": 0b100, "c": 0b100, "d": 0b111 << 20, "e": 0b110, "f": 0b1110}
+    marked = spark.createDataFrame([(k, [], fps[k], t) for k, t in texts.items()], "set string, bands array<long>, fp long, text string")
+    assert {(r["u"], r["v"]) for r in nearcopies.links(marked).collect()} == {("a", "b"), ("b", "c")}
+    own = nearcopies.shingles(texts["a"])
+    assert nearcopies.simhash.fingerprint_of(own) == sum(1 << b for b in range(63) if 2 * sum(int(x) >> b & 1 for x in own) > len(own)) - (2 * sum(int(x) >> 63 for x in own) > len(own)) * (1 << 63)
