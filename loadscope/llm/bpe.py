@@ -19,16 +19,16 @@ import hashlib
 import json
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadscope.llm.common import text_of
+from loadscope.llm.common import each_value, text_of
 
 #: The pre-tokenizer's split, a fixed value of the vocabulary's format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -58,7 +58,7 @@ class Automaton:
 
     States behind one token are versions of each other: each gadget adds one, a copy of
     the version before without one arc. `chain` has a state's token, `versions` a token's
-    states with the steps they were born at, `lost` the version at which an arc was lost.
+    states with the steps they were born at, `lost` the version at which an arc was lost; most tokens have none of these.
     """
 
     def __init__(self, merges: list[tuple[int, int]]):
@@ -66,36 +66,38 @@ class Automaton:
         self.labels = [bytes([b]) for b in range(256)]
         self.chain, self.version, self.born = [-1], [0], [-1]  # state 0 reads everything
         self.base, self.target = [0] * 256, [0] * 256
-        self.versions: list[tuple[list[int], list[int]]] = [([], []) for _ in range(256)]
-        self.lost: list[dict[int, int]] = [{} for _ in range(256)]
+        self.versions: dict[int, tuple[list[int], list[int]]] = {}
+        self.lost: dict[int, dict[int, int]] = {}
         self._known: dict[int, bool] = {}
         for step, (a, b) in enumerate(merges):
             self.labels.append(self.labels[a] + self.labels[b])
-            self.versions.append(([], []))
-            self.lost.append({})
             meets = self.reads(self.target[a], b)  # else an earlier merge takes b from a: the pair never meets
             self.left.append(a if meets else -2)
             self.base.append(self.target[b] if meets else 0)
             self.target.append(self.base[-1])
             if meets:
-                states, born = self.versions[a]
+                states, born = self.versions.setdefault(a, ([], []))
                 self.chain.append(a)
                 self.born.append(step)
                 states.append(len(self.chain) - 1)
                 born.append(step)
                 self.version.append(len(states))
-                self.lost[a][b] = len(states)
+                self.lost.setdefault(a, {})[b] = len(states)
                 self.target[a] = states[-1]
-        #: The trie: a node has its children by their bytes, and at -1 the longest token on its way.
+        #: The trie: a node has its children by their bytes, and at -1 the longest token on its way. Of a child without children only the token is kept, at -2 less its byte.
         self.trie: dict[int, dict | int] = {-1: -1}
         live = [t for t in range(len(self.labels)) if self.left[t] != -2]
         for t in live:
             node = self.trie
-            for byte in self.labels[t]:
+            *way, last = self.labels[t]
+            for byte in way:
                 if (after := node.get(byte)) is None:
-                    after = node[byte] = {-1: -1}
+                    after = node[byte] = {-1: node.pop(-2 - byte, -1)}
                 node = after
-            node[-1] = t
+            if last in node:
+                node[last][-1] = t
+            else:
+                node[-2 - last] = t
         todo = [self.trie]
         while todo:
             node = todo.pop()
@@ -141,12 +143,14 @@ class Automaton:
         trie, shorter, sizes, target, known, longest = self.trie, self.shorter, self.sizes, self.target, self._known, self.longest
         i = s = 0
         while i < n:
-            node = trie
+            node, t = trie, None
             for byte in word[i : i + longest]:
                 if (after := node.get(byte)) is None:
+                    t = node.get(-2 - byte)
                     break
                 node = after
-            t = node[-1]
+            if t is None:
+                t = node[-1]
             while True:
                 if t < 0:  # back by one token
                     dead.add(i)
@@ -191,10 +195,10 @@ class Tokenizer:
             raise ValueError("two merges make the same token")
         self.automaton = Automaton(merges)
         self.decimals = [str(own[label]) for label in self.automaton.labels]
-        self.labels = {i: label for label, i in own.items()}
+        self.labels = {i: label for label, i in own.items()} | {own[label]: label for label in self.automaton.labels}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.labels |= {i: text.encode() for text, i in self.added.items()}
-        self.by_decimal = {str(i): label for i, label in self.labels.items()}
+        self.by_decimal = dict(zip(self.decimals, self.automaton.labels, strict=True)) | {str(i): label for i, label in self.labels.items()}
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = Words(self)
@@ -265,16 +269,14 @@ def tokenizer_text(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
-def _over(docs: DataFrame, column, path: str, kind: str, of) -> DataFrame:
+def _over(docs: DataFrame, column: Column, path: str, kind: str, arrow: pa.DataType, of: Callable) -> Column:
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_text(path))
 
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def begin() -> Callable:
         tokenizer = Tokenizer.parsed(spec.value)
-        for batch in batches:
-            yield of(tokenizer, batch)
+        return lambda x: of(tokenizer, x)
 
-    return run(column)
+    return each_value(column, kind, arrow, begin)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -283,7 +285,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     Rows are independent: repeated ones get equal results. A column `out` that is there already
     is replaced; others stay; an empty table gives an empty one.
     """
-    return docs.withColumn(out, _over(docs, text_of(text), path, "array<int>", lambda t, b: pd.Series([t.encode(x) for x in b])))
+    return docs.withColumn(out, _over(docs, text_of(text), path, "array<int>", pa.list_(pa.int32()), Tokenizer.encode))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -293,7 +295,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "text") -> D
     is replaced; an empty table gives an empty one.
     """
     column = F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>"))
-    return docs.withColumn(out, _over(docs, column, path, "string", lambda t, b: pd.Series([t.decode(x) for x in b])))
+    return docs.withColumn(out, _over(docs, column, path, "string", pa.string(), Tokenizer.decode))
 
 
 def digest(docs: DataFrame, path: str, text: str = "text", out: str = "bpe") -> DataFrame:
@@ -304,4 +306,5 @@ def digest(docs: DataFrame, path: str, text: str = "text", out: str = "bpe") ->
     empty table gives an empty one.
     """
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.withColumn(out, _over(docs, text_of(text), path, kind, lambda t, b: pd.DataFrame([t.digests(x) for x in b], columns=["n_tokens", "ids_sha256", "decoded_sha256"])))
+    arrow = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    return docs.withColumn(out, _over(docs, text_of(text), path, kind, arrow, Tokenizer.digests))

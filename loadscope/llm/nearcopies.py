@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.llm import simhash
-from loadscope.llm.common import components, stored, text_of
+from loadscope.llm.common import PIECE, components, each_value, stored, text_of
 
 N_WORDS, JACCARD = 5, 0.8
 #: Bits in which the fingerprints of SimHash's links differ at most.
@@ -63,29 +64,26 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _marks(text: Column) -> Column:
     """A struct of the digest of the text's shingle set, of the set's band keys and of its fingerprint."""
 
-    @F.pandas_udf("set string, bands array<long>, fp long")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t) for t in batch]
-            yield pd.DataFrame({"set": [xxhash.xxh128_hexdigest(s.tobytes()) for s in sets], "bands": [bands(s) for s in sets], "fp": [simhash.fingerprint_of(s) for s in sets]})
+    def of(t: str) -> tuple[str, list[int], int]:
+        own = shingles(t)
+        return xxhash.xxh128_hexdigest(own.tobytes()), bands(own), simhash.fingerprint_of(own)
 
-    return of(text)
+    kinds = pa.struct([("set", pa.string()), ("bands", pa.list_(pa.int64())), ("fp", pa.int64())])
+    return each_value(text, "set string, bands array<long>, fp long", kinds, lambda: of)
 
 
 def _sets(text: Column) -> Column:
-    @F.pandas_udf("binary")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([shingles(t).tobytes() for t in batch], dtype=object)
-
-    return of(text)
+    return each_value(text, "binary", pa.binary(), lambda: lambda t: shingles(t).tobytes())
 
 
 def _alike(a: Column, b: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    own = lambda x: np.frombuffer(x.as_py(), np.uint64)
+
+    @F.arrow_udf("boolean")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            yield pd.Series([jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= JACCARD for x, y in zip(left, right, strict=True)], dtype=bool)
+            for at in range(0, len(left), PIECE):
+                yield pa.array([jaccard(own(x), own(y)) >= JACCARD for x, y in zip(left.slice(at, PIECE), right.slice(at, PIECE), strict=True)], pa.bool_())
 
     return of(a, b)
 
@@ -175,12 +173,7 @@ def sketch(own: np.ndarray) -> np.ndarray:
 
 
 def _sketches(own: Column) -> Column:
-    @F.pandas_udf("array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([sketch(np.frombuffer(x, np.uint64)).tolist() for x in batch], dtype=object)
-
-    return of(own)
+    return each_value(own, "array<long>", pa.list_(pa.int64()), lambda: lambda x: sketch(np.frombuffer(x, np.uint64)))
 
 
 def _across(postings: DataFrame, sets: DataFrame) -> DataFrame:

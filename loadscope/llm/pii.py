@@ -20,10 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadscope.llm.common import text_of
+from loadscope.llm.common import each_value, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens in a span at most.
@@ -313,9 +314,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             at = max(at, e)
         return "".join([*parts, t[at:]])
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([clean(t, weights.value) for t in batch], dtype=object)
-
-    return docs.withColumn(text, run(F.col(text).cast("string")))
+    return docs.withColumn(text, each_value(F.col(text).cast("string"), "string", pa.string(), lambda: lambda t: clean(t, weights.value)))
