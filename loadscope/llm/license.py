@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadscope.llm.common import text_of
+from loadscope.llm.common import stored, text_of
 
 #: Cosine from which a passage is a template's, and lines on either side that belong to a line's wider passage.
 NEAR, AROUND = 0.5, 1
@@ -137,11 +137,16 @@ def own_licences(files: DataFrame, path: str = "path", text: str = "text", sente
     return files.withColumn("own", run(named, text_of(text)))
 
 
-def _directories(path: Column) -> Column:
-    """All directories above a path from the nearest up, the root ('') last; null for null."""
-    parts = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
-    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, F.size(parts) - k), "/"))
-    return F.when(path.isNotNull(), above)
+def _home(path: Column) -> Column:
+    """The directory of a path, the root ('') for a path without one; null for null."""
+    parts = F.split(path, "/")
+    return F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+
+
+def _upwards(directory: Column) -> Column:
+    """A directory and all above it from the nearest up, the root ('') last."""
+    parts = F.split(directory, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, F.size(parts) - k), "/"))
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", sentences: dict[str, str] | None = None, texts: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -150,15 +155,17 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", sentences: di
     Of a directory's licence files the one of the largest cosine counts, then of the first
     path, then of the first licence. Rows that repeat a path are files by themselves; a row
     without a path has only a licence of its own; an empty table gives an empty result; other
-    columns are ignored. Texts stay in their task; paths alone are joined.
+    columns are ignored. Each text is read once, in its task; what was found, without texts, is
+    a table in the shared folder, and paths alone are joined.
     """
     columns = files.select(F.col(path).alias("path"), F.col(text).alias("text"), *keep)
-    marked = own_licences(columns, sentences=sentences, texts=texts).select("path", *keep, "own.licence", "own.cosine").withColumn("home", F.element_at(_directories(F.col("path")), 1))
+    # stored, since each use of it would otherwise work out paths and licences again
+    marked = stored(own_licences(columns, sentences=sentences, texts=texts).select("path", *keep, "own.licence", "own.cosine")).withColumn("home", _home(F.col("path")))
     covering = marked.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE) & F.col("licence").isNotNull())
     covering = covering.groupBy(F.col("home").alias("directory")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("path").alias("from"), "licence")).alias("top"))
     # distinct directories alone meet those above them, then the nearest one's licence files win
-    homes = files.select(_directories(F.col(path)).alias("above")).where("above is not null").select(F.element_at("above", 1).alias("home"), "above").dropDuplicates(["home"])
-    nearest = homes.select("home", F.posexplode("above").alias("far", "directory")).join(covering, "directory").groupBy("home").agg(F.min(F.struct("far", "top")).alias("n")).select("home", "n.top")
+    homes = marked.select("home").where("home is not null").distinct().select("home", F.posexplode(_upwards(F.col("home"))).alias("far", "directory"))
+    nearest = homes.join(covering, "directory").groupBy("home").agg(F.min(F.struct("far", "top")).alias("n")).select("home", "n.top")
     rest = marked.join(nearest, "home", "left")
     inherited = F.col("licence").isNull() & F.col("top").isNotNull()
     return rest.select(

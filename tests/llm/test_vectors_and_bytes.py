@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from loadscope.llm import embed, license, suffix
 from loadscope.llm.queries import op6_license, op7_embedding, op10_suffix
@@ -125,6 +126,19 @@ def test_licences(spark):
     assert license.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_licences_work_out_each_path_and_text_once(spark):
+    rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "code"), ("a/b/c/COPYING", "code"), ("z.py", ""), (None, "x")]
+    paths, texts = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(seen):
+        return F.udf(lambda x: seen.add(1) or x, "string")
+
+    files = spark.createDataFrame(rows, "p string, t string").select(counted(paths)("p").alias("path"), counted(texts)("t").alias("text"))
+    found = license.scan(files).collect()
+    assert {r["path"]: r["inherited_from"] for r in found} == {"a/LICENSE": None, "a/b/x.py": "a/LICENSE", "a/b/c/COPYING": "a/LICENSE", "z.py": None, None: None}
+    assert (paths.value, texts.value) == (len(rows), len(rows))
+
+
 @pytest.mark.parametrize("name", sorted(license.TEXTS))
 def test_whole_licence_texts_are_told_apart(name):
     matcher = license.Matcher(license.TEMPLATES, license.TEXTS)
