@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadscope.functions.text import dirname, extname, matches_any, sanitise, stem, suffixes
-from loadscope.operators.columns import first_match, mapped
+from loadscope.operators.columns import first_match, mapped, unsent
 from loadscope.plans import dims
 
 
@@ -32,11 +32,11 @@ def resolve_references(literals: DataFrame, paths: DataFrame) -> DataFrame:
     """
     cleaned = F.regexp_replace(F.replace(sanitise(F.col("literal")), F.lit("\\"), F.lit("/")), "^\\./", "")
     wanted = literals.select("literal").distinct().withColumn("path", cleaned)
-    exact = wanted.join(paths.select("path", F.lit(True).alias("exact")).distinct(), "path", "left")
+    exact = wanted.join(unsent(paths.select("path", F.lit(True).alias("exact")).distinct()), "path", "left")
     endings = paths.select("path").distinct().select(F.explode(suffixes(F.col("path"))).alias("ending"), F.col("path").alias("found"))
     endings = endings.groupBy("ending").agg(F.min("found").alias("found"), F.count("*").alias("n")).where("n = 1")
-    ending = wanted.join(endings, wanted["path"] == endings["ending"]).select("literal", "found")
-    rows = exact.join(ending, "literal", "left")
+    ending = wanted.join(unsent(endings), wanted["path"] == endings["ending"]).select("literal", "found")
+    rows = exact.join(unsent(ending), "literal", "left")
     extension = extname(F.col("path"))
     hub = F.col("path").rlike("^[A-Za-z0-9][A-Za-z0-9_.-]*/[A-Za-z0-9_.-]+\\z") & (extension == "")
     missing = F.col("path").rlike("[/.]") & extension.isin(list(dims.BY_EXTENSION))

@@ -12,6 +12,7 @@ from loadscope.operators import explore, numbering
 GROWING = [
     "evidence_bind",
     "evidence_scanners",
+    "reference_resolve",
 ]
 
 
