@@ -13,6 +13,7 @@ GROWING = [
     "evidence_bind",
     "evidence_scanners",
     "reference_resolve",
+    "summary",
 ]
 
 
