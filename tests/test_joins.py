@@ -11,6 +11,7 @@ from loadscope.operators import explore, numbering
 
 GROWING = [
     "evidence_bind",
+    "evidence_counts",
     "evidence_gaps",
     "evidence_scanners",
     "reference_resolve",
