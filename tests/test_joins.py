@@ -14,6 +14,7 @@ GROWING = [
     "evidence_counts",
     "evidence_gaps",
     "evidence_scanners",
+    "findings",
     "indicators",
     "reference_resolve",
     "summary",
