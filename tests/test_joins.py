@@ -16,6 +16,7 @@ GROWING = [
     "evidence_scanners",
     "findings",
     "indicators",
+    "insertion_order",
     "reference_resolve",
     "summary",
 ]
