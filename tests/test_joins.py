@@ -19,6 +19,7 @@ GROWING = [
     "indicators",
     "insertion_order",
     "reference_resolve",
+    "stripe",
     "summary",
 ]
 
