@@ -15,6 +15,7 @@ GROWING = [
     "evidence_counts",
     "evidence_gaps",
     "evidence_scanners",
+    "facet_counts",
     "findings",
     "indicators",
     "insertion_order",
