@@ -16,6 +16,7 @@ GROWING = [
     "evidence_gaps",
     "evidence_scanners",
     "facet_counts",
+    "facet_filter",
     "findings",
     "indicators",
     "insertion_order",
