@@ -10,6 +10,7 @@ from loadscope import queries
 from loadscope.operators import explore, numbering
 
 GROWING = [
+    "bom_digests",
     "bom_rows",
     "boundary",
     "evidence_bind",
