@@ -12,6 +12,7 @@ from loadscope.operators import explore, numbering
 GROWING = [
     "bom_digests",
     "bom_rows",
+    "bom_visible",
     "boundary",
     "evidence_bind",
     "evidence_counts",
