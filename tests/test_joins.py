@@ -14,6 +14,7 @@ GROWING = [
     "bom_rows",
     "bom_visible",
     "boundary",
+    "boundary_cells",
     "evidence_bind",
     "evidence_counts",
     "evidence_gaps",
