@@ -21,6 +21,7 @@ GROWING = [
     "evidence_scanners",
     "facet_counts",
     "facet_filter",
+    "finding_rank",
     "findings",
     "indicators",
     "insertion_order",
