@@ -26,6 +26,7 @@ GROWING = [
     "indicators",
     "insertion_order",
     "reference_resolve",
+    "search",
     "stripe",
     "summary",
 ]
