@@ -27,6 +27,7 @@ GROWING = [
     "insertion_order",
     "reference_resolve",
     "search",
+    "sort_records",
     "stripe",
     "summary",
 ]
