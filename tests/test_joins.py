@@ -27,6 +27,7 @@ GROWING = [
     "insertion_order",
     "reference_resolve",
     "search",
+    "search_proof",
     "sort_records",
     "stripe",
     "summary",
