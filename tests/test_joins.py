@@ -22,6 +22,7 @@ GROWING = [
     "facet_counts",
     "facet_filter",
     "finding_rank",
+    "finding_subjects",
     "findings",
     "indicators",
     "insertion_order",
